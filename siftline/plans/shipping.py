@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,8 +17,7 @@ def ship(spark: SparkSession) -> None:
     """Adds the package to the application's Python files, once for each application."""
     if (app := spark.sparkContext.applicationId) in _sent:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        # Spark copies the archive as it is added.
-        archive = shutil.make_archive(f"{folder}/siftline-{app}", "zip", ROOT, "siftline")
-        spark.sparkContext.addPyFile(archive)
+    folder = tempfile.mkdtemp()  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/siftline-{app}", "zip", ROOT, "siftline"))
     _sent.add(app)
