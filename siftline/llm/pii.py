@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no input makes them backtrack over a long run twice.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -44,11 +46,6 @@ _SPAN = "array<struct<kind:string,start:int,end:int,cell:string>>"
 _FOUND = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: start and end in code points, the match, 40 characters before and one after it."""
 
