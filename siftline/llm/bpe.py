@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, scratch, small_batches
 from .files import located
-from .tokens import byte_letters, load
+from .tokens import PieceIds, byte_letters, load
 
 BLOCK = 16_000_000
 _WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -82,12 +82,12 @@ def _distinct(size: int):
 
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each word is encoded once, in batches, and goes to all blocks that have it."""
-        tokenizer, last = load(path), (None, None)
+        """Rows come sorted by word: each word is encoded once and goes to all blocks that have it."""
+        encode, last = PieceIds(path).encode, (None, None)
         for b in batches:
             blocks, found = b.column(0), b.column(1).to_pylist()
             fresh = list(dict.fromkeys(x for x in found if x != last[0]))
-            ids = dict(zip(fresh, (b"".join(i.to_bytes(4, "little") for i in e.ids) for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+            ids = dict(zip(fresh, map(encode, fresh), strict=True))
             if last[0] is not None:
                 ids.setdefault(*last)
             last = (found[-1], ids[found[-1]]) if found else last
@@ -108,12 +108,12 @@ def word_table(docs: DataFrame, path: str, block: int = BLOCK) -> str:
 def _looker(folder: str, path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = located(folder)
-        tokenizer, at, plain, spaced = None, None, {}, {}
+        encoder, at, plain, spaced = None, None, {}, {}
 
         def encoded(word: str) -> bytes:
-            nonlocal tokenizer
-            tokenizer = tokenizer or load(path)
-            return b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(word, add_special_tokens=False).ids)
+            nonlocal encoder
+            encoder = encoder or PieceIds(path)
+            return encoder.encode(word)
 
         def ids_of(found: list[str], known: dict[str, bytes], lead: str) -> bytes:
             try:
@@ -131,12 +131,13 @@ def _looker(folder: str, path: str, size: int):
                             for w, i in zip(*(c.to_pylist() for c in part.columns), strict=True):
                                 if w[0] == " ":
                                     spaced[w[1:]] = i
-                                plain[w] = i
+                                else:
+                                    plain[w] = i
             for j in range(0, len(texts), 500):
                 rows = []
                 for x in texts[j : j + 500]:
                     w = words(x)
-                    rows.append(ids_of(w, plain, "") if isinstance(w, list) else ids_of([w[0]], plain, "") + ids_of(w[1], spaced, " "))
+                    rows.append(b"".join(ids_of([y[1:]], spaced, " ") if y[0] == " " else ids_of([y], plain, "") for y in w) if isinstance(w, list) else ids_of([w[0]], plain, "") + ids_of(w[1], spaced, " "))
                 offsets = [0]
                 for x in rows:
                     offsets.append(offsets[-1] + len(x) // 4)
@@ -169,7 +170,9 @@ def _decoder(path: str):
         piece = None
         for b in batches:
             piece = piece or pieces(path)
-            texts = [None if x is None else b"".join(map(piece.__getitem__, x)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            at, flat, there = ids.offsets.to_pylist(), ids.values.to_pylist() if ids.values.null_count else ids.values.to_numpy().tolist(), ids.is_valid().to_pylist()
+            texts = [b"".join(map(piece.__getitem__, flat[at[i] : at[i + 1]])).decode("utf-8", "replace") if ok else None for i, ok in enumerate(there)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return run

@@ -10,6 +10,7 @@ import re
 import unicodedata
 from functools import cache
 
+import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
@@ -74,6 +75,29 @@ class WordIds:
             return b"".join(map(chunks.__getitem__, parts))
 
 
+class PieceIds:
+    """Ids of words under a byte-level BPE file: a plain word's pieces are encoded once each, other words as a whole."""
+
+    def __init__(self, path: str, kept: int = KEPT):
+        self.whole, self.kept, self.pieces = load(path), kept, {}
+        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) > self.kept:
+            self.pieces = {}
+        mapped = "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
+        ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(mapped))
+        return ids
+
+    def encode(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word[word[:1] == " " :]) and not any(s in word for s in self.special):
+            known = self.pieces.get
+            return b"".join(known(x) or self._piece(x) for x in self.cut(word))
+        return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(word, add_special_tokens=False).ids)
+
+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
