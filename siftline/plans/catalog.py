@@ -1,10 +1,412 @@
-"""The engine's registered queries and the SQL that gives the same rows."""
+"""The engine's registered queries and the SQL that gives the same rows.
+
+Every query runs over whole tables. Vector searches take as queries the vectors whose id is divisible by 50.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.functions import safety as G
+from siftline.functions import text as X
+from siftline.functions import vector as V
+from siftline.operators import chunking as K
+from siftline.operators import metrics as A
+from siftline.operators import ranking as R
+from siftline.operators import state as S
+from siftline.sources.tables import jobs, table
+from siftline.streaming.windows import metric_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+NOW = "2024-01-30 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL that several queries share.
+JOBS = """jobs AS (SELECT event_id AS id, user_id AS document_id,
+  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'dead_letter' END AS status,
+  CAST(event_id % 5 AS INTEGER) AS attempt, ts AS created_at, CASE WHEN event_type = 'view' THEN ts END AS locked_at,
+  CASE WHEN event_type = 'view' THEN 'w' || (user_id % 7) END AS locked_by FROM events)"""
+VEC = """vsim AS (SELECT CAST(q.vec_id / 50 AS BIGINT) AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS ord FROM vsim)"""
+KEY = r"""qt AS (SELECT DISTINCT item_id AS query_id, t AS token FROM (SELECT item_id, unnest(list_slice(list_filter(list_distinct_ordered, lambda x: length(x) >= 3), 1, 32)) AS t FROM
+  (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(l), lambda v: {'p': list_position(l, v), 'v': v})), lambda s: s.v) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3) AS l FROM benchmark)))),
+post AS (SELECT doc_id AS chunk_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE length(token) >= 3 GROUP BY 1, 2),
+krank AS (SELECT query_id, chunk_id, round(sum(n) * 0.1, 6) AS rank FROM post JOIN qt USING (token) GROUP BY 1, 2),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, chunk_id) AS ord FROM krank)"""
+FUSED = f"""{VEC}, {KEY},
+fv AS (SELECT query_id, chunk_id, ord AS vector_rank FROM vec WHERE ord <= 20), fk AS (SELECT query_id, chunk_id, ord AS keyword_rank FROM kw WHERE ord <= 20),
+fused AS (SELECT query_id, chunk_id, vector_rank, keyword_rank, round(coalesce(1.0 / (60 + vector_rank), 0.0::DOUBLE) + coalesce(1.0 / (60 + keyword_rank), 0.0::DOUBLE), 9) AS score,
+  CASE WHEN vector_rank IS NOT NULL AND keyword_rank IS NOT NULL THEN 'hybrid' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM fv FULL OUTER JOIN fk USING (query_id, chunk_id)),
+franked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id) AS ord FROM fused)"""
+POOL = """pool AS (SELECT doc_id % 20 AS query_id, doc_id AS chunk_id, CAST(doc_id % 7 AS BIGINT) AS document_id, CAST(n_chars % 11 AS INTEGER) AS page, (n_chars % 101) / 100.0::DOUBLE AS score,
+  CASE WHEN doc_id % 3 > 0 THEN (n_chars % 89) / 88.0::DOUBLE END AS similarity, (n_chars % 13) / 12.0::DOUBLE AS lexical, CAST(doc_id % 2 AS INTEGER) AS exact, CAST(lang = 'en' AS INTEGER) AS same_language,
+  CASE WHEN doc_id % 2 = 0 THEN 'cross_encoder' ELSE 'heuristic' END AS scale FROM documents),
+listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS ord FROM pool)"""
+
+
+def vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.where(F.col("vec_id") % 50 == 0).select((F.col("vec_id") / 50).cast("long").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def keyword_lists(spark, d, k):
+    return R.keyword_topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), k)
+
+
+def pool(spark, d):
+    """Documents as candidates of twenty queries, with scores made from their sizes."""
+    n, i = F.col("n_chars"), F.col("doc_id")
+    rows = table(spark, d, "documents").select((i % 20).alias("query_id"), i.alias("chunk_id"), (i % 7).alias("document_id"), (n % 11).cast("int").alias("page"), ((n % 101) / 100).alias("score"), F.when(i % 3 > 0, (n % 89) / 88).alias("similarity"), ((n % 13) / 12).alias("lexical"), (i % 2).cast("int").alias("exact"), (F.col("lang") == "en").cast("int").alias("same_language"), F.when(i % 2 == 0, "cross_encoder").otherwise("heuristic").alias("scale"))
+    return R.ranked(rows, [F.desc("score"), F.col("chunk_id")])
+
+
+@query(f"WITH {VEC} SELECT query_id, chunk_id, similarity, CAST(ord AS INTEGER) AS ord FROM vec WHERE ord <= 20")
+def vector_topk(spark, d):
+    return R.vector_topk(*vectors(spark, d), 20)
+
+
+@query(f"WITH {VEC}, s AS (SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS ord FROM vsim JOIN embeddings e ON e.vec_id = chunk_id WHERE label IN (1, 2, 3)) SELECT query_id, chunk_id, similarity, CAST(ord AS INTEGER) AS ord FROM s WHERE ord <= 10")
+def vector_topk_scoped(spark, d):
+    q, _ = vectors(spark, d)
+    return R.vector_topk(q, table(spark, d, "embeddings").where(F.col("label").isin(1, 2, 3)).select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"WITH {KEY} SELECT query_id, chunk_id, rank, CAST(ord AS INTEGER) AS ord FROM kw WHERE ord <= 20")
+def keyword_topk(spark, d):
+    return keyword_lists(spark, d, 20)
+
+
+@query(f"WITH {FUSED} SELECT query_id, chunk_id, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(keyword_rank AS INTEGER) AS keyword_rank, score, source, CAST(ord AS INTEGER) AS ord FROM franked")
+def rrf_fusion(spark, d):
+    return R.rrf(R.vector_topk(*vectors(spark, d), 20), keyword_lists(spark, d, 20))
+
+
+@query(f"WITH {FUSED} SELECT query_id, chunk_id, score, source, CAST(ord AS INTEGER) AS ord FROM franked WHERE ord <= 8")
+def final_topk(spark, d):
+    return rrf_fusion(spark, d).where(F.col("ord") <= 8).select("query_id", "chunk_id", "score", "source", "ord")
+
+
+@query(f"""WITH {POOL}, s AS (SELECT *, coalesce(similarity, 0.6 * lexical) AS vec, max(score) OVER (PARTITION BY query_id) AS best FROM listed),
+t AS (SELECT query_id, chunk_id, score, ord, round(least(greatest(0.55 * score / CASE WHEN best = 0 THEN 1 ELSE best END + 0.30 * lexical + 0.10 * vec + 0.05 * exact + 0.04 * same_language, 0), 1), 9) AS rerank_score, round(least(greatest(0.65 * vec + 0.30 * lexical + 0.05 * exact, 0), 1), 9) AS relevance FROM s)
+SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(relevance, 6) AS relevance FROM t""")
+def heuristic_rerank(spark, d):
+    return R.heuristic_rerank(pool(spark, d)).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"""WITH {POOL}, w AS (SELECT query_id, chunk_id, score, page, lag(page) OVER x AS p, lead(page) OVER x AS n FROM listed WINDOW x AS (PARTITION BY query_id, document_id ORDER BY page, ord))
+SELECT query_id, chunk_id, round(score + 0.05 * (coalesce(CAST(abs(page - p) <= 1 AS INTEGER), 0) + coalesce(CAST(abs(page - n) <= 1 AS INTEGER), 0)), 6) AS boosted FROM w""")
+def adjacency_boost(spark, d):
+    return R.adjacency_boost(pool(spark, d)).select("query_id", "chunk_id", F.round("boosted", 6).alias("boosted"))
+
+
+@query(f"""WITH {POOL}, m AS (SELECT *, CAST(ord <= 8 OR (scale = 'cross_encoder' AND coalesce(similarity, 0) >= 0.25) AS INTEGER) AS may FROM listed),
+h AS (SELECT *, coalesce(sum(may) OVER (PARTITION BY query_id, document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS full_, count(*) OVER (PARTITION BY query_id) AS n FROM m),
+s AS (SELECT *, may = 1 AND NOT full_ AS sel FROM h), r AS (SELECT *, sum(CAST(sel AS INTEGER)) OVER (PARTITION BY query_id ORDER BY ord) AS rk FROM s),
+g AS (SELECT *, CASE WHEN n <= 8 OR (sel AND rk <= 8) THEN 0 WHEN full_ THEN 1 ELSE 2 END AS grp FROM r)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY grp, ord) AS INTEGER) AS place FROM g""")
+def doc_diversity(spark, d):
+    return R.diversify(pool(spark, d).withColumn("relevance", F.col("similarity")), 8, 3, 0.25).select("query_id", "chunk_id", "place")
+
+
+@query(f"""WITH {POOL}, b AS (SELECT query_id, chunk_id, 0 AS branch, 1.0::DOUBLE AS weight, ord FROM listed WHERE ord <= 20 UNION ALL
+SELECT query_id, chunk_id, 1, 0.9::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) FROM pool),
+f AS (SELECT query_id, chunk_id, round(sum(weight / (60 + ord)), 6) AS score, CAST(max(branch) AS INTEGER) AS kept_branch FROM b GROUP BY 1, 2) SELECT * FROM f""")
+def branch_fusion(spark, d):
+    p = pool(spark, d)
+    one = p.where(F.col("ord") <= 20).select("query_id", "chunk_id", F.lit(0).alias("branch"), F.lit(1.0).alias("weight"), "ord")
+    two = R.ranked(p.drop("ord"), [F.desc("lexical"), F.col("chunk_id")]).select("query_id", "chunk_id", F.lit(1).alias("branch"), F.lit(0.9).alias("weight"), "ord")
+    return R.weighted_fusion(one.unionByName(two)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "kept_branch")
+
+
+@query(f"""WITH {POOL}, u AS (SELECT query_id, document_id, lexical AS relevance, ord FROM listed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY relevance DESC, ord) AS k FROM u)
+SELECT query_id, document_id, relevance, CAST(ord AS INTEGER) AS ord FROM r WHERE k = 1""")
+def pool_merge(spark, d):
+    best = F.max_by(F.struct("lexical", "ord"), F.struct("lexical", -F.col("ord")))
+    return pool(spark, d).groupBy("query_id", "document_id").agg(best.alias("b")).select("query_id", "document_id", F.col("b.lexical").alias("relevance"), "b.ord")
+
+
+@query(f"""WITH {POOL}, b AS (SELECT query_id, document_id, max(score) AS best, min(ord) AS first FROM listed GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first) - 1 AS p FROM b)
+SELECT l.query_id, l.chunk_id, CAST(row_number() OVER (PARTITION BY l.query_id ORDER BY CASE WHEN p % 2 = 0 THEN p ELSE 1000000000 - p END, l.ord) AS INTEGER) AS place FROM listed l JOIN p ON l.query_id = p.query_id AND l.document_id = p.document_id""")
+def evidence_order(spark, d):
+    return R.evidence_order(pool(spark, d)).select("query_id", "chunk_id", "place")
+
+
+@query(f"""WITH {POOL}, g AS (SELECT query_id, count(*) AS n, max(lexical) AS top1, round(avg(lexical) FILTER (ord <= 3), 6) AS top3_mean, avg(lexical) FILTER (ord <= 2) AS m FROM listed GROUP BY 1)
+SELECT query_id, n, top1, top3_mean, n >= 2 AND top1 >= 0.14 AND m >= 0.07 AS sufficient FROM g""")
+def evidence_gate(spark, d):
+    return A.evidence(pool(spark, d).withColumn("relevance", F.col("lexical")))
+
+
+@query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS q FROM documents")
+def normalize_query(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.normalize_query(F.col("text")).alias("q"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS l FROM documents)
+SELECT doc_id, CAST(least(32, length(list_distinct(l))) AS INTEGER) AS n_tokens, coalesce(l[1], '') AS first_token FROM l""")
+def query_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.query_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.coalesce(F.get("t", 0), F.lit("")).alias("first_token"))
+
+
+_count = lambda k: " + ".join(f"(length(p) - length(replace(p, '{w}', ''))) / {len(w)}" for w in X.LANGUAGE_KEYWORDS[k])
+
+
+@query(f"""WITH t AS (SELECT doc_id, ' ' || lower(text) || ' ' AS p FROM documents), c AS (SELECT doc_id, {", ".join(f"CAST({_count(k)} AS INTEGER) AS {k.lower()}" for k in X.LANGUAGE_KEYWORDS)} FROM t) SELECT * FROM c""")
+def language_keywords(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(X.keyword_count(F.col("text"), k).alias(k.lower()) for k in X.LANGUAGE_KEYWORDS))
+
+
+@query()
+def lang_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.detect_language(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
+_LETTERS, _PRINTED, _ODD = r"[\p{L}]", r"[\p{L}\p{N}\p{P}\p{Zs}]", r"[^\p{L}\p{N}\p{P}\p{Zs}]"
+_share = lambda p: f"(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / length(text)::DOUBLE"
+
+
+@query(f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE round(0.55 * {_share(_LETTERS)} + 0.35 * {_share(_PRINTED)} + 0.1 * (1 - {_share(_ODD)}), 6) END AS quality FROM documents")
+def text_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(X.text_quality(F.col("text")), 6).alias("quality"))
+
+
+@query()
+def low_readability(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.low_readability(F.col("text")).alias("low"))
+
+
+@query()
+def overview_intent(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.overview_intent(X.normalize_query(F.col("text")), F.array("conv_id")).alias("overview"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 6000 THEN text ELSE left(text, 4000) || chr(10) || '...' || chr(10) || right(text, 2000) END AS excerpt FROM documents")
+def excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM documents""")
+def sanitize(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.sanitize(F.col("text")).alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, length(l) >= 6 AND list_sum(list_transform(list_distinct(l), lambda x: length(x))) / list_sum(list_transform(l, lambda x: length(x))) < 0.55 AS repetitive FROM l""")
+def repetition(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.repetitive(F.col("text")).alias("repetitive"))
+
+
+@query()
+def secret_redact(spark, d):
+    text, n = G.redact_secrets(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"), n.alias("n_secrets"))
+
+
+@query("SELECT doc_id, CAST(" + " + ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN {n} ELSE 0 END" for _, p, n in G.INJECTION) + " AS INTEGER) AS score FROM documents")
+def injection_scan(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.injection_score(F.col("text")).alias("score"))
+
+
+@query()
+def injection_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.safe_lines(F.col("text")).alias("text"), G.injection_blocked(F.col("text")).alias("blocked"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 24000 THEN left(text, 23900) || chr(10) || chr(10) || '[Truncated]' ELSE text END AS text FROM documents")
+def length_guard(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.length_guard(F.col("text")).alias("text"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil((length(w) - 40) / 160.0) AS BIGINT)))) AS chunk_index FROM w WHERE length(w) > 0)
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(list_slice(w, chunk_index * 160 + 1, chunk_index * 160 + 200)) AS INTEGER) AS n_words, array_to_string(list_slice(w, chunk_index * 160 + 1, chunk_index * 160 + 200), ' ') AS content FROM c""")
+def fixed_windows(spark, d):
+    return K.fixed_windows(table(spark, d, "documents"))
+
+
+@query()
+def sections(spark, d):
+    return K.sections(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
+
+
+@query("""WITH r AS (SELECT doc_id // 100 AS doc, doc_id, upper(lang) AS language FROM documents), c AS (SELECT *, CASE WHEN language <> lag(language) OVER (PARTITION BY doc ORDER BY doc_id) THEN 1 ELSE 0 END AS c FROM r),
+s AS (SELECT *, sum(c) OVER (PARTITION BY doc ORDER BY doc_id) AS run FROM c) SELECT CAST(doc AS BIGINT) AS doc_id, CAST(run AS BIGINT) AS run, any_value(language) AS language, min(doc_id) AS first_ord, max(doc_id) AS last_ord, count(*) AS n FROM s GROUP BY doc, run""")
+def lang_runs(spark, d):
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("doc_id"), F.col("doc_id").alias("ord"), F.upper("lang").alias("language"))
+    return K.language_runs(rows)
+
+
+@query("SELECT doc_id, upper(lang) || chr(10) || source || chr(10) || chr(10) || text AS input FROM documents")
+def embed_input(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat(F.upper("lang"), F.lit("\n"), "source", F.lit("\n\n"), "text").alias("input"))
+
+
+@query(f"WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM jobs) SELECT document_id, id, status, attempt FROM r WHERE r = 1")
+def latest_job(spark, d):
+    return S.latest_job(jobs(spark, d)).select("document_id", "id", "status", "attempt")
+
+
+_DOCS = "docs AS (SELECT c_custkey AS document_id, CASE WHEN c_acctbal > 0 THEN 'ready' ELSE 'queued' END AS status, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS owner FROM customer)"
+
+
+def state_docs(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_acctbal") > 0, "ready").otherwise("queued").alias("status"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("owner"))
+
+
+@query(f"""WITH {JOBS}, {_DOCS}, l AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM jobs), k AS (SELECT o_custkey AS document_id, count(*) AS chunk_count FROM orders GROUP BY 1)
+SELECT docs.document_id, docs.status, l.id AS job_id, l.status AS job_status, coalesce(chunk_count, 0) AS chunk_count,
+CASE WHEN l.status = 'processing' THEN 'processing' WHEN l.status IN ('queued', 'failed') THEN 'queued' WHEN l.status = 'dead_letter' THEN 'failed' WHEN l.status = 'completed' AND coalesce(chunk_count, 0) > 0 THEN 'ready' WHEN l.status = 'completed' THEN 'failed' ELSE docs.status END AS effective_status
+FROM docs LEFT JOIN l ON l.document_id = docs.document_id AND l.r = 1 LEFT JOIN k ON k.document_id = docs.document_id""")
+def effective_status(spark, d):
+    return S.effective_statuses(state_docs(spark, d), jobs(spark, d), table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")))
+
+
+@query(f"WITH {_DOCS} SELECT document_id, status, owner FROM docs WHERE status = 'ready' AND (owner IS NULL OR owner = 'BUILDING')")
+def rls_documents(spark, d):
+    return S.accessible(state_docs(spark, d), "BUILDING")
+
+
+@query(f"WITH {_DOCS} SELECT DISTINCT o_custkey AS document_id FROM orders WHERE o_custkey NOT IN (SELECT document_id FROM docs WHERE status = 'ready' AND (owner IS NULL OR owner = 'BUILDING'))")
+def unauthorized(spark, d):
+    asked = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")).distinct()
+    return asked.join(S.accessible(state_docs(spark, d), "BUILDING"), "document_id", "left_anti")
+
+
+@query(f"""WITH {JOBS}, s AS (SELECT *, status = 'processing' AND locked_at < TIMESTAMP '{NOW}' - INTERVAL 900 SECOND AS stale FROM jobs),
+c AS (SELECT id FROM s WHERE (stale AND attempt < 3) OR (status IN ('queued', 'failed') AND attempt < 3 AND locked_at IS NULL) ORDER BY created_at, id LIMIT 50)
+SELECT id, document_id, CASE WHEN stale AND attempt >= 3 THEN 'dead_letter' WHEN id IN (SELECT id FROM c) THEN 'processing' ELSE status END AS status,
+CAST(attempt + CASE WHEN id IN (SELECT id FROM c) THEN 1 ELSE 0 END AS INTEGER) AS attempt, CASE WHEN id IN (SELECT id FROM c) THEN 'me' WHEN stale AND attempt >= 3 THEN NULL ELSE locked_by END AS locked_by FROM s""")
+def claim_jobs(spark, d):
+    return S.claim(jobs(spark, d), NOW, batch=50, worker="me").select("id", "document_id", "status", "attempt", "locked_by")
+
+
+@query(f"""WITH {JOBS} SELECT j.id, j.document_id, CASE WHEN o.o_orderkey IS NOT NULL AND status = 'processing' THEN CASE WHEN attempt >= 3 THEN 'dead_letter' ELSE 'failed' END ELSE status END AS status, attempt,
+CASE WHEN o.o_orderkey IS NOT NULL AND status = 'processing' THEN left(o.o_orderpriority, 4000) END AS last_error FROM jobs j LEFT JOIN orders o ON o.o_orderkey = j.id""")
+def fail_jobs(spark, d):
+    return S.fail(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("error")))
+
+
+@query(f"WITH {JOBS} SELECT status, count(*) AS n, count(*) FILTER (locked_at IS NOT NULL) AS locked, max(attempt) AS most FROM jobs GROUP BY 1")
+def status_tally(spark, d):
+    return jobs(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("locked_at").isNotNull()).alias("locked"), F.max("attempt").alias("most"))
+
+
+@query(f"""WITH {JOBS} SELECT count(*) FILTER (status = 'processing' AND locked_by IS NULL) AS unlocked, count(*) FILTER (status = 'processing' AND locked_at < TIMESTAMP '{NOW}' - INTERVAL 20 MINUTE) AS stale,
+CAST(max(greatest(0, floor(epoch(TIMESTAMP '{NOW}') - epoch(created_at)))) FILTER (status = 'queued') AS BIGINT) AS queue_age FROM jobs""")
+def runtime_snapshot(spark, d):
+    now = F.lit(NOW).cast("timestamp")
+    age = F.greatest(F.lit(0), F.floor(F.unix_micros(now) / 1e6 - F.unix_micros("created_at") / 1e6))
+    return jobs(spark, d).agg(F.count_if((F.col("status") == "processing") & F.col("locked_by").isNull()).alias("unlocked"), F.count_if((F.col("status") == "processing") & (F.col("locked_at") < now - F.expr("interval 20 minutes"))).alias("stale"), F.max(F.when(F.col("status") == "queued", age)).cast("long").alias("queue_age"))
+
+
+def cache(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", (F.col("ts").cast("timestamp") + F.expr("interval 1 day")).alias("expires_at"), (F.col("user_id") % 3).cast("int").alias("retrieval_version"))
+
+
+@query(f"""SELECT count(*) FILTER (ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-15') AS expired, count(*) FILTER (ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND user_id % 3 < 2) AS outdated FROM events""")
+def cache_prune(spark, d):
+    return S.prune(cache(spark, d), "2024-01-15", 2)[1]
+
+
+@query("SELECT event_id AS key, CASE WHEN event_id % 10 = 0 THEN 0 ELSE user_id END AS hits FROM events")
+def cache_upsert(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("hits"))
+    return S.upsert(e, e.where(F.col("key") % 10 == 0).select("key", F.lit(0).cast("long").alias("hits")), "key")
+
+
+@query()
+def rate_limit(spark, d):
+    return S.rate_limit(table(spark, d, "events").select(F.col("event_id").alias("hit_id"), F.col("user_id").alias("bucket"), "ts"), 20, 86_400)
+
+
+@query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.9), 6) AS p90_linear FROM events GROUP BY 1""")
+def percentiles(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(A.nearest_rank("value", 0.5).alias("p50"), A.nearest_rank("value", 0.95).alias("p95"), F.round(A.linear("value", 0.9), 6).alias("p90_linear"))
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value FROM r WHERE r = floor((n - 1) * 0.95)""")
+def percentile_floor(spark, d):
+    return A.floor_rank(table(spark, d, "events"), "value", 0.95, "event_type")
+
+
+@query("""WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x::DOUBLE), 6) AS mean FROM u GROUP BY 1, 2""")
+def centroid(spark, d):
+    return A.centroid(table(spark, d, "embeddings"), "label")
+
+
+@query("""WITH n AS (SELECT CAST(label AS VARCHAR) AS grp, length(embedding) AS dim, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)
+SELECT grp, count(*) AS n, CAST(max(dim) AS INTEGER) AS dim, count(*) FILTER (norm < 1e-6) AS near_zero, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std FROM n GROUP BY ROLLUP (grp)""")
+def drift_snapshot(spark, d):
+    return A.snapshot(table(spark, d, "embeddings"), "label")
+
+
+@query("""WITH w AS (SELECT lang, doc_id FROM documents), c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS r FROM c) SELECT source, upper(lang) AS language, n FROM r WHERE r = 1""")
+def mode_language(spark, d):
+    c = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return c.groupBy("source").agg(F.max_by(F.struct("lang", "n"), F.struct("n", -F.col("first"))).alias("b")).select("source", F.upper("b.lang").alias("language"), "b.n")
+
+
+@query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def metric_rollup(spark, d):
+    return metric_windows(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {VEC}, want AS (SELECT DISTINCT CAST(q.vec_id / 50 AS BIGINT) AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 50 = 0), n AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1),
+g AS (SELECT query_id, min(ord) AS first, sum(CASE WHEN ord <= 10 THEN 1 / log2(ord + 1) END) AS dcg FROM vec JOIN want USING (query_id, chunk_id) WHERE ord <= 20 GROUP BY 1)
+SELECT n.query_id, coalesce(CAST(first <= 5 AS INTEGER), 0) AS recall_at_5, round(coalesce(1.0 / first, 0.0), 6)::DOUBLE AS mrr, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, n.n) + 1) t(i)), 6) AS ndcg_at_10 FROM n LEFT JOIN g USING (query_id)""")
+def ir_metrics(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") % 50 == 0).select((F.col("vec_id") / 50).cast("long").alias("query_id"), "label")
+    want = e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"))
+    return A.retrieval_metrics(R.vector_topk(*vectors(spark, d), 20), want)
+
+
+@query("""WITH s AS (SELECT count(*)::DOUBLE AS queries, avg(quality) AS quality, avg(toxic) AS toxic FROM labels) SELECT 'quality' AS metric, quality AS value, 0.5::DOUBLE AS bound, quality >= 0.5 AS passed FROM s UNION ALL SELECT 'toxic', toxic, 0.3, toxic <= 0.3 FROM s UNION ALL SELECT 'queries', queries, 10, queries >= 10 FROM s""")
+def release_gates(spark, d):
+    s = table(spark, d, "labels").agg(F.count("*").alias("queries"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    return A.gates(s, {"quality": (">=", 0.5), "toxic": ("<=", 0.3), "queries": (">=", 10.0)})
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY 1""")
+def transcripts(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x")))).alias("a"))
+    return rows.select("conv_id", F.array_join(F.transform("a", lambda r: r.x), "\n").alias("transcript"), F.size("a").cast("long").alias("turns"))
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""")
+def history_page(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_orderdate")
+
+
+@query("""SELECT sha256(string_agg(c_custkey || ':' || n, chr(10) ORDER BY c_custkey)) AS fingerprint FROM (SELECT c_nationkey AS c_custkey, count(*) AS n FROM customer GROUP BY 1)""")
+def corpus_fingerprint(spark, d):
+    """Of the owners' document counts: one line for each of the few nations."""
+    g = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    lines = F.array_sort(F.collect_list(F.struct("c_nationkey", F.concat_ws(":", "c_nationkey", "n").alias("x"))))
+    return g.agg(lines.alias("a")).select(F.sha2(F.array_join(F.transform("a", lambda r: r.x), "\n"), 256).alias("fingerprint"))
