@@ -46,7 +46,7 @@ vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity D
 KEY = r"""qt AS (SELECT DISTINCT item_id AS query_id, t AS token FROM (SELECT item_id, unnest(list_slice(list_filter(list_distinct_ordered, lambda x: length(x) >= 3), 1, 32)) AS t FROM
   (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(l), lambda v: {'p': list_position(l, v), 'v': v})), lambda s: s.v) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3) AS l FROM benchmark)))),
 post AS (SELECT doc_id AS chunk_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE length(token) >= 3 GROUP BY 1, 2),
-krank AS (SELECT query_id, chunk_id, round(sum(n) * 0.1, 6) AS rank FROM post JOIN qt USING (token) GROUP BY 1, 2),
+krank AS (SELECT query_id, chunk_id, round(sum(n) * 0.1::DOUBLE, 6) AS rank FROM post JOIN qt USING (token) GROUP BY 1, 2),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, chunk_id) AS ord FROM krank)"""
 FUSED = f"""{VEC}, {KEY},
 fv AS (SELECT query_id, chunk_id, ord AS vector_rank FROM vec WHERE ord <= 20), fk AS (SELECT query_id, chunk_id, ord AS keyword_rank FROM kw WHERE ord <= 20),
