@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from .common import WHITE
 
-KEPT = 500_000  # chunks that a worker process holds at most
+KEPT = 1_000_000  # chunks that a worker process holds at most, and half as many words
 _SPACES = re.compile(f"[{WHITE}]+")
 #: How the lower-case vocabulary's tokenizer cuts text into words (a fixed value of that file).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -61,8 +61,10 @@ class WordIds:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
-        if len(self.chunks) + len(self.words) > self.kept:
-            self.chunks, self.words = {}, {}
+        if len(self.chunks) > self.kept:
+            self.chunks = {}
+        if len(self.words) > self.kept // 2:
+            self.words = {}
         chunks, parts = self.chunks, text.split()
         if _ODD_SPACE.search(text):  # separators that str.split() takes for spaces and the tokenizer doesn't
             parts = [x for x in _SPACES.split(text) if x]
