@@ -21,3 +21,9 @@ def forget_others(uri: str, wanted: set[str]) -> int:
     for x in gone:
         store.delete_file(x)
     return len(gone)
+
+
+def forget(uri: str) -> None:
+    """Deletes a folder of which nothing is read any more."""
+    store, path = located(uri)
+    store.delete_dir(path)

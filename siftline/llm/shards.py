@@ -1,7 +1,7 @@
 """Training-order materialisation: fixed-stride token shards in the order of a keyed permutation.
 
-Sequences are numbered as the input's partitions deal them: a first pass counts each partition's sequences, a second one
-knows its first number. A Feistel network over the next even power of two, walked until it falls below the number of
+Texts are tokenized once, into a table of sequences in the shared folder that is dropped when the shards are there. Sequences
+are numbered as that table's parts hold them; a count of each part gives its first number. A Feistel network over the next even power of two, walked until it falls below the number of
 sequences, gives each number its slot; so any slot's sequence, and any sequence's slot, is known without a table. A shard
 holds a range of slots at a fixed stride: record i of a shard begins at byte i * stride, so a reader can resume anywhere.
 """
@@ -9,10 +9,10 @@ holds a range of slots at a fixed stride: record i of a shard begins at byte i *
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, scratch, small_batches
-from .files import forget_others, located, make_dir
+from .files import forget, forget_others, located, make_dir
 from .tokens import word_ids
 
 LENGTH, SLOTS, KEY, ROUNDS = 2048, 4096, 20240101, 6
@@ -78,44 +78,38 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length
         yield bytes(held), spans
 
 
-def _counter(path: str, end_id: int, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, check = 0, 0
-        for ids, _ in _sequences(batches, path, end_id, length):
-            n, check = n + 1, zlib.crc32(ids, check)
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "crc": [check]})
-
-    return run
-
-
 _SPAN = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
 _SPANS = "spans array<struct<doc_id: long, start: long, length: long, offset: long>>"
 
 
-def _numbered(path: str, end_id: int, length: int, slots: int, base: dict[int, tuple[int, int, int]], total: int, key: int):
+def _cutter(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        first, n, crc = base.get(part, (0, 0, 0))
-        place = permuted(np.arange(first, first + n), total, key)
-        rows, i, check = [], 0, 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), _SPAN), strict=True)], ["shard", "slot", "ids", "spans"])
-        for ids, spans in _sequences(batches, path, end_id, length):
-            if i == n:
-                break
-            rows.append((int(place[i]) // slots, int(place[i]), ids, spans))
-            i, check = i + 1, zlib.crc32(ids, check)
+        part, rows, first = TaskContext.get().partitionId(), [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, spans = zip(*rows, strict=True)
+            columns = [pa.array([part] * len(rows), pa.int32()), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(ids, pa.binary()), pa.array(spans, _SPAN)]
+            return pa.RecordBatch.from_arrays(columns, ["part", "number", "ids", "spans"])
+
+        for row in _sequences(batches, path, end_id, length):
+            rows.append(row)
             if len(rows) == 500:
                 yield out()
-                rows = []
-        if i != n or check != crc:
-            raise RuntimeError(f"partition {part} gave other rows than when it was counted: write the input to a table first")
+                rows, first = [], first + 500
         if rows:
             yield out()
 
     return run
 
 
+def _slots(first: dict[int, int], total: int, key: int):
+    @F.pandas_udf("long")
+    def run(part: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(permuted(part.map(first).to_numpy(np.int64) + number.to_numpy(np.int64), total, key))
+
+    return run
+
+
 def _writer(folder: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = located(folder)
@@ -145,20 +139,24 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, length: i
     record, slot and the spans of documents in each record. The index is a table in the shared folder.
 
     The last record of each input partition is padded with 0xFFFF. A null text counts as empty and has its end id only.
-    Repeated rows are documents of their own. The input must deal the same rows to the same partitions twice, as files
-    and tables do; anything else is found out and raises. Other columns are ignored; an empty table writes no shard."""
+    Repeated rows are documents of their own. Other columns are ignored; an empty table writes no shard."""
     if max(word_ids(path).whole.get_vocab_size(), end_id + 1) > PAD:
         raise ValueError("16-bit shards need a vocabulary below 65,535 ids")
     make_dir(folder)
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    base, total = {}, 0
-    for part, n, crc in sorted(map(tuple, docs.mapInArrow(_counter(path, end_id, length), "part long, n long, crc long").collect())):  # a row for each partition
-        base[part] = (total, n, crc)
+    spark = docs.sparkSession
+    small_batches(spark)
+    cut = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cutter(path, end_id, length), f"part int, number long, ids binary, {_SPANS}")
+    cut.write.option("compression", "zstd").parquet(at := scratch(spark, "sequences"))
+    cut = spark.read.schema(cut.schema).parquet(at)
+    first, total = {}, 0
+    for part, n in sorted(map(tuple, cut.groupBy("part").count().collect())):  # a row for each partition
+        first[part] = total
         total += n
-    numbered = docs.mapInArrow(_numbered(path, end_id, length, slots, base, total, key), f"shard long, slot long, ids binary, {_SPANS}")
-    written = numbered.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(_writer(folder, length), f"shard long, file string, record long, slot long, {_SPANS}")
+    slot = _slots(first, total, key)("part", "number")
+    placed = cut.select(slot.alias("slot"), "ids", "spans").select(F.expr(f"slot div {slots}").alias("shard"), "slot", "ids", "spans")
+    written = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(_writer(folder, length), f"shard long, file string, record long, slot long, {_SPANS}")
     index = keep(written, "shard-index")
+    forget(at)
     forget_others(folder, {r[0] for r in index.select("file").distinct().toLocalIterator()})
     return index
 
