@@ -55,3 +55,43 @@ def gates(summary: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame
     """One row for each limit (metric: '>=' or '<=', value) on a one-row summary; a missing metric fails."""
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(v).alias("bound"), F.coalesce(F.col(m) >= v if op == ">=" else F.col(m) <= v, F.lit(False)).alias("passed")) for m, (op, v) in limits.items()))
     return summary.select(F.inline(rows))
+
+
+def slice_statistics(df: DataFrame, c: str, by: str) -> DataFrame:
+    """Count, extremes, linear quartiles and p90, and mean of c in each slice; nulls are left out."""
+    marks = [linear(c, p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9)]
+    return df.where(F.col(c).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(c).alias("least"), *marks, F.max(c).alias("most"), F.avg(c).alias("mean"))
+
+
+def separation(df: DataFrame, c: str, answerable: Column, above: float = 0.02, below: float = 0.01) -> DataFrame:
+    """One row: the highest c of unanswerable rows, the lowest of answerable ones, and the threshold between them (null where
+    they overlap or a side is empty)."""
+    ends = df.agg(F.max(F.when(~answerable, F.col(c))).alias("unanswerable_max"), F.min(F.when(answerable, F.col(c))).alias("answerable_min"))
+    return ends.withColumn("threshold", F.when(F.col("unanswerable_max") < F.col("answerable_min"), F.least(F.col("unanswerable_max") + above, F.col("answerable_min") - below)))
+
+
+def even_sample(df: DataFrame, by: str, order: str, least: int = 3, most: int = 10, share: int = 6) -> DataFrame:
+    """Evenly spaced rows of each group in order: k = ceil(n / share), between least and most; those at floor(i * n / k)."""
+    w = Window.partitionBy(by)
+    rows = df.withColumns({"_r": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    k = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col("_n") / share)))
+    # Row r is taken if some i has floor(i * n / k) = r; the smallest that reaches r is ceil(r * k / n).
+    i = F.ceil(F.col("_r") * k / F.col("_n"))
+    return rows.where((i < k) & (F.floor(i * F.col("_n") / k) == F.col("_r"))).drop("_r", "_n")
+
+
+def summary(results: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """Means overall (language ALL) and by language, 0 where there is nothing; results: (language, answerable, recall, latency),
+    whose recall counts for answerable rows only."""
+    parts = [F.count("*").alias("n"), F.count_if("answerable").alias("answerable"), F.coalesce(F.avg(F.when(F.col("answerable"), F.col("recall"))), F.lit(0.0)).alias("recall"), F.coalesce(nearest_rank("latency", 0.95), F.lit(0.0)).alias("p95")]
+    each = results.where(F.col("language").isin(*languages)).groupBy("language").agg(*parts).unionByName(results.agg(*parts).withColumn("language", F.lit("ALL")))
+    slots = results.sparkSession.createDataFrame([(x,) for x in ("ALL", *languages)], "language string")
+    return slots.join(each, "language", "left").na.fill(0)
+
+
+def growth(events: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """By event_type: counts of the last `days`, of as many days before, and the difference."""
+    end, span = F.lit(now).cast("timestamp"), F.expr(f"make_interval(0, 0, 0, {days})")
+    ts = F.col("ts").cast("timestamp")
+    out = events.groupBy("event_type").agg(F.count_if((ts > end - span) & (ts <= end)).alias("current"), F.count_if((ts > end - span - span) & (ts <= end - span)).alias("previous"))
+    return out.withColumn("growth", F.col("current") - F.col("previous"))

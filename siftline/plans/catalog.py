@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from siftline.functions import safety as G
 from siftline.functions import text as X
 from siftline.functions import vector as V
+from siftline.operators import answers as W
 from siftline.operators import chunking as K
+from siftline.operators import lifecycle as L
 from siftline.operators import metrics as A
 from siftline.operators import ranking as R
 from siftline.operators import state as S
@@ -410,3 +412,111 @@ def corpus_fingerprint(spark, d):
     g = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     lines = F.array_sort(F.collect_list(F.struct("c_nationkey", F.concat_ws(":", "c_nationkey", "n").alias("x"))))
     return g.agg(lines.alias("a")).select(F.sha2(F.array_join(F.transform("a", lambda r: r.x), "\n"), 256).alias("fingerprint"))
+
+
+def _queued(o: str) -> str:
+    return f"{o}.o_orderkey IS NOT NULL AND status = 'processing'"
+
+
+@query(f"WITH {JOBS} SELECT id, CASE WHEN {_queued('o')} THEN 'completed' ELSE status END AS status, CASE WHEN NOT ({_queued('o')}) THEN locked_by END AS locked_by FROM jobs LEFT JOIN orders o ON o_orderkey = id")
+def complete_jobs(spark, d):
+    return L.complete(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "status", "locked_by")
+
+
+@query(f"WITH {JOBS} SELECT id, CASE WHEN {_queued('o')} THEN 'queued' ELSE status END AS status, CASE WHEN {_queued('o')} THEN 0 ELSE attempt END AS attempt FROM jobs LEFT JOIN orders o ON o_orderkey = id")
+def yield_jobs(spark, d):
+    return L.give_back(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "status", "attempt")
+
+
+@query("""WITH x AS (SELECT doc_id, lang, sha256(text) AS sha256 FROM documents), e AS (SELECT DISTINCT sha256 FROM x WHERE lang = 'en')
+SELECT min(doc_id) AS doc_id, sha256 || ':v1' AS idempotency_key FROM x WHERE coalesce(lang, '') <> 'en' AND sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM e WHERE sha256 IS NOT NULL) GROUP BY sha256""")
+def create_documents(spark, d):
+    x = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return L.create_documents(x.where(english), x.where(~english))
+
+
+@query(f"WITH {_DOCS} SELECT document_id, CASE WHEN status = 'queued' THEN 2 ELSE 1 END AS ingestion_version FROM docs")
+def requeue_failed(spark, d):
+    x = state_docs(spark, d).select("document_id", F.when(F.col("status") == "queued", "failed").otherwise(F.col("status")).alias("status"), F.lit(1).alias("ingestion_version"))
+    return L.requeue_failed(x).select("document_id", "ingestion_version")
+
+
+@query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') SELECT (SELECT count(*) FROM g) AS documents,
+(SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM g)) AS jobs, (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM g)) AS chunks""")
+def delete_cascade(spark, d):
+    docs = table(spark, d, "customer").withColumnRenamed("c_custkey", "document_id")
+    rows = {"jobs": table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")), "chunks": table(spark, d, "events").select(F.col("user_id").alias("document_id"))}
+    return L.cascade_counts(docs, rows, docs.where("c_mktsegment = 'BUILDING'"))
+
+
+@query("""SELECT 'unique' AS "check", (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n
+UNION ALL SELECT 'parent', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'o_totalprice', (SELECT count(*) FROM orders WHERE o_totalprice < 1000)""")
+def constraint_checks(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), "o_totalprice")
+    return L.validate(rows, "document_id", table(spark, d, "customer").select(F.col("c_custkey").alias("document_id")), {"o_totalprice": 1000})
+
+
+@query()
+def answer_blocks(spark, d):
+    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(W.answer_blocks(F.col("text"))).alias("block", "_b"))
+    return rows.select("conv_id", "turn", "block", "_b.kind", "_b.number", "_b.content")
+
+
+@query(r"""WITH g AS (SELECT conv_id, turn, list_distinct(list_transform(flatten(list_transform(regexp_extract_all(text, '\[([0-9]{1,6}(?:\s*,\s*[0-9]{1,6})*)\]', 1), lambda g: regexp_split_to_array(g, '\s*,\s*'))), lambda x: CAST(x AS INTEGER))) AS c FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CAST(len(list_filter(c, lambda x: x BETWEEN 1 AND 8)) AS INTEGER) AS valid, CAST(len(list_filter(c, lambda x: NOT x BETWEEN 1 AND 8)) AS INTEGER) AS out_of_range FROM g""")
+def citation_markers(spark, d):
+    c = W.cited(F.col("text"), F.lit(8))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.size(c["valid"]).alias("valid"), c["out_of_range"].alias("out_of_range"))
+
+
+SOURCES = """c AS (SELECT l_orderkey AS answer_id, l_suppkey AS document_id, min(l_linenumber) AS pos, list_sort(list_distinct(list(l_quantity::BIGINT))) AS pages FROM lineitem GROUP BY 1, 2),
+listed AS (SELECT answer_id, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY pos, document_id) AS INTEGER) AS ord, document_id, CASE WHEN s_suppkey IS NULL THEN 'Nicht mehr vorhandenes Dokument' ELSE coalesce(s_name, 'Unbenanntes Dokument') END AS title, pages FROM c LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = document_id)"""
+
+
+def source_lists(spark, d):
+    cites = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("document_id"), F.col("l_quantity").cast("long").alias("page_number"))
+    return W.sources(cites, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("document_id"), F.col("s_name").alias("title")))
+
+
+@query(f"WITH {SOURCES} SELECT answer_id, ord, document_id, title, array_to_string(pages, ',') AS pages FROM listed")
+def citation_sources(spark, d):
+    return source_lists(spark, d).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
+@query(f"WITH {SOURCES} SELECT answer_id, string_agg('- ' || title || ' (' || CASE WHEN len(pages) = 1 THEN 'page ' ELSE 'pages ' END || array_to_string(pages, ', ') || ')', chr(10) ORDER BY ord) AS markdown FROM listed GROUP BY 1")
+def source_markdown(spark, d):
+    return W.source_lines(source_lists(spark, d))
+
+
+@query("""SELECT event_type, count(*) AS n, min(value) AS least, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def slice_statistics(spark, d):
+    return A.slice_statistics(table(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH e AS (SELECT max(score) FILTER (NOT ok) AS unanswerable_max, min(score) FILTER (ok) AS answerable_min FROM (SELECT n_chars / 100000.0::DOUBLE AS score, quality = 1 AS ok FROM labels JOIN documents USING (doc_id)))
+SELECT *, CASE WHEN unanswerable_max < answerable_min THEN least(unanswerable_max + 0.02, answerable_min - 0.01) END AS threshold FROM e""")
+def threshold_separation(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("score", F.col("n_chars") / 100000)
+    return A.separation(rows, "score", F.col("quality") == 1)
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents), k AS (SELECT *, least(10, greatest(3, (n + 5) // 6)) AS k FROM r)
+SELECT source, doc_id FROM k WHERE r IN (SELECT unnest(list_transform(range(k), lambda i: i * n // k)))""")
+def even_sample(spark, d):
+    return A.even_sample(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("""WITH r AS (SELECT upper(lang) AS language, quality = 1 AS answerable, 1.0::DOUBLE - toxic AS recall, n_chars AS latency FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT language, count(*) AS n, count(*) FILTER (answerable) AS a, avg(recall) FILTER (answerable) AS recall, quantile_disc(latency, 0.95) AS p95 FROM r WHERE language IN ('EN', 'DE', 'FR', 'IT', 'ES') GROUP BY 1 UNION ALL SELECT 'ALL', count(*), count(*) FILTER (answerable), avg(recall) FILTER (answerable), quantile_disc(latency, 0.95) FROM r)
+SELECT l.language, coalesce(n, 0) AS n, coalesce(a, 0) AS answerable, round(coalesce(recall, 0), 6) AS recall, coalesce(p95, 0)::DOUBLE AS p95 FROM (VALUES ('ALL'), ('EN'), ('DE'), ('FR'), ('IT'), ('ES')) l(language) LEFT JOIN s ON s.language = l.language""")
+def benchmark_summary(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    rows = rows.select(F.upper("lang").alias("language"), (F.col("quality") == 1).alias("answerable"), (1.0 - F.col("toxic")).alias("recall"), F.col("n_chars").alias("latency"))
+    return A.summary(rows, ("EN", "DE", "FR", "IT", "ES")).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""WITH e AS (SELECT event_type, ts, TIMESTAMP '{NOW}' AS now FROM events) SELECT event_type, count(*) FILTER (ts > now - INTERVAL 7 DAY AND ts <= now) AS current,
+count(*) FILTER (ts > now - INTERVAL 14 DAY AND ts <= now - INTERVAL 7 DAY) AS previous, current - previous AS growth FROM e GROUP BY 1""")
+def soak_growth(spark, d):
+    return A.growth(table(spark, d, "events"), NOW)

@@ -10,7 +10,10 @@ import __spark_entry__ as entry
 from siftline.functions import safety as G
 from siftline.functions import text as X
 from siftline.functions import vector as V
+from siftline.operators import answers as W
 from siftline.operators import chunking as K
+from siftline.operators import lifecycle as L
+from siftline.operators import metrics as A
 from siftline.operators import ranking as R
 from siftline.operators import state as S
 from siftline.plans import catalog
@@ -124,3 +127,45 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = {(r.hit_id, r.request_count) for r in S.rate_limit(rows, 2, 10).collect()}
     assert {(r.hit_id, r.request_count) for r in spark.table("limits").collect()} == want
+
+
+def test_answer_blocks(spark):
+    text = "- a point\n\n2) second\n\nShort title\n\nA sentence.\n\n   \n\nfirst line\nsecond line"
+    got = [tuple(b) for b in one(spark, W.answer_blocks(F.col("t")), t=text)]
+    assert got == [("bullet", None, "a point"), ("numbered", "2", "second"), ("subheading", None, "Short title"), ("body", None, "A sentence."), ("body", None, "first line\nsecond line")]
+    assert one(spark, W.answer_blocks(F.lit(""))) == [] and one(spark, W.answer_blocks(F.lit(None).cast("string"))) is None
+
+
+def test_citation_markers(spark):
+    got = one(spark, W.cited(F.lit("x [1, 3] y [3] z [WEB-1] [9] [ 2 ]"), F.lit(4)))
+    assert got.valid == [1, 3] and got.out_of_range == 1
+
+
+def test_sources(spark):
+    cites = spark.createDataFrame([(1, 0, "b", 7), (1, 1, "a", 2), (1, 2, "b", 3), (1, 3, "b", 7), (2, 0, "x", 1)], "answer_id long, pos int, document_id string, page_number int")
+    docs = spark.createDataFrame([("a", None), ("b", "Bee")], "document_id string, title string")
+    rows = {r.answer_id: r.markdown for r in W.source_lines(W.sources(cites, docs)).collect()}
+    assert rows == {1: f"- Bee (pages 3, 7)\n- {W.UNTITLED} (page 2)", 2: f"- {W.GONE} (page 1)"}
+
+
+def test_lifecycle(spark):
+    jobs = spark.createDataFrame([(1, "processing", 2, "w"), (2, "queued", 1, None), (3, "processing", 1, "v")], "id long, status string, attempt int, locked_by string").withColumn("locked_at", F.lit(BEGIN))
+    ids = spark.createDataFrame([(1,), (1,), (2,)], "id long")
+    state = lambda df: {r.id: (r.status, r.attempt, r.locked_by) for r in df.collect()}
+    assert state(L.complete(jobs, ids)) == {1: ("completed", 2, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    assert state(L.give_back(jobs, ids)) == {1: ("queued", 0, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    new = spark.createDataFrame([(5, "a"), (4, "a"), (6, "b"), (7, None)], "doc_id long, sha256 string")
+    assert [tuple(r) for r in L.create_documents(new.where("sha256 = 'b'"), new).collect()] == [(4, "a:v1")]
+
+
+def test_even_sample(spark):
+    for n in (1, 2, 3, 17, 40, 100):
+        k = min(10, max(3, -(-n // 6)))
+        got = A.even_sample(spark.range(n).withColumn("g", F.lit("g")), "g", "id")
+        assert sorted(r.id for r in got.collect()) == sorted({i * n // k for i in range(k)})
+
+
+def test_separation(spark):
+    rows = spark.createDataFrame([(0.1, False), (0.2, False), (0.5, True)], "score double, ok boolean")
+    assert A.separation(rows, "score", F.col("ok")).first().threshold == pytest.approx(0.22)
+    assert A.separation(rows.union(spark.createDataFrame([(0.6, False)], rows.schema)), "score", F.col("ok")).first().threshold is None
