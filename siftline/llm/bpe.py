@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched, chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -25,6 +27,7 @@ from .files import located
 from .tokens import PieceIds, byte_letters, load
 
 BLOCK = 16_000_000
+TABLE = "block long, words string, lengths binary, counts binary, ids binary"
 _WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A space inside or at the end of a longer run of white space: here cutting at every space would be wrong.
 _TRICKY = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
@@ -80,31 +83,53 @@ def _distinct(size: int):
     return run
 
 
-def _encoder(path: str):
+def _encoder(path: str, most: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each word is encoded once and goes to all blocks that have it."""
-        encode, last = PieceIds(path).encode, (None, None)
+        """Rows come sorted by word: each word is encoded once and goes to all blocks that have it, many words in a row."""
+        encode, last, held, n = PieceIds(path).encode, (None, b""), {}, 0
+
+        def row(block: int) -> tuple[int, str, bytes, bytes, bytes]:
+            found, ids = zip(*held[block], strict=True)
+            lengths, counts = (np.fromiter(map(len, x), "<u4", len(x)).tobytes() for x in (found, ids))
+            return block, "".join(found), lengths, counts, b"".join(ids)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for some in batched(held, 100):
+                columns = zip(*map(row, some), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "words", "lengths", "counts", "ids"])
+
         for b in batches:
-            blocks, found = b.column(0), b.column(1).to_pylist()
-            fresh = list(dict.fromkeys(x for x in found if x != last[0]))
-            ids = dict(zip(fresh, map(encode, fresh), strict=True))
-            if last[0] is not None:
-                ids.setdefault(*last)
-            last = (found[-1], ids[found[-1]]) if found else last
-            yield pa.RecordBatch.from_arrays([blocks, b.column(1), pa.array(map(ids.__getitem__, found), pa.binary())], ["block", "word", "ids"])
+            for block, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if word != last[0]:
+                    last = word, encode(word)
+                held.setdefault(block, []).append(last)
+                n += 1 + len(word) // 64
+            if n >= most:
+                yield from out()
+                held, n = {}, 0
+        yield from out()
 
     return run
 
 
 def word_table(docs: DataFrame, path: str, block: int = BLOCK) -> str:
-    """The distinct-word table (block, word, ids), in a folder of the shared storage for each block. Returns its place."""
+    """The distinct-word table, in a folder of the shared storage for each block: a row holds many words, one after the other,
+    with their lengths, their ids and these ids' bytes for each word. Returns its place."""
     pairs = docs.mapInArrow(_distinct(block), "block long, word string")
-    encoded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), "block long, word string, ids binary")
+    encoded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), TABLE)
     folder = scratch(docs.sparkSession, "words")
-    encoded.repartition("block").write.partitionBy("block").parquet(folder)
+    encoded.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
     return folder
 
 
+def _entries(text: str, lengths: bytes, counts: bytes, ids: bytes) -> Iterator[tuple[str, bytes]]:
+    """The words and ids of a row of the distinct-word table."""
+    a = i = 0
+    for n, m in zip(np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
+        yield text[a : a + n], ids[i : i + m]
+        a, i = a + n, i + m
+
+
 def _looker(folder: str, path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = located(folder)
@@ -127,8 +152,8 @@ def _looker(folder: str, path: str, size: int):
                 at, plain, spaced = block, {"": b""}, {}
                 for f in store.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True)):
                     if f.path.endswith(".parquet"):
-                        for part in pq.ParquetFile(f.path, filesystem=store).iter_batches(100_000, columns=["word", "ids"]):
-                            for w, i in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        for part in pq.ParquetFile(f.path, filesystem=store).iter_batches(100, columns=["words", "lengths", "counts", "ids"]):
+                            for w, i in chain.from_iterable(map(_entries, *(c.to_pylist() for c in part.columns))):
                                 if w[0] == " ":
                                     spaced[w[1:]] = i
                                 else:
