@@ -17,6 +17,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from .files import located
 from .tokens import PieceIds, byte_letters, load
 
 BLOCK = 16_000_000
-TABLE = "block long, words string, lengths binary, counts binary, ids binary"
+TABLE = "block long, words binary, lengths binary, counts binary, ids binary"
 _WORD = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: A space inside or at the end of a longer run of white space: here cutting at every space would be wrong.
 _TRICKY = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
@@ -87,16 +88,17 @@ def _encoder(path: str, most: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: each word is encoded once and goes to all blocks that have it, many words in a row."""
         encode, last, held, n = PieceIds(path).encode, (None, b""), {}, 0
+        packed = zstandard.ZstdCompressor(level=1).compress
 
-        def row(block: int) -> tuple[int, str, bytes, bytes, bytes]:
+        def row(block: int) -> tuple[int, bytes, bytes, bytes, bytes]:
             found, ids = zip(*held[block], strict=True)
             lengths, counts = (np.fromiter(map(len, x), "<u4", len(x)).tobytes() for x in (found, ids))
-            return block, "".join(found), lengths, counts, b"".join(ids)
+            return block, *map(packed, ("".join(found).encode(), lengths, counts, b"".join(ids)))
 
         def out() -> Iterator[pa.RecordBatch]:
             for some in batched(held, 100):
                 columns = zip(*map(row, some), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "words", "lengths", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "words", "lengths", "counts", "ids"])
 
         for b in batches:
             for block, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -114,17 +116,18 @@ def _encoder(path: str, most: int = 1_000_000):
 
 def word_table(docs: DataFrame, path: str, block: int = BLOCK) -> str:
     """The distinct-word table, in a folder of the shared storage for each block: a row holds many words, one after the other,
-    with their lengths, their ids and these ids' bytes for each word. Returns its place."""
+    with their lengths, their ids and these ids' bytes for each word, all compressed. Returns its place."""
     pairs = docs.mapInArrow(_distinct(block), "block long, word string")
     encoded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), TABLE)
     folder = scratch(docs.sparkSession, "words")
-    encoded.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
+    encoded.repartition("block").write.partitionBy("block").parquet(folder)
     return folder
 
 
-def _entries(text: str, lengths: bytes, counts: bytes, ids: bytes) -> Iterator[tuple[str, bytes]]:
+def _entries(*columns: bytes) -> Iterator[tuple[str, bytes]]:
     """The words and ids of a row of the distinct-word table."""
-    a = i = 0
+    found, lengths, counts, ids = map(zstandard.ZstdDecompressor().decompress, columns)
+    text, a, i = found.decode(), 0, 0
     for n, m in zip(np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
         yield text[a : a + n], ids[i : i + m]
         a, i = a + n, i + m
