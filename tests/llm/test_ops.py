@@ -221,6 +221,58 @@ def test_lines(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def plain_line_roots(lines):
+    """Each distinct line's component as the set of its lines, by brute force."""
+    sets = {x: {x[i : i + 5] for i in range(len(x) - 4)} if len(x) >= 5 else {x} for x in lines}
+    up = {x: x for x in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    names = list(sets)
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                up[root(x)] = root(y)
+    return {x: root(x) for x in names}
+
+
+def dropped_lines(spark, lines):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    return {r.doc_id for r in line_dedup.dedup_lines(df).where("n_dropped > 0").select("doc_id").collect()}
+
+
+def plain_dropped(lines):
+    roots, first, out = plain_line_roots(lines), set(), set()
+    for i, x in enumerate(lines):
+        if roots[x] in first:
+            out.add(i)
+        first.add(roots[x])
+    return out
+
+
+def test_lines_of_a_template(spark):
+    rnd = random.Random(4)
+    words = lambda n: " ".join(rnd.choice(VOCAB) for _ in range(n))
+    template, lines = words(28), []
+    for _ in range(80):
+        own = words(14)
+        lines += [f"{template} {own}", f"{template} {own} {rnd.choice(VOCAB)}"]
+    want = plain_dropped(lines)
+    got = dropped_lines(spark, lines)
+    assert len(want) >= 80 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_bands_in_parts(spark):
+    rows = [(1, k, 0) for k in range(60)] + [(2, k, 100) for k in (100, 101, 102)]
+    shared = spark.createDataFrame(rows, "band long, key long, lead long")
+    roots = spark.createDataFrame([(k, k % 3) for k in range(3, 60)] + [(101, 100), (102, 100)], "node long, root long")
+    got = sorted((r.key, r.lead) for r in line_dedup._unmet(shared, roots, part=7).collect())
+    assert got == sorted((a, b) for a in range(1, 60) for b in range(1, a) if a % 3 != b % 3)
+
+
 P = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
