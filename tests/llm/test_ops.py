@@ -265,6 +265,19 @@ def test_lines_of_a_template(spark):
     assert len(want) >= 80 and got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_lines_of_all_lengths(spark):
+    rnd, lines = random.Random(6), []
+    for n in [*range(6, 240, 4), *[23] * 30, *[99] * 30]:
+        text = ""
+        while len(text) < n:
+            text += ("" if not text else " ") + "".join(rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(rnd.randint(2, 9)))
+        line = text[: n - 1] + "x"
+        lines += [line, line + "."]
+    want = plain_dropped(lines)
+    got = dropped_lines(spark, lines)
+    assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_bands_in_parts(spark):
     rows = [(1, k, 0) for k in range(60)] + [(2, k, 100) for k in (100, 101, 102)]
     shared = spark.createDataFrame(rows, "band long, key long, lead long")
