@@ -278,6 +278,11 @@ def test_lines_of_all_lengths(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_repetitive_lines(spark):
+    lines = ["-" * 30, "-" * 80, "-" * 7, "ab cd efg hi " * 5 + "end", "ab cd efg hi " * 20 + "end", "one of its own"]
+    assert dropped_lines(spark, lines) == plain_dropped(lines) == {1, 2, 4}
+
+
 def test_bands_in_parts(spark):
     rows = [(1, k, 0) for k in range(60)] + [(2, k, 100) for k in (100, 101, 102)]
     shared = spark.createDataFrame(rows, "band long, key long, lead long")
