@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftline.llm import langid, line_dedup, ngram_join, packing, pii
 from siftline.llm.common import keep
 
+NEAR_WORDS, NEAR_SHARE = 5, 80  # near-duplicates: words of a shingle, hundredths of Jaccard similarity
 LEAST_SCORE = 0.5  # of the language; below, the document is rejected
 
 
@@ -31,8 +32,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component, and documents without an id."""
-    stays = ngram_join.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
+    """Keeps the document with the smallest id of each component (0.8 or more alike on five-word shingles), and documents
+    without an id."""
+    stays = ngram_join.jaccard_components(docs, words=NEAR_WORDS, share=NEAR_SHARE).where("component_id = doc_id").select("doc_id").distinct()
     one = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id is null"))
 

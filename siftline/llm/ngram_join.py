@@ -11,8 +11,9 @@ of the task already connect isn't counted out, so copies of one text cost no mor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct hashes of a text's shingles of three words, A-Z in lower case."""
+    """Sorted distinct hashes of a text's shingles of three words, or as many as given, A-Z in lower case."""
 
-    def __init__(self, kept: int = 500_000):
-        self.kept, self.known = kept, {}
+    def __init__(self, words: int = WORDS, kept: int = 500_000):
+        self.words, self.kept, self.known = words, kept, {}
 
     def __call__(self, text: bytes) -> np.ndarray:
         parts, known = text.lower().split(), self.known
@@ -50,51 +51,59 @@ class Shingles:
                 known.clear()
             known |= {x: xxhash.xxh3_64_intdigest(x) for x in set(parts) if x not in known}
             w = np.array(list(map(known.__getitem__, parts)), np.uint64)
-        if len(w) < WORDS:
+        if len(w) < self.words:
             return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=len(w))], np.uint64)
-        n = len(w) - WORDS + 1
-        return np.unique(_mix(w[:n] * _A[0] + _mix(w[1 : n + 1] * _A[1] + w[2:] * _A[2])))
+        n = len(w) - self.words + 1
+        h = w[self.words - 1 :] * _A[2]
+        for k in range(self.words - 2, -1, -1):
+            h = _mix(w[k : n + k] * _A[min(k, 1)] + h)
+        return np.unique(h)
 
 
 @lru_cache(1 << 16)
-def size_range(n: int) -> tuple[int, int, int, int]:
-    """Of the range of sizes that n falls in: its number, and the segments for it as the smaller and as the larger side."""
-    lo, i, before = 1, 0, 1
+def size_range(n: int, share: int = SHARE) -> tuple[int, tuple[int, int], tuple[int, int]]:
+    """Of the range of sizes that n falls in: its number, and (segments, spare ones) for it as the smaller and as the larger side."""
+    lo, i, before = 1, 0, (1, 0)
     while True:
-        hi = max(lo, lo * OF // SHARE)
+        hi = max(lo, lo * OF // share)
         # Shingles in one set only: at most (1-t)/(1+t) of both sizes, the smaller one hi at most and the larger one hi/t.
-        segments = (OF - SHARE) * (hi * SHARE + hi * OF) // (SHARE * (OF + SHARE)) + 1
+        least = (OF - share) * (hi * share + hi * OF) // (share * (OF + share)) + 1
+        spare = int(5 * least * math.exp(-lo / least)) if least > 1 else 0
         if n <= hi:
-            return i, segments, before, hi
-        lo, i, before = hi + 1, i + 1, segments
+            return i, (least + spare, spare), before
+        lo, i, before = hi + 1, i + 1, (least + spare, spare)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Hashes of the segments of a set, for its own range of sizes and for the one below."""
-    i, own, below, _ = size_range(len(s))
+def signatures(s: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Hashes of the segments of a set, for its own range of sizes and for the one below.
+
+    Linked sets agree in one segment more than there are spare ones, so a set with no more empty segments than that
+    leaves them out: it has another one in common with each set it is linked to."""
+    i, own, below = size_range(len(s), share)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s + np.uint64(1)), dtype=np.uint64)])
     out = []
-    for number, m in ((i, own), (i - 1, below)):
+    for number, (m, spare) in ((i, own), (i - 1, below)):
         if number < 0:
             continue
         cuts = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
         place = _mix(np.arange(m, dtype=np.uint64) + np.uint64(((number + 1) << 32) * 7 + 3))
-        out.append(_mix((sums[at[1:]] - sums[at[:-1]]) ^ place))
+        x, filled = _mix((sums[at[1:]] - sums[at[:-1]]) ^ place), at[1:] > at[:-1]
+        out.append(x[filled] if m - int(filled.sum()) <= spare else x)
     return np.concatenate(out)
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
+def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles(words)
     for b in batches:
         sets = [shingles(x) for x in b.column(1).to_pylist()]
         keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string())], ["doc_id", "n_shingles", "set_key"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
     """(at, key, other): a segment's hash with a set that has it, or two sets with a common segment. Sets are named by half their key."""
-    shingles, done, sigs, keys, held = Shingles(), set(), [], [], 0
+    shingles, done, sigs, keys, held = Shingles(words), set(), [], [], 0
 
     def out() -> pa.RecordBatch:
         s, k = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
@@ -116,7 +125,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s) or (key := xxhash.xxh3_128_hexdigest(s.tobytes())) in done:
                 continue
             done.add(key)
-            x = signatures(s)
+            x = signatures(s, share)
             sigs.append(x)
             keys.append(np.full(len(x), half_key(key), np.int64))
             held += len(x)
@@ -163,7 +172,7 @@ class _Forest:
         return i
 
 
-def block_links(sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], side: list[int] | None = None, share: int = SHARE) -> list[tuple[int, int]]:
     """Links (positions) among the rows of a block that connect all that its links connect.
 
     side: of rows from two parts; then only pairs across matter, each part being joined with itself elsewhere."""
@@ -176,13 +185,13 @@ def block_links(sets: list[np.ndarray], side: list[int] | None = None) -> list[t
     forest, links, mark = _Forest(len(sets)), [], np.zeros(len(columns), bool)
     for i in order:
         row, n = rows[i], len(rows[i])
-        need = -(-SHARE * n // OF)  # a linked set shares at least this many of the larger one's shingles
+        need = -(-share * n // OF)  # a linked set shares at least this many of the larger one's shingles
         prefix = row[np.lexsort((row, degree[row]))[: n - need + 1]].tolist()
         met: dict[int, None] = {}
         for c in prefix:
             for j in postings.get(c, ()):
                 met[j] = None
-        near = [j for j in met if len(rows[j]) * OF >= SHARE * n and (side is None or side[i] != side[j])]
+        near = [j for j in met if len(rows[j]) * OF >= share * n and (side is None or side[i] != side[j])]
         if near:
             mark[row] = True
             while near := [j for j in near if forest.root(j) != forest.root(i)]:
@@ -191,7 +200,7 @@ def block_links(sets: list[np.ndarray], side: list[int] | None = None) -> list[t
                     if forest.root(j) == forest.root(i):
                         continue
                     both = int(np.count_nonzero(mark[rows[j]]))
-                    if OF * both >= SHARE * (n + len(rows[j]) - both):
+                    if OF * both >= share * (n + len(rows[j]) - both):
                         links.append((i, j))
                         forest.up[forest.root(j)] = forest.root(i)
             mark[row] = False
@@ -200,12 +209,12 @@ def block_links(sets: list[np.ndarray], side: list[int] | None = None) -> list[t
     return links
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
     """Rows (root, i, j, part, doc_id, text) come sorted by task (root, i, j)."""
-    shingles, at, docs, sets, side = Shingles(), None, [], [], []
+    shingles, at, docs, sets, side = Shingles(words), None, [], [], []
 
     def out() -> pa.RecordBatch | None:
-        links = block_links(sets, side if at[1] != at[2] else None) if len(sets) > 1 else []
+        links = block_links(sets, side if at[1] != at[2] else None, share) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"]) if links else None
 
     for b in batches:
@@ -221,18 +230,18 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield x
 
 
-def jaccard_components(docs: DataFrame, part: int = PART) -> DataFrame:
+def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text): the smallest doc_id that links reach.
 
-    Documents link when their sets of three-word shingles have a Jaccard similarity of 0.9 or more. A null text is empty;
+    Documents link when their sets of shingles (of `words` words) have a Jaccard similarity of share hundredths or more. A null text is empty;
     empty texts and those without words link with nothing. Repeated rows of one doc_id stay and have its component. A null
     doc_id links with nothing and has a null component. Other columns are ignored. part: rows of a block that are joined
     at once; more are joined part by part."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    described = keep(docs.mapInArrow(_described, "doc_id long, n_shingles long, set_key string"), "sets")
+    described = keep(docs.mapInArrow(partial(_described, words=words), "doc_id long, n_shingles long, set_key string"), "sets")
     classes = keep(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    segments = docs.where("doc_id is not null").select("text").mapInArrow(_signed, "at long, key long, other long")
+    segments = docs.where("doc_id is not null").select("text").mapInArrow(partial(_signed, words=words, share=share), "at long, key long, other long")
     near = segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
     near = keep(near, "near")
     root = components(near)
@@ -244,7 +253,7 @@ def jaccard_components(docs: DataFrame, part: int = PART) -> DataFrame:
     tasks = tasks.select("root", F.col("rep").alias("doc_id"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_o"))
     tasks = tasks.select("root", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "part", "doc_id")
     work = tasks.join(docs, "doc_id").select("root", "i", "j", "part", "doc_id", "text")
-    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id").mapInArrow(_joined, "a long, b long")
+    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id").mapInArrow(partial(_joined, words=words, share=share), "a long, b long")
     joined = components(links)
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
     return described.join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

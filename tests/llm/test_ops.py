@@ -172,11 +172,11 @@ def test_language(spark):
     assert langid.predict(test, empty).where("lang_pred <> 'und'").count() == 0
 
 
-def plain_components(rows):
+def plain_components(rows, words=3, share=90):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
     up = {i: i for i in sets}
 
     def root(i):
@@ -186,7 +186,7 @@ def plain_components(rows):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -206,6 +206,20 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.jaccard_components(spark.createDataFrame([(None, BASE), (1, BASE)], "doc_id long, text string")).where("doc_id is null and component_id is null").count() == 1
 
 
+def test_near_duplicates_stage(spark):
+    import corpus_pipeline
+
+    rnd, rows = random.Random(12), []
+    for i in range(60):
+        w = [rnd.choice(VOCAB) for _ in range(rnd.choice([12, 60, 150, 400]))]
+        at, n = rnd.randrange(len(w)), rnd.choice([1, max(1, len(w) // 12)])
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:at] + [rnd.choice(VOCAB) for _ in range(n)] + w[at + n :]))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, (_, root) in plain_components(rows, 5, 80).items() if i == root}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+    assert len(want) < sum(i == root for i, (_, root) in plain_components(rows).items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
