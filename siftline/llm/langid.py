@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 ORDERS = (5, 4, 3, 2, 1)
-SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on, about; chosen by hash among all labelled ones
+SAMPLE_DOCS = 4000  # labelled documents of each language that the model is fitted on, about; all of a language that has fewer
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -102,11 +102,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least: int = 2, longest: int = 40) -> Model:
     """A model from docs (doc_id, text, lang): rows with a null text or lang teach nothing.
 
-    sample_docs bounds the documents it learns from: with more, each is taken with the same probability by its id's hash.
+    sample_docs bounds the documents of each language it learns from: of a language with more, each is taken with the same
+    probability by its id's hash; of one with fewer, all.
     A word is known if it occurs `least` times there; n-grams come from words of up to `longest` letters, known or not."""
     labelled = docs.where("lang is not null and text is not null")
-    share = min(1.0, sample_docs / max(1, labelled.select("doc_id").count()))
-    part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample_docs) / F.count("*")).alias("_share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(1 << 40)
+    part = labelled.join(F.broadcast(sizes), "lang").where(place < F.col("_share"))
     counted = part.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted.column(0).to_pylist()))
     at = {x: i for i, x in enumerate(langs)}

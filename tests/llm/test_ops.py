@@ -172,6 +172,14 @@ def test_language(spark):
     assert langid.predict(test, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(i, "fox dog house river", "aa") for i in range(3000)] + [(5000 + i, "zug haus fluss katze", "bb") for i in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=20)
+    assert model.langs == ["aa", "bb"] and model.words["katze"] != model.words["fox"]
+    test = spark.createDataFrame([(1, "katze fluss")], "doc_id long, text string")
+    assert langid.predict(test, model).first().lang_pred == "bb"
+
+
 def plain_components(rows, words=3, share=90):
     sets = {}
     for i, t in rows:
