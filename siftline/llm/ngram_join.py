@@ -1,11 +1,11 @@
-"""Similarity join of documents by their n-gram sets: a blocked sparse matrix product.
+"""Similarity join of documents by their n-gram sets: a blocked sparse matrix product, cut by prefix filtering.
 
 The incidence matrix has a row for each distinct set of word shingles. Links need |x & y| / |x | y| >= t, which bounds both
 the ratio of sizes and the number of shingles in only one of the two sets. So rows fall into blocks: within a range of
 sizes the hash space is cut into one segment more than shingles may differ, and two linked sets agree in at least one
 whole segment (the pigeonhole principle, so no link is lost). Sets with a common segment form blocks; within a block the
-product of its rows with its columns is accumulated, from the rarest columns on, and pairs below the bounds are discarded
-as soon as the bounds show it. Large blocks are cut into parts and each pair of parts is a task. A pair that earlier links
+rows meet by the postings of their prefixes (the rarest columns, as many as a linked row can't lack entirely), and the
+whole overlap of each pair that meets is counted at once; the product isn't accumulated column by column. Large blocks are cut into parts and each pair of parts is a task. A pair that earlier links
 of the task already connect isn't counted out, so copies of one text cost no more than their number.
 """
 
