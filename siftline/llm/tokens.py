@@ -7,7 +7,7 @@ process keeps the chunks it has encoded, up to a bound; it then starts anew, whi
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import public_tokenizers
@@ -16,12 +16,14 @@ from tokenizers import Tokenizer
 
 from .common import WHITE
 
-KEPT = 1_000_000  # chunks that a worker process holds at most, and half as many words
+KEPT = 1_500_000  # chunks and words that a worker process holds at most
 _SPACES = re.compile(f"[{WHITE}]+")
 #: How the lower-case vocabulary's tokenizer cuts text into words (a fixed value of that file).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters on whose classes all Unicode versions agree; other chunks go through the whole tokenizer.
+#: Characters on whose classes all Unicode versions agree, all in normal form C; other chunks go through the whole tokenizer.
 _PLAIN = re.compile("[!-~¡-ɏ]+")
+#: Marks of which a run is one word of that tokenizer (the apostrophe can begin another sort).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def load(path: str) -> Tokenizer:
@@ -42,39 +44,50 @@ class WordIds:
     """Ids of texts under a word-level BPE file (lower case, white space dropped), as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, kept: int = KEPT):
-        self.whole, self.kept, self.chunks, self.words = load(path), kept, {}, {}
+        self.whole, self.kept, self.chunks = load(path), kept, _Chunks(self._chunk)
         self.model, self.letters = self.whole.model, byte_letters()
         self.letters = {chr(b): c for b, c in self.letters.items()}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
 
     def _word(self, word: str) -> bytes:
-        piece = "".join(map(self.letters.__getitem__, word.encode().decode("latin-1")))
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece))
-        self.words[word] = ids
+        """Ids of one word as the tokenizer cuts it, in lower case, so that the word as a chunk has the same ids; ASCII
+        characters stand for themselves in its alphabet."""
+        piece = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode().decode("latin-1")))
+        ids = self.chunks[word] = b"".join([self.four[t.id] for t in self.model.tokenize(piece)])
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special) and unicodedata.is_normalized("NFC", chunk):
-            known = self.words.get
-            return b"".join(known(w) or self._word(w) for w in _WORDS.findall(chunk.lower()))
+        body = chunk.rstrip(_MARKS)
+        word = body.lower()
+        if word.isalpha() and (chunk.isascii() or _PLAIN.fullmatch(chunk)):  # most chunks: a run of letters, then marks
+            known, tail = self.chunks.get, chunk[len(body) :]
+            ids = known(word) or self._word(word)
+            return ids + (known(tail) or self._word(tail)) if tail else ids
+        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
+            known = self.chunks.get
+            return b"".join([known(w) or self._word(w) for w in _WORDS.findall(chunk.lower())])
         ids = self.whole.encode(chunk, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
         if len(self.chunks) > self.kept:
-            self.chunks = {}
-        if len(self.words) > self.kept // 2:
-            self.words = {}
-        chunks, parts = self.chunks, text.split()
-        if _ODD_SPACE.search(text):  # separators that str.split() takes for spaces and the tokenizer doesn't
-            parts = [x for x in _SPACES.split(text) if x]
-        try:
-            return b"".join(map(chunks.__getitem__, parts))
-        except KeyError:
-            for x in set(parts):
-                if x not in chunks:
-                    chunks[x] = self._chunk(x)
-            return b"".join(map(chunks.__getitem__, parts))
+            self.chunks.clear()
+        # str.split() takes some separators for spaces that the tokenizer doesn't.
+        parts = [x for x in _SPACES.split(text) if x] if _ODD_SPACE.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, parts))
+
+
+class _Chunks(dict):
+    """Ids of chunks, found when they are first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
 
 
 class PieceIds:
