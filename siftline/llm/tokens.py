@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from .common import WHITE
 
-KEPT = 1_500_000  # chunks and words that a worker process holds at most
+KEPT = 600_000  # chunks and words that a worker process holds at most
 _SPACES = re.compile(f"[{WHITE}]+")
 #: How the lower-case vocabulary's tokenizer cuts text into words (a fixed value of that file).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

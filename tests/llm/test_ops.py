@@ -354,3 +354,18 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids == {*range(40), 100, 103}
+
+
+def test_lines_recall(spark):
+    """Pairs of one edit or several, on all lengths, with and without spaces: at least 0.95 of the drops, no wrong ones."""
+    rnd, lines = random.Random(8), []
+    letters = "abcdefghijklmnopqrstuvw"
+    text = lambda n, spaced: "".join(rnd.choice(letters + ("    " if spaced else "")) for _ in range(n)).strip() or "a"
+    for i in range(600):
+        a = text(rnd.choice([8, 10, 13, 17, 22, 30, 45, 63, 64, 65, 66, 90, 99, 101, 150, 199, 203, 400]), i % 4)
+        n, at = max(1, len(a) // rnd.choice([12, 20, 60])), rnd.randrange(len(a))
+        b = [a + text(n, i % 4), text(n, i % 4) + a, a[:at] + a[at + n :], a[:at] + "Z" + a[at + 1 :], a[:at] + text(n, True) + a[at:]][i % 5]
+        lines += [a, b]
+    lines = [x.strip(" ").lower() for x in lines if x.strip()]
+    want, got = plain_dropped(lines), dropped_lines(spark, lines)
+    assert len(want) > 300 and got <= want and len(got) >= 0.95 * len(want), (len(got), len(want))
