@@ -31,6 +31,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that may be sent to every task, summed up before; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+
+
+def few(df: DataFrame, width: Column) -> DataFrame:
+    """df, to be sent to every task if its rows of `width` bytes are within the bound."""
+    total = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,12 +1,16 @@
-"""Similarity join of documents by their n-gram sets: a blocked sparse matrix product, cut by prefix filtering.
+"""Similarity join of documents by their n-gram sets: a blocked sparse matrix product with size-derived bounds.
 
 The incidence matrix has a row for each distinct set of word shingles. Links need |x & y| / |x | y| >= t, which bounds both
 the ratio of sizes and the number of shingles in only one of the two sets. So rows fall into blocks: within a range of
 sizes the hash space is cut into one segment more than shingles may differ, and two linked sets agree in at least one
-whole segment (the pigeonhole principle, so no link is lost). Sets with a common segment form blocks; within a block the
-rows meet by the postings of their prefixes (the rarest columns, as many as a linked row can't lack entirely), and the
-whole overlap of each pair that meets is counted at once; the product isn't accumulated column by column. Large blocks are cut into parts and each pair of parts is a task. A pair that earlier links
-of the task already connect isn't counted out, so copies of one text cost no more than their number.
+whole segment (the pigeonhole principle, so no link is lost). Sets with a common segment form blocks. The product of a
+block's rows with themselves accumulates overlap counts over ranges of columns; after each range, pairs that their columns
+to come can't lift to the bound are discarded, and rows without a possible pair leave the later ranges.
+
+Large blocks are cut into parts. First each part, with the block's lead row in it, is multiplied by itself; then rows that
+this didn't connect with their lead meet the other parts. So copies of one text cost no more than their number, and rows go
+to several parts only if they are in a block without being similar to its lead. Texts are read where they lie: the table of
+blocks, counted, goes to the texts unless it is too large.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, utf8
+from .common import few, keep, small_batches, utf8
 from .graph import components
 
-SHARE, OF, WORDS, PART = 90, 100, 3, 1000
+SHARE, OF, WORDS, PART = 90, 100, 3, 256
+ENTRIES = 4_000_000  # shingles of a part at most, unless one row has more
+RANGE = 4096  # columns that are multiplied at once
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -93,20 +99,22 @@ def signatures(s: np.ndarray, share: int = SHARE) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingles(words)
     for b in batches:
         sets = [shingles(x) for x in b.column(1).to_pylist()]
         keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string())], ["doc_id", "n_shingles", "set_key"])
+        signed = [signatures(s, share).view(np.int64) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "segments"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
-    """(at, key, other): a segment's hash with a set that has it, or two sets with a common segment. Sets are named by half their key."""
-    shingles, done, sigs, keys, held = Shingles(words), set(), [], [], 0
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, key, other) from (set_key, segments): a segment's hash with a set that has it, or two sets with a common segment.
+    Sets are named by half their key."""
+    done, sigs, keys, held = set(), [], [], 0
 
     def out() -> pa.RecordBatch:
-        s, k = np.concatenate(sigs).view(np.int64), np.concatenate(keys)
+        s, k = np.concatenate(sigs), np.concatenate(keys)
         order = np.lexsort((k, s))
         s, k = s[order], k[order]
         first = np.concatenate([[True], s[1:] != s[:-1]])
@@ -120,12 +128,12 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterat
         )
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            s = shingles(text)
-            if not len(s) or (key := xxhash.xxh3_128_hexdigest(s.tobytes())) in done:
+        offsets, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+        for i, key in enumerate(b.column(0).to_pylist()):
+            if key in done:
                 continue
             done.add(key)
-            x = signatures(s, share)
+            x = flat[offsets[i] : offsets[i + 1]]
             sigs.append(x)
             keys.append(np.full(len(x), half_key(key), np.int64))
             held += len(x)
@@ -161,73 +169,109 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
-def block_links(sets: list[np.ndarray], side: list[int] | None = None, share: int = SHARE) -> list[tuple[int, int]]:
-    """Links (positions) among the rows of a block that connect all that its links connect.
-
-    side: of rows from two parts; then only pairs across matter, each part being joined with itself elsewhere."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    columns, local = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    degree = np.bincount(local, minlength=len(columns))
-    rows = [local[starts[i] : starts[i + 1]] for i in range(len(sets))]
-    postings: dict[int, list[int]] = {}
-    forest, links, mark = _Forest(len(sets)), [], np.zeros(len(columns), bool)
-    for i in order:
-        row, n = rows[i], len(rows[i])
-        need = -(-share * n // OF)  # a linked set shares at least this many of the larger one's shingles
-        prefix = row[np.lexsort((row, degree[row]))[: n - need + 1]].tolist()
-        met: dict[int, None] = {}
-        for c in prefix:
-            for j in postings.get(c, ()):
-                met[j] = None
-        near = [j for j in met if len(rows[j]) * OF >= share * n and (side is None or side[i] != side[j])]
-        if near:
-            mark[row] = True
-            while near := [j for j in near if forest.root(j) != forest.root(i)]:
-                now, near = near[:16], near[16:]
-                for j in now:
-                    if forest.root(j) == forest.root(i):
-                        continue
-                    both = int(np.count_nonzero(mark[rows[j]]))
-                    if OF * both >= share * (n + len(rows[j]) - both):
-                        links.append((i, j))
-                        forest.up[forest.root(j)] = forest.root(i)
-            mark[row] = False
-        for c in prefix:
-            postings.setdefault(c, []).append(i)
-    return links
-
-
-def _joined(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, i, j, part, doc_id, text) come sorted by task (root, i, j)."""
-    shingles, at, docs, sets, side = Shingles(words), None, [], [], []
+def overlaps(sets: list[np.ndarray], apart: np.ndarray, share: int = SHARE, width: int = RANGE) -> list[tuple[int, int]]:
+    """Pairs of positions i < j whose sets are linked, where apart[i, j]; the product of the incidence matrix with itself,
+    accumulated over ranges of `width` columns."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    need = -(-share * (sizes[:, None] + sizes[None, :]) // (OF + share))  # the overlap that a link takes
+    may = apart & (np.minimum(sizes[:, None], sizes[None, :]) * OF >= share * np.maximum(sizes[:, None], sizes[None, :])) & (sizes[:, None] > 0)
+    may = np.triu(may | may.T, 1)
+    columns, column, degree = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    many = degree[column] > 1
+    order = np.argsort(column[many], kind="stable")
+    row, column = row[many][order], column[many][order]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    left = np.bincount(row, minlength=len(sets))
+    acc = np.zeros((len(sets), len(sets)), np.int32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        may &= acc + np.minimum(left[:, None], left[None, :]) >= need  # what the columns to come can still add
+        alive = np.flatnonzero(may.any(0) | may.any(1))
+        if not len(alive):
+            return []
+        here = slice(*np.searchsorted(column, [at, at + width]))
+        block = np.zeros((len(sets), width), np.float32)
+        block[row[here], column[here] - at] = 1
+        some = block[alive]
+        acc[np.ix_(alive, alive)] += (some @ some.T).astype(np.int32)
+        left -= np.bincount(row[here], minlength=len(sets))
+    may &= acc * OF >= share * (sizes[:, None] + sizes[None, :] - acc)
+    return list(zip(*(x.tolist() for x in np.nonzero(may)), strict=True))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles(words)
+    for b in batches:
+        sets = [shingles(x).tobytes() for x in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("root"), b.column("lead"), b.column("parts"), b.column("doc_id"), pa.array(sets, pa.binary())], ["root", "lead", "parts", "doc_id", "shingles"])
+
+
+def _multiplied(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Rows (root, i, j, far, part, met, doc_id, shingles) come sorted by task (root, i, j): links among the rows, or between
+    near and far ones if there are far ones, of different parts and not yet met."""
+    at, rows = None, []
 
     def out() -> pa.RecordBatch | None:
-        links = block_links(sets, side if at[1] != at[2] else None, share) if len(sets) > 1 else []
+        far, part, met, docs, sets = (list(x) for x in zip(*rows, strict=True))
+        if len(rows) < 2:
+            return None
+        f, p, m = np.array(far), np.array(part), np.array(met, np.int64)
+        apart = (f[:, None] != f[None, :]) & (p[:, None] != p[None, :]) & (m[:, None] != m[None, :]) if f.any() else np.ones((len(rows), len(rows)), bool)
+        links = overlaps([np.frombuffer(x, np.uint64) for x in sets], apart, share)
         return pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"]) if links else None
 
+    def spanned(links: pa.RecordBatch) -> pa.RecordBatch:
+        """As many links as connect the same documents."""
+        up: dict[int, int] = {}
+        taken = []
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for k, (x, y) in enumerate(zip(links.column(0).to_pylist(), links.column(1).to_pylist(), strict=True)):
+            if (r := top(x)) != (q := top(y)):
+                up[max(r, q)] = min(r, q)
+                taken.append(k)
+        return links.take(pa.array(taken, pa.int64()))
+
     for b in batches:
-        for *task, part, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if task != at:
+        for root, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (root, i, j) != at:
                 if at is not None and (x := out()) is not None:
-                    yield x
-                at, docs, sets, side = task, [], [], []
-            docs.append(doc)
-            sets.append(shingles(text))
-            side.append(part)
+                    yield spanned(x)
+                at, rows = (root, i, j), []
+            rows.append(row)
     if at is not None and (x := out()) is not None:
-        yield x
+        yield spanned(x)
+
+
+def block_links(sets: DataFrame, part: int, share: int) -> DataFrame:
+    """Links (a, b) that connect all linked rows of each block; sets: (root, lead, parts, doc_id, shingles), in the shared folder."""
+    layout = ["root", "i", "j", "far", "part", "met", "doc_id", "shingles"]
+
+    def multiplied(work: DataFrame) -> DataFrame:
+        dealt = work.select(layout).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "far", "doc_id")
+        return dealt.mapInArrow(partial(_multiplied, share=share), "a long, b long")
+
+    rows = sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    near = rows.withColumns({"i": F.col("part"), "j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")})
+    leads = rows.where("doc_id = lead and parts > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("i <> part")
+    first = keep(multiplied(near.unionByName(leads.withColumns({"j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")}))), "links")
+    large = rows.where("parts > 1")
+    if large.isEmpty():
+        return first
+    met = components(first)
+    large = large.join(met.toDF("doc_id", "_met"), "doc_id", "left").withColumn("met", F.coalesce("_met", "doc_id")).drop("_met")
+    large = keep(large, "met")
+    main = large.where("doc_id = lead").select("root", F.col("met").alias("main")).distinct()
+    rest = large.join(main, "root").where("met <> main").drop("main")
+    chunks = rest.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("chunks"))
+    rest = rest.join(chunks, "root").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int") + 1)
+    far = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("far", F.lit(1))
+    near = large.join(chunks, "root").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumns({"i": F.col("part"), "far": F.lit(0)})
+    return first.unionByName(keep(multiplied(near.select(layout).unionByName(far.select(layout))), "more-links"))
 
 
 def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -235,28 +279,29 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
 
     Documents link when their sets of shingles (of `words` words) have a Jaccard similarity of share hundredths or more. A null text is empty;
     empty texts and those without words link with nothing. Repeated rows of one doc_id stay and have its component. A null
-    doc_id links with nothing and has a null component. Other columns are ignored. part: rows of a block that are joined
-    at once; more are joined part by part."""
+    doc_id links with nothing and has a null component. Other columns are ignored. part: rows of a block that are multiplied
+    at once; more are cut into parts."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    described = keep(docs.mapInArrow(partial(_described, words=words), "doc_id long, n_shingles long, set_key string"), "sets")
-    classes = keep(described.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    segments = docs.where("doc_id is not null").select("text").mapInArrow(partial(_signed, words=words, share=share), "at long, key long, other long")
+    described = docs.mapInArrow(partial(_described, words=words, share=share), "doc_id long, n_shingles long, set_key string, segments array<long>")
+    described = keep(described, "sets")
+    own = described.where("set_key is not null and doc_id is not null")
+    classes = keep(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")), "classes")
+    segments = own.select("set_key", "segments").mapInArrow(_signed, "at long, key long, other long")
     near = segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
     near = keep(near, "near")
     root = components(near)
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     half = F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")
-    rows = keep(classes.withColumn("node", half).join(nodes, "node").select("rep", "root"), "blocks")
-    parts = rows.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    tasks = rows.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    tasks = tasks.select("root", F.col("rep").alias("doc_id"), "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_o"))
-    tasks = tasks.select("root", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "part", "doc_id")
-    work = tasks.join(docs, "doc_id").select("root", "i", "j", "part", "doc_id", "text")
-    links = work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc_id").mapInArrow(partial(_joined, words=words, share=share), "a long, b long")
-    joined = components(links)
+    rows = keep(classes.withColumn("node", half).join(nodes, "node").select("rep", "root", "size"), "blocks")
+    parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / ENTRIES)).cast("int")
+    blocks = keep(rows.join(rows.groupBy("root").agg(F.min("rep").alias("lead"), parts.alias("parts")), "root").select(F.col("rep").alias("doc_id"), "root", "lead", "parts"), "rows")
+    work = docs.join(few(blocks, F.lit(48)), "doc_id").select("root", "lead", "parts", "doc_id", "text")
+    sets = keep(work.mapInArrow(partial(_shingled, words=words), "root long, lead long, parts int, doc_id long, shingles binary"), "block-sets")
+    joined = components(block_links(sets, part, share))
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
-    return described.join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = few(keep(found, "found"), F.lit(64))
+    return described.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard(spark, sf_dir):
