@@ -98,19 +98,25 @@ class PieceIds:
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
 
     def _piece(self, piece: str) -> bytes:
         if len(self.pieces) > self.kept:
             self.pieces = {}
-        mapped = "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
-        ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(mapped))
+        mapped = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
+        ids = self.pieces[piece] = b"".join([self.four[t.id] for t in self.whole.model.tokenize(mapped)])
         return ids
 
     def encode(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word[word[:1] == " " :]) and not any(s in word for s in self.special):
-            known = self.pieces.get
-            return b"".join(known(x) or self._piece(x) for x in self.cut(word))
-        return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(word, add_special_tokens=False).ids)
+        known, core = self.pieces.get, word[word[:1] == " " :]
+        body = core.rstrip(_MARKS)
+        if body.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):  # a run of letters, then marks
+            first, tail = word[: len(word) - len(core) + len(body)], core[len(body) :]
+            ids = known(first) or self._piece(first)
+            return ids + (known(tail) or self._piece(tail)) if tail else ids
+        if _PLAIN.fullmatch(core) and not any(s in word for s in self.special):
+            return b"".join([known(x) or self._piece(x) for x in self.cut(word)])
+        return b"".join([self.four[i] for i in self.whole.encode(word, add_special_tokens=False).ids])
 
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
