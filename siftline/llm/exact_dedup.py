@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches, utf8
@@ -123,19 +123,25 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def build_index(docs: DataFrame, keyed: DataFrame, capacity: int = 4096) -> DataFrame:
-    """The index as a table in the shared folder: bucket, key, chain, text_sha256, keep_id, group_size.
+def build_index(docs: DataFrame, keyed: DataFrame, capacity: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The directory (prefix, bucket) and the index (bucket, key, chain, text_sha256, keep_id, group_size), both tables in the
+    shared folder.
 
     capacity: keys in a bucket before it splits. It rises with the data so that the directory keeps at most about 2^14
     buckets; only its counts, 65,536 rows at most, reach the driver."""
-    prefix = F.shiftrightunsigned("key", 64 - DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in keyed.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
+    counts = {r[0]: r[1] for r in keyed.groupBy(_prefix().alias("p")).agg(F.count("*").alias("n")).collect()}
     buckets = directory(counts, max(min(capacity, sum(counts.values()) // 512 + 1), sum(counts.values()) >> 14))
     owner = np.empty(1 << DEPTH, np.int32)
     for i, (p, local) in enumerate(buckets):
         owner[p << (DEPTH - local) : (p + 1) << (DEPTH - local)] = i
+    entries = keep(docs.sparkSession.createDataFrame(list(enumerate(owner.tolist())), "prefix int, bucket int").coalesce(1), "hash-directory")
     folded = docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_folder(owner, DEPTH, 32 << 20), FOLDED)
-    return keep(folded.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_owned, ENTRY), "hash-index")
+    return entries, keep(folded.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_owned, ENTRY), "hash-index")
+
+
+def _prefix() -> Column:
+    """The directory's entry for a key: its first DEPTH bits."""
+    return F.shiftrightunsigned("key", 64 - DEPTH).cast("int")
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -147,9 +153,11 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = keep(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_keyed, KEYED), "keys")
-    groups = build_index(docs, keyed, capacity).where("group_size > 1").select("key", "text_sha256", "keep_id", "group_size")
+    entries, index = build_index(docs, keyed, capacity)
+    groups = index.where("group_size > 1").select("bucket", "key", "text_sha256", "keep_id", "group_size")
+    found = keyed.withColumn("prefix", _prefix()).join(F.broadcast(entries), "prefix")  # 65,536 entries, however large the input
     # The hot key is split by the optimizer: neither side is aggregated after this join.
-    joined = keyed.join(groups, ["key", "text_sha256"], "left")
+    joined = found.join(groups, ["bucket", "key", "text_sha256"], "left")
     return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -99,12 +99,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least: int = 2, longest: int = 40) -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least: int = 2) -> Model:
     """A model from docs (doc_id, text, lang): rows with a null text or lang teach nothing.
 
     sample_docs bounds the documents of each language it learns from: of a language with more, each is taken with the same
     probability by its id's hash; of one with fewer, all.
-    A word is known if it occurs `least` times there; n-grams come from words of up to `longest` letters, known or not."""
+    A word is known if it occurs `least` times there; n-grams come from all words, known or not."""
     labelled = docs.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample_docs) / F.count("*")).alias("_share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(1 << 40)
@@ -117,14 +117,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, least: int = 2, longest
         words[word][at[lang]] += n
     grams: list[dict[str, list[int]]] = [defaultdict(lambda: [0] * len(langs)) for _ in ORDERS]
     for word, n in words.items():
-        if len(word) <= longest:
-            padded = f"^{word}$"
-            for j, order in enumerate(ORDERS):
-                for i in range(len(padded) - order + 1):
-                    row = grams[j][padded[i : i + order]]
-                    for k, x in enumerate(n):
-                        if x:
-                            row[k] += x
+        padded = f"^{word}$"
+        for j, order in enumerate(ORDERS):
+            for i in range(len(padded) - order + 1):
+                row = grams[j][padded[i : i + order]]
+                for k, x in enumerate(n):
+                    if x:
+                        row[k] += x
     known = {w: n for w, n in words.items() if sum(n) >= least}
     tables, index, count = [], [], 0
     for part_ in (known, *({g: n for g, n in x.items() if sum(n) >= least} for x in grams)):

@@ -266,8 +266,8 @@ def block_links(sets: DataFrame, part: int, share: int) -> DataFrame:
     large = large.join(met.toDF("doc_id", "_met"), "doc_id", "left").withColumn("met", F.coalesce("_met", "doc_id")).drop("_met")
     large = keep(large, "met")
     main = large.where("doc_id = lead").select("root", F.col("met").alias("main")).distinct()
-    rest = large.join(main, "root").where("met <> main").drop("main")
-    chunks = rest.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("chunks"))
+    rest = large.join(few(keep(main, "main"), F.lit(24)), "root").where("met <> main").drop("main")
+    chunks = few(keep(rest.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("chunks")), "chunks"), F.lit(24))
     rest = rest.join(chunks, "root").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int") + 1)
     far = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("far", F.lit(1))
     near = large.join(chunks, "root").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumns({"i": F.col("part"), "far": F.lit(0)})

@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CA
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cutter(path, end_id, capacity), PIECES)
 
 
-def _placer(segments: dict[str, np.ndarray], names: list[str]):
+def _placer(segments: dict[str, np.ndarray]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
@@ -107,25 +107,25 @@ def _placer(segments: dict[str, np.ndarray], names: list[str]):
             n = segments["each"][i]
             seq = segments["sequence"][i] + within // n
             offset = segments["offset"][i] + within % n * length
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], ["row", "sequence_id", "offset"])
 
     return place
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = 2000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length of 1 to capacity, any other columns).
+    """Adds sequence_id and offset (replaced if there) to pieces (doc_id, start, length of 1 to capacity, any other columns).
 
     Sequences have no gaps and hold at most capacity tokens. Ranks are dealt over hashed parts of about salt_rows rows, so
     a length that many pieces share is ranked by many tasks. Repeated rows are pieces of their own."""
-    names = pieces.columns
-    salted = keep(pieces.withColumn("piece_hash", F.xxhash64("doc_id", "start")), "pieces")
+    rows = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row")  # a name of its own for each column here, whatever theirs are
+    salted = keep(pieces.select(rows, "length", F.xxhash64("doc_id", "start").alias("piece_hash")), "pieces")
     by_length = {r[0]: r[1] for r in salted.groupBy("length").agg(F.count("*")).collect()}  # capacity rows at most
     parts = max(1, min(1 << 16, sum(by_length.values()) // salt_rows))
     salted = salted.withColumn("part", F.pmod("piece_hash", F.lit(parts)))
     sizes = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("length", "part", before.alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("piece_hash", "doc_id", "start")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("piece_hash", "row.doc_id", "row.start")) - 1
     ranked = salted.withColumn("own", own).join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own"))
 
     rows, used, sequence = [], {}, 0
@@ -139,8 +139,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int
     rows.sort()
     table = np.array(rows or [(0, 1, 0, 0)], np.int64).T
     segments = dict(zip(("key", "each", "sequence", "offset"), (np.ascontiguousarray(x) for x in table), strict=True))
-    schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return ranked.select(*names, "rank").mapInArrow(_placer(segments, names), f"{schema}, sequence_id bigint, offset bigint")
+    placed = ranked.select("row", "length", "rank").mapInArrow(_placer(segments), f"row {pieces.schema.simpleString()}, sequence_id bigint, offset bigint")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return placed.select(*(F.col("row")[c].alias(c) for c in kept), "sequence_id", "offset")
 
 
 def op1_packing(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Personal data by weak supervision, with DataFrame operations only.
 
 Strict patterns give the base spans, looser ones further candidates. Labelers vote on every candidate: its pattern's own
-checks, gazetteers (top-level domains, issuer numbers, reserved networks, area codes), cue words before it and its borders.
+checks, gazetteers (top-level domains, issuer numbers, reserved networks, area codes), cue words before it, its borders and
+the form in which such data is usually written.
 Candidates are counted by votes and shape, a table of a few thousand cells at most however large the input; expectation-
 maximisation over it estimates how reliable each labeler is, and its posteriors train the span classifier, a naive Bayes
 model over votes and shape. Base spans always stay; other candidates stay if the classifier takes them and no base span
@@ -42,6 +43,15 @@ OTHER = r"\b(version|isbn|issn|order|invoice|serial|build|release|sku)\b[^a-z]*$
 #: Gazetteers: frequent top-level domains, card issuers' first digits.
 DOMAINS = r"(?i)(?:\.|dot[\])]\x20?)(com|org|net|edu|gov|info|io|co|us|uk|de|fr|es|it|nl|ch|at|be|eu|ca|au|jp|in|br|mx)$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
+#: How such data is usually written: a local part with a letter, numbers without leading zeros, 15 or 16 digits in one run or
+#: in fours, an area code in brackets or between separators.
+FORMS = {
+    "email": r"(?i)^[^@\[( ]*[a-z]",
+    "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
+    "card": r"^[0-9]{15,16}$|^[0-9]{4}(?:[ -][0-9]{4}){3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}$",
+    "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}$",
+}
+VOTES = 5
 _SPAN = "array<struct<kind:string,start:int,end:int,cell:string>>"
 _FOUND = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
@@ -93,7 +103,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 
 def _cell(kind: str, m: Column, base: bool, valid: Column) -> Column:
-    """A candidate's votes and shape as text: pattern, gazetteer, cue and border vote, length class, share of digits."""
+    """A candidate's votes and shape as text: pattern, gazetteer, cue, border and form vote, length class, share of digits."""
     checks = _vote(valid) if base else F.lit("0")
     if kind == "email":
         listed = _vote(m.text.rlike(DOMAINS))
@@ -105,9 +115,10 @@ def _cell(kind: str, m: Column, base: bool, valid: Column) -> Column:
         listed = let(_digits(m.text), lambda d: _vote(d.rlike("^1?[2-9][0-9]{2}[2-9]") | m.text.startswith("+") & ~m.text.startswith("+1"), d.rlike("^1?[01]")))
     cue = _vote(m.before.rlike(CUES[kind]), m.before.rlike(OTHER))
     border = _vote(~m.before.rlike(r"[\p{L}0-9_]$") & ~m.after.rlike(r"[\p{L}0-9_]"))
+    form = _vote(m.text.rlike(FORMS[kind]))
     size = F.least(F.floor((m.end - m.start) / 8), F.lit(4)).cast("string")
     share = F.floor(3.99 * F.length(_digits(m.text)) / F.length(m.text)).cast("string")
-    return F.concat(F.lit(kind[0]), checks, listed, cue, border, size, share)
+    return F.concat(F.lit(kind[0]), checks, listed, cue, border, form, size, share)
 
 
 def _span_of(kind: str, strict: bool) -> Callable[[Column], Column]:
@@ -146,17 +157,17 @@ def estimate(cells: dict[str, int], rounds: int = 30) -> dict[str, float]:
 
     For each kind two classes with a share of their own; each labeler votes +, 0 or - with probabilities that depend on
     the class alone. It starts from the balance of the votes."""
-    post = {c: 1 / (1 + math.exp(-1.5 * sum({"+": 1, "-": -1}.get(v, 0) for v in c[1:5]))) for c in cells}
+    post = {c: 1 / (1 + math.exp(-1.5 * sum({"+": 1, "-": -1}.get(v, 0) for v in c[1 : VOTES + 1]))) for c in cells}
     for _ in range(rounds):
         mass: dict[tuple, float] = defaultdict(lambda: 0.5)
         for c, n in cells.items():
             for y, p in ((1, post[c]), (0, 1 - post[c])):
                 mass[c[0], y] += n * p
-                for i in range(1, 5):
+                for i in range(1, VOTES + 1):
                     mass[c[0], y, i, c[i]] += n * p
         for c in cells:
             odds = math.log(mass[c[0], 1] / mass[c[0], 0])
-            for i in range(1, 5):
+            for i in range(1, VOTES + 1):
                 odds += math.log(mass[c[0], 1, i, c[i]] / (mass[c[0], 1] + 1.5)) - math.log(mass[c[0], 0, i, c[i]] / (mass[c[0], 0] + 1.5))
             post[c] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
     return post
@@ -221,4 +232,4 @@ def op7_pii(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = annotate(docs, fit(docs))
     count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
-    return done.select("doc_id", *map(count, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return done.select("doc_id", *map(count, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -3,7 +3,7 @@
 Texts are tokenized once, into a table of sequences in the shared folder that is dropped when the shards are there. Sequences
 are numbered as that table's parts hold them; a count of each part gives its first number. A Feistel network over the next even power of two, walked until it falls below the number of
 sequences, gives each number its slot; so any slot's sequence, and any sequence's slot, is known without a table. A shard
-holds a range of slots at a fixed stride: record i of a shard begins at byte i * stride, so a reader can resume anywhere.
+holds a range of slots at a fixed stride, and a task a range of shards: record i of a shard begins at byte i * stride, so a reader can resume anywhere.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, length: i
         total += n
     slot = _slots(first, total, key)("part", "number")
     placed = cut.select(slot.alias("slot"), "ids", "spans").select(F.expr(f"slot div {slots}").alias("shard"), "slot", "ids", "spans")
-    written = placed.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(_writer(folder, length), f"shard long, file string, record long, slot long, {_SPANS}")
+    written = placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot").mapInArrow(_writer(folder, length), f"shard long, file string, record long, slot long, {_SPANS}")
     index = keep(written, "shard-index")
     forget(at)
     forget_others(folder, {r[0] for r in index.select("file").distinct().toLocalIterator()})

@@ -78,19 +78,22 @@ def distinct(a: np.ndarray, k: int = K) -> float:
     return float(len(a)) if len(a) < k else (k - 1) / (int(a[k - 1]) / 2.0**63)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """The share of the union that both have; two texts without words are alike, one without words is unlike any other."""
+def compared(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
+    """Resemblance, the share of the union that both have, and containment, the share of a's shingles that b has too. Two
+    texts without words are alike, one without words is unlike any other and contained in all."""
     if not len(a) or not len(b):
-        return float(len(a) == len(b))
+        return float(len(a) == len(b)), float(not len(a))
     union = merge(a, b, k)
-    return float(np.isin(union, a, assume_unique=True).astype(int) @ np.isin(union, b, assume_unique=True)) / len(union)
+    alike = float(np.isin(union, a, assume_unique=True).astype(int) @ np.isin(union, b, assume_unique=True)) / len(union)
+    return alike, min(1.0, alike * distinct(union, k) / distinct(a, k))
+
+
+def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    return compared(a, b, k)[0]
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """The share of a's shingles that b has too; 1 if a has none."""
-    if not len(a):
-        return 1.0
-    return min(1.0, resemblance(a, b, k) * distinct(merge(a, b, k), k) / distinct(a, k))
+    return compared(a, b, k)[1]
 
 
 def text_of(sketch: np.ndarray) -> str:
@@ -130,8 +133,8 @@ def _pairs(k: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (bucket, extra, doc_id, text) come in order; each but the bucket's last, the extra one, meets its successor."""
         hasher, last, rows = Hasher(words), None, []
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "in_next", "n_shingles"]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5)
         out = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for b in batches:
             for bucket, doc, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -141,7 +144,8 @@ def _pairs(k: int, words: int):
                     half = len(before) // 2
                     edited = before[: len(before) - half] + text[:half]
                     s = bottom(hasher(edited), k)
-                    rows.append((old, len(before), hashlib.sha256(edited.encode()).hexdigest(), text_of(sketch), text_of(s), resemblance(sketch, s, k), resemblance(sketch, own, k)))
+                    (near_edited, in_edited), (near_next, in_next) = compared(sketch, s, k), compared(sketch, own, k)
+                    rows.append((old, len(before), hashlib.sha256(edited.encode()).hexdigest(), text_of(sketch), text_of(s), near_edited, near_next, in_edited, in_next, distinct(sketch, k)))
                 last = (bucket, doc, text, own)
             if len(rows) >= 500:
                 yield out()
@@ -156,23 +160,34 @@ def with_successors(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, extra, doc_id, text), dealt by bucket and sorted by descending doc_id (then text), each bucket followed
     by the first row of the next one (after the last: of the first) as an extra row.
 
-    Buckets are ranges of doc_id by its quantiles; only each bucket's largest id reaches the driver. A null id comes last."""
+    Buckets are ranges of doc_id by its quantiles; only each bucket's largest id reaches the driver. A null id comes last
+    and stays null; rows of one id are in one bucket. A null text counts as empty."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf")))
     at = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
     splits = [-float("inf"), *sorted(set(at)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket")
-    dealt = cut.transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).select((-F.col("_bucket")).cast("int").alias("bucket"), F.lit(0).alias("extra"), "doc_id", "text")
-    heads = sorted((r[0], r[1]) for r in dealt.groupBy("bucket").agg(F.max("doc_id")).collect())
+    dealt = cut.transform(docs.withColumn("_id", place)).select((-F.col("_bucket")).cast("int").alias("bucket"), F.lit(0).alias("extra"), "doc_id", "text")
+    heads = sorted((r[0], r[1]) for r in dealt.groupBy("bucket").agg(F.max("doc_id")).collect())  # nulls alone have none
     if heads:
-        follows = spark.createDataFrame([(h[1], heads[i - 1][0]) for i, h in enumerate(heads)], "doc_id long, bucket int")
-        first = docs.where(F.col("doc_id").isin([h[1] for h in heads])).groupBy("doc_id").agg(F.min("text").alias("text"))
-        dealt = dealt.unionByName(first.join(F.broadcast(follows), "doc_id").select("bucket", F.lit(1).alias("extra"), "doc_id", "text"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc("doc_id"), "text")
+        follows = spark.createDataFrame([(h[1], heads[i - 1][0]) for i, h in enumerate(heads)], "_head long, bucket int")
+        first = docs.join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("_head"))).groupBy("doc_id", "bucket").agg(F.min("text").alias("text"))
+        dealt = dealt.unionByName(first.select("bucket", F.lit(1).alias("extra"), "doc_id", "text"))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "text")
+
+
+def neighbours(docs: DataFrame, buckets: int, k: int = K, words: int = WORDS) -> DataFrame:
+    """For each row of docs (doc_id, text) its fingerprint, that of its text with the last half replaced by as much of the
+    next document's (descending doc_id, ties by text, nulls last; after the last: the first), likeness to and containment
+    in both, and the estimated number of its distinct shingles.
+
+    A null text counts as empty; repeated rows are documents of their own; an empty table gives an empty result; other
+    columns are ignored."""
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double, n_shingles double"
+    return with_successors(docs, buckets).mapInArrow(_pairs(k, words), schema)
 
 
 def op6_fingerprints(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small_batches(spark)
-    dealt = with_successors(docs, 8 * shuffle_width(spark))
-    return dealt.mapInArrow(_pairs(K, WORDS), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8 * shuffle_width(spark))

@@ -307,9 +307,9 @@ def test_repetitive_lines(spark):
 
 def test_bands_in_parts(spark):
     rows = [(1, k, 0) for k in range(60)] + [(2, k, 100) for k in (100, 101, 102)]
-    shared = spark.createDataFrame(rows, "band long, key long, lead long")
+    shared = spark.createDataFrame([(*r, 5, 3, 0) for r in rows], "band long, key long, lead long, size int, m1 long, m2 long")
     roots = spark.createDataFrame([(k, k % 3) for k in range(3, 60)] + [(101, 100), (102, 100)], "node long, root long")
-    got = sorted((r.key, r.lead) for r in line_dedup._unmet(shared, roots, part=7).collect())
+    got = sorted((r.key, r.lead) for r in line_dedup._unmet(shared, roots, 0.8, part=7).collect())
     assert got == sorted((a, b) for a in range(1, 60) for b in range(1, a) if a % 3 != b % 3)
 
 
