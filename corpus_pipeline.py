@@ -7,7 +7,7 @@ documents (doc_id, text, lang, source, n_chars).
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import langid, line_dedup, ngram_join, packing, pii
@@ -17,37 +17,56 @@ NEAR_WORDS, NEAR_SHARE = 5, 80  # near-duplicates: words of a shingle, hundredth
 LEAST_SCORE = 0.5  # of the language; below, the document is rejected
 
 
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that a stage works on, and the whole row beside them, so that no other column's name can clash."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def _changed(done: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs, those in new replaced."""
+    return done.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known with a posterior of LEAST_SCORE or more; fills in a missing lang."""
-    columns = docs.columns
-    done = langid.predict(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return done.withColumn("lang", F.coalesce("lang", "lang_pred")).select(columns)
+    """Keeps documents whose language is known with a posterior of LEAST_SCORE or more; fills in a missing lang.
+
+    A null or empty text, or one without letters, has no language and goes; so do all if nothing is labelled. Repeated rows
+    stay, ties go to the language that sorts first, an empty table stays empty."""
+    done = langid.predict(_carried(docs, "text"), langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _changed(done, docs, lang=F.coalesce(F.col("_row.lang"), F.col("lang_pred")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated and near-repeated lines; a document that this leaves without any text goes."""
-    columns = docs.columns
-    done = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    """Drops repeated and near-repeated lines; a document that this leaves without any text goes.
+
+    Of like lines the first by doc_id (nulls first), then place, stays. Repeated rows are one document. A null or empty text
+    loses no line and stays."""
+    done = line_dedup.dedup_lines(_carried(docs, "doc_id", "text")).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return _changed(done, docs, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component (0.8 or more alike on five-word shingles), and documents
-    without an id."""
+    """Keeps the document with the smallest id of each component (0.8 or more alike on five-word shingles).
+
+    Documents without an id, a text or words link with nothing and stay. All texts of a repeated id that stays do; of rows
+    with one id and text, the smallest by the other columns stays."""
     stays = ngram_join.jaccard_components(docs, words=NEAR_WORDS, share=NEAR_SHARE).where("component_id = doc_id").select("doc_id").distinct()
-    one = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.join(stays, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_rest"))
+    one = one.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns))
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts."""
-    columns = docs.columns
-    done = pii.annotate(docs, pii.fit(docs))
-    return done.withColumn("text", pii.masked(F.col("text"), F.col("spans"))).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    """Masks personal data in the texts. A null text stays null, repeated rows stay, an empty table stays empty."""
+    done = pii.annotate(_carried(docs, "text"), pii.fit(docs))
+    text = pii.masked(F.col("text"), F.col("spans"))
+    return _changed(done, docs, text=text, n_chars=F.length(text).cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences."""
+    """Pieces of all documents with their places in training sequences; a null text counts as empty, repeated rows are
+    documents of their own."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
