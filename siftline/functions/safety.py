@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+from .text import repetitive
+
 # Patterns of secrets, in the order in which they are applied.
 SECRETS = (
     r"\bsk-[A-Za-z0-9_-]{20,}\b",
@@ -31,34 +37,242 @@ INJECTION = (
     ("multi_language_evasion", r"(?i)\bignoriere alle (?:vorherigen |vorangegangenen )?anweisungen\b|\bignorez? toutes les instructions(?: pr[ée]c[ée]dentes| ant[ée]rieures)?\b|\bignora tutte le istruzioni(?: precedenti)?\b|\bignora todas las instrucciones(?: anteriores| previas)?\b", 6),
 )
 BLOCKING = ("system_prompt_exfiltration", "secret_exfiltration", "data_exfiltration", "jailbreak_phrasing")
+#: The boundary of a word as the rules mean it: of ASCII letters, digits and underscores. Java's own follows Unicode.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+# Of each rule, text that can match contains one of these in lower case.
+GUARDS = (
+    ("ignore ",), ("you are now", "act as", "new role"), ("system prompt", "developer message", "hidden instructions", "repeat "), ("api key", "secret", "token", "credential", "password"),
+    ("browse the web", "use the tool", "call the tool", "execute code", "run command"), ("<", "begin ", "role:", "##"), ("exfiltrat", "leak", "reveal"),
+    ("do not follow", "override safety", "jailbreak", "pretend you have no", "you have no restrictions"), ("only in", "encode your"), ("q",), ("human", "user"), ("ignor",),
+)
+# The rules on question lists begin with a line of one of these; a scan for them is linear, whatever the white space.
+LINES = {9: r"(?im)^[^\S\n]*+q\s*+:", 10: r"(?im)^[^\S\n]*+(?:human|user)\s*+:"}
 REDACTED = "[REDACTED]"
+# Invisible and control characters, signs of a leak in an answer, and of a leaked prompt.
+INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u00AD\u200B-\u200F\u202A-\u202E\u2060\u2066-\u2069\uFEFF]|[\x{E0000}-\x{E007F}]"
+LEAKS = (r"(?i)\bhere(?:'s| is) (?:the )?(?:system prompt|developer message)\b", r"(?i)\bapi key\b", r"(?i)\bsecret token\b")
+PROMPT_LEAKS = (
+    r"(?i)\b(?:here(?:'s| is)|below is|revealing|showing)\b.{0,40}\b(?:system prompt|developer message|hidden instructions?|internal prompt)\b",
+    r"(?i)\b(?:system prompt|developer message|hidden instructions?|internal policy|chain[- ]of[- ]thought|reasoning trace)\b",
+    r"(?i)<(?:system|assistant|developer|tool)>",
+    r"(?i)\bBEGIN (?:SYSTEM|DEVELOPER|PROMPT)\b",
+    r"(?i)\brole:\s*(?:system|assistant|developer|tool)\b",
+)
+# Personal data in answers.
+SSN = r"\b(?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b"
+EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\b"
+PHONE_ANY = r"(?<!\d)(?:\+\d{1,3}[-.\s]?)?(?:\(\d{2,4}\)[-.\s]?)?\d{2,4}[-.\s]\d{3,4}[-.\s]\d{2,4}(?:[-.\s]\d{2,4})?(?!\d)"
+PHONE_PREFIX = r"(?<!\d)\+\d{1,3}[-.\s]?(?:\(\d{2,4}\)[-.\s]?)?\d{2,4}[-.\s]?\d{3,4}(?:[-.\s]?\d{2,4})?(?!\d)"
+PHONE_CUE = r"(?i)(?<=\b(?:tel|telefon|telephone|phone|mobil|mobile|handy|fax)\b\.?[^\p{L}\p{N}]{0,4})(?:\(\d{2,4}\)[-.\s]?)?\d{2,4}[-.\s]\d{3,4}(?:[-.\s]\d{2,4})?(?!\d)"
+# HTML that may not leave, and link schemes.
+HTML = (r"(?is)<script.*?>.*?</script>", r"(?is)<style.*?>.*?</style>", r"(?is)<iframe.*?>.*?</iframe>", r"(?is)<object.*?>.*?</object>", r"(?is)<embed.*?>", r"(?s)<!--.*?-->")
+LINK = r"(?i)(!?\[[^\]]*\])\((?=\s*(?:javascript|data|vbscript|file):)[^)]+\)"
+# Refusals by language, for what was asked and for what would have been answered.
+REFUSED_PROMPT = {
+    "EN": "I can help with the document content, but I cannot follow instructions that try to override system rules, reveal hidden prompts, or expose secrets.",
+    "DE": "Ich kann beim Dokumentinhalt helfen, aber ich kann keine Anweisungen befolgen, die Systemregeln überschreiben, verborgene Prompts offenlegen oder Geheimnisse preisgeben sollen.",
+    "FR": "Je peux aider sur le contenu du document, mais je ne peux pas suivre des instructions visant à contourner les règles système, révéler des prompts cachés ou exposer des secrets.",
+    "IT": "Posso aiutare con il contenuto del documento, ma non posso seguire istruzioni che tentano di aggirare le regole di sistema, rivelare prompt nascosti o esporre segreti.",
+    "ES": "Puedo ayudar con el contenido del documento, pero no puedo seguir instrucciones que intenten anular las reglas del sistema, revelar prompts ocultos o exponer secretos.",
+}
+REFUSED_ANSWER = {
+    "EN": "I can provide grounded help with the document content, but I cannot return hidden prompts, internal instructions, secrets, or unsafe executable output.",
+    "DE": "Ich kann inhaltlich beim Dokument helfen, aber ich kann keine verborgenen Prompts, internen Anweisungen, Geheimnisse oder unsicheren ausführbaren Inhalte ausgeben.",
+    "FR": "Je peux aider sur le contenu du document, mais je ne peux pas renvoyer de prompts cachés, d'instructions internes, de secrets ou de sortie exécutable non sûre.",
+    "IT": "Posso aiutare con il contenuto del documento, ma non posso restituire prompt nascosti, istruzioni interne, segreti o output eseguibile non sicuro.",
+    "ES": "Puedo ayudar con el contenido del documento, pero no puedo devolver prompts ocultos, instrucciones internas, secretos ni salida ejecutable insegura.",
+}
+_START = re.compile(r"^(\(\?i\))?\\b")  # before a word's character one look back does
+_edged = lambda patterns: tuple(_START.sub(lambda m: (m[1] or "") + r"(?<!\w)", p).replace(r"\b", EDGE) for p in patterns)
+_RULES, _SECRETS, _LEAKS, _PROMPT_LEAKS = _edged(p for _, p, _ in INJECTION), _edged(SECRETS), _edged(LEAKS), _edged(PROMPT_LEAKS)
+_SSN, _EMAIL = _edged((SSN, EMAIL))
+# The cue as a group instead of a look back, which would be tried at every place of a text.
+_PHONE_CUE = PHONE_CUE.replace("(?<=", "(", 1).replace(r"\b(?:tel", r"(?<!\w)(?:tel").replace(r")\b\.?", r")(?!\w)\.?")
+TRUNCATED = "\n\n[Output truncated for safety]"
 
 
 def redact_secrets(text: Column) -> tuple[Column, Column]:
     """The text without secrets and how many were found, each pattern working on what the one before left."""
     found = F.lit(0)
-    for p in SECRETS:
+    for p in _SECRETS:
         found = found + F.regexp_count(text, F.lit(p))
         text = F.regexp_replace(text, p, REDACTED)
     return text, found
 
 
+def strip_invisible(text: Column) -> Column:
+    """Control, zero-width, direction and tag characters become spaces."""
+    return F.regexp_replace(text, INVISIBLE, " ")
+
+
+def _rules(text: Column) -> Column:
+    """An array with the number of each rule that matches; a rule is tried only where one of its guards occurs."""
+
+    def matched(x: Column) -> Column:
+        def hit(i: int) -> Column:
+            guard = reduce(Column.__or__, (F.contains(x.low, F.lit(g)) for g in GUARDS[i]))
+            guard = guard & x.text.rlike(LINES[i]) if i in LINES else guard
+            return F.when(F.when(guard, x.text.rlike(_RULES[i])).otherwise(False), F.lit(i))
+
+        return F.filter(F.array(*map(hit, range(len(INJECTION)))), lambda i: i.isNotNull())
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), matched)
+
+
+def injection_scan(text: Column) -> Column:
+    """A struct (score, labels, suspicious, blocked) of a text in NFKC without invisible characters; null text scores 0."""
+    scores, labels = F.array(*(F.lit(n) for *_, n in INJECTION)), F.array(*(F.lit(k) for k, *_ in INJECTION))
+
+    def decided(hits: Column) -> Column:
+        found = F.transform(hits, lambda i: F.get(labels, i))
+        score = F.aggregate(hits, F.lit(0), lambda s, i: s + F.get(scores, i))
+        return let(score, lambda n: F.struct(n.alias("score"), found.alias("labels"), (n >= 5).alias("suspicious"), ((n >= 10) | F.arrays_overlap(found, F.array(*map(F.lit, BLOCKING)))).alias("blocked")))
+
+    return let(_rules(F.coalesce(text, F.lit(""))), decided)
+
+
 def injection_score(text: Column) -> Column:
-    return sum((F.when(text.rlike(p), n).otherwise(0) for _, p, n in INJECTION), F.lit(0))
+    return injection_scan(text).score
 
 
 def injection_labels(text: Column) -> Column:
-    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p, _ in INJECTION)), lambda x: x.isNotNull())
+    return injection_scan(text).labels
 
 
 def injection_blocked(text: Column) -> Column:
-    return (injection_score(text) >= 10) | F.arrays_overlap(injection_labels(text), F.array(*map(F.lit, BLOCKING)))
+    return injection_scan(text).blocked
 
 
 def safe_lines(text: Column) -> Column:
     """The lines that no rule calls suspicious (a score of five or more: any rule)."""
-    return F.trim(F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: injection_score(x) < 5), "\n"))
+    return F.trim(F.array_join(F.filter(F.split(text, r"\r?\n"), lambda x: F.size(_rules(x)) == 0), "\n"))
+
+
+def sanitize_payload(text: Column, label: Column) -> Column:
+    """What of an untrusted text may enter a prompt: all of it, or what remains without its suspicious lines, with a notice
+    where it was blocked or nothing remains; label names it there."""
+    removed = F.concat(F.lit("[Potential prompt injection content removed from "), label, F.lit("]"))
+
+    def kept(x: Column) -> Column:
+        lines = safe_lines(x)
+        cut = let(F.struct(injection_scan(x).alias("scan"), lines.alias("lines")), lambda s: F.when(~s.scan.suspicious, x).when(s.lines == "", removed).when(s.scan.blocked, F.concat(removed, F.lit("\n"), s.lines)).otherwise(s.lines))
+        return F.when(x == "", F.concat(F.lit("[No "), label, F.lit(" available]"))).otherwise(cut)
+
+    return let(F.trim(strip_invisible(F.coalesce(text, F.lit("")))), kept)
+
+
+def leaks(text: Column) -> Column:
+    """Whether an answer shows a system prompt, an API key or a secret token."""
+    clean = strip_invisible(F.coalesce(text, F.lit("")))
+    return let(clean, lambda x: reduce(Column.__or__, (x.rlike(p) for p in _LEAKS)))
+
+
+def prompt_leaks(text: Column) -> Column:
+    return let(text, lambda x: reduce(Column.__or__, (x.rlike(p) for p in _PROMPT_LEAKS)))
+
+
+def emails(text: Column) -> Column:
+    """The distinct addresses of a text in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_EMAIL), F.lit(0)), F.lower)))
+
+
+def _replaced(text: Column, patterns: tuple[str, ...], by: str) -> Column:
+    """A struct (text, n): each pattern replaced in what the one before left, and how often in all."""
+
+
+    def once(p: str):
+        return lambda s: F.struct(F.regexp_replace(s.text, p, by).alias("text"), (s.n + F.regexp_count(s.text, F.lit(p))).alias("n"))
+
+    state = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    for p in patterns:
+        state = let(state, once(p))
+    return state
+
+
+def redact_pii(text: Column, mode: str = "numbers_safe", known: Column | None = None) -> Column:
+    """A struct (text, n) without personal data. off: nothing goes; strict: numbers, all addresses and whatever is grouped like
+    a telephone number; numbers_safe: addresses that aren't among `known` (lower case), and telephone numbers with a prefix
+    or a cue word before them."""
+    if mode == "off":
+        return F.struct(text.alias("text"), F.lit(0).alias("n"))
+    if mode == "strict":
+        return _replaced(text, (_SSN, _EMAIL, PHONE_ANY), REDACTED)
+    known = F.array().cast("array<string>") if known is None else F.coalesce(known, F.array().cast("array<string>"))
+
+    def addresses(s: Column) -> Column:
+        def put(x: Column) -> Column:
+            out = F.transform(F.sequence(F.lit(1), F.size(x.parts)), lambda i: F.concat(F.get(x.parts, i - 1), F.when(i > F.size(x.found), F.lit("")).when(F.array_contains(known, F.lower(F.get(x.found, i - 1))), F.get(x.found, i - 1)).otherwise(F.lit(REDACTED))))
+            n = F.size(F.filter(x.found, lambda f: ~F.array_contains(known, F.lower(f))))
+            return F.struct(F.array_join(out, "").alias("text"), (s.n + n).alias("n"))
+
+        none = F.struct(s.text.alias("text"), s.n.alias("n"))
+        split = F.struct(F.split(s.text, _EMAIL, -1).alias("parts"), F.regexp_extract_all(s.text, F.lit(_EMAIL), F.lit(0)).alias("found"))
+        return F.when(F.contains(s.text, F.lit("@")), let(split, put)).otherwise(none)
+
+    state = let(_replaced(text, (_SSN,), REDACTED), addresses)
+    return let(state, lambda s: let(_replaced(s.text, (PHONE_PREFIX,), REDACTED), lambda t: let(_replaced(t.text, (_PHONE_CUE,), "$1" + REDACTED), lambda u: F.struct(u.text.alias("text"), (s.n + t.n + u.n).alias("n")))))
+
+
+def strip_html(text: Column) -> Column:
+    """A struct (text, n) without scripts, styles, frames, objects, embeds and comments."""
+    return _replaced(text, HTML, "")
+
+
+def safe_links(text: Column) -> Column:
+    """A struct (text, n): Markdown links to scripts, data or files lead nowhere."""
+    return _replaced(text, (LINK,), "$1(#)")
 
 
 def length_guard(text: Column, most: int = 24_000, notice: str = "\n\n[Truncated]") -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 100)), F.lit(notice))).otherwise(text)
+
+
+def filter_output(answer: Column, language: Column, mode: str = "numbers_safe", known: Column | None = None) -> Column:
+    """The answer that may be given: a struct (answer, blocked, filtered, reasons, n_redacted).
+
+    answer is in NFKC; null counts as empty. A leaked prompt, an endless repetition or nothing left is answered by a refusal
+    in the language. Redactions follow each other: secrets, personal data, HTML, links."""
+    refusal = F.coalesce(F.create_map(*(F.lit(x) for kv in REFUSED_ANSWER.items() for x in kv))[language], F.lit(REFUSED_ANSWER["EN"]))
+    trim = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    start = trim(strip_invisible(F.coalesce(answer, F.lit(""))))
+
+    def cut(x: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.left(x, F.lit(24_000 - 100)), r"(?U)\s+$", ""), F.lit(TRUNCATED))
+        return F.struct(F.when(F.length(x) > 24_000, short).otherwise(x).alias("text"), (F.length(x) > 24_000).alias("cut"))
+
+    def step(state: Column, name: str, found) -> Column:
+        return let(state, lambda s: let(found(s.text), lambda t: F.struct(t.text.alias("text"), s.cut.alias("cut"), (s.n + t.n).alias("n"), F.concat(s.reasons, F.when(t.n > 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))).alias("reasons"))))
+
+    def rest(s0: Column) -> Column:
+        none = F.array().cast("array<string>")
+        state = F.struct(s0.text.alias("text"), s0.cut.alias("cut"), F.lit(0).alias("n"), F.when(s0.cut, F.array(F.lit("safety_length_truncation"))).otherwise(none).alias("reasons"))
+        state = step(state, "secret_redaction", lambda t: _replaced(t, _SECRETS, REDACTED))
+        state = step(state, "pii_redaction", lambda t: redact_pii(t, mode, known))
+        state = step(state, "html_sanitized", strip_html)
+        state = step(state, "unsafe_links_sanitized", safe_links)
+
+        def out(s: Column) -> Column:
+            why = F.when(repetitive(s.text), "excessive_repetition").when(trim(s.text) == "", "empty_after_filtering")
+            bad = let(why, lambda w: F.when(w.isNotNull(), F.struct(refusal.alias("answer"), F.lit(True).alias("blocked"), F.lit(True).alias("filtered"), F.concat(s.reasons, F.array(w)).alias("reasons"), s.n.alias("n_redacted"))))
+            good = F.struct(trim(s.text).alias("answer"), F.lit(False).alias("blocked"), (F.size(s.reasons) > 0).alias("filtered"), s.reasons.alias("reasons"), s.n.alias("n_redacted"))
+            return F.coalesce(bad, good)
+
+        leaked = F.struct(refusal.alias("answer"), F.lit(True).alias("blocked"), F.lit(True).alias("filtered"), F.array(F.lit("prompt_leak")).alias("reasons"), F.lit(0).alias("n_redacted"))
+        return F.when(prompt_leaks(s0.text), leaked).otherwise(let(state, out))
+
+    return let(let(start, cut), rest)
+
+
+def redact_sentence(sentence: Column, mode: str = "numbers_safe", known: Column | None = None) -> Column:
+    """A struct (text, halted) of a streamed sentence in NFKC: redacted like a whole answer, or nothing and halted on a leak."""
+
+    def cleaned(x: Column) -> Column:
+        chain = let(_replaced(x, _SECRETS, REDACTED).text, lambda t: let(redact_pii(t, mode, known).text, lambda u: safe_links(strip_html(u).text).text))
+        return F.when(prompt_leaks(x), F.struct(F.lit("").alias("text"), F.lit(True).alias("halted"))).otherwise(F.struct(chain.alias("text"), F.lit(False).alias("halted")))
+
+    return let(strip_invisible(F.coalesce(sentence, F.lit(""))), cleaned)
+
+
+def mask_trace(text: Column) -> Column:
+    """Text for observability: secrets and personal data go, known addresses too."""
+    return redact_pii(_replaced(strip_invisible(text), _SECRETS, REDACTED).text).text

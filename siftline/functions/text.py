@@ -93,8 +93,9 @@ def overview_intent(query: Column, scope: Column) -> Column:
 
 
 def lexical_overlap(query: Column, words: Column) -> Column:
-    """Share of query tokens that a text token equals or, from five characters on, shares a prefix with."""
-    hit = lambda t: F.array_contains(words, t) | ((F.length(t) >= 5) & F.exists(words, lambda x: (F.length(x) >= 5) & (x.startswith(t) | t.startswith(x))))
+    """Share of query tokens that a text token equals, or, if the query token has five characters or more, of which one is
+    the other's prefix."""
+    hit = lambda t: F.array_contains(words, t) | ((F.length(t) >= 5) & F.exists(words, lambda x: x.startswith(t) | t.startswith(x)))
     return F.when(F.size(query) > 0, F.size(F.filter(query, hit)) / F.size(query)).otherwise(0.0)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.columns import let
+
 # Titles of sources that have none, or that are gone.
 UNTITLED, GONE = "Unbenanntes Dokument", "Nicht mehr vorhandenes Dokument"
 
@@ -32,6 +34,69 @@ def cited(answer: Column, n_evidence: Column) -> Column:
     return F.struct(F.filter(numbers, good).alias("valid"), F.size(F.filter(numbers, lambda x: ~good(x))).alias("out_of_range"))
 
 
+MARKER = r"([ \t]*)\[(\d+(?:\s*,\s*\d+)*)\]"
+
+
+def _numbers(group: Column) -> Column:
+    """A marker's numbers; more than nine digits name nothing."""
+    return F.transform(F.split(group, r"\s*,\s*"), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
+
+
+def resolve_citations(answer: Column, n_evidence: Column) -> Column:
+    """A struct (answer, cited, invalid, fell_back): the answer without markers of evidence that isn't there, the evidence
+    numbers (from 1) it names by first appearance (all of them if it names none), and how many markers named nothing.
+
+    Without evidence the answer stays as it is. Markers like [WEB-1] are none."""
+
+    def done(x: Column) -> Column:
+        good = lambda i: (i >= 1) & (i <= n_evidence)
+        all_ = F.flatten(F.transform(x.lists, _numbers))
+
+        def written(i: Column) -> Column:
+            numbers, group = _numbers(F.get(x.lists, i)), F.get(x.found, i)
+            kept = F.filter(numbers, good)
+            lead = F.get(x.leads, i)
+            return F.when(F.size(kept) == 0, F.lit("")).when(F.size(kept) == F.size(numbers), group).otherwise(F.concat(lead, F.lit("["), F.array_join(kept.cast("array<string>"), ", "), F.lit("]")))
+
+        n = F.size(x.found)
+        text = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(x.parts, i), F.when(i < n, written(i)).otherwise(F.lit("")))), "")
+        cited = F.array_distinct(F.filter(all_, good))
+        every = F.when(n_evidence > 0, F.sequence(F.lit(1), n_evidence)).otherwise(F.array().cast("array<int>"))
+        none = F.size(cited) == 0
+        out = F.struct(text.alias("answer"), F.when(none, every).otherwise(cited).alias("cited"), F.size(F.filter(all_, lambda i: ~good(i))).alias("invalid"), none.alias("fell_back"))
+        plain = F.struct(answer.alias("answer"), F.array().cast("array<int>").alias("cited"), F.lit(0).alias("invalid"), F.lit(False).alias("fell_back"))
+        return F.when(n_evidence > 0, out).otherwise(plain)
+
+    group = lambda k: F.regexp_extract_all(answer, F.lit(MARKER), F.lit(k))
+    return let(F.struct(F.split(answer, MARKER, -1).alias("parts"), group(0).alias("found"), group(1).alias("leads"), group(2).alias("lists")), done)
+
+
+def sentences(text: Column) -> Column:
+    """The parts between ends of sentences and white space after them, trimmed; empty ones left out."""
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def cited_sentences(answer: Column, n_evidence: Column) -> Column:
+    """An array of (sentence, cited) of the sentences with a marker of evidence that is there, numbers from 1 by appearance."""
+    def numbers(x: Column) -> Column:
+        return F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all(x, F.lit(MARKER), F.lit(2)), _numbers)), lambda i: (i >= 1) & (i <= n_evidence)))
+
+    return F.filter(F.transform(sentences(answer), lambda x: F.struct(x.alias("sentence"), numbers(x).alias("cited"))), lambda s: F.size(s.cited) > 0)
+
+
+def distinct_citations(rows: DataFrame) -> DataFrame:
+    """The first of each answer's citations (answer_id, ord, document_id, page, chunk_id) that name the same place."""
+    key = ["answer_id", "document_id", "page", "chunk_id"]
+    return rows.groupBy(*key).agg(F.min("ord").alias("ord"))
+
+
+def valid_citations(citations: Column) -> Column:
+    """Of an array of (document_id, page, chunk_id) strings, those with both ids and a page above 0, as a number."""
+    page = lambda c: c.page.try_cast("int")
+    good = F.filter(citations, lambda c: c.document_id.isNotNull() & c.chunk_id.isNotNull() & F.coalesce(page(c) > 0, F.lit(False)))
+    return F.transform(good, lambda c: F.struct(c.document_id.alias("document_id"), page(c).alias("page"), c.chunk_id.alias("chunk_id")))
+
+
 def sources(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, ord, document_id, title, pages): each answer's cited documents in the order of their first citation.
 

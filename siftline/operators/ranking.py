@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
+from siftline.functions.columns import few
 
-QUERY_BLOCK = 4096  # query vectors that a task holds at once
+QUERIES, CHUNKS = 50_000, 500_000  # query and chunk vectors that a task of the vector search joins
+SUB = 1024  # queries that are multiplied with a batch at once
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "ord", by: str = "query_id") -> DataFrame:
@@ -23,49 +25,79 @@ def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> Dat
     return ranked(df, order, by=by).where(F.col("ord") <= k)
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    norms = np.linalg.norm(queries, axis=1)
+def _unit(rows: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Vectors at length 1 in double precision; a zero vector stays zero."""
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    norms = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
+
+def _best(k: int, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar of each row, ties by id."""
+    order = np.lexsort((ids, -sims), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (part, block, side, id, embedding) come sorted: a task's queries, then its chunks, of which it keeps the best
+        k for each query."""
+        at, queries, vectors, ids, sims = None, [], [], None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if ids is not None:
+                found = np.isfinite(sims)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.concatenate(queries), ids.shape[1])[found.ravel()]), pa.array(ids[found]), pa.array(sims[found])], ["query_id", "chunk_id", "similarity"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            chunk, rows = b.column(0).to_numpy(), b.column(1)
-            flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(len(chunk), -1)
-            scale = norms[:, None] * np.linalg.norm(x, axis=1)[None, :]
-            sim = np.round(np.divide(queries @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-            best = np.lexsort((np.broadcast_to(chunk, sim.shape), -sim), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(chunk[best].ravel()), pa.array(np.take_along_axis(sim, best, 1).ravel())], ["query_id", "chunk_id", "similarity"])
+            part, block, side = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if i == j:
+                    continue
+                if (part[i], block[i]) != at:
+                    yield from out()
+                    at, queries, vectors, ids, sims = (part[i], block[i]), [], [], None, None
+                names, x = b.column(3).to_numpy()[i:j], _unit(b.column(4).slice(i, j - i), j - i)
+                if side[i] == 0:
+                    queries.append(names)
+                    vectors.append(x)
+                elif queries:
+                    if len(vectors) > 1:
+                        queries, vectors = [np.concatenate(queries)], [np.concatenate(vectors)]
+                    if ids is None:
+                        ids, sims = np.zeros((len(vectors[0]), k), np.int64), np.full((len(vectors[0]), k), -np.inf)
+                    for q in range(0, len(vectors[0]), SUB):
+                        new = np.round(vectors[0][q : q + SUB] @ x.T, 6)
+                        both = np.concatenate([ids[q : q + SUB], np.broadcast_to(names, new.shape)], 1)
+                        ids[q : q + SUB], sims[q : q + SUB] = _best(k, both, np.concatenate([sims[q : q + SUB], new], 1))
+        yield from out()
 
     return run
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, similarity, ord): exact cosine top-k of queries (query_id, embedding) over chunks (chunk_id,
-    embedding), vectors of one length. Queries go to the tasks in blocks of QUERY_BLOCK; each task cuts its part to k
-    before the shuffle, so what is sent is k rows for each query and batch, never all pairs."""
-    out = None
-    block: list = []
-
-    def done(rows: list) -> DataFrame:
-        m = np.array([r[1] for r in rows], np.float64)
-        return chunks.select("chunk_id", "embedding").mapInArrow(_nearest(np.array([r[0] for r in rows], np.int64), m, k), "query_id long, chunk_id long, similarity double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = done(block) if out is None else out.unionByName(done(block)), []
-    if block or out is None:
-        out = done(block or [(-1, [0.0])]).where("query_id >= 0") if out is None else out.unionByName(done(block))
-    return top(out, k, [F.desc("similarity"), F.col("chunk_id")])
+    embedding), vectors of one length. A block nested loop: queries and chunks are cut into parts of a bounded size, each
+    pair of parts is a task that keeps k rows for each of its queries. Nothing passes through the driver."""
+    q, c = queries.select(F.col("query_id").cast("long").alias("id"), "embedding"), chunks.select(F.col("chunk_id").cast("long").alias("id"), "embedding")
+    width = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks, parts = -(-max(1, q.count()) // QUERIES), max(-(-c.count() // CHUNKS), min(width, 64))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = q.withColumn("block", mine(blocks)).withColumn("part", each(parts)).withColumn("side", F.lit(0))
+    right = c.withColumn("part", mine(parts)).withColumn("block", each(blocks)).withColumn("side", F.lit(1))
+    work = left.unionByName(right).select("part", "block", "side", "id", "embedding")
+    found = work.repartition("part", "block").sortWithinPartitions("part", "block", "side").mapInArrow(_nearest(k), "query_id long, chunk_id long, similarity double")
+    return top(found, k, [F.desc("similarity"), F.col("chunk_id")])
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, rank, ord): 0.1 for each position of a chunk (chunk_id, text) whose token the query (query_id,
-    text) has; query tokens of three characters or more. Positions are counted by chunk and token before the join."""
-    wanted = queries.select("query_id", F.explode(X.query_tokens(F.col("text"), 3)).alias("token"))
-    postings = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("token")).where(F.length("token") >= 3).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
+    text) has; query tokens of three characters or more, however many. Only tokens that some query has are counted."""
+    wanted = queries.select("query_id", F.explode(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= 3))).alias("token"))
+    asked = few(wanted.select("token").distinct(), F.length("token") + 40)
+    postings = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("token")).join(asked, "token", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
     found = postings.join(wanted, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("n") * 0.1, 6).alias("rank"))
     return top(found, k, [F.desc("rank"), F.col("chunk_id")])
 
@@ -88,44 +120,134 @@ def weighted_fusion(branches: DataFrame, k: int = 60) -> DataFrame:
     return ranked(fused, [F.desc("score"), F.col("_first"), F.col("chunk_id")]).drop("_first")
 
 
-def heuristic_rerank(pool: DataFrame) -> DataFrame:
-    """Adds rerank_score and relevance to a pool (query_id, chunk_id, score, similarity, lexical, exact, same_language, ord)."""
+def pool_merge(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """One row of each (query_id, key), the one with the best relevance (the earlier by ord if equal), and a new ord by that
+    relevance, then first sight."""
+    rest = [c for c in rows.columns if c not in ("query_id", key)]
+    best = F.max_by(F.struct(*rest), F.struct(F.coalesce("relevance", F.lit(float("-inf"))), -F.col("ord")))
+    merged = rows.groupBy("query_id", key).agg(best.alias("_b"), F.min("ord").alias("_first")).select("query_id", key, "_b.*", "_first")
+    return ranked(merged.drop("ord"), [F.desc("relevance"), F.col("_first"), F.col(key)]).drop("_first")
+
+
+def variation_merge(lists: DataFrame) -> DataFrame:
+    """Vector results (query_id, variation, ord, chunk_id, score) of a query's variations as one list: the best score of each
+    chunk, ties by first sight (variation, ord)."""
+    g = lists.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min(F.struct("variation", "ord")).alias("_first"))
+    return ranked(g, [F.desc("score"), F.col("_first"), F.col("chunk_id")]).drop("_first")
+
+
+def candidate_limit(top_k: int, pool: int, least: int = 20) -> int:
+    """How many candidates each search fetches."""
+    return max(4 * top_k, pool, least)
+
+
+def heuristic_rerank(pool: DataFrame, size: int | None = None) -> DataFrame:
+    """Adds rerank_score and relevance to the first `size` rows of each pool (query_id, chunk_id, score, similarity, lexical,
+    exact, same_language, ord); the others leave. A pool whose best score is 0 counts as even."""
+    pool = pool.where(F.col("ord") <= max(1, size)) if size is not None else pool
     best = F.max("score").over(Window.partitionBy("query_id"))
     vec = F.coalesce(F.col("similarity"), 0.6 * F.col("lexical"))
     clamp = lambda c: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), 9)
-    order = 0.55 * F.col("score") / F.when(best == 0, 1.0).otherwise(best) + 0.30 * F.col("lexical") + 0.10 * vec + 0.05 * F.col("exact") + 0.04 * F.col("same_language")
+    order = 0.55 * F.when(best > 0, F.col("score") / best).otherwise(1.0) + 0.30 * F.col("lexical") + 0.10 * vec + 0.05 * F.col("exact") + 0.04 * F.col("same_language")
     out = pool.withColumns({"rerank_score": clamp(order), "relevance": clamp(0.65 * vec + 0.30 * F.col("lexical") + 0.05 * F.col("exact"))})
     return ranked(out.withColumnRenamed("ord", "_in"), [F.desc("rerank_score"), F.desc("score"), F.col("_in")]).drop("_in")
 
 
+def text_features(pool: DataFrame) -> DataFrame:
+    """Adds lexical, exact and same_language to rows (query, query_language, title, context, content, language)."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("context", F.lit("")), F.coalesce("content", F.lit(""))))
+    overlap = X.lexical_overlap(X.query_tokens(F.col("query")), F.array_distinct(X.tokens(text)))
+    return pool.withColumns({"lexical": overlap, "exact": F.contains(text, F.col("query")).cast("int"), "same_language": F.coalesce((F.col("language") == F.col("query_language")).cast("int"), F.lit(0))})
+
+
+def encoder_text(title: Column, context: Column, content: Column, with_context: bool, most: int = 4096, head: int = 1024) -> Column:
+    """What a cross-encoder reads of a chunk: title and content, or a bounded header of title and context with as much content
+    as the rest of the bound holds."""
+    plain = F.left(F.concat(title, F.lit("\n"), content), F.lit(most))
+    if not with_context:
+        return plain
+    header = F.left(F.concat(title, F.lit("\n"), context), F.lit(head))
+    full = F.concat(header, F.lit("\n"), F.left(content, F.lit(most) - F.length(header) - 1))
+    return F.when(F.coalesce(context, F.lit("")) == "", plain).otherwise(full)
+
+
+def cross_encoder(rows: DataFrame, scores: DataFrame, cap: int = 100) -> DataFrame:
+    """rows (query_id, chunk_id, ord, ...) in the order of a provider's scores (query_id, chunk_id, score): the first `cap` by
+    score, the others behind them as they were. A query for which any of the capped rows lacks a score keeps its order."""
+    q = Window.partitionBy("query_id")
+    got = rows.join(scores.select("query_id", "chunk_id", F.col("score").alias("_s")), ["query_id", "chunk_id"], "left")
+    in_cap = F.col("ord") <= cap
+    got = got.withColumn("_all", F.min((F.col("_s").isNotNull() | ~in_cap).cast("int")).over(q) == 1)
+    got = got.withColumn("_new", in_cap & F.col("_all"))
+    new = F.col("_new")
+    put = lambda c, v: F.when(new, v).otherwise(F.col(c) if c in rows.columns else F.lit(None))
+    got = got.withColumns({"rerank_score": put("rerank_score", F.col("_s")), "relevance": put("relevance", F.col("_s")), "scale": put("scale", F.lit("cross_encoder"))})
+    order = [F.when(new, 0).otherwise(1), F.when(new, -F.col("_s")), F.col("_in")]
+    return ranked(got.withColumnRenamed("ord", "_in"), order).drop("_in", "_s", "_all", "_new")
+
+
 def adjacency_boost(rows: DataFrame, boost: float = 0.05) -> DataFrame:
-    """Adds the boost once for each neighbour in (query_id, document_id) by page that is at most one page away."""
-    w = Window.partitionBy("query_id", "document_id").orderBy("page", "ord")
-    near = lambda c: F.coalesce((F.abs(F.col("page") - c) <= 1).cast("int"), F.lit(0))
-    return rows.withColumn("boosted", F.round(F.col("score") + boost * (near(F.lag("page").over(w)) + near(F.lead("page").over(w))), 9))
+    """Adds the boost once for each neighbour in (query_id, document_id) by page that is at most one page away, and orders by
+    the boosted score; ties by the document's first appearance, page and former place."""
+    doc = Window.partitionBy("query_id", "document_id")
+    w = doc.orderBy("page", "ord")
+    near = lambda gap: F.coalesce((gap <= 1).cast("int"), F.lit(0))
+    n = near(F.col("page") - F.lag("page").over(w)) + near(F.lead("page").over(w) - F.col("page"))
+    rows = rows.withColumns({"boosted": F.round(F.col("score") + boost * n, 9), "_first": F.min("ord").over(doc)})
+    return ranked(rows.withColumnRenamed("ord", "_in"), [F.desc("boosted"), F.col("_first"), F.col("page"), F.col("_in")]).drop("_first", "_in")
 
 
 def diversify(rows: DataFrame, top_k: int, cap: int, floor: float) -> DataFrame:
     """Soft cap of `cap` rows for each document among the first top_k: rows (query_id, document_id, ord from 1, relevance,
-    scale). Order: chosen, then deferred by the cap, then the rest. Nothing changes if the cap is 0 or the list is short."""
+    scale). Order: chosen; rows the cap put off, as far as the first top_k has room; all others as they were. Nothing
+    changes if the cap is 0 or the list is short."""
     if cap <= 0:
         return rows.withColumn("place", F.col("ord"))
     q, d = Window.partitionBy("query_id"), Window.partitionBy("query_id", "document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     may = ((F.col("ord") <= top_k) | ((F.col("scale") == "cross_encoder") & (F.coalesce("relevance", F.lit(0.0)) >= floor))).cast("int")
-    rows = rows.withColumn("_may", may)
-    held = F.least(F.lit(cap), F.coalesce(F.sum("_may").over(d), F.lit(0)))
+    rows = rows.withColumn("_may", F.coalesce(may, F.lit(0)))
+    held = F.coalesce(F.sum("_may").over(d), F.lit(0))
     rows = rows.withColumns({"_full": held >= cap, "_n": F.count("*").over(q)})
     rows = rows.withColumn("_sel", (F.col("_may") == 1) & ~F.col("_full"))
-    rank = F.sum(F.col("_sel").cast("int")).over(q.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    group = F.when(F.col("_sel") & (rank <= top_k), 0).when(F.col("_full"), 1).otherwise(2)
+    upto = lambda c: F.sum(c.cast("int")).over(q.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_rank": upto(F.col("_sel")), "_late": upto(F.col("_full")), "_chosen": F.least(F.lit(top_k), F.sum(F.col("_sel").cast("int")).over(q))})
+    group = F.when(F.col("_sel") & (F.col("_rank") <= top_k), 0).when(F.col("_full") & (F.col("_chosen") + F.col("_late") <= top_k), 1).otherwise(2)
     rows = rows.withColumn("_g", F.when(F.col("_n") <= top_k, 0).otherwise(group))
-    return rows.withColumn("place", F.row_number().over(q.orderBy("_g", "ord"))).drop("_may", "_full", "_n", "_sel", "_g")
+    return rows.withColumn("place", F.row_number().over(q.orderBy("_g", "ord"))).drop("_may", "_full", "_n", "_sel", "_rank", "_late", "_chosen", "_g")
 
 
 def evidence_order(rows: DataFrame) -> DataFrame:
-    """Documents by their best score, the even ones to the front, the odd ones to the back in reverse; place from 1."""
-    best = rows.groupBy("query_id", "document_id").agg(F.max("score").alias("_best"), F.min("ord").alias("_first"))
-    p = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_best"), "_first")) - 1
-    best = best.withColumn("_p", p).withColumn("_key", F.when(F.col("_p") % 2 == 0, F.col("_p")).otherwise(1_000_000_000 - F.col("_p")))
-    out = rows.join(best.select("query_id", "document_id", "_key"), ["query_id", "document_id"])
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_key", "ord"))).drop("_key")
+    """Documents by their best score, the even ones to the front, the odd ones to the back in reverse; the rows of a single
+    document alternate so themselves; lists of up to two stay. place counts from 1."""
+    q, d = Window.partitionBy("query_id"), Window.partitionBy("query_id", "document_id")
+    out = rows.withColumns({"_n": F.count("*").over(q), "_best": F.max("score").over(d), "_first": F.min("ord").over(d)})
+    out = out.withColumns({"_one": F.min("_first").over(q) == F.max("_first").over(q), "_p": F.dense_rank().over(q.orderBy(F.desc("_best"), "_first")) - 1})
+    p = F.when(F.col("_one"), F.col("ord") - 1).otherwise(F.col("_p"))
+    key = F.when(F.col("_n") <= 2, 0).when(p % 2 == 0, p).otherwise(1_000_000_000 - p)
+    return out.withColumn("_key", key).withColumn("place", F.row_number().over(q.orderBy("_key", "ord"))).drop("_n", "_best", "_first", "_one", "_p", "_key")
+
+
+def representative(rows: DataFrame, limit: int) -> DataFrame:
+    """Up to `limit` rows of each document (document_id, ord from 0, readable): readable ones alone if there are enough of
+    them (`limit`, three at most), the first two and evenly spread others; where two spread places coincide, the lowest
+    place not yet taken stands in, so there are always `limit` different ones."""
+    d = Window.partitionBy("document_id")
+    enough = F.sum(F.col("readable").cast("int")).over(d) >= min(limit, 3)
+    kept = rows.withColumn("_ok", enough).where("readable or not _ok")
+    kept = kept.withColumns({"_i": F.row_number().over(d.orderBy("ord")) - 1, "_m": F.count("*").over(d)})
+    anchors = min(2, limit)
+    steps = F.transform(F.sequence(F.lit(1), F.lit(limit - anchors)), lambda k: F.least(F.col("_m") - 1, F.greatest(F.lit(anchors), F.floor(k / (limit - anchors) * (F.col("_m") - 1) + 0.5)))) if limit > anchors else F.array().cast("array<bigint>")
+    first = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), lambda i: i.cast("bigint")), steps))
+    spare = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(limit).cast("bigint")), first)
+    taken = F.concat(first, F.slice(spare, 1, F.lit(limit) - F.size(first)))
+    return kept.where((F.col("_m") <= limit) | F.array_contains(taken, F.col("_i").cast("bigint"))).drop("_ok", "_i", "_m")
+
+
+def overview(chunks: DataFrame, limit: int) -> DataFrame:
+    """Rows that stand for a whole document (document_id, chunk_id, ord from 0, content, context): representative ones in
+    order, scored max(0.9, 1 - 0.01 i); content that can't be read gives way to a context of no less quality."""
+    rows = chunks.withColumn("readable", ~X.low_readability(F.col("content")) | ~X.low_readability(F.col("context")))
+    rows = representative(rows, limit)
+    swap = X.low_readability(F.col("content")) & (X.text_quality(F.col("context")) >= X.text_quality(F.col("content")))
+    i = F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1
+    return rows.withColumns({"score": F.round(F.greatest(F.lit(0.9), 1 - 0.01 * i), 9), "content": F.when(swap, F.col("context")).otherwise(F.col("content"))}).drop("readable")

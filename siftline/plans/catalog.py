@@ -5,9 +5,6 @@ Every query runs over whole tables. Vector searches take as queries the vectors
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import safety as G
@@ -19,34 +16,16 @@ from siftline.operators import lifecycle as L
 from siftline.operators import metrics as A
 from siftline.operators import ranking as R
 from siftline.operators import state as S
+from siftline.plans.registry import JOBS, NOW, POOL, QUERIES, SQL, pool, query  # noqa: F401
 from siftline.sources.tables import jobs, table
+from siftline.plans import answers_catalog  # noqa: F401  registers its queries
 from siftline.streaming.windows import metric_windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NOW = "2024-01-30 00:00:00"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Pieces of SQL that several queries share.
-JOBS = """jobs AS (SELECT event_id AS id, user_id AS document_id,
-  CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'dead_letter' END AS status,
-  CAST(event_id % 5 AS INTEGER) AS attempt, ts AS created_at, CASE WHEN event_type = 'view' THEN ts END AS locked_at,
-  CASE WHEN event_type = 'view' THEN 'w' || (user_id % 7) END AS locked_by FROM events)"""
 VEC = """vsim AS (SELECT CAST(q.vec_id / 50 AS BIGINT) AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity
   FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS ord FROM vsim)"""
-KEY = r"""qt AS (SELECT DISTINCT item_id AS query_id, t AS token FROM (SELECT item_id, unnest(list_slice(list_filter(list_distinct_ordered, lambda x: length(x) >= 3), 1, 32)) AS t FROM
-  (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(l), lambda v: {'p': list_position(l, v), 'v': v})), lambda s: s.v) AS list_distinct_ordered FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 3) AS l FROM benchmark)))),
+KEY = r"""qt AS (SELECT DISTINCT item_id AS query_id, t AS token FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS t FROM benchmark) WHERE length(t) >= 3),
 post AS (SELECT doc_id AS chunk_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE length(token) >= 3 GROUP BY 1, 2),
 krank AS (SELECT query_id, chunk_id, round(sum(n) * 0.1::DOUBLE, 6) AS rank FROM post JOIN qt USING (token) GROUP BY 1, 2),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, chunk_id) AS ord FROM krank)"""
@@ -55,11 +34,6 @@ fv AS (SELECT query_id, chunk_id, ord AS vector_rank FROM vec WHERE ord <= 20),
 fused AS (SELECT query_id, chunk_id, vector_rank, keyword_rank, round(coalesce(1.0 / (60 + vector_rank), 0.0::DOUBLE) + coalesce(1.0 / (60 + keyword_rank), 0.0::DOUBLE), 9) AS score,
   CASE WHEN vector_rank IS NOT NULL AND keyword_rank IS NOT NULL THEN 'hybrid' WHEN vector_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS source FROM fv FULL OUTER JOIN fk USING (query_id, chunk_id)),
 franked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id) AS ord FROM fused)"""
-POOL = """pool AS (SELECT doc_id % 20 AS query_id, doc_id AS chunk_id, CAST(doc_id % 7 AS BIGINT) AS document_id, CAST(n_chars % 11 AS INTEGER) AS page, (n_chars % 101) / 100.0::DOUBLE AS score,
-  CASE WHEN doc_id % 3 > 0 THEN (n_chars % 89) / 88.0::DOUBLE END AS similarity, (n_chars % 13) / 12.0::DOUBLE AS lexical, CAST(doc_id % 2 AS INTEGER) AS exact, CAST(lang = 'en' AS INTEGER) AS same_language,
-  CASE WHEN doc_id % 2 = 0 THEN 'cross_encoder' ELSE 'heuristic' END AS scale FROM documents),
-listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS ord FROM pool)"""
-
 
 def vectors(spark, d):
     e = table(spark, d, "embeddings")
@@ -70,13 +44,6 @@ def keyword_lists(spark, d, k):
     return R.keyword_topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), k)
 
 
-def pool(spark, d):
-    """Documents as candidates of twenty queries, with scores made from their sizes."""
-    n, i = F.col("n_chars"), F.col("doc_id")
-    rows = table(spark, d, "documents").select((i % 20).alias("query_id"), i.alias("chunk_id"), (i % 7).alias("document_id"), (n % 11).cast("int").alias("page"), ((n % 101) / 100).alias("score"), F.when(i % 3 > 0, (n % 89) / 88).alias("similarity"), ((n % 13) / 12).alias("lexical"), (i % 2).cast("int").alias("exact"), (F.col("lang") == "en").cast("int").alias("same_language"), F.when(i % 2 == 0, "cross_encoder").otherwise("heuristic").alias("scale"))
-    return R.ranked(rows, [F.desc("score"), F.col("chunk_id")])
-
-
 @query(f"WITH {VEC} SELECT query_id, chunk_id, similarity, CAST(ord AS INTEGER) AS ord FROM vec WHERE ord <= 20")
 def vector_topk(spark, d):
     return R.vector_topk(*vectors(spark, d), 20)
@@ -109,22 +76,24 @@ def final_topk(spark, d):
 
 
 @query(f"""WITH {POOL}, s AS (SELECT *, coalesce(similarity, 0.6 * lexical) AS vec, max(score) OVER (PARTITION BY query_id) AS best FROM listed),
-t AS (SELECT query_id, chunk_id, score, ord, round(least(greatest(0.55 * score / CASE WHEN best = 0 THEN 1 ELSE best END + 0.30 * lexical + 0.10 * vec + 0.05 * exact + 0.04 * same_language, 0), 1), 9) AS rerank_score, round(least(greatest(0.65 * vec + 0.30 * lexical + 0.05 * exact, 0), 1), 9) AS relevance FROM s)
+t AS (SELECT query_id, chunk_id, score, ord, round(least(greatest(0.55 * CASE WHEN best > 0 THEN score / best ELSE 1 END + 0.30 * lexical + 0.10 * vec + 0.05 * exact + 0.04 * same_language, 0), 1), 9) AS rerank_score, round(least(greatest(0.65 * vec + 0.30 * lexical + 0.05 * exact, 0), 1), 9) AS relevance FROM s)
 SELECT query_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(relevance, 6) AS relevance FROM t""")
 def heuristic_rerank(spark, d):
     return R.heuristic_rerank(pool(spark, d)).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("relevance", 6).alias("relevance"))
 
 
-@query(f"""WITH {POOL}, w AS (SELECT query_id, chunk_id, score, page, lag(page) OVER x AS p, lead(page) OVER x AS n FROM listed WINDOW x AS (PARTITION BY query_id, document_id ORDER BY page, ord))
-SELECT query_id, chunk_id, round(score + 0.05 * (coalesce(CAST(abs(page - p) <= 1 AS INTEGER), 0) + coalesce(CAST(abs(page - n) <= 1 AS INTEGER), 0)), 6) AS boosted FROM w""")
+@query(f"""WITH {POOL}, w AS (SELECT *, page - lag(page) OVER x AS p, lead(page) OVER x - page AS n, min(ord) OVER (PARTITION BY query_id, document_id) AS first FROM listed WINDOW x AS (PARTITION BY query_id, document_id ORDER BY page, ord)),
+b AS (SELECT *, round(score + 0.05 * (CASE WHEN p <= 1 THEN 1 ELSE 0 END + CASE WHEN n <= 1 THEN 1 ELSE 0 END), 9) AS boosted FROM w)
+SELECT query_id, chunk_id, round(boosted, 6) AS boosted, CAST(row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, first, page, ord) AS INTEGER) AS ord FROM b""")
 def adjacency_boost(spark, d):
-    return R.adjacency_boost(pool(spark, d)).select("query_id", "chunk_id", F.round("boosted", 6).alias("boosted"))
+    return R.adjacency_boost(pool(spark, d)).select("query_id", "chunk_id", F.round("boosted", 6).alias("boosted"), "ord")
 
 
-@query(f"""WITH {POOL}, m AS (SELECT *, CAST(ord <= 8 OR (scale = 'cross_encoder' AND coalesce(similarity, 0) >= 0.25) AS INTEGER) AS may FROM listed),
+@query(f"""WITH {POOL}, m AS (SELECT *, CAST(ord <= 8 OR coalesce(scale = 'cross_encoder' AND coalesce(similarity, 0) >= 0.25, false) AS INTEGER) AS may FROM listed),
 h AS (SELECT *, coalesce(sum(may) OVER (PARTITION BY query_id, document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS full_, count(*) OVER (PARTITION BY query_id) AS n FROM m),
-s AS (SELECT *, may = 1 AND NOT full_ AS sel FROM h), r AS (SELECT *, sum(CAST(sel AS INTEGER)) OVER (PARTITION BY query_id ORDER BY ord) AS rk FROM s),
-g AS (SELECT *, CASE WHEN n <= 8 OR (sel AND rk <= 8) THEN 0 WHEN full_ THEN 1 ELSE 2 END AS grp FROM r)
+s AS (SELECT *, may = 1 AND NOT full_ AS sel FROM h),
+r AS (SELECT *, count(*) FILTER (sel) OVER w AS rk, count(*) FILTER (full_) OVER w AS late, count(*) FILTER (sel) OVER (PARTITION BY query_id) AS total FROM s WINDOW w AS (PARTITION BY query_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN n <= 8 OR (sel AND rk <= 8) THEN 0 WHEN full_ AND late <= 8 - least(8, total) THEN 1 ELSE 2 END AS grp FROM r)
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY grp, ord) AS INTEGER) AS place FROM g""")
 def doc_diversity(spark, d):
     return R.diversify(pool(spark, d).withColumn("relevance", F.col("similarity")), 8, 3, 0.25).select("query_id", "chunk_id", "place")
@@ -140,23 +109,51 @@ def branch_fusion(spark, d):
     return R.weighted_fusion(one.unionByName(two)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "kept_branch")
 
 
-@query(f"""WITH {POOL}, u AS (SELECT query_id, document_id, lexical AS relevance, ord FROM listed), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY relevance DESC, ord) AS k FROM u)
-SELECT query_id, document_id, relevance, CAST(ord AS INTEGER) AS ord FROM r WHERE k = 1""")
+@query(f"""WITH {POOL}, r AS (SELECT query_id, document_id, lexical AS relevance, chunk_id, ord, row_number() OVER (PARTITION BY query_id, document_id ORDER BY lexical DESC, ord) AS k, min(ord) OVER (PARTITION BY query_id, document_id) AS first FROM listed)
+SELECT query_id, document_id, chunk_id, relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, first) AS INTEGER) AS ord FROM r WHERE k = 1""")
 def pool_merge(spark, d):
-    best = F.max_by(F.struct("lexical", "ord"), F.struct("lexical", -F.col("ord")))
-    return pool(spark, d).groupBy("query_id", "document_id").agg(best.alias("b")).select("query_id", "document_id", F.col("b.lexical").alias("relevance"), "b.ord")
+    rows = pool(spark, d).select("query_id", "document_id", "chunk_id", "ord", F.col("lexical").alias("relevance"))
+    return R.pool_merge(rows, "document_id").select("query_id", "document_id", "chunk_id", "relevance", "ord")
 
 
-@query(f"""WITH {POOL}, b AS (SELECT query_id, document_id, max(score) AS best, min(ord) AS first FROM listed GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, first) - 1 AS p FROM b)
-SELECT l.query_id, l.chunk_id, CAST(row_number() OVER (PARTITION BY l.query_id ORDER BY CASE WHEN p % 2 = 0 THEN p ELSE 1000000000 - p END, l.ord) AS INTEGER) AS place FROM listed l JOIN p ON l.query_id = p.query_id AND l.document_id = p.document_id""")
+@query(f"""WITH {POOL}, v AS (SELECT query_id, chunk_id % 17 AS chunk_id, doc_id_part AS variation, ord, score FROM (SELECT *, chunk_id % 3 AS doc_id_part FROM listed)), g AS (SELECT query_id, chunk_id, max(score) AS score, min(variation * 1000000 + ord) AS first FROM v GROUP BY 1, 2)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INTEGER) AS ord FROM g""")
+def variation_merge(spark, d):
+    c = F.col("chunk_id")
+    return R.variation_merge(pool(spark, d).select("query_id", (c % 3).alias("variation"), "ord", (c % 17).alias("chunk_id"), "score"))
+
+
+@query(f"""WITH {POOL}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, count(DISTINCT document_id) OVER (PARTITION BY query_id) AS docs, max(score) OVER (PARTITION BY query_id, document_id) AS best, min(ord) OVER (PARTITION BY query_id, document_id) AS first FROM listed),
+p AS (SELECT *, CASE WHEN docs = 1 THEN ord - 1 ELSE dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, first) - 1 END AS p FROM n)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 2 THEN 0 WHEN p % 2 = 0 THEN p ELSE 1000000000 - p END, ord) AS INTEGER) AS place FROM p""")
 def evidence_order(spark, d):
     return R.evidence_order(pool(spark, d)).select("query_id", "chunk_id", "place")
 
 
-@query(f"""WITH {POOL}, g AS (SELECT query_id, count(*) AS n, max(lexical) AS top1, round(avg(lexical) FILTER (ord <= 3), 6) AS top3_mean, avg(lexical) FILTER (ord <= 2) AS m FROM listed GROUP BY 1)
-SELECT query_id, n, top1, top3_mean, n >= 2 AND top1 >= 0.14 AND m >= 0.07 AS sufficient FROM g""")
-def evidence_gate(spark, d):
-    return A.evidence(pool(spark, d).withColumn("relevance", F.col("lexical")))
+@query(f"""WITH {POOL}, s AS (SELECT query_id, chunk_id, ord, lexical AS s, ord <= 20 AS capped FROM listed WHERE chunk_id % 997 <> 5 OR ord > 20), a AS (SELECT query_id, min(CASE WHEN ord <= 20 AND chunk_id % 997 = 5 THEN 0 ELSE 1 END) AS ok FROM listed GROUP BY 1),
+r AS (SELECT l.query_id, l.chunk_id, l.ord, l.lexical, ok = 1 AND l.ord <= 20 AS fresh FROM listed l JOIN a USING (query_id))
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fresh THEN 0 ELSE 1 END, CASE WHEN fresh THEN -lexical END, ord) AS INTEGER) AS ord, CASE WHEN fresh THEN lexical END AS relevance FROM r""")
+def cross_encoder(spark, d):
+    """The lexical score as the provider's, missing for a few rows, whose queries so keep their order."""
+    p = pool(spark, d).select("query_id", "chunk_id", "ord", "lexical")
+    scores = p.where("chunk_id % 997 <> 5").select("query_id", "chunk_id", F.col("lexical").alias("score"))
+    return R.cross_encoder(p, scores, 20).select("query_id", "chunk_id", "ord", "relevance")
+
+
+@query(f"""WITH {POOL} SELECT chunk_id, CASE WHEN coalesce(context, '') = '' THEN left(title || chr(10) || content, 4096) ELSE left(title || chr(10) || context, 1024) || chr(10) || left(content, 4096 - length(left(title || chr(10) || context, 1024)) - 1) END AS text FROM pool""")
+def encoder_text(spark, d):
+    return pool(spark, d).select("chunk_id", R.encoder_text(F.col("title"), F.col("context"), F.col("content"), True).alias("text"))
+
+
+@query(r"""WITH r AS (SELECT doc_id // 40 AS document_id, doc_id AS chunk_id, n_chars % 5 > 0 AS readable, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id // 40 % 4 > 0 OR doc_id % 40 < 9),
+e AS (SELECT *, count(*) FILTER (readable) OVER (PARTITION BY document_id) >= 3 AS enough FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS m FROM e WHERE readable OR NOT enough),
+t AS (SELECT *, list_distinct(list_concat([0, 1], list_transform(range(1, 7), lambda j: CAST(least(m - 1, greatest(2, floor(j / 6.0 * (m - 1) + 0.5))) AS BIGINT)))) AS first FROM k),
+u AS (SELECT *, list_concat(first, list_slice(list_sort(list_filter(range(0, 9), lambda x: NOT list_contains(first, x))), 1, 8 - len(first))) AS taken FROM t)
+SELECT document_id, chunk_id FROM u WHERE m <= 8 OR list_contains(taken, i)""")
+def overview_rows(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").where((F.floor(i / 40) % 4 > 0) | (i % 40 < 9)).select(F.floor(i / 40).alias("document_id"), i.alias("chunk_id"), (F.col("n_chars") % 5 > 0).alias("readable"))
+    return R.representative(R.ranked(rows, [F.col("chunk_id")], by="document_id"), 8).select("document_id", "chunk_id")
 
 
 @query(r"SELECT doc_id, lower(trim(regexp_replace(text, '[\s]+', ' ', 'g'))) AS q FROM documents")
@@ -223,12 +220,6 @@ def repetition(spark, d):
     return table(spark, d, "documents").select("doc_id", X.repetitive(F.col("text")).alias("repetitive"))
 
 
-@query()
-def secret_redact(spark, d):
-    text, n = G.redact_secrets(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), n.alias("n_secrets"))
-
-
 @query("SELECT doc_id, CAST(" + " + ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN {n} ELSE 0 END" for _, p, n in G.INJECTION) + " AS INTEGER) AS score FROM documents")
 def injection_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", G.injection_score(F.col("text")).alias("score"))
