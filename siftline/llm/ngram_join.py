@@ -7,9 +7,7 @@ whole segment (the pigeonhole principle, so no link is lost). Sets with a common
 block's rows with themselves accumulates overlap counts over ranges of columns; after each range, pairs that their columns
 to come can't lift to the bound are discarded, and rows without a possible pair leave the later ranges.
 
-Large blocks are cut into parts. First each part, with the block's lead row in it, is multiplied by itself; then rows that
-this didn't connect with their lead meet the other parts. So copies of one text cost no more than their number, and rows go
-to several parts only if they are in a block without being similar to its lead. Texts are read where they lie: the table of
+Texts are read where they lie: the table of
 blocks, counted, goes to the texts unless it is too large.
 """
 
@@ -25,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import OF, PART, block_links
 from .common import few, keep, small_batches, utf8
 from .graph import components
 
-SHARE, OF, WORDS, PART = 90, 100, 3, 256
+SHARE, WORDS = 90, 3
 ENTRIES = 4_000_000  # shingles of a part at most, unless one row has more
-RANGE = 4096  # columns that are multiplied at once
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -169,109 +167,15 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
-def overlaps(sets: list[np.ndarray], apart: np.ndarray, share: int = SHARE, width: int = RANGE) -> list[tuple[int, int]]:
-    """Pairs of positions i < j whose sets are linked, where apart[i, j]; the product of the incidence matrix with itself,
-    accumulated over ranges of `width` columns."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    need = -(-share * (sizes[:, None] + sizes[None, :]) // (OF + share))  # the overlap that a link takes
-    may = apart & (np.minimum(sizes[:, None], sizes[None, :]) * OF >= share * np.maximum(sizes[:, None], sizes[None, :])) & (sizes[:, None] > 0)
-    may = np.triu(may | may.T, 1)
-    columns, column, degree = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    many = degree[column] > 1
-    order = np.argsort(column[many], kind="stable")
-    row, column = row[many][order], column[many][order]
-    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
-    left = np.bincount(row, minlength=len(sets))
-    acc = np.zeros((len(sets), len(sets)), np.int32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        may &= acc + np.minimum(left[:, None], left[None, :]) >= need  # what the columns to come can still add
-        alive = np.flatnonzero(may.any(0) | may.any(1))
-        if not len(alive):
-            return []
-        here = slice(*np.searchsorted(column, [at, at + width]))
-        block = np.zeros((len(sets), width), np.float32)
-        block[row[here], column[here] - at] = 1
-        some = block[alive]
-        acc[np.ix_(alive, alive)] += (some @ some.T).astype(np.int32)
-        left -= np.bincount(row[here], minlength=len(sets))
-    may &= acc * OF >= share * (sizes[:, None] + sizes[None, :] - acc)
-    return list(zip(*(x.tolist() for x in np.nonzero(may)), strict=True))
-
-
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingles(words)
     for b in batches:
         sets = [shingles(x).tobytes() for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("root"), b.column("lead"), b.column("parts"), b.column("doc_id"), pa.array(sets, pa.binary())], ["root", "lead", "parts", "doc_id", "shingles"])
-
-
-def _multiplied(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, i, j, far, part, met, doc_id, shingles) come sorted by task (root, i, j): links among the rows, or between
-    near and far ones if there are far ones, of different parts and not yet met."""
-    at, rows = None, []
-
-    def out() -> pa.RecordBatch | None:
-        far, part, met, docs, sets = (list(x) for x in zip(*rows, strict=True))
-        if len(rows) < 2:
-            return None
-        f, p, m = np.array(far), np.array(part), np.array(met, np.int64)
-        apart = (f[:, None] != f[None, :]) & (p[:, None] != p[None, :]) & (m[:, None] != m[None, :]) if f.any() else np.ones((len(rows), len(rows)), bool)
-        links = overlaps([np.frombuffer(x, np.uint64) for x in sets], apart, share)
-        return pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"]) if links else None
-
-    def spanned(links: pa.RecordBatch) -> pa.RecordBatch:
-        """As many links as connect the same documents."""
-        up: dict[int, int] = {}
-        taken = []
-
-        def top(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
-
-        for k, (x, y) in enumerate(zip(links.column(0).to_pylist(), links.column(1).to_pylist(), strict=True)):
-            if (r := top(x)) != (q := top(y)):
-                up[max(r, q)] = min(r, q)
-                taken.append(k)
-        return links.take(pa.array(taken, pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("lead"), b.column("parts"), b.column("id"), pa.array(sets, pa.binary())], ["block", "lead", "parts", "id", "payload"])
 
-    for b in batches:
-        for root, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (root, i, j) != at:
-                if at is not None and (x := out()) is not None:
-                    yield spanned(x)
-                at, rows = (root, i, j), []
-            rows.append(row)
-    if at is not None and (x := out()) is not None:
-        yield spanned(x)
-
-
-def block_links(sets: DataFrame, part: int, share: int) -> DataFrame:
-    """Links (a, b) that connect all linked rows of each block; sets: (root, lead, parts, doc_id, shingles), in the shared folder."""
-    layout = ["root", "i", "j", "far", "part", "met", "doc_id", "shingles"]
-
-    def multiplied(work: DataFrame) -> DataFrame:
-        dealt = work.select(layout).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "far", "doc_id")
-        return dealt.mapInArrow(partial(_multiplied, share=share), "a long, b long")
-
-    rows = sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    near = rows.withColumns({"i": F.col("part"), "j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")})
-    leads = rows.where("doc_id = lead and parts > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("i <> part")
-    first = keep(multiplied(near.unionByName(leads.withColumns({"j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")}))), "links")
-    large = rows.where("parts > 1")
-    if large.isEmpty():
-        return first
-    met = components(first)
-    large = large.join(met.toDF("doc_id", "_met"), "doc_id", "left").withColumn("met", F.coalesce("_met", "doc_id")).drop("_met")
-    large = keep(large, "met")
-    main = large.where("doc_id = lead").select("root", F.col("met").alias("main")).distinct()
-    rest = large.join(few(keep(main, "main"), F.lit(24)), "root").where("met <> main").drop("main")
-    chunks = few(keep(rest.groupBy("root").agg(F.ceil(F.count("*") / part).cast("int").alias("chunks")), "chunks"), F.lit(24))
-    rest = rest.join(chunks, "root").withColumn("j", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int") + 1)
-    far = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("far", F.lit(1))
-    near = large.join(chunks, "root").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumns({"i": F.col("part"), "far": F.lit(0)})
-    return first.unionByName(keep(multiplied(near.select(layout).unionByName(far.select(layout))), "more-links"))
+
+def set_of(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint64)
 
 
 def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -295,10 +199,10 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     half = F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")
     rows = keep(classes.withColumn("node", half).join(nodes, "node").select("rep", "root", "size"), "blocks")
     parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / ENTRIES)).cast("int")
-    blocks = keep(rows.join(rows.groupBy("root").agg(F.min("rep").alias("lead"), parts.alias("parts")), "root").select(F.col("rep").alias("doc_id"), "root", "lead", "parts"), "rows")
-    work = docs.join(few(blocks, F.lit(48)), "doc_id").select("root", "lead", "parts", "doc_id", "text")
-    sets = keep(work.mapInArrow(partial(_shingled, words=words), "root long, lead long, parts int, doc_id long, shingles binary"), "block-sets")
-    joined = components(block_links(sets, part, share))
+    blocks = keep(rows.join(rows.groupBy("root").agg(F.min("rep").alias("lead"), parts.alias("parts")), "root").select(F.col("rep").alias("doc_id"), F.col("root").alias("block"), "lead", "parts"), "rows")
+    work = docs.join(few(blocks, F.lit(48)), "doc_id").select("block", "lead", "parts", F.col("doc_id").alias("id"), "text")
+    sets = keep(work.mapInArrow(partial(_shingled, words=words), "block long, lead long, parts int, id long, payload binary"), "block-sets")
+    joined = components(block_links(sets, share, set_of, part))
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
     found = few(keep(found, "found"), F.lit(64))
     return described.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -2,11 +2,12 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from siftline.llm import bpe, exact_dedup, graph, langid, line_dedup, ngram_join, packing, pii, shards, sketch, tokens, warc  # noqa: E402
+from siftline.llm import blocks, bpe, exact_dedup, graph, langid, line_dedup, ngram_join, packing, pii, shards, sketch, tokens, warc  # noqa: E402
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 RND = random.Random(7)
@@ -305,12 +306,41 @@ def test_repetitive_lines(spark):
     assert dropped_lines(spark, lines) == plain_dropped(lines) == {1, 2, 4}
 
 
-def test_bands_in_parts(spark):
-    rows = [(1, k, 0) for k in range(60)] + [(2, k, 100) for k in (100, 101, 102)]
-    shared = spark.createDataFrame([(*r, 5, 3, 0) for r in rows], "band long, key long, lead long, size int, m1 long, m2 long")
-    roots = spark.createDataFrame([(k, k % 3) for k in range(3, 60)] + [(101, 100), (102, 100)], "node long, root long")
-    got = sorted((r.key, r.lead) for r in line_dedup._unmet(shared, roots, 0.8, part=7).collect())
-    assert got == sorted((a, b) for a in range(1, 60) for b in range(1, a) if a % 3 != b % 3)
+def test_blocks_in_parts(spark):
+    """A block of many parts: every similar pair is connected, whichever parts it lies in."""
+    rnd, rows = random.Random(5), []
+    for i in range(60):
+        x = set(rnd.sample(range(40 * (i % 4), 40 * (i % 4) + 30), 26))
+        rows.append((7, 0, 9, i, np.array(sorted(x), np.uint64).tobytes()))
+    df = spark.createDataFrame(rows, "block long, lead long, parts int, id long, payload binary")
+    links = [(r.a, r.b) for r in blocks.block_links(df, 80, ngram_join.set_of, part=7).collect()]
+    sets = {r[3]: set(np.frombuffer(r[4], np.uint64).tolist()) for r in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(alike(a, b) for a, b in links)
+    assert joined(links, sets) == joined([(a, b) for a in sets for b in sets if a < b and alike(a, b)], sets)
+
+
+def joined(links, names):
+    up = {x: x for x in names}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return {x: root(x) for x in names}
+
+
+def test_bottoms():
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abcdé 😀") for _ in range(n)) for n in (1, 4, 5, 8, 9, 30, 96, 97, 400, 3000)] + ["-" * 500, "ab " * 300]
+    for k in (5, 9):
+        got, there = line_dedup.bottoms(lines, k)
+        for x, row, ok in zip(lines, got, there, strict=True):
+            want = np.unique(line_dedup.windows(line_dedup.codes_of(x), k))[:5].tolist() if len(x) >= k else []
+            assert row[ok].tolist() == want
 
 
 P = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
