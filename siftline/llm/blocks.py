@@ -26,6 +26,12 @@ def overlaps(sets: list[np.ndarray], apart: np.ndarray, share: int, width: int =
     """Pairs of positions i < j whose sets have a Jaccard similarity of share hundredths or more, where apart[i, j]; the
     product of the incidence matrix with itself, accumulated over ranges of `width` columns. After each range, pairs that
     the columns to come can't lift to the bound are discarded, and rows without a possible pair leave the later ranges."""
+    if len(sets) == 2:  # most blocks: the product is one number
+        a, b = sets
+        if not apart[0, 1] or min(len(a), len(b)) * OF < share * max(len(a), len(b)):
+            return []
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return [(0, 1)] if both and both * OF >= share * (len(a) + len(b) - both) else []
     sizes = np.array([len(x) for x in sets], np.int64)
     need = -(-share * (sizes[:, None] + sizes[None, :]) // (OF + share))  # the overlap that a link takes
     may = apart & (np.minimum(sizes[:, None], sizes[None, :]) * OF >= share * np.maximum(sizes[:, None], sizes[None, :])) & (sizes[:, None] > 0)
@@ -55,10 +61,9 @@ def overlaps(sets: list[np.ndarray], apart: np.ndarray, share: int, width: int =
     return list(zip(*(x.tolist() for x in np.nonzero(may)), strict=True))
 
 
-def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As many of the links as connect the same ids."""
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each id that the links connect with a smaller one, with the smallest of these."""
     up: dict[int, int] = {}
-    taken = []
 
     def top(x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -68,13 +73,12 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     for x, y in links:
         if (r := top(x)) != (q := top(y)):
             up[max(r, q)] = min(r, q)
-            taken.append((x, y))
-    return taken
+    return [(x, top(x)) for x in up]
 
 
 def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (block, i, j, far, part, met, id, payload) come sorted by task (block, i, j): links among the rows, or between
-    near and far ones if there are far ones, of different parts and not yet met."""
+    """Rows (block, i, j, far, part, met, id, payload) come sorted by task (block, i, j): pairs that connect what links
+    among the rows do, or those between near and far ones if there are far ones, of different parts and not yet met."""
     at, rows = None, []
     found: list[tuple[int, int]] = []
 
@@ -87,7 +91,7 @@ def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable)
             apart = (f[:, None] != f[None, :]) & (p[:, None] != p[None, :]) & (m[:, None] != m[None, :])
         else:
             apart = np.ones((len(rows), len(rows)), bool)
-        found.extend(_spanning([(ids[i], ids[j]) for i, j in overlaps([set_of(x) for x in payload], apart, share)]))
+        found.extend(_stars([(ids[i], ids[j]) for i, j in overlaps([set_of(x) for x in payload], apart, share)]))
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
@@ -107,7 +111,7 @@ def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable)
 
 
 def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART) -> DataFrame:
-    """Links (a, b) that connect all similar rows of each block; rows: (block, lead, parts, id, payload), in the shared folder,
+    """Pairs (a, b) that connect all similar rows of each block as links do; rows: (block, lead, parts, id, payload), in the shared folder,
     lead being the id of one of the block's rows and parts how many parts it is cut into. set_of makes a sorted array of
     distinct numbers of a payload."""
     layout = ["block", "i", "j", "far", "part", "met", "id", "payload"]
@@ -119,7 +123,7 @@ def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     none = {"j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")}
     leads = rows.where("id = lead and parts > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("i <> part")
-    first = keep(multiplied(rows.withColumns({"i": F.col("part"), **none}).unionByName(leads.withColumns(none))), "links")
+    first = keep(multiplied(rows.withColumns({"i": F.col("part"), **none}).unionByName(leads.withColumns(none))).distinct(), "links")
     large = rows.where("parts > 1")
     if large.isEmpty():
         return first

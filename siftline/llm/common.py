@@ -8,15 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The shared folder where the session names none, as in tests on one machine.
+#: The shared folder where a session on one machine names none, as in tests.
 OWN_DIR = "/tmp/checkpoints"
 #: White space as the tokenizers' regular expressions see it (the Unicode property).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if the session has none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_DIR).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or one of our own on a single machine. A cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or OWN_DIR).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,9 +27,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it cuts the lineage and outlives lost executors."""
-    path = scratch(df.sparkSession, name)
+def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: it cuts the lineage and outlives lost executors. With a path of one's
+    own the table can be dropped (files.forget) when all that is made of it is kept as well."""
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

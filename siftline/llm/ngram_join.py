@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import OF, PART, block_links
-from .common import few, keep, small_batches, utf8
+from .common import few, keep, scratch, small_batches, utf8
+from .files import forget
 from .graph import components
 
 SHARE, WORDS = 90, 3
@@ -188,12 +189,14 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
     described = docs.mapInArrow(partial(_described, words=words, share=share), "doc_id long, n_shingles long, set_key string, segments array<long>")
-    described = keep(described, "sets")
+    described = keep(described, "sets", fat := scratch(docs.sparkSession, "sets"))
     own = described.where("set_key is not null and doc_id is not null")
     classes = keep(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")), "classes")
     segments = own.select("set_key", "segments").mapInArrow(_signed, "at long, key long, other long")
     near = segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
     near = keep(near, "near")
+    described = keep(described.drop("segments"), "set-keys")
+    forget(fat)  # the segments are the largest table, and nothing needs them any more
     root = components(near)
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     half = F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")
@@ -201,8 +204,10 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / ENTRIES)).cast("int")
     blocks = keep(rows.join(rows.groupBy("root").agg(F.min("rep").alias("lead"), parts.alias("parts")), "root").select(F.col("rep").alias("doc_id"), F.col("root").alias("block"), "lead", "parts"), "rows")
     work = docs.join(few(blocks, F.lit(48)), "doc_id").select("block", "lead", "parts", F.col("doc_id").alias("id"), "text")
-    sets = keep(work.mapInArrow(partial(_shingled, words=words), "block long, lead long, parts int, id long, payload binary"), "block-sets")
-    joined = components(block_links(sets, share, set_of, part))
+    sets = keep(work.mapInArrow(partial(_shingled, words=words), "block long, lead long, parts int, id long, payload binary"), "block-sets", at := scratch(docs.sparkSession, "block-sets"))
+    links = block_links(sets, share, set_of, part)
+    forget(at)
+    joined = components(links)
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
     found = few(keep(found, "found"), F.lit(64))
     return described.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
