@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import langid, line_dedup, ngram_join, packing, pii
-from siftline.llm.common import keep
+from siftline.llm.common import few, keep
 
 NEAR_WORDS, NEAR_SHARE = 5, 80  # near-duplicates: words of a shingle, hundredths of Jaccard similarity
 LEAST_SCORE = 0.5  # of the language; below, the document is rejected
@@ -51,10 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id, a text or words link with nothing and stay. All texts of a repeated id that stays do; of rows
     with one id and text, the smallest by the other columns stays."""
     stays = ngram_join.jaccard_components(docs, words=NEAR_WORDS, share=NEAR_SHARE).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(few(keep(stays, "stays"), F.lit(16)), "doc_id", "left_semi")
+    # Only rows of repeated ids meet; all others stay where they lie.
+    twice = few(keep(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id"), "repeated"), F.lit(16))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.join(stays, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_rest"))
+    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_rest"))
     one = one.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns))
-    return one.unionByName(docs.where("doc_id is null"))
+    single = kept.join(twice, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return single.unionByName(one).unionByName(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
