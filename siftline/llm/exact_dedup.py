@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, utf8
+from .common import few, keep, small_batches, utf8
 
 DEPTH = 16  # of the directory at most: 65,536 entries
 KEYED = "doc_id long, key long, text_sha256 string"
@@ -154,9 +154,9 @@ def exact_duplicates(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = keep(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_keyed, KEYED), "keys")
     entries, index = build_index(docs, keyed, capacity)
-    groups = index.where("group_size > 1").select("bucket", "key", "text_sha256", "keep_id", "group_size")
+    groups = few(index.where("group_size > 1").select("bucket", "key", "text_sha256", "keep_id", "group_size"), F.lit(140))
     found = keyed.withColumn("prefix", _prefix()).join(F.broadcast(entries), "prefix")  # 65,536 entries, however large the input
-    # The hot key is split by the optimizer: neither side is aggregated after this join.
+    # Groups are sent if they are few; else a hot key is split by the optimizer: neither side is aggregated after this join.
     joined = found.join(groups, ["bucket", "key", "text_sha256"], "left")
     return joined.select(
         "doc_id",

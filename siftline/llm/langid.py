@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 ORDERS = (5, 4, 3, 2, 1)
-SAMPLE_DOCS = 4000  # labelled documents of each language that the model is fitted on, about; all of a language that has fewer
+SAMPLE_DOCS = 1500  # labelled documents of each language that the model is fitted on, about; all of a language that has fewer
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 

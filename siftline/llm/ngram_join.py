@@ -29,7 +29,7 @@ from .files import forget
 from .graph import components
 
 SHARE, WORDS = 90, 3
-ENTRIES = 4_000_000  # shingles of a part at most, unless one row has more
+ENTRIES = 1_000_000  # shingles of a part at most, unless one row has more
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -42,7 +42,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct hashes of a text's shingles of three words, or as many as given, A-Z in lower case."""
 
-    def __init__(self, words: int = WORDS, kept: int = 500_000):
+    def __init__(self, words: int = WORDS, kept: int = 300_000):
         self.words, self.kept, self.known = words, kept, {}
 
     def __call__(self, text: bytes) -> np.ndarray:

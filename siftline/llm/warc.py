@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, scratch, small_batches
+from .common import few, keep, scratch, small_batches
 from .files import forget_others, located, make_dir
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -129,7 +129,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str =
     pages = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload"), F.sha2(html, 256).alias("digest"))
     first = pages.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    typed = pages.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    # Payloads stay where they lie unless repeated digests are too many to send, so a page that many share is no hot key.
+    typed = pages.join(few(keep(first, "repeated"), F.lit(100)), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
     index = keep(typed.mapInArrow(_writer(folder, date, roll), INDEX), "warc-index")
     # One row for each file, so that orphans of lost attempts can go.
     forget_others(folder, {r[0] for r in index.select("file").distinct().toLocalIterator()})
