@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import OF, PART, block_links
-from .common import few, keep, scratch, small_batches, utf8
+from .common import few, keep, release, scratch, small_batches, utf8
 from .files import forget
 from .graph import components
 
@@ -172,7 +172,13 @@ def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
     shingles = Shingles(words)
     for b in batches:
         sets = [shingles(x).tobytes() for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("lead"), b.column("parts"), b.column("id"), pa.array(sets, pa.binary())], ["block", "lead", "parts", "id", "payload"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "payload"])
+
+
+def _near(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that connect all sets with a common segment."""
+    segments = sets.mapInArrow(_signed, "at long, key long, other long")
+    return segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
 
 
 def set_of(payload: bytes) -> np.ndarray:
@@ -192,21 +198,27 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     described = keep(described, "sets", fat := scratch(docs.sparkSession, "sets"))
     own = described.where("set_key is not null and doc_id is not null")
     classes = keep(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")), "classes")
-    segments = own.select("set_key", "segments").mapInArrow(_signed, "at long, key long, other long")
-    near = segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
-    near = keep(near, "near")
+    near = keep(_near(own.select("set_key", "segments")), "near")
     described = keep(described.drop("segments"), "set-keys")
-    forget(fat)  # the segments are the largest table, and nothing needs them any more
+    del own
+    forget(fat)  # the segments and their shuffle are the largest data, and nothing needs them any more
+    release(docs.sparkSession)
     root = components(near)
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     half = F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")
     rows = keep(classes.withColumn("node", half).join(nodes, "node").select("rep", "root", "size"), "blocks")
+    # Linked sets are of one class of sizes or of neighbouring ones, so each class meets the one below it.
+    step = F.floor(F.log(F.col("size")) / math.log(OF / share)).cast("int")
+    blocks = rows.withColumn("step", F.explode(F.array(step, step + 1))).withColumn("block", F.xxhash64("root", "step"))
     parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / ENTRIES)).cast("int")
-    blocks = keep(rows.join(rows.groupBy("root").agg(F.min("rep").alias("lead"), parts.alias("parts")), "root").select(F.col("rep").alias("doc_id"), F.col("root").alias("block"), "lead", "parts"), "rows")
-    work = docs.join(few(blocks, F.lit(48)), "doc_id").select("block", "lead", "parts", F.col("doc_id").alias("id"), "text")
-    sets = keep(work.mapInArrow(partial(_shingled, words=words), "block long, lead long, parts int, id long, payload binary"), "block-sets", at := scratch(docs.sparkSession, "block-sets"))
-    links = block_links(sets, share, set_of, part)
+    shapes = blocks.groupBy("block").agg(F.min("rep").alias("lead"), parts.alias("parts"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    blocks = keep(blocks.join(shapes, "block").select(F.col("rep").alias("id"), "block", "lead", "parts"), "rows")
+    wanted = few(keep(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted"), F.lit(16))
+    sets = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(partial(_shingled, words=words), "id long, payload binary")
+    sets = keep(sets, "block-sets", at := scratch(docs.sparkSession, "block-sets"))
+    links = block_links(sets.join(few(blocks, F.lit(48)), "id").select("block", "lead", "parts", "id", "payload"), share, set_of, part)
     forget(at)
+    release(docs.sparkSession)
     joined = components(links)
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
     found = few(keep(found, "found"), F.lit(64))
