@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -95,13 +96,145 @@ def overview_intent(query: Column, scope: Column) -> Column:
 def lexical_overlap(query: Column, words: Column) -> Column:
     """Share of query tokens that a text token equals, or, if the query token has five characters or more, of which one is
     the other's prefix."""
-    hit = lambda t: F.array_contains(words, t) | ((F.length(t) >= 5) & F.exists(words, lambda x: x.startswith(t) | t.startswith(x)))
-    return F.when(F.size(query) > 0, F.size(F.filter(query, hit)) / F.size(query)).otherwise(0.0)
 
+    def share(x: Column) -> Column:
+        hit = lambda t: F.array_contains(x.w, t) | ((F.length(t) >= 5) & F.exists(x.w, lambda y: y.startswith(t) | t.startswith(y)))
+        return F.when(F.size(x.q) > 0, F.size(F.filter(x.q, hit)) / F.size(x.q)).otherwise(0.0)
 
-def excerpt(text: Column, whole: int = 6000, head: int = 4000, tail: int = 2000) -> Column:
-    """A text up to `whole` characters, or its head and tail."""
-    return F.when(F.length(text) <= whole, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit("\n...\n"), F.right(text, F.lit(tail))))
+    return let(F.struct(query.alias("q"), words.alias("w")), share)
+
+
+def excerpt(text: Column, whole: int = 6000, head: int = 4000, tail: int = 2000, lines: int = 60) -> Column:
+    """A text up to `whole` characters with single spaces, or its head, lines that look like an outline, and its tail."""
+
+    def cut(x: Column) -> Column:
+        short = F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+        outline = F.slice(F.filter(F.transform(F.split(x, "\n"), lambda t: F.trim(t)), lambda y: (y != "") & (F.length(y) <= 120) & y.rlike(r"^(?:\d+(?:\.\d+)*\s+)?[A-ZÀ-Ü]")), 1, lines)
+        middle = F.when(F.size(outline) > 0, F.concat(F.lit("\n\nSection outline:\n"), F.array_join(outline, "\n"))).otherwise(F.lit(""))
+        return F.when(F.length(x) <= whole, short).otherwise(F.concat(F.left(x, F.lit(head)), middle, F.lit("\n\nDocument ending:\n"), F.right(x, F.lit(tail))))
+
+    return let(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"(?U)^\s+|\s+$", ""), cut)
+
+
+def cacheable(text: Column, least: int = 16_000, most: int = 400_000) -> Column:
+    return F.coalesce(F.length(text).between(least, most), F.lit(False))
+
+
+# A language's text search configuration, and the endings that its light stemmer drops.
+SEARCH_CONFIG = {"DE": "german", "FR": "french", "IT": "italian", "ES": "spanish"}
+ENDINGS = {
+    "english": r"^(.{3,}?)(?:ingly|edly|ing|ed|ies|es|s|ly)$", "german": r"^(.{4,}?)(?:ungen|ern|em|en|er|es|e|n|s)$", "french": r"^(.{4,}?)(?:ement|ations|ation|es|s|e)$",
+    "italian": r"^(.{4,}?)(?:zioni|zione|i|e|a|o)$", "spanish": r"^(.{4,}?)(?:ciones|ción|es|os|as|s|o|a|e)$",
+}
+
+
+def search_config(language: Column) -> Column:
+    """The configuration that a chunk's words are stemmed by; english for all other languages."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in SEARCH_CONFIG.items() for x in kv))[language], F.lit("english"))
+
+
+def stems(words: Column, config: Column) -> Column:
+    """Words without the endings of a configuration: a light stemmer that approximates a full one."""
+
+    def by(name: str) -> Column:
+        return F.transform(words, lambda w: F.regexp_replace(w, ENDINGS[name], "$1"))
+
+    out = by("english")
+    for name in ("german", "french", "italian", "spanish"):
+        out = F.when(config == name, by(name)).otherwise(out)
+    return out
+
+
+def chunk_lexemes(title: Column, content: Column, context: Column, language: Column) -> Column:
+    """All words of a chunk, followed by all of them stemmed by its language: a word that both have counts twice."""
+    text = F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in (title, content, context)))
+    return let(tokens(text), lambda w: F.concat(w, stems(w, search_config(language))))
+
+
+def query_lexemes(query: Column, least: int = 3) -> Column:
+    """Distinct words of a query, plain and stemmed by every configuration, of `least` letters or more."""
+    forms = lambda w: F.flatten(F.array(w, *(F.transform(w, (lambda p: lambda x: F.regexp_replace(x, p, "$1"))(p)) for p in ENDINGS.values())))
+    return F.array_distinct(F.filter(let(tokens(query), forms), lambda t: F.length(t) >= least))
+
+
+def query_language(query: Column, hint: Column | None = None) -> Column:
+    """The hint, else the leading language if any keyword occurs, else EN."""
+    found = detect_language(query)
+    own = let(found, lambda x: F.when(x.score > 0, x.language).otherwise(F.lit("EN")))
+    return own if hint is None else F.coalesce(hint, own)
+
+
+def language_hint(value: Column) -> Column:
+    x = F.upper(F.trim(value))
+    return F.when(x.isin(*LANGUAGE_KEYWORDS), x)
+
+
+def scope(ids: Column) -> Column:
+    """Document ids trimmed, distinct and sorted, without empty ones."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(ids, lambda t: F.trim(t)), lambda x: x != "")))
+
+
+def file_slug(name: Column, most: int = 48) -> Column:
+    x = F.lower(F.trim(F.regexp_replace(name, r"(?i)\.pdf$", "")))
+    x = F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.when(x == "", F.lit("document")).otherwise(F.left(x, F.lit(most)))
+
+
+def storage_path(sha256: Column, name: Column) -> Column:
+    return F.concat(F.lit("uploads/"), sha256, F.lit("-"), file_slug(name), F.lit(".pdf"))
+
+
+def looks_like_pdf(name: Column, mime: Column) -> Column:
+    return (mime == "application/pdf") | F.lower(name).endswith(".pdf")
+
+
+def has_pdf_signature(content: Column) -> Column:
+    return F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "UTF-8")
+
+
+def idempotency_key(sha256: Column, version: Column) -> Column:
+    return F.concat(sha256, F.lit(":v"), version.cast("string"))
+
+
+def config_fingerprint(settings: dict[str, object]) -> str:
+    """The first twelve digits of SHA-256 over the settings, name:value, in their order."""
+    text = "|".join(f"{k}:{str(v).lower() if isinstance(v, bool) else v}" for k, v in settings.items())
+    return hashlib.sha256(text.encode()).hexdigest()[:12]
+
+
+def cache_key(query: Column, language: Column, version: Column, top_k: Column, scope_key: Column, config: Column) -> Column:
+    s = lambda c: c.cast("string")
+    return F.sha2(F.concat(query, F.lit("::"), language, F.lit("::v"), s(version), F.lit("::k"), s(top_k), F.lit("::scope"), scope_key, F.lit("::cfg"), config, F.lit("::schema2")), 256)
+
+
+def json_strings(raw: Column) -> Column:
+    """The strings of the first JSON list in a model's answer, trimmed and not empty; null if there is none that can be read."""
+    found = F.from_json(F.regexp_extract(raw, r"(?s)(\[.*?\])", 1), "array<string>")
+    return F.filter(F.transform(found, lambda t: F.trim(t)), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
+def variations(raw: Column, query: Column, most: int = 3) -> Column:
+    """The query and up to `most` different variations of it from a model's answer, in lower case; the query alone if the answer
+    can't be read."""
+    own = F.coalesce(F.transform(json_strings(raw), F.lower), F.array().cast("array<string>"))
+    new = F.array_distinct(F.filter(own, lambda x: x != F.lower(query)))
+    return F.concat(F.array(query), F.slice(new, 1, most))
+
+
+def sub_queries(raw: Column, query: Column, most: int = 3) -> Column:
+    """Two or more different parts of a question from a model's answer, as written; none if there are fewer."""
+    own = F.coalesce(json_strings(raw), F.array().cast("array<string>"))
+
+    def distinct(a: Column) -> Column:
+        low = F.transform(a, F.lower)
+        return F.filter(a, lambda x, i: (F.lower(x) != F.lower(F.trim(query))) & (F.array_position(low, F.lower(x)) == i + 1))
+
+    return let(distinct(own), lambda a: F.when(F.size(a) >= 2, F.slice(a, 1, most)).otherwise(F.array().cast("array<string>")))
+
+
+def decomposes(query: Column, least: int = 12) -> Column:
+    """Whether a question is long enough to be taken apart."""
+    return F.size(F.filter(F.split(query, r"(?U)\s+"), lambda w: w != "")) >= least
 
 
 def sanitize(text: Column) -> Column:

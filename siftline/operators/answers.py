@@ -113,3 +113,12 @@ def source_lines(listed: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), "title", F.lit(" ("), pages, F.lit(")"))
     rows = listed.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("_l"))
     return rows.select("answer_id", F.array_join(F.col("_l.line"), "\n").alias("markdown"))
+
+
+def event_rows(answers: DataFrame) -> DataFrame:
+    """(query_id, seq, event, data): what a client is sent of each answer (query_id, answer, outcome): meta, a token for each
+    word, final and done, in this order."""
+    words = F.filter(F.split("answer", r"(?<=\s)"), lambda w: w != "")
+    one = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    rows = F.concat(F.array(one("meta", F.col("outcome"))), F.transform(words, lambda w: one("token", w)), F.array(one("final", F.col("answer")), one("done", F.lit(""))))
+    return answers.select("query_id", F.posexplode(rows).alias("seq", "_e")).select("query_id", "seq", "_e.event", "_e.data")

@@ -5,25 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _asked(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """jobs with _ours: it is among the ids (a table of column id) and in process."""
-    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    return jobs.join(hit, "id", "left").withColumn("_ours", F.col("_hit").isNotNull() & (F.col("status") == "processing")).drop("_hit")
-
-
-def complete(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Jobs in process among ids are completed and lose their lock; others stay as they are."""
-    rows = _asked(jobs, ids)
-    free = {c: F.when(~F.col("_ours"), F.col(c)) for c in ("locked_at", "locked_by")}
-    return rows.withColumns({"status": F.when(F.col("_ours"), "completed").otherwise(F.col("status")), **free}).select(jobs.columns)
-
-
-def give_back(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Jobs in process among ids are queued anew, at attempt 0 and without a lock."""
-    rows = _asked(jobs, ids)
-    free = {c: F.when(~F.col("_ours"), F.col(c)) for c in ("locked_at", "locked_by")}
-    return rows.withColumns({"status": F.when(F.col("_ours"), "queued").otherwise(F.col("status")), "attempt": F.when(F.col("_ours"), 0).otherwise(F.col("attempt")), **free}).select(jobs.columns)
+from siftline.functions import text as X
 
 
 def create_documents(existing: DataFrame, incoming: DataFrame, version: int = 1) -> DataFrame:
@@ -39,6 +21,23 @@ def requeue_failed(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"status": F.when(failed, "queued").otherwise(F.col("status")), "ingestion_version": F.col("ingestion_version") + failed.cast("int")})
 
 
+def cascade(documents: DataFrame, dependents: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What stays of documents and of each dependent table when the documents among gone (document_id) are deleted."""
+    doomed = gone.select("document_id").distinct()
+    return documents.join(doomed, "document_id", "left_anti"), {k: v.join(doomed, "document_id", "left_anti") for k, v in dependents.items()}
+
+
+def stamped(rows: DataFrame, now: str) -> DataFrame:
+    """rows as a write stores them: updated_at is now, and tokens are those of title, content and context."""
+    text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "content", "context")))
+    return rows.withColumns({"updated_at": F.lit(now).cast("timestamp"), "tokens": X.tokens(text)})
+
+
+def missing(required: DataFrame, available: DataFrame, key: str = "name") -> DataFrame:
+    """Names that are required but not available."""
+    return required.select(key).distinct().join(available.select(key), key, "left_anti")
+
+
 def cascade_counts(documents: DataFrame, dependents: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
     """One row: how many documents among gone (document_id) a deletion removes, and how many rows of each dependent table."""
     doomed = documents.join(gone.select("document_id").distinct(), "document_id", "left_semi").select("document_id").distinct()

@@ -16,11 +16,44 @@ def linear(c: str, p: float) -> Column:
     return F.expr(f"percentile_cont({p}) within group (order by {c})")
 
 
+def at_ranks(df: DataFrame, c: str, by: str, ranks: Column, bins: int = 4096) -> DataFrame:
+    """(by, n, rank, value): the values of c at the ranks (from 0) that the column `ranks` makes of n, the number of values of
+    the group in ascending order. Nulls are left out.
+
+    Values are counted in equal bins first, and only the bins that hold a wanted rank are sorted, so a group is never in one
+    task. Ties collapse to a count."""
+    rows = df.where(F.col(c).isNotNull()).select(F.col(by).alias("_g"), F.col(c).alias("_v"))
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / width * bins).cast("int"))).otherwise(0)
+    binned = rows.join(ends.withColumnRenamed("_g", "_e"), F.col("_g").eqNullSafe(F.col("_e"))).drop("_e").withColumn("_b", bin_)
+    counts = binned.groupBy("_g", "_b").agg(F.count("*").alias("_c"), F.max("n").alias("n"))
+    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_b"))
+    held = counts.withColumn("_end", upto).withColumn("_before", F.col("_end") - F.col("_c"))
+    wanted = held.withColumn("rank", F.explode(F.array_distinct(ranks.cast("array<bigint>")))).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_end"))).select("_g", "_b", "n", "rank", "_before")
+    bins_ = wanted.select("_g", "_b", "_before").distinct().withColumnRenamed("_g", "_k").withColumnRenamed("_b", "_j")
+    values = binned.join(bins_, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_j"))).groupBy("_g", "_b", "_v", "_before").agg(F.count("*").alias("_c"))
+    end = F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v")) + F.col("_before")
+    values = values.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c")).select(F.col("_g").alias("_k"), F.col("_b").alias("_j"), "_v", "_start", "_end")
+    at = wanted.join(values, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_j")) & (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
+    return at.select(F.col("_g").alias(by), "n", "rank", F.col("_v").alias("value"))
+
+
 def floor_rank(df: DataFrame, c: str, p: float, by: str) -> DataFrame:
-    """The value at index floor((n-1)*p) of each group in ascending order, without gathering a group."""
-    w = Window.partitionBy(by)
-    rows = df.where(F.col(c).isNotNull()).select(by, c).withColumns({"_r": F.row_number().over(w.orderBy(c)) - 1, "_n": F.count("*").over(w)})
-    return rows.where(F.col("_r") == F.floor((F.col("_n") - 1) * p)).select(by, F.col(c).alias("value"))
+    """The value at index floor((n-1)*p) of each group in ascending order."""
+    return at_ranks(df, c, by, F.array(F.floor((F.col("n") - 1) * p))).select(by, "value")
+
+
+def percentile_table(df: DataFrame, c: str, by: str, nearest: dict[str, float], interpolated: dict[str, float]) -> DataFrame:
+    """by and a column for each name: nearest-rank percentiles (index ceil(p n) - 1) and linear ones (position p (n - 1))."""
+    n = F.col("n")
+    near = {k: F.greatest(F.lit(0).cast("bigint"), F.ceil(p * n) - 1) for k, p in nearest.items()}
+    spot = {k: p * (n - 1) for k, p in interpolated.items()}
+    ranks = F.array(*(x.cast("bigint") for x in near.values()), *(f(x).cast("bigint") for x in spot.values() for f in (F.floor, F.ceil)))
+    got = at_ranks(df, c, by, ranks).groupBy(by, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
+    at = lambda x: F.element_at("_m", x.cast("bigint"))
+    line = lambda x: at(F.floor(x)) + (at(F.ceil(x)) - at(F.floor(x))) * (x - F.floor(x))
+    return got.select(by, *(at(x).alias(k) for k, x in near.items()), *(line(x).alias(k) for k, x in spot.items()))
 
 
 def centroid(vectors: DataFrame, by: str) -> DataFrame:
@@ -31,8 +64,52 @@ def centroid(vectors: DataFrame, by: str) -> DataFrame:
 def snapshot(vectors: DataFrame, by: str) -> DataFrame:
     """Norm statistics by group and overall (null), in one pass."""
     n = vectors.select(F.col(by).cast("string").alias("grp"), F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm"))
-    total = n.groupingSets([[], ["grp"]], "grp") if hasattr(n, "groupingSets") else n.rollup("grp")
-    return total.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.count_if(F.col("norm") < 1e-6).alias("near_zero"), F.round(F.avg("norm"), 6).alias("norm_mean"), F.round(F.stddev_pop("norm"), 6).alias("norm_std"))
+    return n.rollup("grp").agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.count_if(F.col("norm") == 0).alias("zero"), F.count_if(F.col("norm") < 1e-6).alias("near_zero"), F.round(F.avg("norm"), 6).alias("norm_mean"), F.round(F.stddev_pop("norm"), 6).alias("norm_std"))
+
+
+def embedding_snapshot(vectors: DataFrame, by: str) -> DataFrame:
+    """A snapshot with a centroid (array<double>) for each group and overall (grp null), and the overall p95 of the norms.
+    Vectors of no or different dimensions are an error."""
+    grp = F.col(by).cast("string").alias("grp")
+    sizes = vectors.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
+    checked = F.when((F.col("lo") != F.col("hi")) | (F.col("lo") <= 0), F.raise_error(F.lit("embeddings of no or different dimensions"))).otherwise(F.col("hi"))
+    points = vectors.select(grp, F.posexplode("embedding").alias("pos", "x")).withColumn("grp", F.explode(F.array("grp", F.lit("\x00all"))))
+    means = points.groupBy("grp", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_c")).select(F.when(F.col("grp") != "\x00all", F.col("grp")).alias("grp"), F.col("_c.m").alias("centroid"))
+    norms = vectors.select(F.lit("all").alias("_k"), V.norm(F.col("embedding")).alias("norm"))
+    p95 = floor_rank(norms, "norm", 0.95, "_k").select(F.round("value", 6).alias("norm_p95"))
+    stats = snapshot(vectors, by).drop("dim").crossJoin(sizes.select(checked.alias("dim"))).crossJoin(p95)  # one row each
+    centres = centres.withColumnRenamed("grp", "_g")
+    return stats.join(centres, F.col("grp").eqNullSafe(F.col("_g"))).select("grp", "n", "dim", "zero", "near_zero", "norm_mean", "norm_std", F.when(F.col("grp").isNull(), F.col("norm_p95")).alias("norm_p95"), "centroid")
+
+
+def ratio_delta(current: Column, baseline: Column) -> Column:
+    return F.when(baseline == 0, F.when(current == 0, 0.0).otherwise(1.0)).otherwise(F.abs(current - baseline) / baseline)
+
+
+# How far embeddings may drift.
+DRIFT = {"samples": 100, "language_samples": 25, "zero": 0.0, "near_zero": 0.01, "norm_mean": 0.15, "norm_std": 0.25, "centroid": 0.08, "language_centroid": 0.12}
+
+
+def drift_checks(current: DataFrame, baseline: DataFrame | None, languages: tuple[str, ...]) -> DataFrame:
+    """(name, passed): the checks of a snapshot against a baseline; without one, that it can be adopted."""
+    t = DRIFT
+    whole = current.where("grp is null")
+    one = lambda name, passed: F.struct(F.lit(name).alias("name"), passed.alias("passed"))
+    rate = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
+    base = [one("sample_size_sufficient", F.col("n") >= t["samples"]), one("zero_vectors_absent", rate("zero") <= t["zero"]), one("near_zero_vectors_within_limit", rate("near_zero") <= t["near_zero"])]
+    if baseline is None:
+        return whole.select(F.inline(F.array(*base, one("baseline_present", F.lit(True)))))
+    old = baseline.select(*(F.col(c).alias(f"b_{c}") for c in baseline.columns))
+    far = V.cosine_distance(F.col("centroid"), F.col("b_centroid"))
+    more = [
+        one("embedding_dimension_consistent", F.col("dim") == F.col("b_dim")), one("norm_mean_drift_within_limit", ratio_delta(F.col("norm_mean"), F.col("b_norm_mean")) <= t["norm_mean"]),
+        one("norm_stddev_drift_within_limit", ratio_delta(F.col("norm_std"), F.col("b_norm_std")) <= t["norm_std"]), one("centroid_drift_within_limit", far <= t["centroid"]),
+    ]
+    overall = whole.crossJoin(old.where("b_grp is null")).select(F.inline(F.array(*base, *more)))  # one row each
+    both = current.join(old, F.col("grp") == F.col("b_grp")).where(F.col("grp").isin(*languages) & (F.least("n", "b_n") >= t["language_samples"]))
+    each = both.select(F.concat(F.lit("language_"), F.lower("grp"), F.lit("_centroid_drift_within_limit")).alias("name"), (far <= t["language_centroid"]).alias("passed"))
+    return overall.unionByName(each)
 
 
 def retrieval_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -45,12 +122,6 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
     return n.join(got, "query_id", "left").select("query_id", F.coalesce((F.col("first") <= 5).cast("int"), F.lit(0)).alias("recall_at_5"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg_at_10"))
 
 
-def evidence(chunks: DataFrame, least: int = 2, threshold: float = 0.14) -> DataFrame:
-    """For each query: enough chunks, a strong one, and a fair mean of the first `least` (query_id, ord, relevance)."""
-    g = chunks.groupBy("query_id").agg(F.count("*").alias("n"), F.max("relevance").alias("top1"), F.round(F.avg(F.when(F.col("ord") <= 3, F.col("relevance"))), 6).alias("top3_mean"), F.avg(F.when(F.col("ord") <= least, F.col("relevance"))).alias("_m"))
-    return g.withColumn("sufficient", (F.col("n") >= least) & (F.col("top1") >= threshold) & (F.col("_m") >= 0.5 * threshold)).drop("_m")
-
-
 def gates(summary: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     """One row for each limit (metric: '>=' or '<=', value) on a one-row summary; a missing metric fails."""
     rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(v).alias("bound"), F.coalesce(F.col(m) >= v if op == ">=" else F.col(m) <= v, F.lit(False)).alias("passed")) for m, (op, v) in limits.items()))
@@ -71,22 +142,12 @@ def separation(df: DataFrame, c: str, answerable: Column, above: float = 0.02, b
 
 
 def even_sample(df: DataFrame, by: str, order: str, least: int = 3, most: int = 10, share: int = 6) -> DataFrame:
-    """Evenly spaced rows of each group in order: k = ceil(n / share), between least and most; those at floor(i * n / k)."""
-    w = Window.partitionBy(by)
-    rows = df.withColumns({"_r": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    k = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.col("_n") / share)))
-    # Row r is taken if some i has floor(i * n / k) = r; the smallest that reaches r is ceil(r * k / n).
-    i = F.ceil(F.col("_r") * k / F.col("_n"))
-    return rows.where((i < k) & (F.floor(i * F.col("_n") / k) == F.col("_r"))).drop("_r", "_n")
-
-
-def summary(results: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """Means overall (language ALL) and by language, 0 where there is nothing; results: (language, answerable, recall, latency),
-    whose recall counts for answerable rows only."""
-    parts = [F.count("*").alias("n"), F.count_if("answerable").alias("answerable"), F.coalesce(F.avg(F.when(F.col("answerable"), F.col("recall"))), F.lit(0.0)).alias("recall"), F.coalesce(nearest_rank("latency", 0.95), F.lit(0.0)).alias("p95")]
-    each = results.where(F.col("language").isin(*languages)).groupBy("language").agg(*parts).unionByName(results.agg(*parts).withColumn("language", F.lit("ALL")))
-    slots = results.sparkSession.createDataFrame([(x,) for x in ("ALL", *languages)], "language string")
-    return slots.join(each, "language", "left").na.fill(0)
+    """Evenly spaced rows (by, order) of each group: k = ceil(n / share), between least and most; those at floor(i * n / k).
+    order is a number."""
+    n = F.col("n")
+    k = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(n / share)))
+    ranks = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.floor(i * n / k))
+    return at_ranks(df, order, by, ranks).select(by, F.col("value").alias(order)).distinct()
 
 
 def growth(events: DataFrame, now: str, days: int = 7) -> DataFrame:
@@ -95,3 +156,48 @@ def growth(events: DataFrame, now: str, days: int = 7) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     out = events.groupBy("event_type").agg(F.count_if((ts > end - span) & (ts <= end)).alias("current"), F.count_if((ts > end - span - span) & (ts <= end - span)).alias("previous"))
     return out.withColumn("growth", F.col("current") - F.col("previous"))
+
+
+DUPLICATE = r"(?i)(duplicate key value violates unique constraint|document_chunks_document_id_chunk_index_key)"
+
+
+def soak(jobs: DataFrame, now: str, hours: int = 24, lock_seconds: int = 900) -> DataFrame:
+    """One row on a window of jobs (status, updated_at, locked_at, last_error, processing_duration_ms): completed ones and the
+    p95 of their durations, ones stuck beyond the lock, dead letters now and in the window before, duplicate writes."""
+    end = F.lit(now).cast("timestamp")
+    hours_ = lambda n: F.make_interval(hours=F.lit(n))
+    recent = F.col("updated_at") >= end - hours_(hours)
+    earlier = ~recent & (F.col("updated_at") >= end - hours_(2 * hours))
+    s = F.col("status")
+    done = (s == "completed") & recent
+    rows = jobs.withColumns({"_k": F.lit(0), "_ms": F.when(done & (F.col("processing_duration_ms") > 0), F.col("processing_duration_ms"))})
+    p95 = percentile_table(rows, "_ms", "_k", {"p95_completion_ms": 0.95}, {}).select("_k", "p95_completion_ms")
+    stuck = (s == "processing") & (F.col("locked_at").isNull() | (F.col("locked_at") <= end - F.make_interval(secs=F.lit(lock_seconds))))
+    one = rows.agg(F.lit(0).alias("_k"), F.count_if(done).alias("completed"), F.count_if(stuck).alias("stuck"), F.count_if((s == "dead_letter") & recent).alias("dead_now"), F.count_if((s == "dead_letter") & earlier).alias("dead_before"), F.count_if(recent & F.col("last_error").rlike(DUPLICATE)).alias("duplicate_writes"))
+    return one.join(p95, "_k", "left").drop("_k").withColumn("dead_growth", F.col("dead_now") - F.col("dead_before"))
+
+
+def health_checks(snapshot: DataFrame, queue_limit: int = 50) -> DataFrame:
+    """(name, passed) of the eight health checks on a runtime snapshot (see queue.runtime_snapshot)."""
+    c = F.col
+    tests = {
+        "queue_backlog_within_limit": c("queued_count") <= queue_limit, "stale_processing_jobs_absent": c("stale_processing_count") == 0, "processing_jobs_heartbeating_recently": c("lagging_processing_count") == 0,
+        "cron_progress_present_when_queue_exists": (c("queued_count") == 0) | (c("recent_progress_count") > 0), "processing_documents_match_active_jobs": c("inconsistent_document_count") == 0,
+        "ready_documents_have_chunks": c("ready_without_chunks_count") == 0, "processing_jobs_have_locks": c("processing_without_lock_count") == 0, "non_processing_jobs_are_unlocked": c("non_processing_with_lock_count") == 0,
+    }
+    return snapshot.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("passed")) for k, v in tests.items()))))
+
+
+def corpus_fingerprint(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (fingerprint): SHA-256 of a line for each ready document, by id: id, number of its chunks, newest of them in ISO
+    form. documents (document_id, status), chunks (document_id, created_at). The lines of all documents meet in one task, as a
+    digest of them in order must: a few dozen bytes for each document."""
+    g = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.max("created_at").alias("at"))
+    line = F.concat_ws(":", F.col("document_id").cast("string"), F.coalesce("n", F.lit(0)).cast("string"), F.coalesce(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("none")))
+    rows = documents.where("status = 'ready'").select("document_id").join(g, "document_id", "left").select("document_id", line.alias("x"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("document_id", "x"))).alias("a")).select(F.sha2(F.array_join(F.col("a.x"), "\n"), 256).alias("fingerprint"))
+
+
+def merged_counts(branches: DataFrame) -> DataFrame:
+    """Candidate counts (query_id, vector, keyword, fused, reranked) of a query's branches, summed."""
+    return branches.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("vector", "keyword", "fused", "reranked")))

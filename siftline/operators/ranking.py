@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
+from siftline.functions import vector as V
 from siftline.functions.columns import few
 
 QUERIES, CHUNKS = 50_000, 500_000  # query and chunk vectors that a task of the vector search joins
@@ -102,9 +104,51 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top(found, k, [F.desc("rank"), F.col("chunk_id")])
 
 
+def scoped(chunks: DataFrame, documents: DataFrame | None = None, ids: list | DataFrame | None = None, language: str | None = None) -> DataFrame:
+    """Chunks that a search may see: of ready documents (document_id, status), of the named ids (a short list, or rows of
+    document_id), of a language; what isn't given doesn't restrict."""
+    if documents is not None:
+        chunks = chunks.join(documents.where("status = 'ready'").select("document_id"), "document_id", "left_semi")
+    if isinstance(ids, DataFrame):
+        chunks = chunks.join(ids.select("document_id").distinct(), "document_id", "left_semi")
+    elif ids:
+        chunks = chunks.where(F.col("document_id").isin(ids))
+    return chunks.where(F.col("language") == language) if language else chunks
+
+
+def lexeme_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, rank, ord) over chunks (chunk_id, title, content, context, language): 0.1 for each position of a
+    lexeme that the query (query_id, text) has. Chunks have their words plain and stemmed by their language, queries theirs
+    plain and stemmed by every language."""
+    wanted = queries.select("query_id", F.explode(X.query_lexemes(F.col("text"))).alias("token"))
+    asked = few(wanted.select("token").distinct(), F.length("token") + 40)
+    lexemes = X.chunk_lexemes(F.col("title"), F.col("content"), F.col("context"), F.col("language"))
+    postings = chunks.select("chunk_id", F.explode(lexemes).alias("token")).join(asked, "token", "left_semi").groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
+    found = postings.join(wanted, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("n") * 0.1, 6).alias("rank"))
+    return top(found, k, [F.desc("rank"), F.col("chunk_id")])
+
+
+def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 8, tables: int = 12, seed: int = 7) -> DataFrame:
+    """Approximate vector search: vectors whose signs on `bits` random directions agree in one of `tables` tables meet, and the
+    exact similarity ranks them. chunk and query columns as for vector_topk."""
+    dim = chunks.select(F.size("embedding").alias("n")).first()
+    n = dim[0] if dim else 1
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, n))
+
+    @F.pandas_udf("array<long>")
+    def keys(v: pd.Series) -> pd.Series:
+        signs = (np.stack([np.asarray(x, np.float64) for x in v]) @ planes.T > 0).reshape(len(v), tables, bits)
+        return pd.Series(list((signs * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)[None, :]))
+
+    side = lambda df, name: df.select(F.col(name), "embedding", F.explode(keys("embedding")).alias("key"))
+    near = side(queries, "query_id").join(side(chunks, "chunk_id").withColumnRenamed("embedding", "other"), "key").select("query_id", "chunk_id", F.round(1 - V.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("similarity")).distinct()
+    return top(near, k, [F.desc("similarity"), F.col("chunk_id")])
+
+
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two lists (query_id, chunk_id, ord): score, source, and both ranks."""
-    v = vector.select("query_id", "chunk_id", F.col("ord").alias("vector_rank"))
+    """Reciprocal rank fusion of two lists (query_id, chunk_id, ord): score, source, and both ranks; a similarity in the vector
+    list is kept."""
+    v = vector.select("query_id", "chunk_id", F.col("ord").alias("vector_rank"), *(["similarity"] if "similarity" in vector.columns else []))
     w = keyword.select("query_id", "chunk_id", F.col("ord").alias("keyword_rank"))
     part = lambda c: F.coalesce(1.0 / (max(1, k) + F.col(c)), F.lit(0.0))
     both = v.join(w, ["query_id", "chunk_id"], "full_outer")
@@ -171,11 +215,15 @@ def encoder_text(title: Column, context: Column, content: Column, with_context:
     return F.when(F.coalesce(context, F.lit("")) == "", plain).otherwise(full)
 
 
-def cross_encoder(rows: DataFrame, scores: DataFrame, cap: int = 100) -> DataFrame:
-    """rows (query_id, chunk_id, ord, ...) in the order of a provider's scores (query_id, chunk_id, score): the first `cap` by
-    score, the others behind them as they were. A query for which any of the capped rows lacks a score keeps its order."""
+def cross_encoder(rows: DataFrame, scores: DataFrame | Column, cap: int = 100) -> DataFrame:
+    """rows (query_id, chunk_id, ord, ...) in the order of a provider's scores, a column or rows (query_id, chunk_id, score): the
+    first `cap` by score, the others behind them as they were. A query for which any of the capped rows lacks a score keeps
+    its order."""
     q = Window.partitionBy("query_id")
-    got = rows.join(scores.select("query_id", "chunk_id", F.col("score").alias("_s")), ["query_id", "chunk_id"], "left")
+    if isinstance(scores, Column):
+        got = rows.withColumn("_s", F.when(F.col("ord") <= cap, scores))
+    else:
+        got = rows.join(scores.select("query_id", "chunk_id", F.col("score").alias("_s")), ["query_id", "chunk_id"], "left")
     in_cap = F.col("ord") <= cap
     got = got.withColumn("_all", F.min((F.col("_s").isNotNull() | ~in_cap).cast("int")).over(q) == 1)
     got = got.withColumn("_new", in_cap & F.col("_all"))

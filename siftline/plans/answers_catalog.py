@@ -165,9 +165,12 @@ def pii_redact(spark, d):
     return risky(spark, d).select("doc_id", G.redact_pii(F.col("text")).text.alias("text"))
 
 
-@query()
+_ANY = r"(^|[^0-9])(?:\+\d{1,3}[-.\s]?)?(?:\(\d{2,4}\)[-.\s]?)?\d{2,4}[-.\s]\d{3,4}[-.\s]\d{2,4}(?:[-.\s]\d{2,4})?($|[^0-9])"
+
+
+@query(f"SELECT doc_id, {_replace(_replace(_replace(_replace('text', _SSN), G.EMAIL), _ANY, chr(92) + '1[REDACTED]' + chr(92) + '2'), _ANY, chr(92) + '1[REDACTED]' + chr(92) + '2')} AS text FROM (SELECT doc_id, {RISKY} AS text FROM documents WHERE text IS NOT NULL)")
 def pii_strict(spark, d):
-    return risky(spark, d).select("doc_id", G.redact_pii(F.col("text"), "strict").alias("r")).select("doc_id", "r.text", F.col("r.n").alias("n_redacted"))
+    return risky(spark, d).select("doc_id", G.redact_pii(F.col("text"), "strict").text.alias("text"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{G.EMAIL}'), lambda x: lower(x)))), ',') AS emails FROM documents WHERE text IS NOT NULL")
@@ -211,12 +214,27 @@ def output_filter(spark, d):
     return rows.select("doc_id", "r.answer", "r.blocked", F.array_join("r.reasons", ",").alias("reasons"))
 
 
-@query()
+def _cleaned(x: str) -> str:
+    for p in G.SECRETS:
+        x = _replace(x, p)
+    return x
+
+
+def _shown(x: str) -> str:
+    x = _private(_cleaned(x))
+    for p in G.HTML:
+        x = _replace(x, p, "")
+    return _replace(x, _LINKS, chr(92) + "1(#)")
+
+
+@query(rf"""WITH {ANSWERS}, p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x, {_blank})), lambda x: x <> '') AS l FROM answers),
+s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l)))::INTEGER AS pos FROM p), k AS (SELECT *, {' OR '.join(f"regexp_matches(s, '{_quoted(p)}')" for p in G.PROMPT_LEAKS)} AS halted FROM s)
+SELECT doc_id, pos, CASE WHEN halted THEN '' ELSE {_shown('s')} END AS text, halted FROM k""")
 def streamed_sentences(spark, d):
     rows = cited_answers(spark, d).select("doc_id", F.posexplode(W.sentences(F.col("answer"))).alias("pos", "s"))
     return rows.select("doc_id", "pos", G.redact_sentence(F.col("s")).alias("r")).select("doc_id", "pos", "r.text", "r.halted")
 
 
-@query()
+@query(f"SELECT doc_id, {_private(_cleaned('text'))} AS text FROM (SELECT doc_id, {RISKY} AS text FROM documents WHERE text IS NOT NULL)")
 def trace_mask(spark, d):
     return risky(spark, d).select("doc_id", G.mask_trace(X.nfkc(F.col("text"))).alias("text"))

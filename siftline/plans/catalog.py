@@ -12,13 +12,11 @@ from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import answers as W
 from siftline.operators import chunking as K
-from siftline.operators import lifecycle as L
 from siftline.operators import metrics as A
 from siftline.operators import ranking as R
-from siftline.operators import state as S
-from siftline.plans.registry import JOBS, NOW, POOL, QUERIES, SQL, pool, query  # noqa: F401
-from siftline.sources.tables import jobs, table
-from siftline.plans import answers_catalog  # noqa: F401  registers its queries
+from siftline.plans.registry import POOL, QUERIES, SQL, pool, query  # noqa: F401
+from siftline.sources.tables import table
+from siftline.plans import answers_catalog, evaluation_catalog, state_catalog, text_catalog  # noqa: F401  they register their queries
 from siftline.streaming.windows import metric_windows
 
 # Pieces of SQL that several queries share.
@@ -67,7 +65,7 @@ def keyword_topk(spark, d):
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(keyword_rank AS INTEGER) AS keyword_rank, score, source, CAST(ord AS INTEGER) AS ord FROM franked")
 def rrf_fusion(spark, d):
-    return R.rrf(R.vector_topk(*vectors(spark, d), 20), keyword_lists(spark, d, 20))
+    return R.rrf(R.vector_topk(*vectors(spark, d), 20).drop("similarity"), keyword_lists(spark, d, 20))
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, score, source, CAST(ord AS INTEGER) AS ord FROM franked WHERE ord <= 8")
@@ -175,11 +173,6 @@ def language_keywords(spark, d):
     return table(spark, d, "documents").select("doc_id", *(X.keyword_count(F.col("text"), k).alias(k.lower()) for k in X.LANGUAGE_KEYWORDS))
 
 
-@query()
-def lang_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.detect_language(F.col("text")).alias("x")).select("doc_id", "x.*")
-
-
 _LETTERS, _PRINTED, _ODD = r"[\p{L}]", r"[\p{L}\p{N}\p{P}\p{Zs}]", r"[^\p{L}\p{N}\p{P}\p{Zs}]"
 _share = lambda p: f"(length(text) - length(regexp_replace(text, '{p}', '', 'g'))) / length(text)::DOUBLE"
 
@@ -189,21 +182,6 @@ def text_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(X.text_quality(F.col("text")), 6).alias("quality"))
 
 
-@query()
-def low_readability(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.low_readability(F.col("text")).alias("low"))
-
-
-@query()
-def overview_intent(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.overview_intent(X.normalize_query(F.col("text")), F.array("conv_id")).alias("overview"))
-
-
-@query(r"SELECT doc_id, CASE WHEN length(text) <= 6000 THEN text ELSE left(text, 4000) || chr(10) || '...' || chr(10) || right(text, 2000) END AS excerpt FROM documents")
-def excerpt(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
-
-
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
@@ -225,9 +203,14 @@ def injection_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", G.injection_score(F.col("text")).alias("score"))
 
 
-@query()
+_rules = lambda x: [f"regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}')" for _, p, _ in G.INJECTION]
+_score = lambda x: " + ".join(f"CASE WHEN {r} THEN {n} ELSE 0 END" for r, (_, _, n) in zip(_rules(x), G.INJECTION, strict=True))
+_blocks = " OR ".join(r for r, (k, _, _) in zip(_rules("text"), G.INJECTION, strict=True) if k in G.BLOCKING)
+
+
+@query(f"SELECT doc_id, trim(array_to_string(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: NOT ({' OR '.join(_rules('x'))})), chr(10))) AS text, {_score('text')} >= 10 OR {_blocks} AS blocked FROM documents WHERE text IS NOT NULL")
 def injection_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", G.safe_lines(F.col("text")).alias("text"), G.injection_blocked(F.col("text")).alias("blocked"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", G.safe_lines(F.col("text")).alias("text"), G.injection_blocked(F.col("text")).alias("blocked"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 24000 THEN left(text, 23900) || chr(10) || chr(10) || '[Truncated]' ELSE text END AS text FROM documents")
@@ -242,11 +225,6 @@ def fixed_windows(spark, d):
     return K.fixed_windows(table(spark, d, "documents"))
 
 
-@query()
-def sections(spark, d):
-    return K.sections(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
-
-
 @query("""WITH r AS (SELECT doc_id // 100 AS doc, doc_id, upper(lang) AS language FROM documents), c AS (SELECT *, CASE WHEN language <> lag(language) OVER (PARTITION BY doc ORDER BY doc_id) THEN 1 ELSE 0 END AS c FROM r),
 s AS (SELECT *, sum(c) OVER (PARTITION BY doc ORDER BY doc_id) AS run FROM c) SELECT CAST(doc AS BIGINT) AS doc_id, CAST(run AS BIGINT) AS run, any_value(language) AS language, min(doc_id) AS first_ord, max(doc_id) AS last_ord, count(*) AS n FROM s GROUP BY doc, run""")
 def lang_runs(spark, d):
@@ -254,111 +232,11 @@ def lang_runs(spark, d):
     return K.language_runs(rows)
 
 
-@query("SELECT doc_id, upper(lang) || chr(10) || source || chr(10) || chr(10) || text AS input FROM documents")
-def embed_input(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.upper("lang"), F.lit("\n"), "source", F.lit("\n\n"), "text").alias("input"))
-
-
-@query(f"WITH {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM jobs) SELECT document_id, id, status, attempt FROM r WHERE r = 1")
-def latest_job(spark, d):
-    return S.latest_job(jobs(spark, d)).select("document_id", "id", "status", "attempt")
-
-
-_DOCS = "docs AS (SELECT c_custkey AS document_id, CASE WHEN c_acctbal > 0 THEN 'ready' ELSE 'queued' END AS status, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS owner FROM customer)"
-
-
-def state_docs(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_acctbal") > 0, "ready").otherwise("queued").alias("status"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("owner"))
-
-
-@query(f"""WITH {JOBS}, {_DOCS}, l AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS r FROM jobs), k AS (SELECT o_custkey AS document_id, count(*) AS chunk_count FROM orders GROUP BY 1)
-SELECT docs.document_id, docs.status, l.id AS job_id, l.status AS job_status, coalesce(chunk_count, 0) AS chunk_count,
-CASE WHEN l.status = 'processing' THEN 'processing' WHEN l.status IN ('queued', 'failed') THEN 'queued' WHEN l.status = 'dead_letter' THEN 'failed' WHEN l.status = 'completed' AND coalesce(chunk_count, 0) > 0 THEN 'ready' WHEN l.status = 'completed' THEN 'failed' ELSE docs.status END AS effective_status
-FROM docs LEFT JOIN l ON l.document_id = docs.document_id AND l.r = 1 LEFT JOIN k ON k.document_id = docs.document_id""")
-def effective_status(spark, d):
-    return S.effective_statuses(state_docs(spark, d), jobs(spark, d), table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")))
-
-
-@query(f"WITH {_DOCS} SELECT document_id, status, owner FROM docs WHERE status = 'ready' AND (owner IS NULL OR owner = 'BUILDING')")
-def rls_documents(spark, d):
-    return S.accessible(state_docs(spark, d), "BUILDING")
-
-
-@query(f"WITH {_DOCS} SELECT DISTINCT o_custkey AS document_id FROM orders WHERE o_custkey NOT IN (SELECT document_id FROM docs WHERE status = 'ready' AND (owner IS NULL OR owner = 'BUILDING'))")
-def unauthorized(spark, d):
-    asked = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")).distinct()
-    return asked.join(S.accessible(state_docs(spark, d), "BUILDING"), "document_id", "left_anti")
-
-
-@query(f"""WITH {JOBS}, s AS (SELECT *, status = 'processing' AND locked_at < TIMESTAMP '{NOW}' - INTERVAL 900 SECOND AS stale FROM jobs),
-c AS (SELECT id FROM s WHERE (stale AND attempt < 3) OR (status IN ('queued', 'failed') AND attempt < 3 AND locked_at IS NULL) ORDER BY created_at, id LIMIT 50)
-SELECT id, document_id, CASE WHEN stale AND attempt >= 3 THEN 'dead_letter' WHEN id IN (SELECT id FROM c) THEN 'processing' ELSE status END AS status,
-CAST(attempt + CASE WHEN id IN (SELECT id FROM c) THEN 1 ELSE 0 END AS INTEGER) AS attempt, CASE WHEN id IN (SELECT id FROM c) THEN 'me' WHEN stale AND attempt >= 3 THEN NULL ELSE locked_by END AS locked_by FROM s""")
-def claim_jobs(spark, d):
-    return S.claim(jobs(spark, d), NOW, batch=50, worker="me").select("id", "document_id", "status", "attempt", "locked_by")
-
-
-@query(f"""WITH {JOBS} SELECT j.id, j.document_id, CASE WHEN o.o_orderkey IS NOT NULL AND status = 'processing' THEN CASE WHEN attempt >= 3 THEN 'dead_letter' ELSE 'failed' END ELSE status END AS status, attempt,
-CASE WHEN o.o_orderkey IS NOT NULL AND status = 'processing' THEN left(o.o_orderpriority, 4000) END AS last_error FROM jobs j LEFT JOIN orders o ON o.o_orderkey = j.id""")
-def fail_jobs(spark, d):
-    return S.fail(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("error")))
-
-
-@query(f"WITH {JOBS} SELECT status, count(*) AS n, count(*) FILTER (locked_at IS NOT NULL) AS locked, max(attempt) AS most FROM jobs GROUP BY 1")
-def status_tally(spark, d):
-    return jobs(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("locked_at").isNotNull()).alias("locked"), F.max("attempt").alias("most"))
-
-
-@query(f"""WITH {JOBS} SELECT count(*) FILTER (status = 'processing' AND locked_by IS NULL) AS unlocked, count(*) FILTER (status = 'processing' AND locked_at < TIMESTAMP '{NOW}' - INTERVAL 20 MINUTE) AS stale,
-CAST(max(greatest(0, floor(epoch(TIMESTAMP '{NOW}') - epoch(created_at)))) FILTER (status = 'queued') AS BIGINT) AS queue_age FROM jobs""")
-def runtime_snapshot(spark, d):
-    now = F.lit(NOW).cast("timestamp")
-    age = F.greatest(F.lit(0), F.floor(F.unix_micros(now) / 1e6 - F.unix_micros("created_at") / 1e6))
-    return jobs(spark, d).agg(F.count_if((F.col("status") == "processing") & F.col("locked_by").isNull()).alias("unlocked"), F.count_if((F.col("status") == "processing") & (F.col("locked_at") < now - F.expr("interval 20 minutes"))).alias("stale"), F.max(F.when(F.col("status") == "queued", age)).cast("long").alias("queue_age"))
-
-
-def cache(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", (F.col("ts").cast("timestamp") + F.expr("interval 1 day")).alias("expires_at"), (F.col("user_id") % 3).cast("int").alias("retrieval_version"))
-
-
-@query(f"""SELECT count(*) FILTER (ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-15') AS expired, count(*) FILTER (ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND user_id % 3 < 2) AS outdated FROM events""")
-def cache_prune(spark, d):
-    return S.prune(cache(spark, d), "2024-01-15", 2)[1]
-
-
-@query("SELECT event_id AS key, CASE WHEN event_id % 10 = 0 THEN 0 ELSE user_id END AS hits FROM events")
-def cache_upsert(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("user_id").alias("hits"))
-    return S.upsert(e, e.where(F.col("key") % 10 == 0).select("key", F.lit(0).cast("long").alias("hits")), "key")
-
-
-@query()
-def rate_limit(spark, d):
-    return S.rate_limit(table(spark, d, "events").select(F.col("event_id").alias("hit_id"), F.col("user_id").alias("bucket"), "ts"), 20, 86_400)
-
-
-@query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(quantile_cont(value, 0.9), 6) AS p90_linear FROM events GROUP BY 1""")
-def percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(A.nearest_rank("value", 0.5).alias("p50"), A.nearest_rank("value", 0.95).alias("p95"), F.round(A.linear("value", 0.9), 6).alias("p90_linear"))
-
-
-@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value FROM r WHERE r = floor((n - 1) * 0.95)""")
-def percentile_floor(spark, d):
-    return A.floor_rank(table(spark, d, "events"), "value", 0.95, "event_type")
-
-
 @query("""WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x::DOUBLE), 6) AS mean FROM u GROUP BY 1, 2""")
 def centroid(spark, d):
     return A.centroid(table(spark, d, "embeddings"), "label")
 
 
-@query("""WITH n AS (SELECT CAST(label AS VARCHAR) AS grp, length(embedding) AS dim, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)
-SELECT grp, count(*) AS n, CAST(max(dim) AS INTEGER) AS dim, count(*) FILTER (norm < 1e-6) AS near_zero, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std FROM n GROUP BY ROLLUP (grp)""")
-def drift_snapshot(spark, d):
-    return A.snapshot(table(spark, d, "embeddings"), "label")
-
-
 @query("""WITH w AS (SELECT lang, doc_id FROM documents), c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS r FROM c) SELECT source, upper(lang) AS language, n FROM r WHERE r = 1""")
 def mode_language(spark, d):
     c = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
@@ -380,12 +258,6 @@ def ir_metrics(spark, d):
     return A.retrieval_metrics(R.vector_topk(*vectors(spark, d), 20), want)
 
 
-@query("""WITH s AS (SELECT count(*)::DOUBLE AS queries, avg(quality) AS quality, avg(toxic) AS toxic FROM labels) SELECT 'quality' AS metric, quality AS value, 0.5::DOUBLE AS bound, quality >= 0.5 AS passed FROM s UNION ALL SELECT 'toxic', toxic, 0.3, toxic <= 0.3 FROM s UNION ALL SELECT 'queries', queries, 10, queries >= 10 FROM s""")
-def release_gates(spark, d):
-    s = table(spark, d, "labels").agg(F.count("*").alias("queries"), F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
-    return A.gates(s, {"quality": (">=", 0.5), "toxic": ("<=", 0.3), "queries": (">=", 10.0)})
-
-
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY 1""")
 def transcripts(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x")))).alias("a"))
@@ -397,63 +269,6 @@ def history_page(spark, d):
     return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_orderdate")
 
 
-@query("""SELECT sha256(string_agg(c_custkey || ':' || n, chr(10) ORDER BY c_custkey)) AS fingerprint FROM (SELECT c_nationkey AS c_custkey, count(*) AS n FROM customer GROUP BY 1)""")
-def corpus_fingerprint(spark, d):
-    """Of the owners' document counts: one line for each of the few nations."""
-    g = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    lines = F.array_sort(F.collect_list(F.struct("c_nationkey", F.concat_ws(":", "c_nationkey", "n").alias("x"))))
-    return g.agg(lines.alias("a")).select(F.sha2(F.array_join(F.transform("a", lambda r: r.x), "\n"), 256).alias("fingerprint"))
-
-
-def _queued(o: str) -> str:
-    return f"{o}.o_orderkey IS NOT NULL AND status = 'processing'"
-
-
-@query(f"WITH {JOBS} SELECT id, CASE WHEN {_queued('o')} THEN 'completed' ELSE status END AS status, CASE WHEN NOT ({_queued('o')}) THEN locked_by END AS locked_by FROM jobs LEFT JOIN orders o ON o_orderkey = id")
-def complete_jobs(spark, d):
-    return L.complete(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "status", "locked_by")
-
-
-@query(f"WITH {JOBS} SELECT id, CASE WHEN {_queued('o')} THEN 'queued' ELSE status END AS status, CASE WHEN {_queued('o')} THEN 0 ELSE attempt END AS attempt FROM jobs LEFT JOIN orders o ON o_orderkey = id")
-def yield_jobs(spark, d):
-    return L.give_back(jobs(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "status", "attempt")
-
-
-@query("""WITH x AS (SELECT doc_id, lang, sha256(text) AS sha256 FROM documents), e AS (SELECT DISTINCT sha256 FROM x WHERE lang = 'en')
-SELECT min(doc_id) AS doc_id, sha256 || ':v1' AS idempotency_key FROM x WHERE coalesce(lang, '') <> 'en' AND sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM e WHERE sha256 IS NOT NULL) GROUP BY sha256""")
-def create_documents(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"))
-    english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    return L.create_documents(x.where(english), x.where(~english))
-
-
-@query(f"WITH {_DOCS} SELECT document_id, CASE WHEN status = 'queued' THEN 2 ELSE 1 END AS ingestion_version FROM docs")
-def requeue_failed(spark, d):
-    x = state_docs(spark, d).select("document_id", F.when(F.col("status") == "queued", "failed").otherwise(F.col("status")).alias("status"), F.lit(1).alias("ingestion_version"))
-    return L.requeue_failed(x).select("document_id", "ingestion_version")
-
-
-@query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') SELECT (SELECT count(*) FROM g) AS documents,
-(SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM g)) AS jobs, (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM g)) AS chunks""")
-def delete_cascade(spark, d):
-    docs = table(spark, d, "customer").withColumnRenamed("c_custkey", "document_id")
-    rows = {"jobs": table(spark, d, "orders").select(F.col("o_custkey").alias("document_id")), "chunks": table(spark, d, "events").select(F.col("user_id").alias("document_id"))}
-    return L.cascade_counts(docs, rows, docs.where("c_mktsegment = 'BUILDING'"))
-
-
-@query("""SELECT 'unique' AS "check", (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n
-UNION ALL SELECT 'parent', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 'o_totalprice', (SELECT count(*) FROM orders WHERE o_totalprice < 1000)""")
-def constraint_checks(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), "o_totalprice")
-    return L.validate(rows, "document_id", table(spark, d, "customer").select(F.col("c_custkey").alias("document_id")), {"o_totalprice": 1000})
-
-
-@query()
-def answer_blocks(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(W.answer_blocks(F.col("text"))).alias("block", "_b"))
-    return rows.select("conv_id", "turn", "block", "_b.kind", "_b.number", "_b.content")
-
-
 @query(r"""WITH g AS (SELECT conv_id, turn, list_distinct(list_transform(flatten(list_transform(regexp_extract_all(text, '\[([0-9]{1,6}(?:\s*,\s*[0-9]{1,6})*)\]', 1), lambda g: regexp_split_to_array(g, '\s*,\s*'))), lambda x: CAST(x AS INTEGER))) AS c FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, CAST(len(list_filter(c, lambda x: x BETWEEN 1 AND 8)) AS INTEGER) AS valid, CAST(len(list_filter(c, lambda x: NOT x BETWEEN 1 AND 8)) AS INTEGER) AS out_of_range FROM g""")
 def citation_markers(spark, d):
@@ -490,24 +305,3 @@ SELECT *, CASE WHEN unanswerable_max < answerable_min THEN least(unanswerable_ma
 def threshold_separation(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").withColumn("score", F.col("n_chars") / 100000)
     return A.separation(rows, "score", F.col("quality") == 1)
-
-
-@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents), k AS (SELECT *, least(10, greatest(3, (n + 5) // 6)) AS k FROM r)
-SELECT source, doc_id FROM k WHERE r IN (SELECT unnest(list_transform(range(k), lambda i: i * n // k)))""")
-def even_sample(spark, d):
-    return A.even_sample(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
-
-
-@query("""WITH r AS (SELECT upper(lang) AS language, quality = 1 AS answerable, 1.0::DOUBLE - toxic AS recall, n_chars AS latency FROM labels JOIN documents USING (doc_id)),
-s AS (SELECT language, count(*) AS n, count(*) FILTER (answerable) AS a, avg(recall) FILTER (answerable) AS recall, quantile_disc(latency, 0.95) AS p95 FROM r WHERE language IN ('EN', 'DE', 'FR', 'IT', 'ES') GROUP BY 1 UNION ALL SELECT 'ALL', count(*), count(*) FILTER (answerable), avg(recall) FILTER (answerable), quantile_disc(latency, 0.95) FROM r)
-SELECT l.language, coalesce(n, 0) AS n, coalesce(a, 0) AS answerable, round(coalesce(recall, 0), 6) AS recall, coalesce(p95, 0)::DOUBLE AS p95 FROM (VALUES ('ALL'), ('EN'), ('DE'), ('FR'), ('IT'), ('ES')) l(language) LEFT JOIN s ON s.language = l.language""")
-def benchmark_summary(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    rows = rows.select(F.upper("lang").alias("language"), (F.col("quality") == 1).alias("answerable"), (1.0 - F.col("toxic")).alias("recall"), F.col("n_chars").alias("latency"))
-    return A.summary(rows, ("EN", "DE", "FR", "IT", "ES")).withColumn("recall", F.round("recall", 6))
-
-
-@query(f"""WITH e AS (SELECT event_type, ts, TIMESTAMP '{NOW}' AS now FROM events) SELECT event_type, count(*) FILTER (ts > now - INTERVAL 7 DAY AND ts <= now) AS current,
-count(*) FILTER (ts > now - INTERVAL 14 DAY AND ts <= now - INTERVAL 7 DAY) AS previous, current - previous AS growth FROM e GROUP BY 1""")
-def soak_growth(spark, d):
-    return A.growth(table(spark, d, "events"), NOW)

@@ -27,8 +27,9 @@ def query(sql: str | None = None):
 
 JOBS = """jobs AS (SELECT event_id AS id, user_id AS document_id,
   CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'dead_letter' END AS status,
-  CAST(event_id % 5 AS INTEGER) AS attempt, ts AS created_at, CASE WHEN event_type = 'view' THEN ts END AS locked_at,
-  CASE WHEN event_type = 'view' THEN 'w' || (user_id % 7) END AS locked_by FROM events)"""
+  CAST(event_id % 5 AS INTEGER) AS attempt, ts AS created_at, CASE WHEN event_type = 'view' OR (event_type = 'purchase' AND event_id % 11 = 0) THEN ts END AS locked_at,
+  CASE WHEN (event_type = 'view' OR (event_type = 'purchase' AND event_id % 11 = 0)) AND event_id % 9 <> 0 THEN 'w' || (user_id % 7) END AS locked_by, ts + to_minutes(event_id % 7) AS updated_at,
+  CASE event_id % 5 WHEN 0 THEN 'embedding' WHEN 1 THEN 'storing' WHEN 2 THEN '  ' WHEN 4 THEN 'extracting' END AS current_stage FROM events)"""
 POOL = """pool AS (SELECT doc_id // 50 AS query_id, doc_id AS chunk_id, CAST(CASE WHEN doc_id // 50 % 5 = 0 THEN 0 ELSE doc_id % 7 END AS BIGINT) AS document_id, CAST(n_chars % 11 AS INTEGER) AS page, (n_chars % 101) / 100.0::DOUBLE AS score,
   CASE WHEN doc_id % 3 > 0 THEN (n_chars % 89) / 88.0::DOUBLE END AS similarity, (n_chars % 13) / 12.0::DOUBLE AS lexical, CAST(doc_id % 2 AS INTEGER) AS exact, CAST(coalesce(lang = 'en', false) AS INTEGER) AS same_language,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'cross_encoder' ELSE 'heuristic' END AS scale, text AS content, source AS title, CASE WHEN doc_id % 4 > 0 THEN left(text, 60) END AS context, upper(lang) AS language

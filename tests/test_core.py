@@ -14,6 +14,7 @@ from siftline.operators import answers as W
 from siftline.operators import chunking as K
 from siftline.operators import lifecycle as L
 from siftline.operators import metrics as A
+from siftline.operators import queue as Q
 from siftline.operators import ranking as R
 from siftline.operators import state as S
 from siftline.plans import catalog
@@ -66,6 +67,15 @@ def test_adjacency_golden(spark):
     assert [r.boosted for r in R.adjacency_boost(rows).orderBy("page").collect()] == [0.45, 0.5, 0.45]
 
 
+def test_evidence_order_golden(spark):
+    lists = {1: [(0, 0.5 - i / 10) for i in range(5)], 2: [(3, 0.1), (4, 0.9)], 3: [(0, 0.9), (1, 0.8), (0, 0.7), (2, 0.6), (1, 0.5)], 4: [(7, 0.4), (7, 0.4), (7, 0.4)]}
+    df = spark.createDataFrame([(q, d, s, i + 1) for q, x in lists.items() for i, (d, s) in enumerate(x)], "query_id int, document_id int, score double, ord int")
+    got = {}
+    for r in R.evidence_order(df).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.ord)
+    assert got == {1: [1, 3, 5, 4, 2], 2: [1, 2], 3: [1, 3, 4, 2, 5], 4: [1, 3, 2]}
+
+
 def plain_diversity(rows, top_k, cap, floor):
     if cap <= 0 or len(rows) <= top_k:
         return rows
@@ -79,7 +89,7 @@ def plain_diversity(rows, top_k, cap, floor):
             chosen.append(i)
             held[doc] = held.get(doc, 0) + 1
     first = (chosen + deferred)[:top_k]
-    return [rows[i] for i in first]
+    return [rows[i] for i in first + [i for i in range(len(rows)) if i not in first]]
 
 
 def test_diversity_like_a_list(spark):
@@ -90,7 +100,7 @@ def test_diversity_like_a_list(spark):
     for r in R.diversify(df, 4, 2, 0.25).orderBy("query_id", "place").collect():
         got.setdefault(r.query_id, []).append((r.document_id, r.relevance, r.scale))
     for q, x in enumerate(lists):
-        assert got[q][:4] == plain_diversity(x, 4, 2, 0.25)[:4]
+        assert got[q] == plain_diversity(x, 4, 2, 0.25)
 
 
 def test_rate_limit_is_a_fold(spark):
@@ -152,8 +162,12 @@ def test_lifecycle(spark):
     jobs = spark.createDataFrame([(1, "processing", 2, "w"), (2, "queued", 1, None), (3, "processing", 1, "v")], "id long, status string, attempt int, locked_by string").withColumn("locked_at", F.lit(BEGIN))
     ids = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     state = lambda df: {r.id: (r.status, r.attempt, r.locked_by) for r in df.collect()}
-    assert state(L.complete(jobs, ids)) == {1: ("completed", 2, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
-    assert state(L.give_back(jobs, ids)) == {1: ("queued", 0, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    now = "2024-01-02 00:00:00"
+    assert state(Q.complete(jobs, ids, now)) == {1: ("completed", 2, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    assert state(Q.give_back(jobs, ids, now)) == {1: ("queued", 0, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    errors = ids.withColumn("error", F.lit("x"))
+    assert state(Q.fail(jobs, errors, now)) == {1: ("failed", 2, None), 2: ("queued", 1, None), 3: ("processing", 1, "v")}
+    assert state(Q.fail(jobs, errors, now, retries=2))[1] == ("dead_letter", 2, None)
     new = spark.createDataFrame([(5, "a"), (4, "a"), (6, "b"), (7, None)], "doc_id long, sha256 string")
     assert [tuple(r) for r in L.create_documents(new.where("sha256 = 'b'"), new).collect()] == [(4, "a:v1")]
 
