@@ -98,6 +98,6 @@ def json_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A JSON artifact by its schema."""
-    return spark.read.schema(ddl).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, ddl: str, whole: bool = False) -> DataFrame:
+    """JSON artifacts by their schema: an object in each line, or whole files."""
+    return spark.read.schema(ddl).option("multiLine", whole).json(path)

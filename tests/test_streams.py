@@ -37,7 +37,7 @@ def test_sentences_as_they_come(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted(tuple(r) for r in drained(spark, windows.sentence_stream(stream), "sentences", tmp_path / "cp"))
     want = sorted(tuple(r) for r in windows.sentences(spark.createDataFrame(rows, schema)).collect())
-    assert got == want and len(want) == 7
+    assert got == want and len(want) == 8
 
 
 def test_metric_windows_and_entries(spark, tmp_path):
