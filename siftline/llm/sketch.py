@@ -166,9 +166,10 @@ def with_successors(docs: DataFrame, buckets: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf")))
     at = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    placed = docs.withColumn("_id", place)
     splits = [-float("inf"), *sorted(set(at)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket")
-    dealt = cut.transform(docs.withColumn("_id", place)).select((-F.col("_bucket")).cast("int").alias("bucket"), F.lit(0).alias("extra"), "doc_id", "text")
+    cut = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket").transform(placed) if at else placed.withColumn("_bucket", F.lit(0.0))
+    dealt = cut.select((-F.col("_bucket")).cast("int").alias("bucket"), F.lit(0).alias("extra"), "doc_id", "text")
     heads = sorted((r[0], r[1]) for r in dealt.groupBy("bucket").agg(F.max("doc_id")).collect())  # nulls alone have none
     if heads:
         follows = spark.createDataFrame([(h[1], heads[i - 1][0]) for i, h in enumerate(heads)], "_head long, bucket int")
