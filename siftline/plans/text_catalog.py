@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline import providers as P
 from siftline.functions import text as X
+from siftline.functions import vector as V
 from siftline.operators import chunking as K
 from siftline.operators import layout as Y
 from siftline.operators import ranking as R
@@ -225,7 +226,7 @@ def chunk_rows(spark, d):
 @query("SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def vector_parse(spark, d):
     text = F.concat(F.lit("[nan, "), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ", "), F.lit(", x]"))
-    rows = table(spark, d, "embeddings").select("vec_id", T.V.parse(text).alias("v"))
+    rows = table(spark, d, "embeddings").select("vec_id", V.parse(text).alias("v"))
     return rows.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions import vector as V  # noqa: F401  array columns of vectors
 from siftline.operators.state import STATUS
 
 
