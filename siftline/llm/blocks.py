@@ -12,53 +12,71 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, keep
 from .graph import components
 
 OF, PART = 100, 256
+WIDE, ENTRIES = 8, 2_000_000  # parts that meet the far rows together, if their sets have no more numbers than that, about
 RANGE = 4096  # columns that are multiplied at once
 
 
-def overlaps(sets: list[np.ndarray], apart: np.ndarray, share: int, width: int = RANGE) -> list[tuple[int, int]]:
-    """Pairs of positions i < j whose sets have a Jaccard similarity of share hundredths or more, where apart[i, j]; the
-    product of the incidence matrix with itself, accumulated over ranges of `width` columns. After each range, pairs that
-    the columns to come can't lift to the bound are discarded, and rows without a possible pair leave the later ranges."""
-    if len(sets) == 2:  # most blocks: the product is one number
-        a, b = sets
+def _needed(a: np.ndarray, b: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The overlap that a link of sets of these sizes takes, and which pairs of sizes allow one."""
+    a, b = a[:, None], b[None, :]
+    need = (-(-share * (a + b) // (OF + share))).astype(np.int32)
+    return need, (np.minimum(a, b) * OF >= share * np.maximum(a, b)) & (a > 0)
+
+
+def overlaps(rows: list[np.ndarray], others: list[np.ndarray] | None, apart: np.ndarray, share: int, width: int = RANGE) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a row and another one (of rows i < j, if there are no others) whose sets have a Jaccard similarity of
+    share hundredths or more, where apart[i, j]; the product of the incidence matrices, accumulated over ranges of `width`
+    columns. After each range, pairs that the columns to come can't lift to the bound are discarded, and rows without a
+    possible pair leave the later ranges."""
+    square = others is None
+    if square and len(rows) == 2:  # most blocks: the product is one number
+        a, b = rows
         if not apart[0, 1] or min(len(a), len(b)) * OF < share * max(len(a), len(b)):
             return []
         both = len(np.intersect1d(a, b, assume_unique=True))
         return [(0, 1)] if both and both * OF >= share * (len(a) + len(b) - both) else []
+    n, sets = len(rows), rows if square else [*rows, *others]
     sizes = np.array([len(x) for x in sets], np.int64)
-    need = -(-share * (sizes[:, None] + sizes[None, :]) // (OF + share))  # the overlap that a link takes
-    may = apart & (np.minimum(sizes[:, None], sizes[None, :]) * OF >= share * np.maximum(sizes[:, None], sizes[None, :])) & (sizes[:, None] > 0)
-    may = np.triu(may | may.T, 1)
+    need, may = _needed(sizes if square else sizes[:n], sizes if square else sizes[n:], share)
+    may &= apart
+    if square:
+        may = np.triu(may, 1)
     if not may.any():
         return []
     _, column, degree = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
-    many = degree[column] > 1
-    order = np.argsort(column[many], kind="stable")
-    row, column = row[many][order], column[many][order]
+    if square:
+        useful = degree > 1
+    else:
+        first = np.bincount(column[: sizes[:n].sum()], minlength=len(degree))
+        useful = (first > 0) & (first < degree)
+    kept = useful[column]
+    order = np.argsort(column[kept], kind="stable")
+    row, column = row[kept][order], column[kept][order]
     column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
-    left = np.bincount(row, minlength=len(sets))
-    acc = np.zeros((len(sets), len(sets)), np.int32)
+    left = np.bincount(row, minlength=len(sets)).astype(np.int32)
+    acc = np.zeros(may.shape, np.int32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        may &= acc + np.minimum(left[:, None], left[None, :]) >= need  # what the columns to come can still add
-        alive = np.flatnonzero(may.any(0) | may.any(1))
-        if not len(alive):
+        may &= acc + np.minimum(left[: len(may), None], (left if square else left[n:])[None, :]) >= need  # what the columns to come can still add
+        above, beside = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(above):
             return []
         here = slice(*np.searchsorted(column, [at, at + width]))
         block = np.zeros((len(sets), int(min(width, column[-1] + 1 - at))), np.float32)
         block[row[here], column[here] - at] = 1
-        some = block[alive]
-        acc[np.ix_(alive, alive)] += (some @ some.T).astype(np.int32)
-        left -= np.bincount(row[here], minlength=len(sets))
-    may &= acc * OF >= share * (sizes[:, None] + sizes[None, :] - acc)
-    return list(zip(*(x.tolist() for x in np.nonzero(may)), strict=True))
+        acc[np.ix_(above, beside)] += (block[above] @ block[beside if square else beside + n].T).astype(np.int32)
+        left -= np.bincount(row[here], minlength=len(sets)).astype(np.int32)
+    i, j = np.nonzero(may & (acc >= need))
+    both, total = acc[i, j], sizes[i] + sizes[j if square else j + n]
+    good = both * OF >= share * (total - both)
+    return list(zip(i[good].tolist(), j[good].tolist(), strict=True))
 
 
 def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,12 +104,14 @@ def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable)
         if len(rows) < 2:
             return
         far, part, met, ids, payload = zip(*rows, strict=True)
-        if any(far):
-            f, p, m = np.array(far), np.array(part), np.array(met, np.int64)
-            apart = (f[:, None] != f[None, :]) & (p[:, None] != p[None, :]) & (m[:, None] != m[None, :])
+        sets, n = [set_of(x) for x in payload], len(rows) - sum(far)  # far rows come last
+        if n < len(rows):
+            p, m = np.array(part), np.array(met, np.int64)
+            apart = (p[:n, None] != p[None, n:]) & (m[:n, None] != m[None, n:])
+            links = [(ids[i], ids[n + j]) for i, j in overlaps(sets[:n], sets[n:], apart, share)] if n else []
         else:
-            apart = np.ones((len(rows), len(rows)), bool)
-        found.extend(_stars([(ids[i], ids[j]) for i, j in overlaps([set_of(x) for x in payload], apart, share)]))
+            links = [(ids[i], ids[j]) for i, j in overlaps(sets, None, np.ones((n, n), bool), share)]
+        found.extend(_stars(links))
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
@@ -110,10 +130,18 @@ def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable)
         yield out()
 
 
+def shape(rows: Column, entries: Column, part: int, most: int) -> tuple[Column, Column]:
+    """Of a block with so many rows and numbers in their sets: how many parts it is cut into, each of `part` rows and `most`
+    numbers at most, and how many of them meet far rows together."""
+    parts = F.greatest(F.ceil(rows / part), F.ceil(entries / most)).cast("int")
+    wide = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(ENTRIES * parts / F.greatest(entries, F.lit(1))))).cast("int")
+    return parts.alias("parts"), wide.alias("wide")
+
+
 def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART) -> DataFrame:
-    """Pairs (a, b) that connect all similar rows of each block as links do; rows: (block, lead, parts, id, payload), in the shared folder,
-    lead being the id of one of the block's rows and parts how many parts it is cut into. set_of makes a sorted array of
-    distinct numbers of a payload."""
+    """Pairs (a, b) that connect all similar rows of each block as links do; rows: (block, lead, parts, wide, id, payload), lead
+    being the id of one of the block's rows, parts how many parts it is cut into, and wide how many parts meet far rows
+    together (see shape). set_of makes a sorted array of distinct numbers of a payload."""
     layout = ["block", "i", "j", "far", "part", "met", "id", "payload"]
 
     def multiplied(work: DataFrame) -> DataFrame:
@@ -131,8 +159,9 @@ def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART)
     large = keep(large.join(met.toDF("id", "_met"), "id", "left").withColumn("met", F.coalesce("_met", "id")).drop("_met"), "met")
     main = large.where("id = lead").select("block", F.col("met").alias("main")).distinct()
     rest = large.join(few(keep(main, "main"), F.lit(24)), "block").where("met <> main").drop("main")
-    chunks = few(keep(rest.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias("chunks")), "chunks"), F.lit(24))
+    chunks = few(keep(rest.groupBy("block").agg(F.ceil(F.count("*") / (part * F.max("wide"))).cast("int").alias("chunks")), "chunks"), F.lit(24))
     rest = rest.join(chunks, "block").withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int") + 1)
-    far = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("far", F.lit(1))
-    near = large.join(chunks, "block").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumns({"i": F.col("part"), "far": F.lit(0)})
+    at = lambda p: F.floor(p / F.col("wide")).cast("int")
+    far = rest.withColumn("i", F.explode(F.sequence(F.lit(0), at(F.col("parts") - 1)))).withColumn("far", F.lit(1))
+    near = large.join(chunks, "block").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks")))).withColumns({"i": at(F.col("part")), "far": F.lit(0)})
     return first.unionByName(keep(multiplied(near.select(layout).unionByName(far.select(layout))), "more-links"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import OF, PART, block_links
+from .blocks import OF, PART, block_links, shape
 from .common import few, keep, release, scratch, small_batches, utf8
 from .files import forget
 from .graph import components
@@ -210,13 +210,12 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     # Linked sets are of one class of sizes or of neighbouring ones, so each class meets the one below it.
     step = F.floor(F.log(F.col("size")) / math.log(OF / share)).cast("int")
     blocks = rows.withColumn("step", F.explode(F.array(step, step + 1))).withColumn("block", F.xxhash64("root", "step"))
-    parts = F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / ENTRIES)).cast("int")
-    shapes = blocks.groupBy("block").agg(F.min("rep").alias("lead"), parts.alias("parts"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    blocks = keep(blocks.join(shapes, "block").select(F.col("rep").alias("id"), "block", "lead", "parts"), "rows")
+    shapes = blocks.groupBy("block").agg(F.min("rep").alias("lead"), F.count("*").alias("_n"), *shape(F.count("*"), F.sum("size"), part, ENTRIES)).where("_n > 1").drop("_n")
+    blocks = keep(blocks.join(shapes, "block").select(F.col("rep").alias("id"), "block", "lead", "parts", "wide"), "rows")
     wanted = few(keep(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted"), F.lit(16))
     sets = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(partial(_shingled, words=words), "id long, payload binary")
     sets = keep(sets, "block-sets", at := scratch(docs.sparkSession, "block-sets"))
-    links = block_links(sets.join(few(blocks, F.lit(48)), "id").select("block", "lead", "parts", "id", "payload"), share, set_of, part)
+    links = block_links(sets.join(few(blocks, F.lit(48)), "id").select("block", "lead", "parts", "wide", "id", "payload"), share, set_of, part)
     forget(at)
     release(docs.sparkSession)
     joined = components(links)

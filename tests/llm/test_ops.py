@@ -306,15 +306,16 @@ def test_repetitive_lines(spark):
     assert dropped_lines(spark, lines) == plain_dropped(lines) == {1, 2, 4}
 
 
-def test_blocks_in_parts(spark):
+@pytest.mark.parametrize("wide", [1, 2, 20])
+def test_blocks_in_parts(spark, wide):
     """A block of many parts: every similar pair is connected, whichever parts it lies in."""
     rnd, rows = random.Random(5), []
     for i in range(60):
         x = set(rnd.sample(range(40 * (i % 4), 40 * (i % 4) + 30), 26))
-        rows.append((7, 0, 9, i, np.array(sorted(x), np.uint64).tobytes()))
-    df = spark.createDataFrame(rows, "block long, lead long, parts int, id long, payload binary")
+        rows.append((7, 0, 9, wide, i, np.array(sorted(x), np.uint64).tobytes()))
+    df = spark.createDataFrame(rows, "block long, lead long, parts int, wide int, id long, payload binary")
     links = [(r.a, r.b) for r in blocks.block_links(df, 80, ngram_join.set_of, part=7).collect()]
-    sets = {r[3]: set(np.frombuffer(r[4], np.uint64).tolist()) for r in rows}
+    sets = {r[4]: set(np.frombuffer(r[5], np.uint64).tolist()) for r in rows}
     alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert links
     assert joined(links, sets) == joined([(a, b) for a in sets for b in sets if a < b and alike(a, b)], sets)
