@@ -62,7 +62,7 @@ def claim(jobs: DataFrame, now: str, batch: int = 1, lock_seconds: int = 900, re
     j = jobs.join(chosen, jobs.id == chosen._id, "left").withColumns({"_mine": F.col("_id").isNotNull(), "_dead": dead, "_spent": spent(jobs, t), "_stale": F.coalesce(stale, F.lit(False))})
     j = changed(j, F.col("_dead"), status=F.lit("dead_letter"), last_error=F.lit(f"Exceeded max retries ({retries}) with stale lock"), **_free(F.lit("dead_letter"), t, F.col("_spent")))
     longer = F.when(F.col("_stale"), F.col("_spent")).otherwise(F.col("processing_duration_ms")) if "processing_duration_ms" in jobs.columns else F.lit(None)
-    j = changed(j, F.col("_mine"), status=F.lit("processing"), attempt=F.col("attempt") + 1, locked_at=t, locked_by=F.lit(worker or "vercel-ingestion-runner"), current_stage=F.lit("claimed"), stage_updated_at=t, processing_duration_ms=longer, processing_started_at=t, updated_at=t)
+    j = changed(j, F.col("_mine"), status=F.lit("processing"), attempt=F.col("attempt") + 1, locked_at=t, locked_by=F.lit(worker or "worker"), current_stage=F.lit("claimed"), stage_updated_at=t, processing_duration_ms=longer, processing_started_at=t, updated_at=t)
     return j.select(jobs.columns)
 
 
