@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from siftline.functions import safety as G
@@ -68,14 +70,35 @@ def reflection(spark, d):
     return table(spark, d, "documents").select("doc_id", E.reflects(i % 7, i % 5).alias("reflects"))
 
 
-@query()
+_INVISIBLE = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", G.INVISIBLE)
+_matches = lambda x, p: f"regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}')"
+_any = lambda x: " OR ".join(_matches(x, p) for _, p, _ in G.INJECTION)
+_score = lambda x: "(" + " + ".join(f"CASE WHEN {_matches(x, p)} THEN {n} ELSE 0 END" for _, p, n in G.INJECTION) + ")"
+_blocked = lambda x: f"({_score(x)} >= 10 OR " + " OR ".join(_matches(x, p) for k, p, _ in G.INJECTION if k in G.BLOCKING) + ")"
+
+
+def _payloads(name: str, source: str, column: str, label: str) -> str:
+    """CTE: what of a column may enter a prompt, as <column>_safe; label is SQL."""
+    x, removed = "x", f"'[Potential prompt injection content removed from ' || {label} || ']'"
+    lines = f"trim(array_to_string(list_filter(regexp_split_to_array(x, '\\r?\\n'), lambda l: NOT ({_any('l')})), chr(10)))"
+    return f"""{name}_x AS (SELECT *, trim(regexp_replace(coalesce({column}, ''), '{_INVISIBLE}', ' ', 'g')) AS x FROM {source}), {name}_l AS (SELECT *, {lines} AS kept FROM {name}_x),
+{name} AS (SELECT * EXCLUDE (x, kept), CASE WHEN x = '' THEN '[No ' || {label} || ' available]' WHEN NOT ({_any(x)}) THEN x WHEN kept = '' THEN {removed} WHEN {_blocked(x)} THEN {removed} || chr(10) || kept ELSE kept END AS {column}_safe FROM {name}_l)"""
+
+
+_FENCED = "'%s:' || chr(10) || '```text' || chr(10) || %s || chr(10) || '```' || chr(10)"
+
+
+@query(f"""WITH {POOL}, best AS (SELECT * FROM listed WHERE ord <= 8), {_payloads('a', 'best', 'title', "'section title ' || ord")}, {_payloads('b', 'a', 'content', "'document chunk ' || ord")}, {_payloads('c', 'b', 'context', "'retrieval context ' || ord")},
+e AS (SELECT query_id, ord, '<evidence_chunk index="' || ord || '" page="' || page || '" section="' || title_safe || '">' || chr(10) || {_FENCED % ('UNTRUSTED_DOCUMENT_TEXT', 'content_safe')} || CASE WHEN coalesce(context, '') <> '' THEN {_FENCED % ('UNTRUSTED_RETRIEVAL_CONTEXT', 'context_safe')} ELSE '' END || '</evidence_chunk>' AS b FROM c)
+SELECT query_id, string_agg(b, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS evidence FROM e GROUP BY 1""")
 def prompt_evidence(spark, d):
     return E.prompt_evidence(chunks(spark, d).where(F.col("ord") <= 8))
 
 
-@query()
+@query(f"""WITH {POOL}, w AS (SELECT chunk_id, content, context, regexp_replace(coalesce(title, '') || chr(10) || coalesce(content, '') || chr(10) || coalesce(context, ''), '{_INVISIBLE}', ' ', 'g') AS whole FROM pool), {_payloads('a', 'w', 'content', "'document chunk ' || chunk_id")}, {_payloads('b', 'a', 'context', "'document context ' || chunk_id")}
+SELECT chunk_id, content_safe AS content, context_safe AS context, ({_any('whole')}) AS suspicious, {_blocked('whole')} AS blocked FROM b""")
 def protected_chunks(spark, d):
-    return E.protect(pool(spark, d).select("chunk_id", "title", "content", "context"))
+    return E.protect(pool(spark, d).select("chunk_id", "title", "content", "context")).drop("title")
 
 
 # Answers made of the documents' texts, with markers of all sorts put into them.
