@@ -49,12 +49,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _counted(padded: Column, language: str) -> Column:
+    return sum(((F.length(padded) - F.length(F.replace(padded, F.lit(k), F.lit("")))) / len(k) for k in LANGUAGE_KEYWORDS[language]), F.lit(0)).cast("int")
+
+
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+
+
 def keyword_count(text: Column, language: str) -> Column:
     """How often the language's keywords occur, without overlaps."""
-    def total(padded: Column) -> Column:
-        return sum(((F.length(padded) - F.length(F.replace(padded, F.lit(k), F.lit("")))) / len(k) for k in LANGUAGE_KEYWORDS[language]), F.lit(0)).cast("int")
-
-    return let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), total)
+    return let(_padded(text), lambda p: _counted(p, language))
 
 
 def garbled(text: Column) -> Column:
@@ -66,7 +71,7 @@ def garbled(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """A struct (language, confident, score): the first language with the most keyword hits; EN without any; a tie isn't confident."""
-    counts = F.when(F.coalesce(~garbled(text), F.lit(False)), F.array(*(keyword_count(text, k) for k in LANGUAGE_KEYWORDS))).otherwise(F.array(F.lit(0)))
+    counts = F.when(F.coalesce(~garbled(text), F.lit(False)), let(_padded(text), lambda p: F.array(*(_counted(p, k) for k in LANGUAGE_KEYWORDS)))).otherwise(F.array(F.lit(0)))
 
     def decided(c: Column) -> Column:
         best = F.array_max(c)
