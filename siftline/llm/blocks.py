@@ -30,20 +30,22 @@ def _needed(a: np.ndarray, b: np.ndarray, share: int) -> tuple[np.ndarray, np.nd
     return need, (np.minimum(a, b) * OF >= share * np.maximum(a, b)) & (a > 0)
 
 
-def overlaps(rows: list[np.ndarray], others: list[np.ndarray] | None, apart: np.ndarray, share: int, width: int = RANGE) -> list[tuple[int, int]]:
+def overlaps(rows: list[np.ndarray], others: list[np.ndarray] | None, apart: np.ndarray, share: int, totals: list[int] | None = None, width: int = RANGE) -> list[tuple[int, int]]:
     """Pairs (i, j) of a row and another one (of rows i < j, if there are no others) whose sets have a Jaccard similarity of
     share hundredths or more, where apart[i, j]; the product of the incidence matrices, accumulated over ranges of `width`
     columns. After each range, pairs that the columns to come can't lift to the bound are discarded, and rows without a
-    possible pair leave the later ranges."""
+    possible pair leave the later ranges. With totals, the sizes of sets of which only some columns are here: the pairs that
+    the columns elsewhere can still lift to the bound."""
     square = others is None
-    if square and len(rows) == 2:  # most blocks: the product is one number
-        a, b = rows
-        if not apart[0, 1] or min(len(a), len(b)) * OF < share * max(len(a), len(b)):
-            return []
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return [(0, 1)] if both and both * OF >= share * (len(a) + len(b) - both) else []
     n, sets = len(rows), rows if square else [*rows, *others]
-    sizes = np.array([len(x) for x in sets], np.int64)
+    here_ = np.array([len(x) for x in sets], np.int64)
+    sizes = here_ if totals is None else np.array(totals, np.int64)
+    if square and n == 2:  # most blocks: the product is one number
+        (a, b), (x, y) = rows, sizes.tolist()
+        if not apart[0, 1] or min(x, y) * OF < share * max(x, y) or not x:
+            return []
+        both = len(np.intersect1d(a, b, assume_unique=True)) + min(x - len(a), y - len(b))
+        return [(0, 1)] if both and both * OF >= share * (x + y - both) else []
     need, may = _needed(sizes if square else sizes[:n], sizes if square else sizes[n:], share)
     may &= apart
     if square:
@@ -51,17 +53,18 @@ def overlaps(rows: list[np.ndarray], others: list[np.ndarray] | None, apart: np.
     if not may.any():
         return []
     _, column, degree = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets)), here_)
     if square:
         useful = degree > 1
     else:
-        first = np.bincount(column[: sizes[:n].sum()], minlength=len(degree))
+        first = np.bincount(column[: here_[:n].sum()], minlength=len(degree))
         useful = (first > 0) & (first < degree)
     kept = useful[column]
     order = np.argsort(column[kept], kind="stable")
     row, column = row[kept][order], column[kept][order]
     column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
-    left = np.bincount(row, minlength=len(sets)).astype(np.int32)
+    elsewhere = (sizes - here_).astype(np.int32)
+    left = np.bincount(row, minlength=len(sets)).astype(np.int32) + elsewhere
     acc = np.zeros(may.shape, np.int32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         may &= acc + np.minimum(left[: len(may), None], (left if square else left[n:])[None, :]) >= need  # what the columns to come can still add
@@ -73,6 +76,8 @@ def overlaps(rows: list[np.ndarray], others: list[np.ndarray] | None, apart: np.
         block[row[here], column[here] - at] = 1
         acc[np.ix_(above, beside)] += (block[above] @ block[beside if square else beside + n].T).astype(np.int32)
         left -= np.bincount(row[here], minlength=len(sets)).astype(np.int32)
+    if totals is not None:
+        acc = acc + np.minimum(elsewhere[: len(may), None], (elsewhere if square else elsewhere[n:])[None, :])
     i, j = np.nonzero(may & (acc >= need))
     both, total = acc[i, j], sizes[i] + sizes[j if square else j + n]
     good = both * OF >= share * (total - both)
@@ -94,7 +99,7 @@ def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in up]
 
 
-def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable) -> Iterator[pa.RecordBatch]:
+def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable, total_of: Callable | None) -> Iterator[pa.RecordBatch]:
     """Rows (block, i, j, far, part, met, id, payload) come sorted by task (block, i, j): pairs that connect what links
     among the rows do, or those between near and far ones if there are far ones, of different parts and not yet met."""
     at, rows = None, []
@@ -105,12 +110,13 @@ def _multiplied(batches: Iterator[pa.RecordBatch], share: int, set_of: Callable)
             return
         far, part, met, ids, payload = zip(*rows, strict=True)
         sets, n = [set_of(x) for x in payload], len(rows) - sum(far)  # far rows come last
+        totals = [total_of(x) for x in payload] if total_of else None
         if n < len(rows):
             p, m = np.array(part), np.array(met, np.int64)
             apart = (p[:n, None] != p[None, n:]) & (m[:n, None] != m[None, n:])
-            links = [(ids[i], ids[n + j]) for i, j in overlaps(sets[:n], sets[n:], apart, share)] if n else []
+            links = [(ids[i], ids[n + j]) for i, j in overlaps(sets[:n], sets[n:], apart, share, totals)] if n else []
         else:
-            links = [(ids[i], ids[j]) for i, j in overlaps(sets, None, np.ones((n, n), bool), share)]
+            links = [(ids[i], ids[j]) for i, j in overlaps(sets, None, np.ones((n, n), bool), share, totals)]
         found.extend(_stars(links))
 
     def out() -> pa.RecordBatch:
@@ -138,15 +144,16 @@ def shape(rows: Column, entries: Column, part: int, most: int) -> tuple[Column,
     return parts.alias("parts"), wide.alias("wide")
 
 
-def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART) -> DataFrame:
+def block_links(rows: DataFrame, share: int, set_of: Callable, part: int = PART, total_of: Callable | None = None) -> DataFrame:
     """Pairs (a, b) that connect all similar rows of each block as links do; rows: (block, lead, parts, wide, id, payload), lead
     being the id of one of the block's rows, parts how many parts it is cut into, and wide how many parts meet far rows
-    together (see shape). set_of makes a sorted array of distinct numbers of a payload."""
+    together (see shape). set_of makes a sorted array of distinct numbers of a payload. With total_of, a payload has only some
+    of a set's numbers, total_of gives how many there are in all, and the pairs are those that may be similar."""
     layout = ["block", "i", "j", "far", "part", "met", "id", "payload"]
 
     def multiplied(work: DataFrame) -> DataFrame:
         dealt = work.select(layout).repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "far", "id")
-        return dealt.mapInArrow(partial(_multiplied, share=share, set_of=set_of), "a long, b long")
+        return dealt.mapInArrow(partial(_multiplied, share=share, set_of=set_of, total_of=total_of), "a long, b long")
 
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     none = {"j": F.lit(0), "far": F.lit(0), "met": F.lit(0).cast("long")}

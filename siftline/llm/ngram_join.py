@@ -30,6 +30,7 @@ from .graph import components
 
 SHARE, WORDS = 90, 3
 ENTRIES = 1_000_000  # shingles of a part at most, unless one row has more
+LOW = 4  # parts of the hash space, of which the lowest is multiplied first
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -168,11 +169,15 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles(words)
+def _shingled(batches: Iterator[pa.RecordBatch], words: int, low: int) -> Iterator[pa.RecordBatch]:
+    """Payloads: how many shingles a set has, and their hashes (those in the lowest of `low` parts of the hash space)."""
+    shingles, bound = Shingles(words), np.uint64((1 << 64) // low - 1)
+
+    def payload(s: np.ndarray) -> bytes:
+        return len(s).to_bytes(8, "little") + (s[: np.searchsorted(s, bound, "right")] if low > 1 else s).tobytes()
+
     for b in batches:
-        sets = [shingles(x).tobytes() for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "payload"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([payload(shingles(x)) for x in b.column("text").to_pylist()], pa.binary())], ["id", "payload"])
 
 
 def _near(sets: DataFrame) -> DataFrame:
@@ -182,7 +187,26 @@ def _near(sets: DataFrame) -> DataFrame:
 
 
 def set_of(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, np.uint64)
+    return np.frombuffer(payload, np.uint64, offset=8)
+
+
+def total_of(payload: bytes) -> int:
+    return int.from_bytes(payload[:8], "little")
+
+
+def _block_links(docs: DataFrame, blocks: DataFrame, words: int, share: int, part: int, low: int = 1) -> DataFrame:
+    """Pairs that connect the linked documents of each block; blocks: (rep, size, block). With low above 1, by the lowest of so
+    many parts of the hash space: the pairs that may be linked."""
+    shapes = blocks.groupBy("block").agg(F.min("rep").alias("lead"), F.count("*").alias("_n"), *shape(F.count("*"), F.sum("size") / low, part, ENTRIES)).where("_n > 1").drop("_n")
+    blocks = keep(blocks.join(shapes, "block").select(F.col("rep").alias("id"), "block", "lead", "parts", "wide"), "rows")
+    wanted = few(keep(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted"), F.lit(16))
+    sets = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(partial(_shingled, words=words, low=low), "id long, payload binary")
+    sets = keep(sets, "block-sets", at := scratch(docs.sparkSession, "block-sets"))
+    work = sets.join(few(blocks, F.lit(48)), "id").select("block", "lead", "parts", "wide", "id", "payload")
+    links = block_links(work, share, set_of, part, total_of if low > 1 else None)
+    forget(at)
+    release(docs.sparkSession)
+    return links
 
 
 def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -209,16 +233,11 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     rows = keep(classes.withColumn("node", half).join(nodes, "node").select("rep", "root", "size"), "blocks")
     # Linked sets are of one class of sizes or of neighbouring ones, so each class meets the one below it.
     step = F.floor(F.log(F.col("size")) / math.log(OF / share)).cast("int")
-    blocks = rows.withColumn("step", F.explode(F.array(step, step + 1))).withColumn("block", F.xxhash64("root", "step"))
-    shapes = blocks.groupBy("block").agg(F.min("rep").alias("lead"), F.count("*").alias("_n"), *shape(F.count("*"), F.sum("size"), part, ENTRIES)).where("_n > 1").drop("_n")
-    blocks = keep(blocks.join(shapes, "block").select(F.col("rep").alias("id"), "block", "lead", "parts", "wide"), "rows")
-    wanted = few(keep(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted"), F.lit(16))
-    sets = docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(partial(_shingled, words=words), "id long, payload binary")
-    sets = keep(sets, "block-sets", at := scratch(docs.sparkSession, "block-sets"))
-    links = block_links(sets.join(few(blocks, F.lit(48)), "id").select("block", "lead", "parts", "wide", "id", "payload"), share, set_of, part)
-    forget(at)
-    release(docs.sparkSession)
-    joined = components(links)
+    first = rows.withColumn("step", F.explode(F.array(step, step + 1))).select("rep", "size", F.xxhash64("root", "step").alias("block"))
+    # First the columns of the lowest hashes: what they leave possible is little, and only that is multiplied whole.
+    possible = keep(components(_block_links(docs, first, words, share, part, LOW)), "possible")
+    nodes = possible.select(F.col("node").alias("rep"), F.col("root").alias("block")).unionByName(possible.select(F.col("root").alias("rep"), F.col("root").alias("block")).distinct())
+    joined = components(_block_links(docs, rows.select("rep", "size").distinct().join(nodes, "rep"), words, share, part))
     found = classes.join(joined.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null").select("set_key", F.coalesce("root", "rep").alias("component"))
     found = few(keep(found, "found"), F.lit(64))
     return described.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

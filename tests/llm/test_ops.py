@@ -312,15 +312,30 @@ def test_blocks_in_parts(spark, wide):
     rnd, rows = random.Random(5), []
     for i in range(60):
         x = set(rnd.sample(range(40 * (i % 4), 40 * (i % 4) + 30), 26))
-        rows.append((7, 0, 9, wide, i, np.array(sorted(x), np.uint64).tobytes()))
+        rows.append((7, 0, 9, wide, i, np.array([len(x), *sorted(x)], np.uint64).tobytes()))
     df = spark.createDataFrame(rows, "block long, lead long, parts int, wide int, id long, payload binary")
     links = [(r.a, r.b) for r in blocks.block_links(df, 80, ngram_join.set_of, part=7).collect()]
-    sets = {r[4]: set(np.frombuffer(r[5], np.uint64).tolist()) for r in rows}
+    sets = {r[4]: set(ngram_join.set_of(r[5]).tolist()) for r in rows}
     alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert links
     assert joined(links, sets) == joined([(a, b) for a in sets for b in sets if a < b and alike(a, b)], sets)
 
 
+def test_partial_overlaps_lose_nothing():
+    rnd, sets = random.Random(6), []
+    for i in range(90):
+        base = [rnd.randrange(1 << 64) for _ in range(rnd.choice([1, 3, 30, 200]))] if i % 3 == 0 else base
+        sets.append(np.unique(np.array([rnd.randrange(1 << 64) if rnd.random() < 0.07 else x for x in base], np.uint64)))
+    low = [s[: np.searchsorted(s, np.uint64((1 << 62) - 1), "right")] for s in sets]
+    totals, all_ = [len(s) for s in sets], np.ones((90, 90), bool)
+    whole = set(blocks.overlaps(sets, None, all_, 80))
+    assert whole == {(i, j) for i in range(90) for j in range(i + 1, 90) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert whole and whole <= set(blocks.overlaps(low, None, all_, 80, totals)) and len(blocks.overlaps(low, None, all_, 80, totals)) < 3 * len(whole) + 200
+    cross = {(i, j - 40) for i, j in whole if i < 40 <= j}
+    assert set(blocks.overlaps(sets[:40], sets[40:], all_[:40, :50], 80)) == cross <= set(blocks.overlaps(low[:40], low[40:], all_[:40, :50], 80, totals))
+    assert all(((0, 1) in blocks.overlaps([low[i], low[j]], None, all_, 80, [totals[i], totals[j]])) for i, j in whole)
+
+
 def joined(links, names):
     up = {x: x for x in names}
 
