@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, pii, shards, sketch, warc
+from . import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, pii, shards, simhash, sketch, spelling, warc, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_shards": shards.op9_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 SQL = {"op8_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}

@@ -24,6 +24,7 @@ PAGES = [(i, f"http://x/{i % 7}", "<p>" + "page " * (30 if i % 3 else 2) + str(i
 def sf(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(DOCS, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 1.0 * (i % 5), 0.5], 1) for i in range(30)] + [(None, [1.0, 2.0, 3.0], 1), (4, None, 1), (5, [None, 1.0, 1.0], 1)], "vec_id long, embedding array<float>, n int").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2).write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -32,6 +33,7 @@ def sf(spark, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -45,7 +47,7 @@ def rows(spark, sf, name):
     return registry.QUERIES[name](spark, sf).collect()
 
 
-@pytest.mark.parametrize("name", ["op2_bpe", "op3_line_dedup", "op4_language_id", "op5_ngram_jaccard", "op6_fingerprints", "op7_pii", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_bpe", "op3_line_dedup", "op4_language_id", "op5_ngram_jaccard", "op6_fingerprints", "op7_pii", "op10_exact_dedup", "op11_simhash"])
 def test_a_row_for_each_document(spark, sf, name):
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in rows(spark, sf, name))
     assert got == sorted((x[0] is None, x[0] or 0) for x in DOCS)
