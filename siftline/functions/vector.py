@@ -25,3 +25,8 @@ def parse(text: Column) -> Column:
     """'[1,2]' as array<double>; what isn't a finite number is dropped; null without brackets."""
     inner = F.when(text.rlike(r"^\s*\[.*\]\s*$"), F.regexp_replace(text, r"[\[\]\s]", ""))
     return F.filter(F.transform(F.split(inner, ","), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def sound(a: Column) -> Column:
+    """Neither null nor empty, and without null or non-finite entries."""
+    return F.coalesce((F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))

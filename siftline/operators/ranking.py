@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,16 +79,18 @@ def _nearest(k: int):
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, similarity, ord): exact cosine top-k of queries (query_id, embedding) over chunks (chunk_id,
-    embedding), vectors of one length. A block nested loop: queries and chunks are cut into parts of a bounded size, each
-    pair of parts is a task that keeps k rows for each of its queries. Nothing passes through the driver."""
-    q, c = queries.select(F.col("query_id").cast("long").alias("id"), "embedding"), chunks.select(F.col("chunk_id").cast("long").alias("id"), "embedding")
+    embedding). A block nested loop: queries and chunks are cut into parts of a bounded size, each pair of parts is a task that
+    keeps k rows for each of its queries. Nothing passes through the driver. Vectors meet those of their own length; rows
+    without an id, and null, empty or unsound vectors, are left out."""
+    side = lambda df, name: df.where(F.col(name).isNotNull() & V.sound(F.col("embedding"))).select(F.col(name).cast("long").alias("id"), "embedding")
+    q, c = side(queries, "query_id"), side(chunks, "chunk_id")
     width = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     blocks, parts = -(-max(1, q.count()) // QUERIES), max(-(-c.count() // CHUNKS), min(width, 64))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = q.withColumn("block", mine(blocks)).withColumn("part", each(parts)).withColumn("side", F.lit(0))
     right = c.withColumn("part", mine(parts)).withColumn("block", each(blocks)).withColumn("side", F.lit(1))
-    work = left.unionByName(right).select("part", "block", "side", "id", "embedding")
+    work = left.unionByName(right).select((F.size("embedding").cast("long") * (1 << 32) + F.col("part")).alias("part"), "block", "side", "id", "embedding")
     found = work.repartition("part", "block").sortWithinPartitions("part", "block", "side").mapInArrow(_nearest(k), "query_id long, chunk_id long, similarity double")
     return top(found, k, [F.desc("similarity"), F.col("chunk_id")])
 
@@ -128,23 +129,6 @@ def lexeme_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top(found, k, [F.desc("rank"), F.col("chunk_id")])
 
 
-def lsh_topk(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 8, tables: int = 12, seed: int = 7) -> DataFrame:
-    """Approximate vector search: vectors whose signs on `bits` random directions agree in one of `tables` tables meet, and the
-    exact similarity ranks them. chunk and query columns as for vector_topk."""
-    dim = chunks.select(F.size("embedding").alias("n")).first()
-    n = dim[0] if dim else 1
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, n))
-
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        signs = (np.stack([np.asarray(x, np.float64) for x in v]) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)[None, :]))
-
-    side = lambda df, name: df.select(F.col(name), "embedding", F.explode(keys("embedding")).alias("key"))
-    near = side(queries, "query_id").join(side(chunks, "chunk_id").withColumnRenamed("embedding", "other"), "key").select("query_id", "chunk_id", F.round(1 - V.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("similarity")).distinct()
-    return top(near, k, [F.desc("similarity"), F.col("chunk_id")])
-
-
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two lists (query_id, chunk_id, ord): score, source, and both ranks; a similarity in the vector
     list is kept."""

@@ -11,9 +11,11 @@ from siftline.operators import chunking as K
 from siftline.operators import layout as Y
 from siftline.operators import ranking as R
 from siftline.operators import retrieval as Q
+from siftline.operators import vector_index as I
 from siftline.plans.registry import pool, query
 from siftline.sources import pdf
 from siftline.sources import tables as T
+from siftline.sources.shared import shared_path
 from siftline.sources.tables import table
 
 _count = lambda k, p: " + ".join(f"(length({p}) - length(replace({p}, '{w}', ''))) / {len(w)}" for w in X.LANGUAGE_KEYWORDS[k])
@@ -290,7 +292,22 @@ def compact_lists(spark, d):
     return Q.compact(pool(spark, d))[1]
 
 
+def index_of(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return I.build(rows, shared_path(spark, "vector-index"))
+
+
+def index_queries(spark, d):
+    return table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @query()
-def lsh_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    return R.lsh_topk(e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+def ivf_topk(spark, d):
+    """The probed lists alone; its recall against the exact search is tested."""
+    return I.search(index_of(spark, d), index_queries(spark, d), 10)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS ord FROM s) SELECT query_id, chunk_id, similarity, CAST(ord AS INTEGER) AS ord FROM r WHERE ord <= 10""")
+def ivf_exact_topk(spark, d):
+    return I.search(index_of(spark, d), index_queries(spark, d), 10, exact=True)
