@@ -162,6 +162,32 @@ def query_lexemes(query: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(let(tokens(query), forms), lambda t: F.length(t) >= least))
 
 
+# Words that a configuration leaves out when it stems. A short list of each language; give a longer one as `words`.
+STOPWORDS = {
+    "english": ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "is", "it", "its", "not", "of", "on", "or", "she", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were", "what", "when", "which", "who", "will", "with", "you"),
+    "german": ("aber", "als", "am", "an", "auch", "auf", "aus", "bei", "das", "dem", "den", "der", "des", "die", "ein", "eine", "einem", "einen", "einer", "er", "es", "für", "hat", "ich", "im", "in", "ist", "mit", "nicht", "oder", "sich", "sie", "und", "von", "war", "wie", "wir", "zu", "zum", "zur"),
+    "french": ("au", "aux", "avec", "ce", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "je", "la", "le", "les", "leur", "mais", "ne", "nous", "on", "ou", "par", "pas", "pour", "qu", "que", "qui", "sa", "se", "son", "sur", "un", "une", "vous"),
+    "italian": ("a", "al", "alla", "che", "ci", "come", "con", "da", "dal", "dei", "del", "della", "di", "e", "gli", "i", "il", "in", "la", "le", "lo", "ma", "nel", "non", "o", "per", "più", "se", "si", "sono", "su", "un", "una"),
+    "spanish": ("a", "al", "como", "con", "de", "del", "el", "en", "entre", "era", "es", "esta", "este", "la", "las", "lo", "los", "más", "no", "o", "para", "pero", "por", "que", "se", "sin", "su", "sus", "un", "una", "y"),
+}
+
+
+def stopword(word: Column, config: Column, words: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Whether a configuration leaves the word out."""
+    out = F.lit(False)
+    for name, own in (words or STOPWORDS).items():
+        out = F.when(config == name, word.isin(*own)).otherwise(out)
+    return out
+
+
+def query_forms(query: Column, least: int = 3) -> Column:
+    """Distinct lexemes of a query of `least` letters or more: its words, and those that a configuration doesn't leave out, stemmed
+    by it; of every configuration."""
+    stemmed = [(lambda p, own: lambda w: F.transform(F.filter(w, lambda x: ~x.isin(*own)), lambda x: F.regexp_replace(x, p, "$1")))(ENDINGS[c], STOPWORDS[c]) for c in ENDINGS]
+    forms = lambda w: F.flatten(F.array(w, *(f(w) for f in stemmed)))
+    return F.array_distinct(F.filter(let(tokens(query), forms), lambda t: F.length(t) >= least))
+
+
 def query_language(query: Column, hint: Column | None = None) -> Column:
     """The hint, else the leading language if any keyword occurs, else EN."""
     found = detect_language(query)

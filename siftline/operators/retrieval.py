@@ -12,6 +12,7 @@ from siftline.functions import text as X
 from siftline.operators import answers as W
 from siftline.operators import evaluation as V
 from siftline.operators import evidence as E
+from siftline.operators import keyword_index as N
 from siftline.operators import ranking as R
 from siftline.providers import Providers
 
@@ -70,7 +71,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, limit: int, config: Config
     """The fused candidates of prepared queries with the bodies of their chunks."""
     vectors = queries.select("query_id", providers.embedding.embed(F.col("query")).alias("embedding"))
     near = R.vector_topk(vectors, chunks.select("chunk_id", "embedding"), limit)
-    words = R.lexeme_topk(queries.select("query_id", F.col("query").alias("text")), chunks, limit)
+    words = N.keyword_search(queries.select("query_id", F.col("query").alias("text")), chunks, limit)
     return R.rrf(near, words, config.rrf_k).join(chunks.select("chunk_id", *BODY), "chunk_id").join(queries.select("query_id", "query", "query_language"), "query_id")
 
 

@@ -8,6 +8,7 @@ from siftline import providers as P
 from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import chunking as K
+from siftline.operators import keyword_index as N
 from siftline.operators import layout as Y
 from siftline.operators import ranking as R
 from siftline.operators import retrieval as Q
@@ -225,6 +226,37 @@ def chunk_rows(spark, d):
     return done.select("doc_id", "chunk_index", "page_number", "section_title", "content", "language", F.size("embedding").alias("dims"))
 
 
+_listed = lambda c: "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS[c]) + "]"
+_config = "CASE upper(coalesce(lang, '')) WHEN 'DE' THEN 'german' WHEN 'FR' THEN 'french' WHEN 'IT' THEN 'italian' WHEN 'ES' THEN 'spanish' ELSE 'english' END"
+_stems = " ".join(f"WHEN '{c}' THEN CASE WHEN NOT list_contains({_listed(c)}, w) THEN {_stem('w', c)} END" for c in X.ENDINGS)
+COVERS = rf"""texts AS (SELECT doc_id, {_config} AS config, list_filter(regexp_split_to_array(lower(coalesce(source, '') || ' ' || coalesce(text, '') || ' ' || coalesce(lang, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+cwords AS (SELECT doc_id, config, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+clex AS (SELECT doc_id, 0 AS copy, w AS t, least(i, {N.LAST}) AS p FROM cwords UNION ALL SELECT doc_id, 1, CASE config {_stems} END, least(least(i, {N.LAST}) + least(n, {N.LAST}), {N.LAST}) FROM cwords),
+cpos AS (SELECT DISTINCT doc_id, copy, t, p FROM clex WHERE t IS NOT NULL),
+ccap AS (SELECT *, row_number() OVER (PARTITION BY doc_id, copy, t ORDER BY p) AS k FROM cpos),
+call_ AS (SELECT doc_id, t, p, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS k FROM (SELECT DISTINCT doc_id, t, p FROM ccap WHERE k <= {N.IN_COPY})),
+cq AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, w AS t FROM asked UNION ALL {" UNION ALL ".join(f"SELECT item_id, {_stem('w', c)} FROM asked WHERE NOT list_contains({_listed(c)}, w)" for c in X.ENDINGS)}) WHERE length(t) >= 3),
+crank AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(count(DISTINCT p) * 0.1::DOUBLE, 6) AS rank FROM call_ JOIN cq USING (t) WHERE k <= {N.IN_ALL} GROUP BY 1, 2)"""
+
+
+def cover_chunks(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("context"), F.upper("lang").alias("language"))
+
+
+@query(f"WITH {LEXEMES}, {COVERS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, chunk_id) AS ord FROM crank) SELECT query_id, chunk_id, rank, CAST(ord AS INTEGER) AS ord FROM r WHERE ord <= 20")
+def cover_topk(spark, d):
+    return N.keyword_search(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), cover_chunks(spark, d), 20)
+
+
+@query()
+def cover_all_topk(spark, d):
+    """All words of the first sentence of each benchmark item, over an index that is built before."""
+    path = shared_path(spark, "keyword-index")
+    N.build(cover_chunks(spark, d), path)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", ".", 1).alias("text"))
+    return N.cover_topk(N.all_of(q), N.opened(spark, path), 20)
+
+
 @query("SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def vector_parse(spark, d):
     text = F.concat(F.lit("[nan, "), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ", "), F.lit(", x]"))
