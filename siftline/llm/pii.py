@@ -190,14 +190,23 @@ def classifier(cells: dict[str, int]) -> Callable[[str], float]:
     return score
 
 
+#: What it takes to outweigh a failed check: a cue word before the candidate, and this posterior instead of a half.
+OUTWEIGHS = 0.98
+
+
+def takes(cell: str, score: float, least: float = 0.5) -> bool:
+    checks, cue = cell[1], cell[3]
+    return score >= least if checks != "-" else cue == "+" and score >= max(least, OUTWEIGHS)
+
+
 def fit(docs: DataFrame, least: float = 0.5) -> list[str]:
-    """The cells that the classifier takes, from all candidates of docs (text)."""
+    """The cells that the classifier takes, from all candidates of docs (text). One whose checks failed takes more than a half."""
     found = _spans(docs.select("text")).select(F.explode(F.concat("_base", "_other")).alias("x"))
     cells = {r[0]: r[1] for r in found.groupBy("x.cell").agg(F.count("*")).collect()}  # a few thousand at most
     if not cells:
         return []
     score = classifier(cells)
-    return sorted(c for c in cells if score(c) >= least)
+    return sorted(c for c in cells if takes(c, score(c), least))
 
 
 def annotate(docs: DataFrame, taken: list[str]) -> DataFrame:

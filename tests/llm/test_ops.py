@@ -387,6 +387,24 @@ def test_pii(spark, none):
     assert pii.annotate(none, pii.fit(none)).count() == 0
 
 
+def test_failed_checks_are_not_outvoted(spark):
+    """Numbers in the form of cards that fail their checksum, with no cue before them, among many that pass."""
+    rnd = random.Random(8)
+
+    def number(good):
+        while True:
+            d = "4" + "".join(str(rnd.randrange(10)) for _ in range(15))
+            if (sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(d))) % 10 == 0) == good:
+                return d
+
+    texts = [f"the card {number(True)} was used for it" for _ in range(300)] + [f"some words {number(False)} and more words" for _ in range(40)] + [f"order number {number(False)} arrived" for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.annotate(df, pii.fit(df)).select("doc_id", F.size("spans").alias("n")).collect():
+        assert r.n == (r.doc_id < 300), texts[r.doc_id]
+    # What is taken in spite of its checks has a cue before it and a posterior of OUTWEIGHS.
+    assert not pii.takes("c-+0++13", 0.9999) and not pii.takes("c-++++13", pii.OUTWEIGHS - 0.01) and pii.takes("c-++++13", pii.OUTWEIGHS)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
