@@ -90,11 +90,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     counts = gram.groupBy("gram").agg(F.count("*").alias("n")).collect()  # bigrams of 90 letters: 8100 at most
     rank = {r.gram: i for i, r in enumerate(sorted(counts, key=lambda r: (r.n, r.gram)))}
     rare = keep(words.select("word", "n").mapInArrow(partial(_rare, rank=rank), "word string, n long, gram int, at int, size int"), "spelling-grams")
-    # The shorter word meets words of its length at the same place, longer ones at the same place or one further.
-    ways = F.array(*(F.struct((F.col("at") + i).alias("at"), (F.col("size") + k).alias("size")) for i, k in ((0, 0), (0, 1), (1, 1))))
-    left = rare.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "gram", F.col("size").alias("own"), F.explode(ways).alias("w")).select("a", "a_n", "gram", "own", "w.at", "w.size")
-    right = rare.select(F.col("word").alias("b"), F.col("n").alias("b_n"), "gram", "at", "size")
-    met = left.join(right, ["gram", "at", "size"]).where((F.col("own") < F.col("size")) | (F.col("a") < F.col("b")))
+    # The edit is behind the common bigram or before it, and on its other side the words agree: with that side in the key, the
+    # shorter word meets words of its length at the same place, and longer ones there or one further.
+    key = lambda side, i, k: F.xxhash64(F.lit(side), F.col("gram"), F.col("at") + i, F.col("size") + k, F.substring("word", F.lit(1), F.col("at")) if side == "before" else F.substring("word", F.col("at") + 3, F.col("size")))
+    own, longer = [key("before", 0, 0), key("behind", 0, 0)], [key("before", 0, 1), key("behind", 1, 1)]
+    left = rare.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("size").alias("a_size"), F.explode(F.array(*own, *longer)).alias("key"))
+    right = rare.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("size").alias("b_size"), F.explode(F.array(*own)).alias("key"))
+    met = left.join(right, "key").where((F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b"))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
 
