@@ -94,8 +94,12 @@ def low_readability(text: Column) -> Column:
     return (F.trim(text) == "") | (F.regexp_count(text, F.lit(UNEXPECTED)) / F.length(text) > 0.12) | (text_quality(text) < 0.58) | (words < 4)
 
 
+#: Where a word begins or ends: its characters are A-Z, a-z, digits and the underscore, so an umlaut at its edge is none.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def overview_intent(query: Column, scope: Column) -> Column:
-    return (F.size(scope) == 1) & query.rlike(r"(?U)\b(?:" + "|".join(OVERVIEW) + r")\b")
+    return (F.size(scope) == 1) & query.rlike(EDGE + "(?:" + "|".join(OVERVIEW).replace(r"\b", EDGE) + ")" + EDGE)
 
 
 def lexical_overlap(query: Column, words: Column) -> Column:

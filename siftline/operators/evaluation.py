@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.columns import few, let
+from siftline.operators import metrics as A
 
 LANGUAGES = ("EN", "DE", "FR", "IT", "ES")
 # Signs of an abstention, headings of limitations, and the release thresholds.
@@ -140,25 +141,28 @@ def summary(results: DataFrame) -> DataFrame:
     results: query_id, language, question_type, error, recall_at_5, ndcg_at_10, mrr, citation_accuracy, citation_evidence_hit,
     verified_citation_rate, grounding, hallucination_rate, cache_hit, uncached_ms, cached_ms, insufficient, truncated, judged,
     judge_abstained, faithfulness, answer_relevance, context_precision, context_recall. Rows with an error count only as such;
-    quality is that of answerable questions. One pass; a result counts for its language and for ALL."""
+    quality is that of answerable questions. One pass, and one for each percentiles' column; a result counts for its language and for
+    ALL."""
     ok = F.col("error").isNull()
     can, cannot = ok & (F.col("question_type") != "unanswerable"), ok & (F.col("question_type") == "unanswerable")
     mean = lambda c, where: F.coalesce(F.round(F.avg(F.when(where, F.col(c).cast("double"))), 6), F.lit(0.0)).alias(c)
     rate = lambda c, where, name: F.coalesce(F.round(F.avg(F.when(where, c.cast("double"))), 6), F.lit(0.0)).alias(name)
-    rank = lambda c, p, name: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by case when error is null then {c} end)").cast("double"), F.lit(0.0)).alias(name)
     judged = can & F.coalesce("judged", F.lit(False))
     out = [
         F.count("*").alias("n"), F.count_if(ok).alias("evaluated"), F.count_if(~ok).alias("system_errors"), F.count_if(can).alias("answerable"), F.count_if(cannot).alias("unanswerable"),
         rate(~F.col("insufficient"), cannot, "false_answer_rate"), rate(F.col("insufficient"), can, "false_abstention_rate"),
         *(mean(c, can) for c in ("recall_at_5", "ndcg_at_10", "mrr", "citation_accuracy", "grounding", "hallucination_rate", "citation_evidence_hit", "verified_citation_rate")),
         F.count_if(can & F.col("grounding").isNotNull()).alias("grounded_queries"), F.count_if(can & F.col("verified_citation_rate").isNotNull()).alias("verified_queries"), mean("cache_hit", ok),
-        rank("uncached_ms", 0.5, "uncached_p50"), rank("uncached_ms", 0.95, "uncached_p95"), rank("cached_ms", 0.5, "cached_p50"), rank("cached_ms", 0.95, "cached_p95"),
         rate(~ok, F.lit(True), "system_error_rate"), F.count_if(judged).alias("judged"), *(mean(c, judged) for c in JUDGED),
         rate(F.col("judge_abstained"), judged, "abstention_rate"), rate(F.col("truncated"), F.lit(True), "truncation_rate"),
     ]
     twice = results.withColumn("language", F.explode(F.array(F.col("language"), F.lit("ALL"))))
     slots = results.sparkSession.createDataFrame([(x,) for x in ("ALL", *LANGUAGES)], "language string")
-    return slots.join(twice.groupBy("language").agg(*out), "language", "left").na.fill(0)
+    out = slots.join(twice.groupBy("language").agg(*out), "language", "left")
+    for c in ("uncached", "cached"):
+        marks = A.percentile_table(twice.where(ok).withColumn("_ms", F.col(f"{c}_ms").cast("double")), "_ms", "language", {f"{c}_p50": 0.5, f"{c}_p95": 0.95}, {})
+        out = out.join(marks, "language", "left")
+    return out.na.fill(0)
 
 
 def gates(summarised: DataFrame) -> DataFrame:
@@ -224,11 +228,17 @@ def substantive(chunks: DataFrame, least: int = 200) -> DataFrame:
 def multi_hop_pairs(chunks: DataFrame, attempts: int = 12) -> DataFrame:
     """(language, attempt, first, second): pairs of chunks (document_id, language, ord, chunk_id) of neighbouring documents, in
     turn, at growing offsets; a language with one document only has none."""
+    # Only the first documents of a language are met: as many as there are attempts, and one more. Each task keeps so many of a
+    # language before they are ranked, and only their chunks are numbered.
+    ids = chunks.select("language", "document_id").distinct()
+    size = ids.groupBy("language").agg(F.count("*").alias("_docs")).where("_docs >= 2")
+    first = ids.withColumn("_d", F.row_number().over(Window.partitionBy("language").orderBy("document_id")) - 1).where(F.col("_d") <= attempts)
+    first = first.join(size, "language")
     doc = Window.partitionBy("language", "document_id")
-    rows = chunks.withColumns({"_i": F.row_number().over(doc.orderBy("ord", "chunk_id")) - 1, "_n": F.count("*").over(doc)})
-    docs = rows.groupBy("language", "document_id").agg(F.max("_n").alias("_n"))
-    docs = docs.withColumns({"_d": F.row_number().over(Window.partitionBy("language").orderBy("document_id")) - 1, "_docs": F.count("*").over(Window.partitionBy("language"))}).where("_docs >= 2")
-    tries = docs.select("language", "_docs").distinct().withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    rows = chunks.join(first.select("language", "document_id"), ["language", "document_id"], "left_semi")
+    rows = rows.withColumns({"_i": F.row_number().over(doc.orderBy("ord", "chunk_id")) - 1, "_n": F.count("*").over(doc)})
+    docs = first.join(rows.groupBy("language", "document_id").agg(F.max("_n").alias("_n")), ["language", "document_id"])
+    tries = size.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
 
     def side(shift: int, part: float, name: str) -> DataFrame:
         at = tries.withColumn("_d", (F.col("attempt") + shift) % F.col("_docs")).join(docs.drop("_docs"), ["language", "_d"])
@@ -239,8 +249,9 @@ def multi_hop_pairs(chunks: DataFrame, attempts: int = 12) -> DataFrame:
 
 
 def rolling_hash(text: Column) -> Column:
-    """The 32-bit hash h = 31 h + code over a text's code points."""
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % (1 << 32))
+    """The 32-bit hash h = 31 h + unit over a text's UTF-16 units."""
+    units = let(F.hex(F.encode(text, "UTF-16BE")), lambda h: F.transform(F.sequence(F.lit(0), F.length(h).cast("int") - 4, F.lit(4)), lambda i: F.conv(F.substring(h, i + 1, F.lit(4)), 16, 10).cast("long")))
+    return F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32)))
 
 
 def picked(text: Column, least: int, most: int) -> Column:

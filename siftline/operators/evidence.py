@@ -96,6 +96,18 @@ def prompt_evidence(chunks: DataFrame, between: str = "\n\n---\n\n") -> DataFram
     return g.select("query_id", F.array_join(F.col("_l.b"), between).alias("evidence"))
 
 
+# What a prompt says when the evidence is weak.
+CAUTION = f"Retrieval confidence for this query is low. If the specific entity, program, or document named in the question does not appear in the evidence above, output exactly `{ABSTAINS}` and nothing else. Do not answer about a similar but differently-named entity. Do not use this to avoid a partial answer that the evidence does support."
+LACKING = "\nThe following terms from the question were not found in the evidence: "
+
+
+def caution_block(missing: Column) -> Column:
+    """What follows the evidence in a prompt of weak evidence, with the terms that it lacks, sanitized."""
+    terms = F.transform(F.coalesce(missing, F.array().cast("array<string>")), lambda t, i: G.sanitize_payload(t, F.concat(F.lit("query term "), (i + 1).cast("string"))))
+    named = F.when(F.size(terms) > 0, F.concat(F.lit(LACKING), F.array_join(terms, ", "), F.lit("."))).otherwise("")
+    return F.concat(F.lit("\n\n" + CAUTION), named, F.lit("\n\n"))
+
+
 def protect(chunks: DataFrame) -> DataFrame:
     """Chunks (chunk_id, title, content, context) with content and context sanitized, and whether the whole is suspicious or
     blocked; counts of these are sums over the columns."""

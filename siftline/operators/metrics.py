@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import vector as V
+from siftline.functions.columns import few
+from siftline.sources.shared import kept
 
 
 def nearest_rank(c: str, p: float) -> Column:
@@ -16,29 +22,57 @@ def linear(c: str, p: float) -> Column:
     return F.expr(f"percentile_cont({p}) within group (order by {c})")
 
 
-def at_ranks(df: DataFrame, c: str, by: str, ranks: Column, bins: int = 4096) -> DataFrame:
+#: Rows of a segment that are sorted in one task at most, unless they are all equal; rounds of cutting segments at most.
+SEGMENT, ROUNDS = 100_000, 8
+
+
+def at_ranks(df: DataFrame, c: str, by: str, ranks: Column, bins: int = 4096, most: int = SEGMENT) -> DataFrame:
     """(by, n, rank, value): the values of c at the ranks (from 0) that the column `ranks` makes of n, the number of values of
-    the group in ascending order. Nulls are left out.
+    the group in ascending order. Nulls are left out; NaN is above all numbers.
 
-    Values are counted in equal bins first, and only the bins that hold a wanted rank are sorted, so a group is never in one
-    task. Ties collapse to a count."""
+    A group is a segment of values first. Each round counts a segment's values in bins and keeps the bins that hold a wanted
+    rank; one that is still crowded is a segment of the next round, from its least to its greatest value, so that neither a
+    large group nor an outlier puts many rows into one task. The first round's bins are even on a logarithmic scale, for
+    both signs; ties collapse to a count."""
     rows = df.where(F.col(c).isNotNull()).select(F.col(by).alias("_g"), F.col(c).alias("_v"))
-    ends = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
-    width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v").cast("double") - F.col("_lo").cast("double")) / width * bins).cast("int"))).otherwise(0)
-    binned = rows.join(ends.withColumnRenamed("_g", "_e"), F.col("_g").eqNullSafe(F.col("_e"))).drop("_e").withColumn("_b", bin_)
-    counts = binned.groupBy("_g", "_b").agg(F.count("*").alias("_c"), F.max("n").alias("n"))
-    upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_b"))
-    held = counts.withColumn("_end", upto).withColumn("_before", F.col("_end") - F.col("_c"))
-    wanted = held.withColumn("rank", F.explode(F.array_distinct(ranks.cast("array<bigint>")))).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_end"))).select("_g", "_b", "n", "rank", "_before")
-    bins_ = wanted.select("_g", "_b", "_before").distinct().withColumnRenamed("_g", "_k").withColumnRenamed("_b", "_j")
-    values = binned.join(bins_, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_j"))).groupBy("_g", "_b", "_v", "_before").agg(F.count("*").alias("_c"))
-    end = F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy("_v")) + F.col("_before")
-    values = values.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c")).select(F.col("_g").alias("_k"), F.col("_b").alias("_j"), "_v", "_start", "_end")
-    at = wanted.join(values, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_j")) & (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
+    found = final_segments(rows, ranks, bins, most)
+    held = F.col("_g").eqNullSafe(F.col("_k")) & F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    values = rows.join(few(found.select(F.col("_g").alias("_k"), "_lo", "_hi", "_before"), F.lit(64)), held).groupBy("_k", "_lo", "_before", "_v").agg(F.count("*").alias("_c"))
+    end = F.sum("_c").over(Window.partitionBy("_k", "_before").orderBy("_v")) + F.col("_before")
+    values = values.withColumn("_end", end).select("_k", F.col("_before").alias("_b"), "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end")
+    wanted = found.select("_g", "n", "_before", F.explode("ranks").alias("rank"))
+    at = wanted.join(values, F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_before") == F.col("_b")) & (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
     return at.select(F.col("_g").alias(by), "n", "rank", F.col("_v").alias("value"))
 
 
+def final_segments(rows: DataFrame, ranks: Column, bins: int = 4096, most: int = SEGMENT) -> DataFrame:
+    """(_g, n, _lo, _hi, _before, _rows, ranks): parts of each group's values (_g, _v) that hold the wanted ranks, of `most` rows or of
+    one value each, with how many values come before them."""
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_rows"))
+    ranked = ends.withColumn("n", F.col("_rows")).withColumn("ranks", F.array_distinct(ranks.cast("array<bigint>")))
+    todo = kept(ranked.select("_g", "n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_before"), "_rows", "ranks"), "segments")
+    crowded = (F.col("_rows") > most) & (F.col("_lo") < F.col("_hi"))
+    done = todo.where(~crowded)
+    for turn in range(ROUNDS):
+        todo = todo.where(crowded)
+        if todo.isEmpty():
+            return done
+        # On the first scale all numbers lie within 711 of 0; infinities and NaN stand beyond its ends.
+        x = lambda v: F.when(F.isnan(v.cast("double")), 801.0).otherwise(F.least(F.greatest(F.asinh(v.cast("double")), F.lit(-800.0)), F.lit(800.0))) if not turn else v.cast("double")  # noqa: B023, E731
+        width = x(F.col("_hi")) - x(F.col("_lo"))
+        bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((x(F.col("_v")) - x(F.col("_lo"))) / width * bins).cast("int"))).otherwise(0)
+        segments = todo.select(F.col("_g").alias("_k"), "_lo", "_hi", F.col("_before").alias("_s"))
+        inside = rows.join(few(segments, F.lit(64)), F.col("_g").eqNullSafe(F.col("_k")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counts = inside.groupBy("_k", "_s", bin_.alias("_bin")).agg(F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        end = F.sum("_rows").over(Window.partitionBy("_k", "_s").orderBy("_bin")) + F.col("_s")
+        counts = counts.withColumn("_before", end - F.col("_rows"))
+        wanted = todo.select("_g", "n", F.col("_before").alias("_t"), F.explode("ranks").alias("rank"))
+        here = F.col("_g").eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_t")) & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_rows"))
+        todo = kept(wanted.join(counts, here).groupBy("_g", "n", "_lo", "_hi", "_before", "_rows").agg(F.collect_set("rank").alias("ranks")), "segments")
+        done = done.unionByName(todo.where(~crowded))
+    return done.unionByName(todo.where(crowded))
+
+
 def floor_rank(df: DataFrame, c: str, p: float, by: str) -> DataFrame:
     """The value at index floor((n-1)*p) of each group in ascending order."""
     return at_ranks(df, c, by, F.array(F.floor((F.col("n") - 1) * p))).select(by, "value")
@@ -130,15 +164,28 @@ def gates(summary: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame
 
 def slice_statistics(df: DataFrame, c: str, by: str) -> DataFrame:
     """Count, extremes, linear quartiles and p90, and mean of c in each slice; nulls are left out."""
-    marks = [linear(c, p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9)]
-    return df.where(F.col(c).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(c).alias("least"), *marks, F.max(c).alias("most"), F.avg(c).alias("mean"))
+    ends = df.where(F.col(c).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"))
+    marks = percentile_table(df, c, by, {}, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    return ends.join(marks.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", "least", "p25", "p50", "p75", "p90", "most", "mean")
 
 
-def separation(df: DataFrame, c: str, answerable: Column, above: float = 0.02, below: float = 0.01) -> DataFrame:
+def calibration_slices(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(slice, stat, n, least, p25, p50, p75, p90, most, mean): how the best relevance and the mean of the first three spread among
+    answerable questions and unanswerable ones that were refused or answered. results: (query_id, question_type, insufficient);
+    chunks: (query_id, ord from 1, relevance). Questions without chunks are left out; an empty slice has no row."""
+    first = chunks.where("ord <= 3").groupBy("query_id").agg(F.max(F.when(F.col("ord") == 1, F.col("relevance"))).alias("top1"), F.avg("relevance").alias("top3mean"))
+    outcome = F.when(F.col("question_type") != "unanswerable", "answerable").when(F.col("insufficient"), "unanswerable_abstained").otherwise("unanswerable_answered")
+    rows = results.select("query_id", outcome.alias("slice")).join(first, "query_id").unpivot(["query_id", "slice"], ["top1", "top3mean"], "stat", "value")
+    figures = slice_statistics(rows.withColumn("_key", F.concat_ws("|", "slice", "stat")), "value", "_key")
+    return figures.select(F.substring_index("_key", "|", 1).alias("slice"), F.substring_index("_key", "|", -1).alias("stat"), "n", "least", "p25", "p50", "p75", "p90", "most", "mean")
+
+
+def separation(df: DataFrame, c: str, answerable: Column, above: float = 0.02, below: float = 0.01, strict: bool = False) -> DataFrame:
     """One row: the highest c of unanswerable rows, the lowest of answerable ones, and the threshold between them (null where
-    they overlap or a side is empty)."""
+    they overlap or a side is empty; an error instead, if strict)."""
     ends = df.agg(F.max(F.when(~answerable, F.col(c))).alias("unanswerable_max"), F.min(F.when(answerable, F.col(c))).alias("answerable_min"))
-    return ends.withColumn("threshold", F.when(F.col("unanswerable_max") < F.col("answerable_min"), F.least(F.col("unanswerable_max") + above, F.col("answerable_min") - below)))
+    clear = F.when(F.col("unanswerable_max") < F.col("answerable_min"), F.least(F.col("unanswerable_max") + above, F.col("answerable_min") - below))
+    return ends.withColumn("threshold", F.coalesce(clear, F.raise_error(F.lit("no threshold separates the slices")).cast("double")) if strict else clear)
 
 
 def even_sample(df: DataFrame, by: str, order: str, least: int = 3, most: int = 10, share: int = 6) -> DataFrame:
@@ -188,14 +235,25 @@ def health_checks(snapshot: DataFrame, queue_limit: int = 50) -> DataFrame:
     return snapshot.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("passed")) for k, v in tests.items()))))
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the rows' lines, a line feed between them."""
+    digest, between = hashlib.sha256(), b""
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            digest.update(between + x.encode())
+            between = b"\n"
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["fingerprint"])
+
+
 def corpus_fingerprint(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row (fingerprint): SHA-256 of a line for each ready document, by id: id, number of its chunks, newest of them in ISO
-    form. documents (document_id, status), chunks (document_id, created_at). The lines of all documents meet in one task, as a
-    digest of them in order must: a few dozen bytes for each document."""
+    form. documents (document_id, status), chunks (document_id, created_at). A digest in order is one pass: one task sorts
+    the lines, on disk where they are many, and hashes them as they come, in constant memory."""
     g = chunks.groupBy("document_id").agg(F.count("*").alias("n"), F.max("created_at").alias("at"))
     line = F.concat_ws(":", F.col("document_id").cast("string"), F.coalesce("n", F.lit(0)).cast("string"), F.coalesce(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("none")))
     rows = documents.where("status = 'ready'").select("document_id").join(g, "document_id", "left").select("document_id", line.alias("x"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("document_id", "x"))).alias("a")).select(F.sha2(F.array_join(F.col("a.x"), "\n"), 256).alias("fingerprint"))
+    one = rows.repartition(1).sortWithinPartitions("document_id").select("x").mapInArrow(_digest, "fingerprint string")
+    return one.agg(F.coalesce(F.max("fingerprint"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
 def merged_counts(branches: DataFrame) -> DataFrame:

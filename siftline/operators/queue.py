@@ -37,9 +37,10 @@ def changed(jobs: DataFrame, hit: Column, **new: Column) -> DataFrame:
 
 
 def named(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """jobs with _hit: the job is in process and among ids (id, and columns that are carried along, one row of each id)."""
+    """jobs with _hit: the job is in process and among ids (id, and columns that are carried along); of several rows of one id the
+    greatest by these columns counts, whole."""
     rest = [c for c in ids.columns if c != "id"]
-    one = ids.groupBy("id").agg(F.lit(True).alias("_named"), *(F.min(c).alias(f"_{c}") for c in rest))
+    one = ids.groupBy("id").agg(F.max(F.struct(F.lit(True).alias("named"), *rest)).alias("_r")).select("id", *(F.col("_r")[c].alias(f"_{c}") for c in ("named", *rest)))
     return jobs.join(one, "id", "left").withColumn("_hit", F.col("_named").isNotNull() & (F.col("status") == "processing")).select(*jobs.columns, "_hit", *(f"_{c}" for c in rest))
 
 

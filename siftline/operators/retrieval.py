@@ -15,6 +15,7 @@ from siftline.operators import evidence as E
 from siftline.operators import keyword_index as N
 from siftline.operators import ranking as R
 from siftline.providers import Providers
+from siftline.sources.shared import kept
 
 BODY = ("document_id", "page", "title", "content", "context", "language")
 
@@ -41,6 +42,7 @@ class Config:
     top3: float = 0.3
     top3_heuristic: float = 0.14
     loop: bool = False
+    guard: bool = True
     pii: str = "numbers_safe"
 
     def fingerprint(self) -> str:
@@ -123,8 +125,9 @@ def expand(queries: DataFrame, chunks: DataFrame, config: Config | None = None,
     kinds = F.concat(F.transform(varied, lambda x, i: F.when(i == 0, F.lit("base")).otherwise(F.lit("variation"))), F.transform(passage, lambda x: F.lit("hyde")))
     branches = _branches(q, F.concat(varied, passage), kinds)
     each = max(config.top_k, min(config.pool, max(2 * config.top_k, 8)))
-    _, fused = _gathered(branches, retrieve(branches.select("query_id", "text", "hint"), chunks, config, providers, each), config.rrf_k)
-    rows = fused.where(F.col("ord") <= max(config.pool, 4 * config.top_k)).withColumn("similarity", F.lit(None).cast("double"))
+    lists, fused = _gathered(branches, kept(retrieve(branches.select("query_id", "text", "hint"), chunks, config, providers, each), "branch-lists"), config.rrf_k)
+    own = lists.select("query_id", "chunk_id", F.col("branch").alias("kept_branch"), "similarity")  # each chunk as its last branch has it
+    rows = fused.where(F.col("ord") <= max(config.pool, 4 * config.top_k)).join(own, ["query_id", "chunk_id", "kept_branch"])
     rows = rows.join(chunks.select("chunk_id", *BODY), "chunk_id").join(q.select("query_id", "query", "query_language"), "query_id")
     return ordered(rows, config.top_k, config, providers)
 
@@ -159,19 +162,24 @@ def correct(queries: DataFrame, chunks: DataFrame, config: Config | None = None,
 
 
 def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = None, providers: Providers | None = None, corrected: DataFrame | None = None) -> DataFrame:
-    """(query_id, answer, outcome, cited, invalid, fell_back, reasons, n_redacted, suspicious, blocked, verdict, checked,
-    unsupported): a grounded answer to each of queries (query_id, text) from retrieved chunks.
+    """(query_id, answer, outcome, cited, citations, invalid, fell_back, reasons, n_redacted, suspicious, blocked, verdict, checked,
+    unsupported): a grounded answer to each of queries (query_id, text, and scope, document ids, if given) from retrieved chunks.
 
-    Steps: protect the chunks, assess them, in the ambiguous band merge the corrected ones (if the loop is on), order for the
-    prompt, generate, then abstention, leak, citations, output filter, verification and reflection. A refusal's outcome
-    names its reason."""
+    Steps: protect the chunks, assess them (a question on one document needs one chunk), in the ambiguous band merge the
+    corrected ones (if the loop is on) and caution the prompt about terms that the evidence lacks, order for the prompt, generate,
+    then abstention, leak, citations, output filter, verification and reflection. A refusal's outcome names its reason;
+    its citations are the first three of what was found, an answer's those it cites. What was retrieved is written once."""
     config, providers = config or Config(), providers or Providers()
     q = prepared(queries)
+    retrieved = kept(retrieved, "retrieved")
     rank = F.coalesce("rerank_score", "score")
+    one_document = queries.select("query_id", (F.size("scope") == 1).alias("_one")) if "scope" in queries.columns else None
 
     def shown(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         safe = E.protect(rows.withColumn("_raw", F.col("content")))
-        verdicts = E.assess(safe.select("query_id", "ord", "relevance", "scale"), config.least_chunks, config.encoder_threshold, config.heuristic_threshold, config.top3, config.top3_heuristic)
+        scored = safe.select("query_id", "ord", "relevance", "scale")
+        scored = scored if one_document is None else scored.join(one_document, "query_id", "left")
+        verdicts = E.assess(scored, config.least_chunks, config.encoder_threshold, config.heuristic_threshold, config.top3, config.top3_heuristic, None if one_document is None else F.coalesce("_one", F.lit(False)))
         return safe, verdicts
 
     safe, verdicts = shown(retrieved)
@@ -181,14 +189,20 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
         more = corrected.join(weak, "query_id", "left_semi").select(columns).withColumn("ord", F.col("ord") + 100_000)
         pooled = R.pool_merge(retrieved.join(weak, "query_id", "left_semi").select(columns).unionByName(more))
         safe, verdicts = shown(retrieved.join(weak, "query_id", "left_anti").select(columns).unionByName(pooled.select(columns)))
-    placed = R.evidence_order(safe.withColumn("retrieval", F.col("score")).withColumn("score", rank)).drop("ord").withColumnRenamed("place", "ord")
+    placed = R.evidence_order(safe.withColumn("retrieval", F.col("score")).withColumn("score", rank)).withColumn("_read", F.col("ord")).drop("ord").withColumnRenamed("place", "ord")
     prompts = E.prompt_evidence(placed)
+    # Each chunk once, in the order that the gate read them and in that of the prompt.
     g = placed.groupBy("query_id").agg(
         F.count("*").cast("int").alias("n_evidence"), F.min_by("content", "ord").alias("first"), F.array_join(F.collect_list("content"), "\n").alias("all"), F.array_distinct(F.flatten(F.collect_list(G.emails(F.concat_ws("\n", "_raw", "context"))))).alias("emails"),
         F.count_if("suspicious").alias("suspicious"), F.count_if("blocked").alias("blocked"),
+        F.array_sort(F.collect_list(F.struct(F.col("_read"), "chunk_id"))).alias("read"), F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))).alias("shown"),
     )
     j = q.join(g, "query_id", "left").join(prompts, "query_id", "left").join(verdicts.select("query_id", "verdict"), "query_id", "left")
-    j = j.withColumn("verdict", F.coalesce("verdict", F.lit("insufficient"))).withColumn("raw", providers.llm.answer(F.col("query"), F.col("evidence"), F.col("first")))
+    j = j.withColumn("verdict", F.coalesce("verdict", F.lit("insufficient")))
+    if config.loop and config.guard:
+        missing = caution(queries, placed.select("query_id", "ord", "content", "context"))
+        j = j.join(missing, "query_id", "left").withColumn("evidence", F.concat("evidence", F.when(F.col("verdict") == "ambiguous", E.caution_block(F.col("missing"))).otherwise("")))
+    j = j.withColumn("raw", providers.llm.answer(F.col("query"), F.col("evidence"), F.col("first")))
     cited = W.resolve_citations(F.col("raw"), F.coalesce("n_evidence", F.lit(0)))
     j = j.withColumn("c", cited).withColumn("f", G.filter_output(X.nfkc(F.col("c.answer")), F.col("query_language"), config.pii, F.col("emails")))
     checked = W.cited_sentences(F.col("f.answer"), F.coalesce("n_evidence", F.lit(0)))
@@ -200,8 +214,10 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
     )
     refusal = F.lit("I do not have enough evidence in the indexed documents to answer this confidently. Please refine your question or upload more relevant material.")
     given = F.col("outcome").isin("answered", "blocked")
-    j = j.withColumn("outcome", outcome)
-    return j.select("query_id", F.when(given, F.col("f.answer")).otherwise(refusal).alias("answer"), "outcome", F.when(given, F.col("c.cited")).otherwise(F.array().cast("array<int>")).alias("cited"), F.col("c.invalid").alias("invalid"), F.col("c.fell_back").alias("fell_back"), F.col("f.reasons").alias("reasons"), F.col("f.n_redacted").alias("n_redacted"), F.coalesce("suspicious", F.lit(0)).alias("suspicious"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "verdict", "checked", "unsupported")
+    refused = F.transform(F.slice("read", 1, 3), lambda x: x.chunk_id)
+    cites = F.coalesce(F.when(given, F.array_distinct(F.transform("c.cited", lambda i: F.get(F.col("shown"), i - 1).chunk_id))).otherwise(refused), F.array().cast("array<long>"))
+    j = j.withColumn("outcome", outcome).withColumn("citations", cites)
+    return j.select("query_id", F.when(given, F.col("f.answer")).otherwise(refusal).alias("answer"), "outcome", F.when(given, F.col("c.cited")).otherwise(F.array().cast("array<int>")).alias("cited"), "citations", F.col("c.invalid").alias("invalid"), F.col("c.fell_back").alias("fell_back"), F.col("f.reasons").alias("reasons"), F.col("f.n_redacted").alias("n_redacted"), F.coalesce("suspicious", F.lit(0)).alias("suspicious"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "verdict", "checked", "unsupported")
 
 
 def caution(queries: DataFrame, retrieved: DataFrame) -> DataFrame:

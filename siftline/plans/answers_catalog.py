@@ -102,14 +102,14 @@ def protected_chunks(spark, d):
 
 
 # Answers made of the documents' texts, with markers of all sorts put into them.
-ANSWERS = """answers AS (SELECT doc_id, left(replace(text, '. ', CASE doc_id % 4 WHEN 0 THEN ' [' || (doc_id % 9) || ']. ' WHEN 1 THEN ' [1, ' || (doc_id % 13) || ']. ' WHEN 2 THEN ' [WEB-1]. ' ELSE '. ' END), 3000) AS answer FROM documents WHERE text IS NOT NULL)"""
+ANSWERS = """answers AS (SELECT doc_id, replace(text, '. ', CASE doc_id % 4 WHEN 0 THEN ' [' || (doc_id % 9) || ']. ' WHEN 1 THEN ' [1, ' || (doc_id % 13) || ']. ' WHEN 2 THEN ' [WEB-1]. ' ELSE '. ' END) AS answer FROM documents WHERE text IS NOT NULL)"""
 _LISTS = r"flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda g: regexp_split_to_array(g, '\s*,\s*')))"
 
 
 def cited_answers(spark, d):
     i = F.col("doc_id")
     mark = F.when(i % 4 == 0, F.concat(F.lit(" ["), (i % 9).cast("string"), F.lit("]. "))).when(i % 4 == 1, F.concat(F.lit(" [1, "), (i % 13).cast("string"), F.lit("]. "))).when(i % 4 == 2, F.lit(" [WEB-1]. ")).otherwise(F.lit(". "))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.left(F.replace("text", F.lit(". "), mark), F.lit(3000)).alias("answer"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.replace("text", F.lit(". "), mark).alias("answer"))
 
 
 @query(rf"""WITH {ANSWERS}, n AS (SELECT doc_id, answer, list_transform({_LISTS}, lambda x: try_cast(x AS INTEGER)) AS c FROM answers),

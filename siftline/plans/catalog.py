@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import safety as G
+from siftline.functions import tables as FT
 from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import answers as W
@@ -53,6 +54,15 @@ def vector_topk_scoped(spark, d):
     return R.vector_topk(q, table(spark, d, "embeddings").where(F.col("label").isin(1, 2, 3)).select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
+@query(f"WITH {VEC} SELECT query_id, chunk_id, similarity, CAST(ord AS INTEGER) AS ord FROM vec WHERE ord <= 10")
+def vector_topk_sql(spark, d):
+    """The search as a table function that SQL calls."""
+    FT.register(spark)
+    for rows, name in zip(vectors(spark, d), ("asked_vectors", "indexed_vectors"), strict=True):
+        rows.withColumn("embedding", F.col("embedding").cast("array<double>")).createOrReplaceTempView(name)
+    return spark.sql(FT.MATCH.format(queries="asked_vectors", chunks="indexed_vectors", parts=int(spark.conf.get("spark.sql.shuffle.partitions", "200")), k=10))
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def vector_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
@@ -300,6 +310,20 @@ def slice_statistics(spark, d):
     return A.slice_statistics(table(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
+_outcome = "CASE WHEN query_id % 3 > 0 THEN 'answerable' WHEN query_id % 2 = 0 THEN 'unanswerable_abstained' ELSE 'unanswerable_answered' END"
+
+
+@query(f"""WITH {POOL}, t AS (SELECT query_id, max(CASE WHEN ord = 1 THEN lexical END) AS top1, avg(lexical) AS top3mean FROM listed WHERE ord <= 3 GROUP BY 1),
+u AS (SELECT {_outcome} AS slice, 'top1' AS stat, top1 AS v FROM t UNION ALL SELECT {_outcome}, 'top3mean', top3mean FROM t)
+SELECT slice, stat, count(*) AS n, round(min(v), 6) AS least, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS most, round(avg(v), 6) AS mean FROM u GROUP BY 1, 2""")
+def calibration_slices(spark, d):
+    chunks = pool(spark, d).select("query_id", "ord", F.col("lexical").alias("relevance"))
+    q = F.col("query_id")
+    results = chunks.select("query_id").distinct().select(q, F.when(q % 3 > 0, "fact").otherwise("unanswerable").alias("question_type"), (q % 2 == 0).alias("insufficient"))
+    out = A.calibration_slices(results, chunks)
+    return out.select("slice", "stat", "n", *(F.round(c, 6).alias(c) for c in ("least", "p25", "p50", "p75", "p90", "most", "mean")))
+
+
 @query("""WITH e AS (SELECT max(score) FILTER (NOT ok) AS unanswerable_max, min(score) FILTER (ok) AS answerable_min FROM (SELECT n_chars / 100000.0::DOUBLE AS score, quality = 1 AS ok FROM labels JOIN documents USING (doc_id)))
 SELECT *, CASE WHEN unanswerable_max < answerable_min THEN least(unanswerable_max + 0.02, answerable_min - 0.01) END AS threshold FROM e""")
 def threshold_separation(spark, d):

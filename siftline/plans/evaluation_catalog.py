@@ -51,7 +51,7 @@ def citation_quality(spark, d):
     return V.citation_quality(results(spark, d).where("ord <= 4").select("query_id", "chunk_id", "document_id", "page"), golden(spark, d))
 
 
-@query(r"""WITH a AS (SELECT doc_id AS query_id, left(text, 600) AS answer, [left(text, 40), 'zzz qqq'] AS points, doc_id % 9 = 0 AS insufficient FROM documents WHERE text IS NOT NULL),
+@query(r"""WITH a AS (SELECT doc_id AS query_id, text AS answer, [left(text, 40), 'zzz qqq'] AS points, doc_id % 9 = 0 AS insufficient FROM documents WHERE text IS NOT NULL),
 k AS (SELECT query_id, list_distinct(flatten(list_transform([coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || substr(text, 300, 300), points[1], points[2]], lambda t: list_filter(regexp_split_to_array(trim(regexp_replace(lower(t), '\s+', ' ', 'g')), '[^a-z0-9À-ɏ]+'), lambda w: length(w) >= 2)))) AS words FROM a JOIN documents ON doc_id = query_id),
 s AS (SELECT query_id, points, insufficient, answer, trim(unnest(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM a),
 n AS (SELECT s.*, words, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS t FROM s JOIN k USING (query_id) WHERE s <> ''),
@@ -61,7 +61,7 @@ g AS (SELECT query_id, avg(CAST(ok AS DOUBLE)) AS g FROM u GROUP BY 1)
 SELECT a.query_id, CASE WHEN NOT insufficient THEN round(coalesce(g, 0), 6) END AS grounding, round(1 - CASE WHEN NOT insufficient THEN round(coalesce(g, 0), 6) END, 6) AS hallucination FROM a LEFT JOIN g USING (query_id)""")
 def grounding(spark, d):
     rows = table(spark, d, "documents").where("text is not null")
-    answers = rows.select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(600)).alias("answer"), F.array(F.left("text", F.lit(40)), F.lit("zzz qqq")).alias("points"), (F.col("doc_id") % 9 == 0).alias("insufficient"))
+    answers = rows.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.array(F.left("text", F.lit(40)), F.lit("zzz qqq")).alias("points"), (F.col("doc_id") % 9 == 0).alias("insufficient"))
     chunks = rows.select(F.col("doc_id").alias("query_id"), F.col("source").alias("title"), F.col("lang").alias("context"), F.substring("text", 300, 300).alias("content"))
     return V.grounding(answers, chunks)
 
@@ -150,7 +150,7 @@ def evidence_budget(spark, d):
     return V.within_budget(blocks, 3000).select("query_id", "chunk_id")
 
 
-@query("""WITH r AS (SELECT CAST(CASE WHEN doc_id % 97 = 0 THEN 0 ELSE doc_id END AS VARCHAR) AS id, upper(lang) AS language, CASE WHEN doc_id % 13 = 0 THEN '' ELSE left(text, 50) END AS question, CASE WHEN doc_id % 5 = 0 THEN 'unanswerable' ELSE 'factual' END AS t, doc_id % 7 > 0 AS chunks, CASE WHEN doc_id % 11 > 0 THEN 'd' ELSE '' END AS document, doc_id % 17 > 0 AS pages, doc_id % 19 > 0 AS points FROM documents),
+@query("""WITH r AS (SELECT CAST(CASE WHEN doc_id % 97 = 0 THEN 0 ELSE doc_id END AS VARCHAR) AS id, upper(lang) AS language, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS question, CASE WHEN doc_id % 5 = 0 THEN 'unanswerable' ELSE 'factual' END AS t, doc_id % 7 > 0 AS chunks, CASE WHEN doc_id % 11 > 0 THEN 'd' ELSE '' END AS document, doc_id % 17 > 0 AS pages, doc_id % 19 > 0 AS points FROM documents),
 v AS (SELECT id, unnest([CASE WHEN coalesce(question, '') = '' THEN 'empty_question' END, CASE WHEN coalesce(language NOT IN ('EN', 'DE', 'FR', 'IT', 'ES'), true) THEN 'unknown_language' END, CASE WHEN t = 'unanswerable' AND chunks THEN 'unanswerable_with_chunks' END, CASE WHEN t <> 'unanswerable' AND NOT chunks THEN 'answerable_without_chunks' END,
 CASE WHEN t <> 'unanswerable' AND document = '' THEN 'answerable_without_document' END, CASE WHEN t <> 'unanswerable' AND NOT pages THEN 'answerable_without_pages' END, CASE WHEN t <> 'unanswerable' AND NOT points THEN 'answerable_without_points' END]) AS violation FROM r)
 SELECT violation, id FROM v WHERE violation IS NOT NULL UNION ALL SELECT 'duplicate_id', id FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'too_few_of_language', language FROM r WHERE t <> 'unanswerable' GROUP BY language HAVING count(*) < 90 UNION ALL SELECT 'too_few_records', NULL FROM r HAVING count(*) < 25""")
@@ -158,7 +158,7 @@ def dataset_violations(spark, d):
     i = F.col("doc_id")
     some = lambda c, kind: F.when(c, F.array(F.lit("1").cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
     rows = table(spark, d, "documents").select(
-        F.when(i % 97 == 0, 0).otherwise(i).cast("string").alias("id"), F.upper("lang").alias("language"), F.when(i % 13 == 0, "").otherwise(F.left("text", F.lit(50))).alias("question"), F.when(i % 5 == 0, "unanswerable").otherwise("factual").alias("question_type"),
+        F.when(i % 97 == 0, 0).otherwise(i).cast("string").alias("id"), F.upper("lang").alias("language"), F.when(i % 13 == 0, "").otherwise(F.col("text")).alias("question"), F.when(i % 5 == 0, "unanswerable").otherwise("factual").alias("question_type"),
         some(i % 7 > 0, "string").alias("chunk_ids"), F.when(i % 11 > 0, "d").otherwise("").alias("document"), some(i % 17 > 0, "int").alias("pages"), some(i % 19 > 0, "string").alias("points"),
     )
     return V.dataset_violations(rows, 25, 90)
@@ -195,21 +195,23 @@ def multi_hop_pairs(spark, d):
     return V.multi_hop_pairs(rows)
 
 
-@query("""WITH RECURSIVE c AS (SELECT item_id, left(text, 40) AS t, 0 AS i, 0::BIGINT AS h FROM benchmark UNION ALL SELECT item_id, t, i + 1, (h * 31 + unicode(substr(t, i + 1, 1))) % 4294967296 FROM c WHERE i < length(t)) SELECT item_id, h AS hash, 5 + h % 16 AS picked FROM c WHERE i = length(t)""")
+@query("""WITH t AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text || '😀b' ELSE text END AS t FROM benchmark),
+u AS (SELECT item_id, flatten(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)) AS u FROM t),
+h AS (SELECT item_id, CASE WHEN len(u) = 0 THEN 0 ELSE list_reduce(list_transform(u, lambda c: c::BIGINT), lambda h, c: (h * 31 + c) % 4294967296) END AS h FROM u) SELECT item_id, h AS hash, 5 + h % 16 AS picked FROM h""")
 def rolling_hash(spark, d):
-    t = F.left("text", F.lit(40))
+    t = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("😀b"))).otherwise(F.col("text"))
     return table(spark, d, "benchmark").select("item_id", V.rolling_hash(t).alias("hash"), V.picked(t, 5, 20).alias("picked"))
 
 
 @query()
 def entity_terms(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.left("text", F.lit(400)).alias("q"), F.upper("lang").alias("language"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("q"), F.upper("lang").alias("language"))
     return rows.select("doc_id", V.entity_terms(F.col("q"), F.col("language")).alias("t")).select("doc_id", F.array_join("t", "|").alias("terms"))
 
 
 @query()
 def entity_grounding(spark, d):
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", V.entity_terms(F.left("text", F.lit(400)), F.upper("lang")).alias("t"), F.substring("text", 200, 2000).alias("e"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", V.entity_terms(F.col("text"), F.upper("lang")).alias("t"), F.substring("text", F.lit(200), F.length("text")).alias("e"))
     return rows.select("doc_id", F.size("t").alias("n_terms"), F.size(V.missing_terms(F.col("t"), F.col("e"))).alias("n_missing"))
 
 
@@ -348,7 +350,7 @@ def metric_alerts(spark, d):
 s AS (SELECT conv_id * 1000 + turn AS answer_id, list_filter(list_append(l, rest), lambda x: trim(x) <> '') AS l FROM q) SELECT answer_id, unnest(range(len(l)))::INTEGER AS n, rtrim(unnest(l), ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM s""")
 def answer_sentences(spark, d):
     c = table(spark, d, "conversations").where("text is not null")
-    halves = F.array(F.struct(F.lit(0).alias("seq"), F.left("text", F.lit(40)).alias("delta")), F.struct(F.lit(1).alias("seq"), F.substring("text", 41, 1_000_000).alias("delta")))
+    halves = F.array(F.struct(F.lit(0).alias("seq"), F.left("text", F.lit(40)).alias("delta")), F.struct(F.lit(1).alias("seq"), F.substring("text", F.lit(41), F.length("text")).alias("delta")))
     rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.inline(halves))
     return sentences(rows).withColumn("sentence", F.regexp_replace("sentence", r"\s+$", ""))
 

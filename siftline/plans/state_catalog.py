@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftline.functions import tables as FT
 from siftline.operators import lifecycle as L
 from siftline.operators import queue as Q
 from siftline.operators import state as S
@@ -260,13 +261,23 @@ def history_delete(spark, d):
 LIMITED = """h AS (SELECT event_id AS hit_id, user_id AS bucket, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL),
 w AS (SELECT hit_id, bucket, ts, r, ts AS start, 1::BIGINT AS n FROM h WHERE r = 1 UNION ALL
 SELECT h.hit_id, h.bucket, h.ts, h.r, CASE WHEN w.start + INTERVAL 86400 SECOND <= h.ts THEN h.ts ELSE w.start END, CASE WHEN w.start + INTERVAL 86400 SECOND <= h.ts THEN 1 ELSE w.n + 1 END FROM w JOIN h ON h.bucket = w.bucket AND h.r = w.r + 1)"""
+LIMITED_ROWS = f"""WITH RECURSIVE {LIMITED} SELECT hit_id, bucket, n AS request_count, n <= 20 AS allowed, greatest(20 - n, 0) AS remaining, greatest(CAST(ceil((epoch_us(start) + 86400000000 - epoch_us(ts)) / 1000000) AS BIGINT), 1) AS retry_after FROM w"""
 
 
-@query(f"""WITH RECURSIVE {LIMITED} SELECT hit_id, bucket, n AS request_count, n <= 20 AS allowed, greatest(20 - n, 0) AS remaining, greatest(CAST(ceil((epoch_us(start) + 86400000000 - epoch_us(ts)) / 1000000) AS BIGINT), 1) AS retry_after FROM w""")
+@query(LIMITED_ROWS)
 def rate_limit(spark, d):
     return S.rate_limit(table(spark, d, "events").select(F.col("event_id").alias("hit_id"), F.col("user_id").alias("bucket"), "ts"), 20, 86_400)
 
 
+@query(LIMITED_ROWS)
+def rate_limit_sql(spark, d):
+    """The limiter as a table function that SQL calls."""
+    FT.register(spark)
+    hits = table(spark, d, "events").select(F.col("event_id").alias("hit_id"), F.col("user_id").alias("bucket"), F.expr("cast(ts as timestamp_ntz)").alias("ts"))
+    hits.where("bucket is not null").createOrReplaceTempView("limited_hits")
+    return spark.sql(FT.LIMIT.format(hits="limited_hits", most=20, seconds=86_400))
+
+
 @query("""WITH x AS (SELECT doc_id, lang, sha256(text) AS sha256 FROM documents), e AS (SELECT DISTINCT sha256 FROM x WHERE lang = 'en')
 SELECT min(doc_id) AS doc_id, sha256 || ':v1' AS idempotency_key FROM x WHERE coalesce(lang, '') <> 'en' AND sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM e WHERE sha256 IS NOT NULL) GROUP BY sha256""")
 def create_documents(spark, d):

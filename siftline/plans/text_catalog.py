@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftline import providers as P
 from siftline.functions import text as X
 from siftline.functions import vector as V
+from siftline.functions.columns import few
+from siftline.operators import cached as CR
 from siftline.operators import chunking as K
 from siftline.operators import keyword_index as N
 from siftline.operators import layout as Y
@@ -72,8 +74,8 @@ def low_readability(spark, d):
     return table(spark, d, "documents").select("doc_id", X.low_readability(F.col("text")).alias("low"))
 
 
-_asks = "(^|[^\\p{L}\\p{N}_])(" + "|".join(x.replace("\\w", "[\\p{L}\\p{N}_]").replace("\\b", "($|[^\\p{L}\\p{N}_])").replace("'", "''") for x in X.OVERVIEW) + ")($|[^\\p{L}\\p{N}_])"
-_ASKED = "CASE turn % 4 WHEN 0 THEN 'Please summarize this document' WHEN 1 THEN 'Gib mir einen Überblick' WHEN 2 THEN text ELSE 'worum geht es hier?' END"
+_asks = r"\b(?:" + "|".join(X.OVERVIEW).replace("'", "''") + r")\b"
+_ASKED = "CASE turn % 4 WHEN 0 THEN 'Please summarize this document' WHEN 1 THEN CASE conv_id % 2 WHEN 0 THEN 'Gib mir einen Überblick' ELSE 'Fasse das bitte zusammen' END WHEN 2 THEN text ELSE 'worum geht es hier?' END"
 
 
 @query(f"SELECT conv_id, turn, conv_id % 3 > 0 AND regexp_matches(lower(trim(regexp_replace({_ASKED}, '\\s+', ' ', 'g'))), '{_asks}') AS overview FROM conversations")
@@ -94,14 +96,14 @@ def embed_input(spark, d):
     return table(spark, d, "documents").select("doc_id", K.embed_input(F.upper("lang"), F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("input"))
 
 
-@query(r"""WITH q AS (SELECT item_id, list_slice(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')), lambda x: length(x) >= 2), 1, 1000) AS q, text FROM benchmark WHERE length(text) < 150),
+@query(r"""WITH t AS (SELECT item_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS t FROM benchmark), q AS (SELECT item_id, list_slice(list_filter(t, lambda x, i: length(x) >= 2 AND list_position(t, x) = i), 1, 32) AS q FROM t),
 w AS (SELECT doc_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')), lambda x: x <> '') AS w FROM documents WHERE doc_id % 50 = 0),
-p AS (SELECT item_id, doc_id, q, w FROM q, w) SELECT item_id, doc_id, round(len(list_filter(q, lambda t: list_contains(w, t) OR (length(t) >= 5 AND len(list_filter(w, lambda x: starts_with(x, t) OR starts_with(t, x))) > 0))) / len(q)::DOUBLE, 6) AS overlap FROM p WHERE len(q) > 0 AND len(q) <= 32""")
+p AS (SELECT item_id, doc_id, q, w FROM q, w) SELECT item_id, doc_id, round(len(list_filter(q, lambda t: list_contains(w, t) OR (length(t) >= 5 AND len(list_filter(w, lambda x: starts_with(x, t) OR starts_with(t, x))) > 0))) / len(q)::DOUBLE, 6) AS overlap FROM p WHERE len(q) > 0 AND w IS NOT NULL""")
 def lexical_overlap(spark, d):
-    """Short questions against the documents whose id is divisible by 50."""
-    q = table(spark, d, "benchmark").where(F.length("text") < 150).select("item_id", X.query_tokens(F.col("text"), most=1000).alias("q")).where((F.size("q") > 0) & (F.size("q") <= 32))
-    w = table(spark, d, "documents").where(F.col("doc_id") % 50 == 0).select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("w"))
-    return w.crossJoin(F.broadcast(q)).select("item_id", "doc_id", F.round(X.lexical_overlap(F.col("q"), F.col("w")), 6).alias("overlap"))
+    """Every question against the stated set, the documents whose id is divisible by 50. The set is sent if its bytes allow it."""
+    q = table(spark, d, "benchmark").select("item_id", X.query_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
+    w = table(spark, d, "documents").where("doc_id % 50 = 0 and text is not null").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("w"))
+    return q.join(few(w, 40 + F.length(F.array_join("w", "        "))), how="cross").select("item_id", "doc_id", F.round(X.lexical_overlap(F.col("q"), F.col("w")), 6).alias("overlap"))
 
 
 @query("SELECT doc_id, list_contains(['DE', 'FR', 'IT', 'ES'], upper(lang)) AS own, CASE upper(lang) WHEN 'DE' THEN 'german' WHEN 'FR' THEN 'french' WHEN 'IT' THEN 'italian' WHEN 'ES' THEN 'spanish' ELSE 'english' END AS config FROM documents WHERE lang IS NOT NULL")
@@ -153,9 +155,9 @@ def scopes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.scope(ids), ",").alias("scope"))
 
 
-@query(r"SELECT doc_id, list_filter(regexp_split_to_array(left(text, 200), '\s+'), lambda x: x <> '').len() >= 12 AS long FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '').len() >= 12 AS long FROM documents WHERE text IS NOT NULL")
 def decomposition_guard(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", X.decomposes(F.left("text", F.lit(200))).alias("long"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.decomposes(F.col("text")).alias("long"))
 
 
 _depth = r"CASE WHEN x <> '' AND length(x) <= 120 AND NOT regexp_matches(x, '^\|.*\|$') AND ((regexp_full_match(x, '%s') AND regexp_matches(x, '[A-ZÄÖÜ]')) OR regexp_full_match(x, '%s')) THEN CASE WHEN regexp_matches(x, '^\d+(\.\d+)*\s') THEN len(string_split(regexp_extract(x, '^(\d+(?:\.\d+)*)\s', 1), '.')) WHEN regexp_full_match(x, '%s') AND regexp_matches(x, '[A-ZÄÖÜ]') THEN 1 ELSE 2 END ELSE 0 END" % (K.CAPITALS, K.TITLE, K.CAPITALS)
@@ -194,23 +196,23 @@ def chunk_pack(spark, d):
 
 def placed(spark, d):
     """Pages of items: words of each document's begin on lines, and rows of lineitem as tables."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.array(*(F.struct(F.col(c).cast("string").alias("text"), F.lit(100.0 * k).alias("x"), (700.0 - 20.0 * F.col("l_linenumber")).alias("y"), (6.0 * F.length(F.col(c).cast("string"))).alias("width")) for k, c in enumerate(("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))).alias("items"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.array(*(F.struct(F.col(c).cast("string").alias("text"), F.lit(100.0 * k).alias("x"), (700.0 - 20.0 * F.col("l_linenumber")).alias("y"), (6.0 * F.length(F.col(c).cast("string"))).alias("width")) for k, c in enumerate(("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")))).alias("items"))
     g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "items"))).alias("l"))
     return g.select("doc_id", F.lit(1).alias("page"), F.flatten(F.col("l.items")).alias("items"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_returnflag || ' |' AS tab, l_linenumber || ' ' || l_partkey || ' ' || l_suppkey || ' ' || l_returnflag AS flat, count(*) OVER (PARTITION BY l_orderkey) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem WHERE l_orderkey % 50 = 0)
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_returnflag || ' |' AS tab, l_linenumber || ' ' || l_partkey || ' ' || l_suppkey || ' ' || l_returnflag AS flat, count(*) OVER (PARTITION BY l_orderkey) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem)
 SELECT doc_id, string_agg(CASE WHEN k >= 3 THEN tab || CASE WHEN i = 1 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END ELSE flat END, chr(10) ORDER BY n, tab) AS text, bool_or(k >= 3) AS has_tables FROM r GROUP BY 1 HAVING count(DISTINCT n) = count(*) AND max(n) - min(n) + 1 = count(*)""")
 def table_layout(spark, d):
     """Orders whose lines are numbered without gaps or repeats as one table each."""
-    whole = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("u"), F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b")).where("n = u and b - a + 1 = n")
+    whole = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("u"), F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b")).where("n = u and b - a + 1 = n")
     return Y.assemble_pages(placed(spark, d).join(whole.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "text", "has_tables")
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(left(regexp_replace(text, '[^a-z ]', '', 'g'), 300), ' +', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL""")
 def pdf_scrape(spark, d):
-    """Small files made of the documents' letters, read back by their text operators."""
-    letters = F.left(F.regexp_replace("text", "[^a-z ]", ""), F.lit(300))
+    """Files made of the documents' letters, read back by their text operators."""
+    letters = F.regexp_replace("text", "[^a-z ]", "")
     data = F.concat(F.lit("%PDF-1.4\n1 0 obj BT ("), letters, F.lit(") Tj ET endobj"))
     files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), data.cast("binary").alias("content"))
     return pdf.pages(files).select(F.col("path").cast("long").alias("doc_id"), "text")
@@ -278,13 +280,13 @@ def web_sources(spark, d):
 def corpus(spark, d):
     """The documents as chunks of twenty to a document, embedded by hashed words."""
     i = F.col("doc_id")
-    text = F.left(F.coalesce("text", F.lit("")), F.lit(2000))
+    text = F.coalesce("text", F.lit(""))
     rows = table(spark, d, "documents").select(i.alias("chunk_id"), F.floor(i / 20).alias("document_id"), (i % 20).cast("int").alias("page"), F.col("source").alias("title"), text.alias("content"), F.lit(None).cast("string").alias("context"), F.upper("lang").alias("language"))
     return rows.withColumn("embedding", P.HashedWords().embed(F.col("content")))
 
 
 def asked(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(200)).alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query()
@@ -315,11 +317,19 @@ def answer_batch(spark, d):
 
 @query()
 def overview_batch(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("What is this document about").alias("text"), F.array((F.col("item_id") % 10).cast("long")).alias("scope"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" What is this document about")).alias("text"), F.array(F.col("item_id").cast("long")).alias("scope"))
     return Q.overview(q, corpus(spark, d)).select("query_id", "document_id", "chunk_id", "score")
 
 
-@query("""WITH p AS (SELECT query_id, count(*) AS n FROM (SELECT doc_id // 50 AS query_id FROM documents WHERE NOT (doc_id // 50 % 4 = 1 AND doc_id % 50 >= 2)) GROUP BY 1) SELECT query_id, n, greatest(0, n - 20) AS omitted FROM p""")
+@query(r"""WITH n AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark) SELECT item_id AS query_id, t IN (SELECT t FROM n WHERE item_id % 2 = 0) AS cache_hit, 8::BIGINT AS n FROM n WHERE t <> ''""")
+def cached_retrieval(spark, d):
+    """Every second question first, then all of them against the cache that this left."""
+    q, chunks = asked(spark, d), corpus(spark, d)
+    first = CR.retrieve(q.where("query_id % 2 = 0"), chunks, CR.empty(spark), "2024-01-01")
+    return CR.retrieve(q, chunks, first.cache, "2024-01-01 00:10:00").trace.select("query_id", "cache_hit", "n")
+
+
+@query("""WITH p AS (SELECT query_id, count(*) AS n FROM (SELECT CASE WHEN doc_id // 50 % 4 = 1 THEN 1000000000 + doc_id // 2 ELSE doc_id // 50 END AS query_id FROM documents) GROUP BY 1) SELECT query_id, n, greatest(0, n - 20) AS omitted FROM p""")
 def compact_lists(spark, d):
     return Q.compact(pool(spark, d))[1]
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ class Llm(Protocol):
     def supported(self, sentence: Column, evidence: Column) -> Column: ...
 
 
+def _unit_counts(dimensions: int):
+    @F.pandas_udf("array<double>")
+    def counted(places: pd.Series) -> pd.Series:
+        out = []
+        for p in places:
+            n = np.bincount(p, minlength=dimensions).astype(np.float64) if p is not None and len(p) else np.zeros(dimensions)
+            norm = np.sqrt((n * n).sum())
+            out.append(n / norm if norm > 0 else n)
+        return pd.Series(out)
+
+    return counted.asNondeterministic()  # so that no optimizer rule computes it twice, or for rows that a join drops
+
+
 @dataclass
 class HashedWords:
     """Embeds a text by the hashes of its words: counts over `dimensions`, at length 1; a text without words is all zeros."""
@@ -42,13 +57,7 @@ class HashedWords:
 
     def embed(self, text: Column) -> Column:
         places = F.transform(X.tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(self.dimensions)).cast("int"))
-        counts = X.let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))
-
-        def unit(c: Column) -> Column:
-            norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-            return X.let(norm, lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-
-        return X.let(counts, unit)
+        return _unit_counts(self.dimensions)(places)
 
 
 @dataclass
