@@ -108,6 +108,30 @@ def caution_block(missing: Column) -> Column:
     return F.concat(F.lit("\n\n" + CAUTION), named, F.lit("\n\n"))
 
 
+def web_block(index: Column, title: Column, url: Column, snippet: Column) -> Column:
+    """A web source as it stands in a prompt, its texts sanitized and marked as untrusted."""
+    number = index.cast("string")
+    clean = lambda text, label: G.sanitize_payload(F.coalesce(text, F.lit("")), F.concat(F.lit(label), number))
+    parts = [F.concat(F.lit("web_source_"), number, F.lit(":")), F.lit("  untrusted_web_title:"), F.concat(F.lit("  "), clean(title, "web source title ")), F.concat(F.lit("  url: "), url), F.lit("  untrusted_web_snippet:"), F.concat(F.lit("  "), clean(snippet, "web source snippet "))]
+    return F.concat_ws("\n", *parts)
+
+
+def protect_web(sources: DataFrame) -> DataFrame:
+    """Web sources (query_id, ord, title, url, snippet) with title and snippet sanitized, and whether they are suspicious or blocked."""
+    whole = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("snippet", F.lit("")))
+    scanned = sources.withColumn("_scan", G.injection_scan(G.strip_invisible(whole)))
+    name = lambda kind: F.concat(F.lit(f"web source {kind} "), F.col("ord").cast("string"))
+    clean = lambda c: G.sanitize_payload(F.coalesce(c, F.lit("")), name(c))
+    return scanned.withColumns({"title": clean("title"), "snippet": clean("snippet"), "suspicious": F.col("_scan.suspicious"), "blocked": F.col("_scan.blocked")}).drop("_scan")
+
+
+def web_evidence(sources: DataFrame) -> DataFrame:
+    """(query_id, web, n_web, suspicious_web, blocked_web): the blocks of each query's protected sources in order."""
+    rows = sources.select("query_id", "ord", web_block(F.col("ord"), F.col("title"), F.col("url"), F.col("snippet")).alias("b"), "suspicious", "blocked")
+    g = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "b"))).alias("_l"), F.count("*").alias("n_web"), F.count_if("suspicious").alias("suspicious_web"), F.count_if("blocked").alias("blocked_web"))
+    return g.select("query_id", F.array_join(F.col("_l.b"), "\n\n").alias("web"), "n_web", "suspicious_web", "blocked_web")
+
+
 def protect(chunks: DataFrame) -> DataFrame:
     """Chunks (chunk_id, title, content, context) with content and context sanitized, and whether the whole is suspicious or
     blocked; counts of these are sums over the columns."""

@@ -43,6 +43,7 @@ class Config:
     top3_heuristic: float = 0.14
     loop: bool = False
     guard: bool = True
+    least_web: int = 2
     pii: str = "numbers_safe"
 
     def fingerprint(self) -> str:
@@ -71,7 +72,7 @@ def ordered(rows: DataFrame, top_k: int, config: Config, providers: Providers) -
 
 def candidates(queries: DataFrame, chunks: DataFrame, limit: int, config: Config, providers: Providers) -> DataFrame:
     """The fused candidates of prepared queries with the bodies of their chunks."""
-    vectors = queries.select("query_id", providers.embedding.embed(F.col("query")).alias("embedding"))
+    vectors = queries.select("query_id", F.col("embedding") if "embedding" in queries.columns else providers.embedding.embed(F.col("query")).alias("embedding"))
     near = R.vector_topk(vectors, chunks.select("chunk_id", "embedding"), limit)
     words = N.keyword_search(queries.select("query_id", F.col("query").alias("text")), chunks, limit)
     return R.rrf(near, words, config.rrf_k).join(chunks.select("chunk_id", *BODY), "chunk_id").join(queries.select("query_id", "query", "query_language"), "query_id")
@@ -126,7 +127,12 @@ def expand(queries: DataFrame, chunks: DataFrame, config: Config | None = None,
     branches = _branches(q, F.concat(varied, passage), kinds)
     each = max(config.top_k, min(config.pool, max(2 * config.top_k, 8)))
     lists, fused = _gathered(branches, kept(retrieve(branches.select("query_id", "text", "hint"), chunks, config, providers, each), "branch-lists"), config.rrf_k)
-    own = lists.select("query_id", "chunk_id", F.col("branch").alias("kept_branch"), "similarity")  # each chunk as its last branch has it
+    return _expanded(q, chunks, lists, fused, config, providers)
+
+
+def _expanded(q: DataFrame, chunks: DataFrame, lists: DataFrame, fused: DataFrame, config: Config, providers: Providers) -> DataFrame:
+    """Fused branches ordered like a single list, each chunk with the similarity that its last branch gave it."""
+    own = lists.select("query_id", "chunk_id", F.col("branch").alias("kept_branch"), "similarity")
     rows = fused.where(F.col("ord") <= max(config.pool, 4 * config.top_k)).join(own, ["query_id", "chunk_id", "kept_branch"])
     rows = rows.join(chunks.select("chunk_id", *BODY), "chunk_id").join(q.select("query_id", "query", "query_language"), "query_id")
     return ordered(rows, config.top_k, config, providers)
@@ -142,7 +148,12 @@ def decompose(queries: DataFrame, chunks: DataFrame, config: Config | None = Non
     parts = F.when(eligible, X.sub_queries(providers.llm.sub_queries(F.col("query")), F.col("query"), config.sub_queries)).otherwise(F.array().cast("array<string>"))
     kinds = F.concat(F.array(F.lit("base")), F.transform(parts, lambda x: F.lit("variation")))
     branches = _branches(q, F.concat(F.array(F.col("query")), parts), kinds)
-    lists, fused = _gathered(branches, retrieve(branches.select("query_id", "text", "hint"), chunks, config, providers), config.rrf_k)
+    lists, fused = _gathered(branches, kept(retrieve(branches.select("query_id", "text", "hint"), chunks, config, providers), "branch-lists"), config.rrf_k)
+    return _merged(lists, fused, config)
+
+
+def _merged(lists: DataFrame, fused: DataFrame, config: Config) -> DataFrame:
+    """Fused branches in that order, each chunk as the branch has it where its relevance is best."""
     best = R.pool_merge(lists.withColumn("ord", F.col("branch") * 1000 + F.col("ord"))).drop("ord", "score", "branch", "weight")
     rows = fused.drop("kept_branch").join(best, ["query_id", "chunk_id"])
     if config.per_document > 0:
@@ -150,6 +161,64 @@ def decompose(queries: DataFrame, chunks: DataFrame, config: Config | None = Non
     return rows.where(F.col("ord") <= config.top_k)
 
 
+@dataclass(frozen=True)
+class Routed:
+    """rows: as retrieve gives them; trace: (query_id, strategy, branches, variations, sub_queries, hyde, and the sums of the branches'
+    candidate counts); failures: (query_id, branch, kind) of the branches that gave nothing because their embedding failed."""
+
+    rows: DataFrame
+    trace: DataFrame
+    failures: DataFrame
+
+
+def route(queries: DataFrame, chunks: DataFrame, config: Config | None = None, providers: Providers | None = None) -> Routed:
+    """Retrieval of a mixed batch: queries (query_id, text, expand, and scope if given) that ask for expansion go by variations and
+    a hypothetical passage, long ones on several documents by their parts, all others as they are.
+
+    The branches of all queries are rows of one table. A branch whose embedding is null has failed: it is a row of failures,
+    and its query goes on with the others; a query whose own text fails has no rows."""
+    config, providers = config or Config(), providers or Providers()
+    q, llm, none = prepared(queries), providers.llm, F.array().cast("array<string>")
+    wide = F.coalesce("expand", F.lit(False))
+    parted = X.decomposes(F.col("query")) & ~wide & ((F.coalesce(F.size("scope"), F.lit(0)) != 1) if "scope" in queries.columns else F.lit(True))
+    varied = F.slice(X.variations(llm.variations(F.col("query")), F.col("query"), config.variations), 2, config.variations)
+    parts = X.sub_queries(llm.sub_queries(F.col("query")), F.col("query"), config.sub_queries)
+    q = q.withColumns({"_more": F.when(wide, varied).when(parted, parts).otherwise(none), "_hyde": F.when(wide & F.lit(config.hyde), F.array(llm.passage(F.col("query")))).otherwise(none)})
+    strategy = F.when(wide, "query_expansion").when(F.size("_more") > 0, "query_decomposition").otherwise("standard")
+    q = kept(q.withColumn("strategy", strategy), "routed")
+    kinds = F.concat(F.array(F.lit("base")), F.transform("_more", lambda x: F.lit("variation")), F.transform("_hyde", lambda x: F.lit("hyde")))
+    branches = _branches(q, F.concat(F.array(F.col("query")), "_more", "_hyde"), kinds).join(q.select(F.col("query_id").alias("main"), "strategy"), "main")
+    branches = kept(prepared(branches).withColumn("embedding", providers.embedding.embed(F.col("query"))), "branches")
+    failures = branches.where("embedding is null")
+    good = branches.where("embedding is not null").join(failures.where("kind = 'base'").select("main"), "main", "left_anti")
+    each = max(config.top_k, min(config.pool, max(2 * config.top_k, 8)))
+    shown = ("query_id", "text", "hint", "embedding")
+    expanding = F.col("strategy") == "query_expansion"
+
+    def found(some: DataFrame, k: int) -> DataFrame:
+        fused = candidates(prepared(some.select(*shown)), chunks, R.candidate_limit(k, config.pool), config, providers)
+        return kept(fused, "branch-candidates")
+
+    wide_pool, plain_pool = found(good.where(expanding), each), found(good.where(~expanding), config.top_k)
+    columns = None
+    lists = []
+    for pool, k in ((wide_pool, each), (plain_pool, config.top_k)):
+        got = ordered(pool, k, config, providers)
+        columns = columns or got.columns
+        lists.append(kept(got.select(columns), "branch-lists"))
+    wide_lists, wide_fused = _gathered(good, lists[0], config.rrf_k)
+    plain_lists, plain_fused = _gathered(good.where("strategy = 'query_decomposition'"), lists[1], config.rrf_k)
+    own = good.where("strategy = 'standard'").select("query_id", "main")
+    alone = lists[1].join(own, "query_id").drop("query_id").withColumnRenamed("main", "query_id")
+    shapes = [_expanded(q, chunks, wide_lists, wide_fused, config, providers), _merged(plain_lists, plain_fused, config), alone]
+    common = [c for c in shapes[2].columns if all(c in x.columns for x in shapes)]
+    rows = shapes[0].select(common).unionByName(shapes[1].select(common)).unionByName(shapes[2].select(common))
+    summed = counts(wide_pool.select("query_id", "vector_rank", "keyword_rank").unionByName(plain_pool.select("query_id", "vector_rank", "keyword_rank")))
+    summed = summed.join(branches.select("query_id", "main"), "query_id").groupBy(F.col("main").alias("query_id")).agg(*(F.sum(c).alias(c) for c in ("vector", "keyword", "fused")))
+    trace = q.select("query_id", "strategy", (1 + F.size("_more") + F.size("_hyde")).alias("branches"), F.when(expanding, F.size("_more")).otherwise(0).alias("variations"), F.when(expanding, 0).otherwise(F.size("_more")).alias("sub_queries"), (F.size("_hyde") > 0).alias("hyde"))
+    return Routed(rows, trace.join(summed, "query_id", "left").na.fill(0, ["vector", "keyword", "fused"]), failures.select(F.col("main").alias("query_id"), "branch", "kind"))
+
+
 def correct(queries: DataFrame, chunks: DataFrame, config: Config | None = None, providers: Providers | None = None) -> DataFrame:
     """A second retrieval for each query and its variations, merged by best relevance, without fusion or cut."""
     config, providers = config or Config(), providers or Providers()
@@ -161,14 +230,18 @@ def correct(queries: DataFrame, chunks: DataFrame, config: Config | None = None,
     return R.pool_merge(lists.withColumn("ord", F.col("branch") * 1000 + F.col("ord"))).drop("branch")
 
 
-def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = None, providers: Providers | None = None, corrected: DataFrame | None = None) -> DataFrame:
+def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = None, providers: Providers | None = None, corrected: DataFrame | None = None, web: DataFrame | None = None) -> DataFrame:
     """(query_id, answer, outcome, cited, citations, invalid, fell_back, reasons, n_redacted, suspicious, blocked, verdict, checked,
     unsupported): a grounded answer to each of queries (query_id, text, and scope, document ids, if given) from retrieved chunks.
 
     Steps: protect the chunks, assess them (a question on one document needs one chunk), in the ambiguous band merge the
     corrected ones (if the loop is on) and caution the prompt about terms that the evidence lacks, order for the prompt, generate,
     then abstention, leak, citations, output filter, verification and reflection. A refusal's outcome names its reason;
-    its citations are the first three of what was found, an answer's those it cites. What was retrieved is written once."""
+    its citations are the first three of what was found, an answer's those it cites. What was retrieved is written once.
+
+    web: sources (query_id, ord, title, url, snippet) of the questions that are researched on the web. Those go on without
+    sufficient chunks if they have config.least_web sources, and then without the chunks below their threshold; the corrective
+    loop, the caution and reflection don't apply to them. n_web, suspicious_web and blocked_web are counts of sources."""
     config, providers = config or Config(), providers or Providers()
     q = prepared(queries)
     retrieved = kept(retrieved, "retrieved")
@@ -183,33 +256,44 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
         return safe, verdicts
 
     safe, verdicts = shown(retrieved)
+    pages = None if web is None else kept(E.web_evidence(E.protect_web(web)), "web")
     if config.loop and corrected is not None:
         weak = verdicts.where(E.corrects(F.col("verdict"))).select("query_id")
+        weak = weak if pages is None else weak.join(pages.select("query_id"), "query_id", "left_anti")
         columns = [c for c in retrieved.columns if c in corrected.columns]
         more = corrected.join(weak, "query_id", "left_semi").select(columns).withColumn("ord", F.col("ord") + 100_000)
         pooled = R.pool_merge(retrieved.join(weak, "query_id", "left_semi").select(columns).unionByName(more))
         safe, verdicts = shown(retrieved.join(weak, "query_id", "left_anti").select(columns).unionByName(pooled.select(columns)))
-    placed = R.evidence_order(safe.withColumn("retrieval", F.col("score")).withColumn("score", rank)).withColumn("_read", F.col("ord")).drop("ord").withColumnRenamed("place", "ord")
+    first_found = safe.where("ord <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))).alias("read"))
+    if pages is not None:
+        alone = verdicts.where("verdict = 'insufficient'").join(pages.where(F.col("n_web") >= max(1, config.least_web)).select("query_id"), "query_id", "left_semi").select("query_id", F.lit(True).alias("_alone"))
+        fit = F.coalesce(F.col("relevance") >= E.by_scale(F.col("scale"), config.encoder_threshold, config.heuristic_threshold), F.lit(False))
+        safe = safe.join(alone, "query_id", "left").where(F.col("_alone").isNull() | fit).drop("_alone")
+    placed = R.evidence_order(safe.withColumn("retrieval", F.col("score")).withColumn("score", rank)).drop("ord").withColumnRenamed("place", "ord")
     prompts = E.prompt_evidence(placed)
-    # Each chunk once, in the order that the gate read them and in that of the prompt.
     g = placed.groupBy("query_id").agg(
         F.count("*").cast("int").alias("n_evidence"), F.min_by("content", "ord").alias("first"), F.array_join(F.collect_list("content"), "\n").alias("all"), F.array_distinct(F.flatten(F.collect_list(G.emails(F.concat_ws("\n", "_raw", "context"))))).alias("emails"),
         F.count_if("suspicious").alias("suspicious"), F.count_if("blocked").alias("blocked"),
-        F.array_sort(F.collect_list(F.struct(F.col("_read"), "chunk_id"))).alias("read"), F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))).alias("shown"),
+        F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))).alias("shown"),
     )
-    j = q.join(g, "query_id", "left").join(prompts, "query_id", "left").join(verdicts.select("query_id", "verdict"), "query_id", "left")
+    j = q.join(g, "query_id", "left").join(prompts, "query_id", "left").join(verdicts.select("query_id", "verdict"), "query_id", "left").join(first_found, "query_id", "left")
+    j = j.join(pages, "query_id", "left") if pages is not None else j.withColumns({"web": F.lit(None).cast("string"), **{c: F.lit(0).cast("long") for c in ("n_web", "suspicious_web", "blocked_web")}})
+    j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_web", "suspicious_web", "blocked_web")}).withColumn("_web", F.col("n_web") > 0)
     j = j.withColumn("verdict", F.coalesce("verdict", F.lit("insufficient")))
     if config.loop and config.guard:
         missing = caution(queries, placed.select("query_id", "ord", "content", "context"))
-        j = j.join(missing, "query_id", "left").withColumn("evidence", F.concat("evidence", F.when(F.col("verdict") == "ambiguous", E.caution_block(F.col("missing"))).otherwise("")))
+        j = j.join(missing, "query_id", "left").withColumn("evidence", F.concat("evidence", F.when((F.col("verdict") == "ambiguous") & ~F.col("_web"), E.caution_block(F.col("missing"))).otherwise("")))
+    whole = F.concat(F.coalesce("evidence", F.lit("(none)")), F.lit("\n\nWeb research sources:\n\n"), F.col("web"))
+    j = j.withColumn("evidence", F.when(F.col("_web"), whole).otherwise(F.col("evidence")))
     j = j.withColumn("raw", providers.llm.answer(F.col("query"), F.col("evidence"), F.col("first")))
     cited = W.resolve_citations(F.col("raw"), F.coalesce("n_evidence", F.lit(0)))
-    j = j.withColumn("c", cited).withColumn("f", G.filter_output(X.nfkc(F.col("c.answer")), F.col("query_language"), config.pii, F.col("emails")))
+    j = j.withColumn("c", cited).withColumn("f", G.filter_output(X.nfkc(F.col("c.answer")), F.col("query_language"), config.pii, F.coalesce("emails", F.array().cast("array<string>"))))
     checked = W.cited_sentences(F.col("f.answer"), F.coalesce("n_evidence", F.lit(0)))
     j = j.withColumn("s", checked).withColumn("checked", F.size("s")).withColumn("unsupported", F.size(F.filter("s", lambda x: ~providers.llm.supported(x.sentence, F.col("all")))))
-    band = (F.col("verdict") == "ambiguous") & F.lit(config.loop)
+    band = (F.col("verdict") == "ambiguous") & F.lit(config.loop) & ~F.col("_web")
+    refused_at_once = (F.col("verdict") == "insufficient") & ~(F.col("_web") & (F.col("n_web") >= max(1, config.least_web)))
     outcome = (
-        F.when(F.col("verdict") == "insufficient", "insufficient_evidence").when(E.abstains(F.col("raw")), "model_abstention").when(band & E.begins_abstaining(F.col("raw")), "model_abstention_prefix").when(G.leaks(F.col("raw")), "sensitive_leakage")
+        F.when(refused_at_once, "insufficient_evidence").when(E.abstains(F.col("raw")), "model_abstention").when(band & E.begins_abstaining(F.col("raw")), "model_abstention_prefix").when(G.leaks(F.col("raw")), "sensitive_leakage")
         .when(F.col("f.blocked"), "blocked").when(band & E.reflects(F.col("checked"), F.col("unsupported")), "reflection_unsupported_citations").otherwise("answered")
     )
     refusal = F.lit("I do not have enough evidence in the indexed documents to answer this confidently. Please refine your question or upload more relevant material.")
@@ -217,7 +301,7 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
     refused = F.transform(F.slice("read", 1, 3), lambda x: x.chunk_id)
     cites = F.coalesce(F.when(given, F.array_distinct(F.transform("c.cited", lambda i: F.get(F.col("shown"), i - 1).chunk_id))).otherwise(refused), F.array().cast("array<long>"))
     j = j.withColumn("outcome", outcome).withColumn("citations", cites)
-    return j.select("query_id", F.when(given, F.col("f.answer")).otherwise(refusal).alias("answer"), "outcome", F.when(given, F.col("c.cited")).otherwise(F.array().cast("array<int>")).alias("cited"), "citations", F.col("c.invalid").alias("invalid"), F.col("c.fell_back").alias("fell_back"), F.col("f.reasons").alias("reasons"), F.col("f.n_redacted").alias("n_redacted"), F.coalesce("suspicious", F.lit(0)).alias("suspicious"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "verdict", "checked", "unsupported")
+    return j.select("query_id", F.when(given, F.col("f.answer")).otherwise(refusal).alias("answer"), "outcome", F.when(given, F.col("c.cited")).otherwise(F.array().cast("array<int>")).alias("cited"), "citations", F.col("c.invalid").alias("invalid"), F.col("c.fell_back").alias("fell_back"), F.col("f.reasons").alias("reasons"), F.col("f.n_redacted").alias("n_redacted"), F.coalesce("suspicious", F.lit(0)).alias("suspicious"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "n_web", "suspicious_web", "blocked_web", "verdict", "checked", "unsupported")
 
 
 def caution(queries: DataFrame, retrieved: DataFrame) -> DataFrame:

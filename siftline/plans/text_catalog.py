@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftline import providers as P
@@ -304,6 +305,21 @@ def decompose_batch(spark, d):
     return Q.decompose(asked(spark, d), corpus(spark, d)).select("query_id", "chunk_id", "ord")
 
 
+@query()
+def mixed_route_batch(spark, d):
+    """Every third question is expanded; long ones are taken apart; all others are retrieved as they are."""
+    q = asked(spark, d).withColumn("expand", F.col("query_id") % 3 == 0)
+    return Q.route(q, corpus(spark, d)).rows.select("query_id", "chunk_id", "ord")
+
+
+@query()
+def web_answer_batch(spark, d):
+    """Answers of questions that have pages as web sources beside their chunks."""
+    q, n = asked(spark, d), F.col("page_id")
+    web = table(spark, d, "pages").where("url is not null").select((n % 20).alias("query_id"), F.row_number().over(Window.partitionBy(n % 20).orderBy("page_id")).alias("ord"), F.col("url").alias("title"), "url", F.left("html", F.lit(500)).alias("snippet")).where("ord <= 5")
+    return Q.answer(q, Q.retrieve(q, corpus(spark, d)), web=web).select("query_id", "answer", "outcome", "n_web", "suspicious_web", "blocked_web", "verdict")
+
+
 @query()
 def corrective(spark, d):
     return Q.correct(asked(spark, d), corpus(spark, d)).select("query_id", "chunk_id", "ord", F.round("relevance", 6).alias("relevance"))
