@@ -102,6 +102,22 @@ def clamp(x: Column) -> Column:
     return F.when(~F.isnan(x), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """What a judge's answer comes to: rows (query_id, statements, lists of what it holds supported; relevance; chunk_relevant and
+    points_covered; n_chunks; n_points; insufficient) with judged, faithfulness, answer_relevance, context_precision,
+    context_recall and unsupported. Without a statement nothing is unfaithful; a refusal has no relevance; a list of another length
+    than what it judges gives null. Nulls among supported count as unsupported; a null list of statements is empty, and a
+    null relevance and lists (no answer) judge nothing."""
+    statements = F.coalesce("statements", F.array().cast("array<boolean>"))
+    supported = F.size(F.filter(statements, lambda v: F.coalesce(v, F.lit(False))))
+    answered = F.col("statements").isNotNull() | F.col("relevance").isNotNull()
+    put = {
+        "faithfulness": F.when(F.size(statements) == 0, 1.0).otherwise(supported / F.size(statements)), "answer_relevance": F.when(F.col("insufficient"), 0.0).otherwise(clamp(F.col("relevance"))),
+        "context_precision": fraction(F.col("chunk_relevant"), F.col("n_chunks")), "context_recall": fraction(F.col("points_covered"), F.col("n_points")), "unsupported": F.size(statements) - supported,
+    }
+    return rows.select("query_id", answered.alias("judged"), *(F.when(answered, v).alias(k) for k, v in put.items()))
+
+
 def within_budget(blocks: DataFrame, budget: int) -> DataFrame:
     """Each query's blocks (query_id, ord, n_tokens) up to the first one that would exceed the budget; the first always stays."""
     w = Window.partitionBy("query_id").orderBy("ord")

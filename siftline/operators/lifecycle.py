@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
+from siftline.operators import queue as Q
 
 
 def create_documents(existing: DataFrame, incoming: DataFrame, version: int = 1) -> DataFrame:
@@ -21,6 +22,32 @@ def requeue_failed(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"status": F.when(failed, "queued").otherwise(F.col("status")), "ingestion_version": F.col("ingestion_version") + failed.cast("int")})
 
 
+def queued_jobs(documents: DataFrame, now: str) -> DataFrame:
+    """A queued job row for each of documents (document_id, sha256, ingestion_version)."""
+    t = F.lit(now).cast("timestamp")
+    key = F.concat("sha256", F.lit(":v"), F.col("ingestion_version").cast("string"))
+    return documents.select("document_id", F.lit("queued").alias("status"), F.lit(0).alias("attempt"), key.alias("idempotency_key"), t.alias("created_at"), t.alias("updated_at"))
+
+
+def create_with_jobs(existing: DataFrame, incoming: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """The document rows to insert of incoming (doc_id, sha256), queued under version 1, and a job row for each; see create_documents."""
+    new = create_documents(existing, incoming).select(F.col("doc_id").alias("document_id"), F.substring_index("idempotency_key", ":", 1).alias("sha256"), F.lit("queued").alias("status"), F.lit(1).alias("ingestion_version"), F.lit(now).cast("timestamp").alias("created_at"))
+    return new, queued_jobs(new, now)
+
+
+def requeue_with_jobs(documents: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """documents (document_id, sha256, status, ingestion_version), the failed ones queued under the next version, and their job rows."""
+    after = requeue_failed(documents.withColumn("_failed", F.coalesce(F.col("status") == "failed", F.lit(False))))
+    return after.drop("_failed"), queued_jobs(after.where("_failed"), now)
+
+
+def bump_with_jobs(documents: DataFrame, asked: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """documents (document_id, sha256, status, ingestion_version), those whose version is still the one asked for under the next one,
+    and their job rows. Nobody's change since then is lost: another version than the one asked for stays."""
+    after = Q.bump_version(documents.withColumn("_old", F.col("ingestion_version")), asked)
+    return after.drop("_old"), queued_jobs(after.where("ingestion_version > _old"), now)
+
+
 def cascade(documents: DataFrame, dependents: dict[str, DataFrame], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """What stays of documents and of each dependent table when the documents among gone (document_id) are deleted."""
     doomed = gone.select("document_id").distinct()

@@ -60,6 +60,13 @@ def cache_invalidate(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cache.limit(0), cache.agg(F.count("*").alias("n"))
 
 
+def history(rows: DataFrame, user: str, limit: int, conversation: int | str | None = None) -> DataFrame:
+    """A user's newest rows of a history (id, user_id, conversation_id, created_at), of one conversation if it is named; ties by id."""
+    own = rows.where(F.col("user_id") == user)
+    own = own if conversation is None else own.where(F.col("conversation_id") == conversation)
+    return own.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
 def delete_own(history: DataFrame, ids: DataFrame, user: str) -> tuple[DataFrame, DataFrame]:
     """What stays of a history (id, user_id) when a user deletes ids, and the ids that went: only the user's own."""
     gone = history.where(F.col("user_id") == user).join(ids.select("id").distinct(), "id", "left_semi").select("id")

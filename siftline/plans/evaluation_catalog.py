@@ -144,6 +144,19 @@ def judge_fractions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(V.fraction(v, i % 4), 6).alias("fraction"), F.round(V.clamp(F.col("n_chars") / 5000), 6).alias("clamped"))
 
 
+@query("""WITH r AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 11 > 0 THEN list_transform(range(0, doc_id % 5), lambda k: (k + doc_id) % 3 = 0) END AS s, CASE WHEN doc_id % 11 > 0 THEN n_chars / 5000.0::DOUBLE END AS x,
+CASE WHEN doc_id % 11 > 0 THEN list_transform(range(0, doc_id % 4), lambda k: k % 2 = 0) END AS c, doc_id % 4 AS n, doc_id % 7 = 0 AS refused FROM documents)
+SELECT query_id, s IS NOT NULL AS judged, CASE WHEN s IS NULL THEN NULL WHEN len(s) = 0 THEN 1.0 ELSE round(len(list_filter(s, lambda v: v)) / len(s)::DOUBLE, 6) END::DOUBLE AS faithfulness, CASE WHEN s IS NULL THEN NULL WHEN refused THEN 0.0 ELSE round(least(greatest(x, 0), 1), 6) END::DOUBLE AS answer_relevance,
+CASE WHEN s IS NOT NULL AND n > 0 THEN round(len(list_filter(c, lambda v: v)) / n::DOUBLE, 6) END AS context_precision, CASE WHEN s IS NULL THEN NULL ELSE CAST(len(s) - len(list_filter(s, lambda v: v)) AS INTEGER) END AS unsupported FROM r""")
+def judge_scores(spark, d):
+    i, there = F.col("doc_id"), F.col("doc_id") % 11 > 0
+    listed = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), f)).otherwise(F.array().cast("array<boolean>"))
+    chunks = F.when(there, listed(i % 4, lambda k: k % 2 == 0))
+    rows = table(spark, d, "documents").select(i.alias("query_id"), F.when(there, listed(i % 5, lambda k: (k + i) % 3 == 0)).alias("statements"), F.when(there, F.col("n_chars") / 5000).alias("relevance"), chunks.alias("chunk_relevant"), chunks.alias("points_covered"), (i % 4).alias("n_chunks"), (i % 4 + 1).alias("n_points"), (i % 7 == 0).alias("insufficient"))
+    out = V.judged(rows)
+    return out.select("query_id", "judged", *(F.round(c, 6).alias(c) for c in ("faithfulness", "answer_relevance", "context_precision")), "unsupported")
+
+
 @query(f"""WITH {POOL}, b AS (SELECT query_id, chunk_id, ord, len(string_split(content, ' ')) AS n_tokens FROM listed), c AS (SELECT *, sum(n_tokens) OVER w AS s FROM b WINDOW w AS (PARTITION BY query_id ORDER BY ord)), o AS (SELECT *, max(CASE WHEN ord > 1 AND s > 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY ord) AS over_ FROM c) SELECT query_id, chunk_id FROM o WHERE over_ = 0""")
 def evidence_budget(spark, d):
     blocks = pool(spark, d).select("query_id", "chunk_id", "ord", F.size(F.split("content", " ")).alias("n_tokens"))

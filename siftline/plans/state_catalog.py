@@ -292,6 +292,44 @@ def requeue_failed(spark, d):
     return L.requeue_failed(x).select("document_id", "ingestion_version")
 
 
+_KEY = "'queued' AS status, 0 AS attempt, sha256(CAST(c_custkey AS VARCHAR)) || ':v' || {} AS idempotency_key, " + f"{_M} AS created_at, {_M} AS updated_at"
+
+
+def _versioned(spark, d):
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(key.alias("document_id"), F.sha2(key.cast("string"), 256).alias("sha256"), F.when(F.col("c_acctbal") <= 0, "failed").otherwise("ready").alias("status"), (1 + key % 3).cast("int").alias("ingestion_version"))
+
+
+def _rows(jobs):
+    return jobs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, sha256(text) AS sha256 FROM documents), e AS (SELECT DISTINCT sha256 FROM x WHERE lang = 'en')
+SELECT min(doc_id) AS document_id, 'queued' AS status, 0 AS attempt, sha256 || ':v1' AS idempotency_key, {_M} AS created_at, {_M} AS updated_at FROM x WHERE coalesce(lang, '') <> 'en' AND sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM e WHERE sha256 IS NOT NULL) GROUP BY sha256""")
+def created_jobs(spark, d):
+    x = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha256"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return _rows(L.create_with_jobs(x.where(english), x.where(~english), MID)[1])
+
+
+@query(f"SELECT c_custkey AS document_id, {_KEY.format('(2 + c_custkey % 3)')} FROM customer WHERE c_acctbal <= 0")
+def requeued_jobs(spark, d):
+    return _rows(L.requeue_with_jobs(_versioned(spark, d), MID)[1])
+
+
+@query(f"SELECT c_custkey AS document_id, {_KEY.format('(2 + c_custkey % 3)')} FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 1")
+def bumped_jobs(spark, d):
+    docs = _versioned(spark, d)
+    asked = docs.where("document_id % 2 = 0").select("document_id", F.lit(2).alias("ingestion_version"))
+    return _rows(L.bump_with_jobs(docs, asked, MID)[1])
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 5 = 2 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def history_list(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("user_id"), (F.col("o_custkey") % 5).alias("conversation_id"), F.col("o_orderdate").alias("created_at"))
+    return S.history(rows, "1-URGENT", 50, 2).select("id", "created_at")
+
+
 def _building(spark, d):
     docs = table(spark, d, "customer").withColumnRenamed("c_custkey", "document_id")
     rows = {"jobs": table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("document_id")), "chunks": table(spark, d, "events").select(F.col("user_id").alias("document_id"))}

@@ -16,7 +16,7 @@ from siftline.operators import layout as Y
 from siftline.operators import ranking as R
 from siftline.operators import retrieval as Q
 from siftline.operators import vector_index as I
-from siftline.plans.registry import pool, query
+from siftline.plans.registry import POOL, pool, query
 from siftline.sources import pdf
 from siftline.sources import tables as T
 from siftline.sources.shared import shared_path
@@ -350,6 +350,11 @@ def compact_lists(spark, d):
     return Q.compact(pool(spark, d))[1]
 
 
+@query(f"WITH {POOL} SELECT query_id, CAST(ord AS INTEGER) AS ord, chunk_id, document_id, page, title, score, scale FROM listed WHERE ord <= 20")
+def compact_rows(spark, d):
+    return Q.compact(pool(spark, d))[0]
+
+
 def index_of(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return I.build(rows, shared_path(spark, "vector-index"))
