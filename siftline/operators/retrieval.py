@@ -328,8 +328,8 @@ def evaluated(golden: DataFrame, chunks: DataFrame, config: Config | None = None
     """The figures of golden queries (query_id, text, language, question_type, chunk_ids, document, section, pages, points), all
     run as one batch: recall, nDCG, rank, citations, grounding, abstention. See evaluation.summary for what they add up to."""
     config, providers = config or Config(), providers or Providers()
-    found = retrieve(golden.select("query_id", "text"), chunks, config, providers).withColumnRenamed("title", "section")
-    said = answer(golden.select("query_id", "text"), found.withColumnRenamed("section", "title"), config, providers)
+    found = kept(retrieve(golden.select("query_id", "text"), chunks, config, providers), "found").withColumnRenamed("title", "section")
+    said = kept(answer(golden.select("query_id", "text"), found.withColumnRenamed("section", "title"), config, providers), "answers")
     ranks = V.retrieval(V.relevance(found.select("query_id", "ord", "chunk_id", "document_id", "page", "section"), golden), golden)
     cites = said.select("query_id", F.explode("cited").alias("ord")).join(found.select("query_id", "ord", "chunk_id", "document_id", "page"), ["query_id", "ord"])
     quality = V.citation_quality(cites.drop("ord"), golden)

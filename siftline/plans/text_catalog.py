@@ -11,6 +11,7 @@ from siftline.functions import vector as V
 from siftline.functions.columns import few
 from siftline.operators import cached as CR
 from siftline.operators import chunking as K
+from siftline.operators import generator as GN
 from siftline.operators import keyword_index as N
 from siftline.operators import layout as Y
 from siftline.operators import ranking as R
@@ -19,7 +20,7 @@ from siftline.operators import vector_index as I
 from siftline.plans.registry import POOL, pool, query
 from siftline.sources import pdf
 from siftline.sources import tables as T
-from siftline.sources.shared import shared_path
+from siftline.sources.shared import kept, shared_path
 from siftline.sources.tables import table
 
 _count = lambda k, p: " + ".join(f"(length({p}) - length(replace({p}, '{w}', ''))) / {len(w)}" for w in X.LANGUAGE_KEYWORDS[k])
@@ -320,6 +321,28 @@ def web_answer_batch(spark, d):
     return Q.answer(q, Q.retrieve(q, corpus(spark, d)), web=web).select("query_id", "answer", "outcome", "n_web", "suspicious_web", "blocked_web", "verdict")
 
 
+def generator_chunks(spark, d):
+    c = corpus(spark, d).drop("embedding").where("language is not null")
+    return c.withColumns({"ord": F.col("page"), "document_id": F.col("document_id") * 10 + F.ascii("language") % 10})
+
+
+@query("""WITH c AS (SELECT doc_id, upper(lang) AS language, doc_id // 20 * 10 + ascii(upper(lang)) % 10 AS document, row_number() OVER (PARTITION BY doc_id // 20 * 10 + ascii(upper(lang)) % 10 ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY doc_id // 20 * 10 + ascii(upper(lang)) % 10) AS n
+FROM documents WHERE lang IS NOT NULL AND length(trim(coalesce(text, ''))) >= 200), k AS (SELECT *, least(10, greatest(3, (n + 5) // 6)) AS k FROM c)
+SELECT language, document, doc_id AS chunk_id FROM k WHERE r IN (SELECT unnest(list_transform(range(k), lambda i: i * n // k)))""")
+def generated_single_hop(spark, d):
+    """The chunks that questions are made of, evenly spaced in each document."""
+    return GN.single_hop(generator_chunks(spark, d), GN.PlainWriter()).select("language", "document", F.get("chunk_ids", 0).alias("chunk_id"))
+
+
+@query()
+def generated_benchmark(spark, d):
+    """The figures of a benchmark run over generated multi-hop and unanswerable questions against the whole corpus."""
+    rows = generator_chunks(spark, d)
+    golden = kept(GN.golden(GN.multi_hop(rows, GN.PlainWriter()).unionByName(GN.unanswerable(rows, GN.PlainWriter(), {"EN": 8, "DE": 7}))), "golden")
+    chunks = corpus(spark, d).withColumn("document_id", F.col("document_id") * 10 + F.coalesce(F.ascii("language") % 10, F.lit(0)))
+    return Q.evaluated(golden, chunks).select("query_id", "language", "question_type", "recall_at_5", "mrr", "insufficient")
+
+
 @query()
 def corrective(spark, d):
     return Q.correct(asked(spark, d), corpus(spark, d)).select("query_id", "chunk_id", "ord", F.round("relevance", 6).alias("relevance"))
