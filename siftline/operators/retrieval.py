@@ -243,7 +243,7 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
     sufficient chunks if they have config.least_web sources, and then without the chunks below their threshold; the corrective
     loop, the caution and reflection don't apply to them. n_web, suspicious_web and blocked_web are counts of sources."""
     config, providers = config or Config(), providers or Providers()
-    q = prepared(queries)
+    q = kept(prepared(queries), "questions")
     retrieved = kept(retrieved, "retrieved")
     rank = F.coalesce("rerank_score", "score")
     one_document = queries.select("query_id", (F.size("scope") == 1).alias("_one")) if "scope" in queries.columns else None
@@ -287,7 +287,8 @@ def answer(queries: DataFrame, retrieved: DataFrame, config: Config | None = Non
     j = j.withColumn("evidence", F.when(F.col("_web"), whole).otherwise(F.col("evidence")))
     j = j.withColumn("raw", providers.llm.answer(F.col("query"), F.col("evidence"), F.col("first")))
     cited = W.resolve_citations(F.col("raw"), F.coalesce("n_evidence", F.lit(0)))
-    j = j.withColumn("c", cited).withColumn("f", G.filter_output(X.nfkc(F.col("c.answer")), F.col("query_language"), config.pii, F.coalesce("emails", F.array().cast("array<string>"))))
+    j = kept(j.withColumn("c", cited).withColumn("_text", X.nfkc(F.col("c.answer"))), "drafts")  # no Python behind this, and one generation
+    j = j.withColumn("f", G.filter_output(F.col("_text"), F.col("query_language"), config.pii, F.coalesce("emails", F.array().cast("array<string>"))))
     checked = W.cited_sentences(F.col("f.answer"), F.coalesce("n_evidence", F.lit(0)))
     j = j.withColumn("s", checked).withColumn("checked", F.size("s")).withColumn("unsupported", F.size(F.filter("s", lambda x: ~providers.llm.supported(x.sentence, F.col("all")))))
     band = (F.col("verdict") == "ambiguous") & F.lit(config.loop) & ~F.col("_web")
