@@ -131,17 +131,18 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     asked: dict[int, dict[str, int]] = {}  # of each query: its lexemes, with the groups that they are in as bits
     wanted: set[str] = set()
     found: dict[str, list[tuple[int, np.ndarray]]] = {}
+    flat: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def of(query: int) -> tuple[np.ndarray, np.ndarray]:
         bits = asked[query]
         need = 0
         for b in bits.values():
             need |= b
-        hits = [(chunk, places, bits[w]) for w in bits for chunk, places in found.get(w, ())]
+        hits = [(*flat[w], b) for w, b in bits.items() if w in flat]
         if not hits:
             return np.zeros(0, np.int64), np.zeros(0)
         size = np.array([len(p) for _, p, _ in hits])
-        chunk, place = np.repeat(np.array([c for c, _, _ in hits], np.int64), size), np.concatenate([p for _, p, _ in hits]).astype(np.int64)
+        chunk, place = np.concatenate([c for c, _, _ in hits]), np.concatenate([p for _, p, _ in hits])
         ids, local = np.unique(chunk, return_inverse=True)
         key = local * (LAST + 1) + place
         if need.bit_count() == 1:  # any lexeme is a cover by itself: each distinct position weighs the same
@@ -161,6 +162,8 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
     def close() -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for name, rows in found.items():  # each lexeme's postings side by side, once for all queries
+            flat[name] = (np.repeat(np.array([c for c, _ in rows], np.int64), [len(p) for _, p in rows]), np.concatenate([p for _, p in rows]).astype(np.int64))
         for query in asked if found else ():
             ids, ranks = of(query)
             ranks = np.round(ranks, 6)
@@ -174,10 +177,11 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         asked.clear()
         wanted.clear()
         found.clear()
+        flat.clear()
 
     for b in batches:
         part, block, side, ids, words, groups = (c.to_pylist() for c in b.columns[:6])
-        lists, flat = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+        lists, all_places = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
         for n, name in enumerate(words):
             if (part[n], block[n]) != at:
                 yield from close()
@@ -187,7 +191,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 own[name] = own.get(name, 0) | 1 << groups[n]
                 wanted.add(name)
             elif name in wanted:
-                found.setdefault(name, []).append((ids[n], flat[lists[n] : lists[n + 1]]))
+                found.setdefault(name, []).append((ids[n], all_places[lists[n] : lists[n + 1]]))
     yield from close()
 
 
@@ -216,7 +220,22 @@ def cover_topk(asked: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     return top(found, k, [F.desc("rank"), F.col("chunk_id")])
 
 
+def asked_postings(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """The postings of chunks for some lexemes (lexeme) alone: words that nobody asks for leave before anything is gathered."""
+    text = F.concat_ws(" ", *(F.coalesce(F.col(x), F.lit("")) for x in ("title", "content", "context")))
+    words = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("long"), X.tokens(text).alias("plain"), X.search_config(F.col("language")).alias("config"))
+    place = lambda i: F.least(i + 1, F.lit(LAST))
+    plain = F.transform("plain", lambda w, i: F.struct(F.lit(0).alias("copy"), w.alias("lexeme"), w.alias("word"), place(i).alias("at")))
+    both = F.zip_with("plain", X.stems(F.col("plain"), F.col("config")), lambda w, x: F.struct(w.alias("w"), x.alias("x")))
+    stemmed = F.transform(both, lambda p, i: F.struct(F.lit(1).alias("copy"), p.x.alias("lexeme"), p.w.alias("word"), F.least(place(i) + F.least(F.size("plain"), F.lit(LAST)), F.lit(LAST)).alias("at")))
+    rows = words.select("chunk_id", "config", F.explode(F.concat(plain, stemmed)).alias("_e")).select("chunk_id", "config", "_e.*")
+    rows = rows.join(few(names, F.length("lexeme") + 40), "lexeme", "left_semi").where((F.col("copy") == 0) | ~X.stopword(F.col("word"), F.col("config")))
+    copy = lambda k: F.slice(F.array_sort(F.collect_set(F.when(F.col("copy") == k, F.col("at")))), 1, IN_COPY)
+    g = rows.groupBy("chunk_id", "lexeme").agg(copy(0).alias("_a"), copy(1).alias("_b"))
+    return g.select("chunk_id", "lexeme", F.slice(F.array_sort(F.array_distinct(F.concat("_a", "_b"))), 1, IN_ALL).alias("positions"))
+
+
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """cover_topk of queries (query_id, text) over chunks that have no index yet."""
-    return cover_topk(any_of(queries), postings(chunks), k)
-
+    asked = any_of(queries)
+    return cover_topk(asked, asked_postings(chunks, asked.select("lexeme").distinct()), k)
