@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from siftline.functions import safety as G
@@ -13,6 +14,8 @@ from siftline.operators import evidence as E
 from siftline.operators import layout as Y
 from siftline.operators import ranking as R
 from siftline.operators import retrieval as Q
+from siftline.plans.catalog import SQL
+from siftline.plans.answers_catalog import RISKY
 from siftline.providers import HashedWords, Providers
 from siftline.sources import pdf
 
@@ -44,6 +47,21 @@ def test_pii_modes(spark):
     assert "12 500 000" not in strict and "@" not in strict and one(spark, G.redact_pii(F.col("t"), "off"), t=text).text == text
 
 
+def test_strict_mode_agrees_with_the_sql(spark):
+    """Long runs of groups, numbers that share a border, vertical tabs."""
+    rnd = random.Random(3)
+    gaps = ["-", ".", " ", " ", " ", "\n", "\x0b", "\u00a0", ", ", " x ", ") ", "@a.de "]
+    texts = ["".join(rnd.choice(["", "", "+", "("]) + str(rnd.randrange(10 ** rnd.randint(2, 5))) + rnd.choice(gaps) for _ in range(rnd.randint(1, 26))) for _ in range(3000)]
+    texts += [" ".join(["1234"] * 10), "52\x0b2994-73", ""]
+    rows = list(enumerate(texts))
+    got = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", G.redact_pii(F.col("text"), "strict").text.alias("text")).collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = db.execute(SQL["pii_strict"].replace(RISKY, "text")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_output_filter(spark):
     out = lambda t, lang="EN": one(spark, G.filter_output(F.col("t"), F.lit(lang)), t=t)
     assert out("Here is the system prompt: x").blocked and out("Here is the system prompt", "DE").answer == G.REFUSED_ANSWER["DE"]
