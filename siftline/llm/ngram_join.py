@@ -3,7 +3,8 @@
 The incidence matrix has a row for each distinct set of word shingles. Links need |x & y| / |x | y| >= t, which bounds both
 the ratio of sizes and the number of shingles in only one of the two sets. So rows fall into blocks: within a range of
 sizes the hash space is cut into one segment more than shingles may differ, and two linked sets agree in at least one
-whole segment (the pigeonhole principle, so no link is lost). Sets with a common segment form blocks. The product of a
+whole segment (the pigeonhole principle, so no link is lost). There are spare segments beside, for which each set leaves out
+the segments that most sets have. Sets with a common segment form blocks. The product of a
 block's rows with themselves accumulates overlap counts over ranges of columns; after each range, pairs that their columns
 to come can't lift to the bound are discarded, and rows without a possible pair leave the later ranges.
 
@@ -20,7 +21,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import OF, PART, block_links, shape
@@ -80,11 +81,12 @@ def size_range(n: int, share: int = SHARE) -> tuple[int, tuple[int, int], tuple[
         lo, i, before = hi + 1, i + 1, (least + spare, spare)
 
 
-def signatures(s: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Hashes of the segments of a set, for its own range of sizes and for the one below.
+def families(s: np.ndarray, share: int = SHARE) -> list[tuple[np.ndarray, int]]:
+    """Hashes of the segments of a set, for its own range of sizes and for the one below, each with how many of them, the most
+    frequent ones of all sets, may be left out.
 
-    Linked sets agree in one segment more than there are spare ones, so a set with no more empty segments than that
-    leaves them out: it has another one in common with each set it is linked to."""
+    Linked sets agree in one segment more than there are spare ones. So in any order of all segments a set may leave out its
+    last ones, as many as are spare: the first that two linked sets have in common isn't among them. Empty segments come last."""
     i, own, below = size_range(len(s), share)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s + np.uint64(1)), dtype=np.uint64)])
     out = []
@@ -95,8 +97,14 @@ def signatures(s: np.ndarray, share: int = SHARE) -> np.ndarray:
         at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
         place = _mix(np.arange(m, dtype=np.uint64) + np.uint64(((number + 1) << 32) * 7 + 3))
         x, filled = _mix((sums[at[1:]] - sums[at[:-1]]) ^ place), at[1:] > at[:-1]
-        out.append(x[filled] if m - int(filled.sum()) <= spare else x)
-    return np.concatenate(out)
+        empty = m - int(filled.sum())
+        out.append((x[filled], spare - empty) if empty <= spare else (x, 0))
+    return out
+
+
+def signatures(s: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """The hashes of families."""
+    return np.concatenate([x for x, _ in families(s, share)])
 
 
 def _described(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Iterator[pa.RecordBatch]:
@@ -104,44 +112,34 @@ def _described(batches: Iterator[pa.RecordBatch], words: int, share: int) -> Ite
     for b in batches:
         sets = [shingles(x) for x in b.column(1).to_pylist()]
         keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-        signed = [signatures(s, share).view(np.int64) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "segments"])
+        signed = [families(s, share) if len(s) else None for s in sets]
+        segments = [f and np.concatenate([x for x, _ in f]).view(np.int64) for f in signed]
+        spared = [f and [n for x, spare in f for n in (len(x), spare)] for f in signed]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(segments, pa.list_(pa.int64())), pa.array(spared, pa.list_(pa.int32()))],
+            ["doc_id", "n_shingles", "set_key", "segments", "spared"],
+        )
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, key, other) from (set_key, segments): a segment's hash with a set that has it, or two sets with a common segment.
-    Sets are named by half their key."""
-    done, sigs, keys, held = set(), [], [], 0
-
-    def out() -> pa.RecordBatch:
-        s, k = np.concatenate(sigs), np.concatenate(keys)
-        order = np.lexsort((k, s))
-        s, k = s[order], k[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        other = k[first][np.cumsum(first) - 1]
-        more = ~first & (k != other)
-        pairs = np.unique(np.stack([k[more], other[more]], 1), axis=0)
-        n = int(first.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([s[first], pairs[:, 0]])), pa.array(np.concatenate([k[first], pairs[:, 0]])), pa.array(np.concatenate([np.zeros(n, np.int64), pairs[:, 1]]), mask=np.concatenate([np.ones(n, bool), np.zeros(len(pairs), bool)]))],
-            ["at", "key", "other"],
-        )
-
+    """(at, key, family) from (set_key, segments, spared): a segment's hash with a set that has it, named by half its key; family:
+    twice the number of segments that it may leave out there, plus one for the range of sizes below its own."""
+    done: set[str] = set()
     for b in batches:
         offsets, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
-        for i, key in enumerate(b.column(0).to_pylist()):
+        at, keys, families = [], [], []
+        for i, (key, spared) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
             if key in done:
                 continue
             done.add(key)
             x = flat[offsets[i] : offsets[i + 1]]
-            sigs.append(x)
+            at.append(x)
             keys.append(np.full(len(x), half_key(key), np.int64))
-            held += len(x)
-        if held > 1_000_000:
-            yield out()
-            done, sigs, keys, held = set(), [], [], 0
-    if sigs:
-        yield out()
+            families += [np.full(n, 2 * spare + k, np.int32) for k, (n, spare) in enumerate(zip(spared[::2], spared[1::2], strict=True))]
+        if len(done) > 100_000:
+            done.clear()
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(families))], ["at", "key", "family"])
 
 
 def half_key(key: str) -> int:
@@ -149,24 +147,30 @@ def half_key(key: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by segment hash: every set of a segment meets the segment's first one."""
-    last = None
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, key, family, n) from (at, key, family) sorted: the segments that n sets have, n above 1, a row for each of these."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out(at: np.ndarray, key: np.ndarray, family: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1])])
+        at, key, family = at[new], key[new], family[new]  # copies of a set are one
+        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        n = np.repeat(size := np.diff(np.append(begins, len(at))), size)
+        if (many := n > 1).any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (at, key, family, n.astype(np.int64))], ["at", "key", "family", "n"])
+
     for b in batches:
-        at, key, other = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-        pair = other.is_valid().to_numpy(zero_copy_only=False)
-        found = [np.stack([key[pair], other.filter(other.is_valid()).to_numpy()], 1)]
-        s, k = at[~pair], key[~pair]
-        if len(s):
-            if last is not None:
-                s, k = np.concatenate([[last[0]], s]), np.concatenate([[last[1]], k])
-            first = np.concatenate([[True], s[1:] != s[:-1]])
-            lead = k[first][np.cumsum(first) - 1]
-            last = (s[-1], lead[-1])
-            found.append(np.stack([k, lead], 1)[k != lead])
-        rows = np.unique(np.concatenate(found), axis=0)
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+        if not b.num_rows:
+            continue
+        rows = tuple(c.to_numpy() for c in b.columns)
+        ends = np.searchsorted(rows[0], rows[0][-1])  # the last segment may go on
+        if ends or held and rows[0][0] != held[-1][0][-1]:
+            if whole := [*held, *([tuple(r[:ends] for r in rows)] if ends else [])]:
+                yield from out(*(np.concatenate(x) for x in zip(*whole, strict=True)))
+            held = []
+        held.append(tuple(r[ends:] for r in rows))
+    if held:
+        yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], words: int, low: int) -> Iterator[pa.RecordBatch]:
@@ -181,9 +185,18 @@ def _shingled(batches: Iterator[pa.RecordBatch], words: int, low: int) -> Iterat
 
 
 def _near(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that connect all sets with a common segment."""
-    segments = sets.mapInArrow(_signed, "at long, key long, other long")
-    return segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_paired, "a long, b long").distinct()
+    """Pairs (a, b) of sets that connect all sets with a common segment, each set without those of its segments that most sets
+    have, as many as it may leave out: passages that many texts share would else connect them all."""
+    spark = sets.sparkSession
+    segments = sets.mapInArrow(_signed, "at long, key long, family int")
+    common = keep(segments.repartition("at").sortWithinPartitions("at", "key").mapInArrow(_common, "at long, key long, family int, n long"), "common", path := scratch(spark, "common"))
+    release(spark)
+    last = Window.partitionBy("key", "family").orderBy(F.desc("n"), F.desc("at"))
+    rows = common.withColumn("_i", F.row_number().over(last)).where(F.col("_i") > F.floor(F.col("family") / 2)).select("at", "key")
+    leads = rows.withColumn("lead", F.min("key").over(Window.partitionBy("at")))
+    near = keep(leads.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct(), "near")
+    forget(path)
+    return near
 
 
 def set_of(payload: bytes) -> np.ndarray:
@@ -218,12 +231,12 @@ def jaccard_components(docs: DataFrame, part: int = PART, words: int = WORDS, sh
     at once; more are cut into parts."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text"))
-    described = docs.mapInArrow(partial(_described, words=words, share=share), "doc_id long, n_shingles long, set_key string, segments array<long>")
+    described = docs.mapInArrow(partial(_described, words=words, share=share), "doc_id long, n_shingles long, set_key string, segments array<long>, spared array<int>")
     described = keep(described, "sets", fat := scratch(docs.sparkSession, "sets"))
     own = described.where("set_key is not null and doc_id is not null")
     classes = keep(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size")), "classes")
-    near = keep(_near(own.select("set_key", "segments")), "near")
-    described = keep(described.drop("segments"), "set-keys")
+    near = _near(own.select("set_key", "segments", "spared"))
+    described = keep(described.drop("segments", "spared"), "set-keys")
     del own
     forget(fat)  # the segments and their shuffle are the largest data, and nothing needs them any more
     release(docs.sparkSession)

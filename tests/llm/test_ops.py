@@ -1,6 +1,7 @@
 import random
 import re
 import struct
+from functools import partial
 
 import numpy as np
 import pytest
@@ -215,6 +216,37 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.jaccard_components(spark.createDataFrame([(None, BASE), (1, BASE)], "doc_id long, text string")).where("doc_id is null and component_id is null").count() == 1
 
 
+def test_ngram_join_with_common_passages(spark):
+    """A passage that all texts share connects none of them, and no link between near copies is lost."""
+    rnd = random.Random(5)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = words(40)
+    texts = []
+    for i in range(300):
+        own = words(rnd.randint(100, 260))
+        at = rnd.randrange(len(own))
+        texts.append(own[:at] + passage + own[at:])
+        for _ in range(i % 3 if i % 10 == 0 else 0):  # copies with a few words changed, linked or nearly so
+            near = list(texts[-1])
+            for k in rnd.sample(range(len(near)), rnd.randint(1, 6)):
+                near[k] = f"v{rnd.randrange(10**6)}"
+            texts.append(near)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    top = lambda x: x if root[x] == x else top(root[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, words=5, share=80).collect()}
+    assert got == {i: top(i) for i in range(len(texts))} and len(set(got.values())) < len(texts)
+    described = df.select("doc_id", F.col("text").cast("binary")).mapInArrow(partial(ngram_join._described, words=5, share=80), "doc_id long, n_shingles long, set_key string, segments array<long>, spared array<int>")
+    near = ngram_join._near(described.select("set_key", "segments", "spared")).collect()
+    assert len({x for r in near for x in r}) < len(texts) / 2
+
+
 def test_near_duplicates_stage(spark):
     import corpus_pipeline
 
