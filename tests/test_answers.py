@@ -222,3 +222,12 @@ def test_queries_from_models(spark):
     assert one(spark, X.variations(F.lit('x ["A", "a ", "B", "q"] y'), F.lit("q"))) == ["q", "a", "b"] and one(spark, X.variations(F.lit("none"), F.lit("q"))) == ["q"]
     assert one(spark, X.sub_queries(F.lit('["One", "one", "Two"]'), F.lit("q"))) == ["One", "Two"] and one(spark, X.sub_queries(F.lit('["One"]'), F.lit("q"))) == []
     assert one(spark, X.scope(F.array(F.lit(" b "), F.lit("a"), F.lit(""), F.lit("a")))) == ["a", "b"]
+
+
+def test_lexical_overlaps_by_words(spark):
+    """As the column function gives it pair by pair; repeated and null items, texts without words."""
+    q = spark.createDataFrame([(1, "solar financing of solars"), (1, "solar financing of solars"), (None, "the art"), (2, "??")], "item_id long, text string")
+    docs = spark.createDataFrame([(50, "Solarium finances art"), (50, "sol financing"), (100, ""), (150, "Solarium finances art")], "doc_id long, text string")
+    pairs = q.select("item_id", X.query_tokens(F.col("text")).alias("q")).where(F.size("q") > 0).crossJoin(docs.select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("w")))
+    want = pairs.select("item_id", "doc_id", X.lexical_overlap(F.col("q"), F.col("w")).alias("overlap")).collect()
+    assert sorted(map(str, R.lexical_overlaps(q, docs).collect())) == sorted(map(str, want)) and len(want) == 12
