@@ -1,10 +1,12 @@
 """The keyword search holds a bounded part of the chunks, ranks texts as their index does, and counts words exactly."""
 
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
 
 from siftline.operators import keyword_index as N
+from siftline.operators import ranking as R
 
 WORK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("text", pa.string()), ("grp", pa.int32()), ("config", pa.string()), ("positions", pa.list_(pa.int32()))])
 
@@ -41,3 +43,22 @@ def test_texts_rank_as_their_index_does(spark, tmp_path):
     assert {tuple(r) for r in N.keyword_search(queries, chunks, 3).collect()} == indexed
     # Chunk 2 has two texts: each position counts once, whichever of them it is of: 1, 2, 3, 4 and 8.
     assert {(q, c): r for q, c, r, _ in indexed}[(2, 2)] == 0.5
+
+
+def test_counted_words_with_null_and_repeated_ids(spark):
+    docs = [(1, "red red blue"), (2, "red"), (2, "blue Blue"), (None, "red red red red"), (3, None), (4, "")]
+    asked = [(1, "red"), (2, "blue red"), (None, "blue")]
+    got = R.keyword_topk(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "chunk_id long, text string"), 5).collect()
+    want = {}
+    for q, text in asked:
+        count = Counter()
+        for c, words in docs:
+            count[c] += sum(w in text.split() for w in (words or "").lower().split())
+        want |= {(q, c): round(n * 0.1, 6) for c, n in count.items() if n}
+    assert {(r.query_id, r.chunk_id): r["rank"] for r in got} == want
+
+
+def test_words_are_counted_without_a_row_for_each_word(spark):
+    q, c = spark.createDataFrame([(1, "red")], "query_id long, text string"), spark.createDataFrame([(1, "red")], "chunk_id long, text string")
+    plan = R.keyword_topk(q, c, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(" not in plan and "Join" not in plan
