@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
+from siftline.sources.shared import kept
 
 # What a heading, a list item and a table row look like, and the least length of a chunk that stands alone.
 NUMBERED = r"(?:\d+(?:\.\d+)*\s+)?"
@@ -107,8 +108,9 @@ def sections(pages: DataFrame) -> DataFrame:
 
 def section_languages(rows: DataFrame, hint: Column | None = None) -> DataFrame:
     """Adds language to sections (doc_id, section, text): the hint if there is one; a section's own where detection is sure of
-    it; else the one that most of the document's sure sections have (the first seen if equal), EN without any."""
-    found = rows.withColumn("_x", X.detect_language(F.col("text")))
+    it; else the one that most of the document's sure sections have (the first seen if equal), EN without any. Sections and what
+    is detected in them are written once, since both the votes and the result read them."""
+    found = kept(rows.withColumn("_x", X.detect_language(F.col("text"))), "detected")
     sure = F.col("_x.confident")
     votes = found.where(sure).groupBy("doc_id", "_x.language").agg(F.count("*").alias("_n"), F.min("section").alias("_f"))
     most = votes.groupBy("doc_id").agg(F.max_by("language", F.struct("_n", -F.col("_f"))).alias("_most"))
@@ -332,7 +334,7 @@ def backfill_languages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     detected anew; one that detection isn't sure of takes its document's (document_id, language), else the one that most
     of the document's sure chunks have."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    found = chunks.withColumn("_x", X.detect_language(text))
+    found = kept(chunks.select("chunk_id", "document_id", "ord", "language", X.detect_language(text).alias("_x")), "detected")
     votes = found.where("_x.confident").groupBy("document_id", "_x.language").agg(F.count("*").alias("_n"), F.min("ord").alias("_f"))
     most = votes.groupBy("document_id").agg(F.max_by("language", F.struct("_n", -F.col("_f"))).alias("_most"))
     j = found.join(documents.select("document_id", F.col("language").alias("_doc")), "document_id").join(most, "document_id", "left")
