@@ -149,8 +149,23 @@ def drift_checks(current: DataFrame, baseline: DataFrame | None, languages: tupl
 def retrieval_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:
     """recall@5, MRR and nDCG@10 of each query, from results (query_id, chunk_id, ord) and expected (query_id, chunk_id)."""
     want = expected.select("query_id", "chunk_id").distinct()
-    n = want.groupBy("query_id").agg(F.count("*").alias("n"))
-    hit = results.join(want, ["query_id", "chunk_id"])
+    return _retrieval(results.join(want, ["query_id", "chunk_id"]), want.groupBy("query_id").agg(F.count("*").alias("n")))
+
+
+def labelled_metrics(results: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """retrieval_metrics where each of queries (query_id, label) expects all chunks (chunk_id, label) of its label. Pairs of a query
+    and a chunk are made of the results alone; what a query expects is counted by label, unless it has several."""
+    queries, chunks = (df.where("label is not null").distinct() for df in (queries, chunks))
+    found = results.select("query_id", "chunk_id").distinct().join(queries, "query_id").join(chunks, ["chunk_id", "label"]).select("query_id", "chunk_id").distinct()
+    kinds = queries.groupBy("query_id").agg(F.count("*").alias("_labels"), F.min("label").alias("label"))
+    sizes = chunks.groupBy("label").agg(F.count("*").alias("n"))
+    several = queries.join(kinds.where("_labels > 1").select("query_id"), "query_id", "left_semi").join(chunks, "label").select("query_id", "chunk_id").distinct()
+    n = kinds.where("_labels = 1").join(sizes, "label").select("query_id", "n").unionByName(several.groupBy("query_id").agg(F.count("*").alias("n")))
+    return _retrieval(results.join(found, ["query_id", "chunk_id"]), n)
+
+
+def _retrieval(hit: DataFrame, n: DataFrame) -> DataFrame:
+    """The figures from the results that were expected, and (query_id, n), how many are."""
     got = hit.groupBy("query_id").agg(F.min("ord").alias("first"), F.sum(F.when(F.col("ord") <= 10, 1 / F.log2(F.col("ord") + 1))).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.greatest(F.lit(1), F.col("n").cast("int")))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return n.join(got, "query_id", "left").select("query_id", F.coalesce((F.col("first") <= 5).cast("int"), F.lit(0)).alias("recall_at_5"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg_at_10"))

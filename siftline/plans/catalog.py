@@ -264,8 +264,7 @@ SELECT n.query_id, coalesce(CAST(first <= 5 AS INTEGER), 0) AS recall_at_5, roun
 def ir_metrics(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where(F.col("vec_id") % 50 == 0).select((F.col("vec_id") / 50).cast("long").alias("query_id"), "label")
-    want = e.join(q, "label").select("query_id", F.col("vec_id").alias("chunk_id"))
-    return A.retrieval_metrics(R.vector_topk(*vectors(spark, d), 20), want)
+    return A.labelled_metrics(R.vector_topk(*vectors(spark, d), 20), q, e.select(F.col("vec_id").alias("chunk_id"), "label"))
 
 
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY 1""")

@@ -1,0 +1,12 @@
+"""Steps that cost what their rows need."""
+
+from siftline.operators import metrics as A
+
+
+
+def test_metrics_by_label_equal_those_of_pairs(spark):
+    queries = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "a"), (4, "b"), (5, "z")], "query_id long, label string")
+    chunks = spark.createDataFrame([(10, "a"), (11, "a"), (11, "a"), (12, "b"), (12, "a"), (13, None), (14, "c")], "chunk_id long, label string")
+    results = spark.createDataFrame([(1, 14, 1), (1, 11, 2), (1, 12, 7), (2, 12, 1), (3, 13, 1), (4, 10, 6), (4, 12, 11), (9, 10, 1)], "query_id long, chunk_id long, ord int")
+    want = {tuple(r) for r in A.retrieval_metrics(results, queries.join(chunks, "label").select("query_id", "chunk_id")).collect()}
+    assert {tuple(r) for r in A.labelled_metrics(results, queries, chunks).collect()} == want and len(want) == 3
