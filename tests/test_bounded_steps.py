@@ -1,6 +1,7 @@
 """Steps that cost what their rows need."""
 
 from siftline.operators import metrics as A
+from siftline.sources import pdf
 
 
 
@@ -10,3 +11,11 @@ def test_metrics_by_label_equal_those_of_pairs(spark):
     results = spark.createDataFrame([(1, 14, 1), (1, 11, 2), (1, 12, 7), (2, 12, 1), (3, 13, 1), (4, 10, 6), (4, 12, 11), (9, 10, 1)], "query_id long, chunk_id long, ord int")
     want = {tuple(r) for r in A.retrieval_metrics(results, queries.join(chunks, "label").select("query_id", "chunk_id")).collect()}
     assert {tuple(r) for r in A.labelled_metrics(results, queries, chunks).collect()} == want and len(want) == 3
+
+
+
+def test_files_are_scraped_one_at_a_time(spark):
+    rows = [("a", b"%PDF-1.4\n1 0 obj BT (one  two) Tj ET endobj"), ("b", None), ("c", b"junk")]
+    done = pdf.pages(spark.createDataFrame(rows, "path string, content binary"))
+    assert "MapInArrow" in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in done.collect()} == {("a", 1, "one two", "byte_scrape"), ("b", 1, "", "byte_scrape"), ("c", 1, "", "byte_scrape")}
