@@ -338,6 +338,19 @@ def test_repetitive_lines(spark):
     assert dropped_lines(spark, lines) == plain_dropped(lines) == {1, 2, 4}
 
 
+def test_lines_without_python(spark, monkeypatch):
+    """Many near copies of one line, of which some are too far from its lead, by DataFrame functions alone."""
+    rnd, lines = random.Random(8), []
+    base = [rnd.choice(VOCAB) for _ in range(50)]
+    for i in range(70):
+        edits = set(rnd.sample(range(50), rnd.choice([1, 2, 4, 7])))
+        lines.append(" ".join(f"{w}{i}" if j in edits else w for j, w in enumerate(base)))
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, lambda *a, **b: pytest.fail("runs Python"))
+    want, got = plain_dropped(lines), dropped_lines(spark, lines)
+    assert len(want) > 40 and got <= want and len(got) >= 0.95 * len(want)
+
+
 @pytest.mark.parametrize("wide", [1, 2, 20])
 def test_blocks_in_parts(spark, wide):
     """A block of many parts: every similar pair is connected, whichever parts it lies in."""
