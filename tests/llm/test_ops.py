@@ -351,6 +351,25 @@ def test_lines_without_python(spark, monkeypatch):
     assert len(want) > 40 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_near_lines_meet_few_others(spark, monkeypatch):
+    """Of many edited copies of one line, some of them too far from its lead, each meets a bounded number."""
+    rnd, lines, made = random.Random(8), [], []
+    base = [rnd.choice(VOCAB) for _ in range(50)]
+    for i in range(300):
+        edits = set(rnd.sample(range(50), rnd.choice([1, 2, 4, 7])))
+        lines.append(" ".join(f"{w}{i}" if j in edits else w for j, w in enumerate(base)))
+    pairs = line_dedup._pairs
+
+    def counted(*args):
+        made.append((out := pairs(*args)).count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_pairs", counted)
+    want, got = plain_dropped(lines), dropped_lines(spark, lines)
+    assert got <= want and len(got) >= 0.95 * len(want), (len(got), len(want))
+    assert max(made) <= 20 * len(lines), made
+
+
 @pytest.mark.parametrize("wide", [1, 2, 20])
 def test_blocks_in_parts(spark, wide):
     """A block of many parts: every similar pair is connected, whichever parts it lies in."""
