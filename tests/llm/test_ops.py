@@ -370,6 +370,27 @@ def test_near_lines_meet_few_others(spark, monkeypatch):
     assert max(made) <= 20 * len(lines), made
 
 
+def test_every_open_pair_of_a_group_meets(spark):
+    """Two similar lines of a group, both unlike its lead and unlike the line with most links, still meet."""
+    n = lambda key, met, links: (5, key, 100, met, links)
+    members = spark.createDataFrame([n(1, 1, 3), n(2, 1, 1), n(3, 3, 0), n(4, 4, 0), (5, 9, 300, 9, 0)], "band long, key long, n int, met long, links long")
+    meet = lambda led: {(r.a, r.b) for r in line_dedup._pairs(members, 80, led).collect()}
+    assert meet(True) == {(1, 3), (1, 4)}
+    assert meet(False) == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+
+
+def test_lines_that_share_a_passage(spark):
+    """Pairs of near copies among many lines that have one long passage in common."""
+    rnd, lines = random.Random(3), []
+    words = lambda k: [rnd.choice(VOCAB) + str(rnd.randrange(50)) for _ in range(k)]
+    passage = words(25)
+    for _ in range(60):
+        own = words(25)
+        lines += [" ".join(own[:10] + passage + own[10:]), " ".join(own[:10] + passage + own[10:22] + words(3))]
+    want, got = plain_dropped(lines), dropped_lines(spark, lines)
+    assert len(want) == 60 and got <= want and len(got) >= 59
+
+
 @pytest.mark.parametrize("wide", [1, 2, 20])
 def test_blocks_in_parts(spark, wide):
     """A block of many parts: every similar pair is connected, whichever parts it lies in."""
